@@ -9,6 +9,7 @@ from .chat_format import chat_format
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .piece_codec import piece_codec
 from .quality import quality_rules
 from .shared import whole_text
 
@@ -45,6 +46,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", _sha("text").alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_chat_format, op6_line_dedup, op7_exact_dedup)}
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        _sha("decoded").alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_chat_format, op6_line_dedup, op7_exact_dedup, op10_piece_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
