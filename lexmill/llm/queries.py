@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .piece_codec import piece_codec
 from .quality import quality_rules
 from .shared import whole_text
+from .token_count import token_count, word_pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = word_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_count(_table(spark, sf_dir, "documents").select("doc_id", "text"), *pieces).select("doc_id", "n_words", "n_tokens")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "reply_to", "n_quoted_lines", "max_quote_level", "n_linked_lines", "formatted")
 
@@ -59,6 +67,6 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op5_chat_format, op6_line_dedup, op7_exact_dedup, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op10_piece_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
