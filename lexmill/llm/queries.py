@@ -13,6 +13,7 @@ from .piece_codec import piece_codec
 from .quality import quality_rules
 from .shared import whole_text
 from .token_count import token_count, word_pieces
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", _sha("text").alias("text_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +73,6 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op9_toxicity, op10_piece_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
