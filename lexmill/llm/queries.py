@@ -9,6 +9,7 @@ from .chat_format import chat_format
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .piece_codec import piece_codec
 from .quality import quality_rules
 from .shared import whole_text
@@ -24,6 +25,11 @@ def _sha(column: str):
     return F.sha2(F.encode(whole_text(column), "UTF-8"), 256)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join(docs, width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copy_no", "n_copies", "mix_key", _sha("text").alias("text_sha256"))
@@ -73,6 +79,6 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op9_toxicity, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op9_toxicity, op10_piece_codec)}
 
 ORACLE_SQL: dict[str, str] = {}
