@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, shingle_sets, sum_by, text_blocks
-from .shared import NO_ID, row_id, whole_text, written
+from .shared import NO_ID, row_id, ship, whole_text, written
 
 #: Coordinates of a count vector, and points in a leaf.
 DIMENSIONS, LEAF = 64, 32
@@ -271,6 +271,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     equal sets, hence linked; a null id is passed over when a component has another, and else stays null. Empty
     tables give empty results; columns of ``docs`` named like the two results are replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("n_shingles", "component_id")
     text = whole_text(text_col)
     keyed = docs.select(row_id(id_col).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -293,7 +294,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .select(F.col("first.rid").alias("rid"), F.col("first.hash").alias("hash"), "node", "root", "blocks", "block")
     )
-    texts = keyed.join(written(placed), ["rid", "hash"]).dropDuplicates(["node", "root"])
+    # One strategy at every size; the members are the build side, so texts are not sorted.
+    texts = keyed.join(written(placed).hint("shuffle_hash"), ["rid", "hash"]).dropDuplicates(["node", "root"])
     # Every pair of a cluster's blocks is a task's work of its own; a cluster of one block is the usual case.
     paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root",

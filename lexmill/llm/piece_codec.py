@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import whole_text
+from .shared import ship, whole_text
 
 MARK = "▁"
 #: Units held in a Python worker's cache (about 330 bytes each); it is emptied beyond that, no unit is dropped.
@@ -276,6 +276,7 @@ def piece_codec(docs: DataFrame, model_path: str, text_col: str = "text", check:
     columns named like the two results are replaced. With ``check`` every distinct unit of a batch is compared
     with the library's ids, and a difference raises.
     """
+    ship(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 

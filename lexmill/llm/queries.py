@@ -13,6 +13,7 @@ from .ngram_join import ngram_join
 from .piece_codec import piece_codec
 from .quality import quality_rules
 from .shared import whole_text
+from .suffix_dedup import suffix_dedup
 from .token_count import token_count, word_pieces
 from .toxicity import toxicity
 
@@ -61,6 +62,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", _sha("text").alias("text_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -79,6 +87,6 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op9_toxicity, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op8_suffix_dedup, op9_toxicity, op10_piece_codec)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import whole_text
+from .shared import ship, whole_text
 
 #: A table entry holds the next state above these bits and the number of popped pieces in them.
 POP_BITS = 10
@@ -163,6 +163,7 @@ def token_count(docs: DataFrame, initial: list[bytes], continuing: list[bytes],
     other columns pass through, ones named like the two results are replaced. The vocabulary (of fixed size) is
     broadcast; each Python worker builds its table once.
     """
+    ship(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast((initial, continuing))
 
     @arrow_udf("struct<words:long,tokens:long>")

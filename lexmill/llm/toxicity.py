@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import row_id, whole_text, written
+from .shared import row_id, ship, whole_text, written
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
 #: What a character of leetspeak may stand for.
@@ -249,6 +249,7 @@ def toxicity(
     scored independently, so repeats agree; columns named like the results are replaced.
     """
     spark = docs.sparkSession
+    ship(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     model = letter_model(docs, text_col)
     sent_model = spark.sparkContext.broadcast(model.astype(np.float32))
