@@ -58,8 +58,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", _sha("text").alias("text_sha256"))
+    docs = _table(spark, sf_dir, "documents").withColumn("text_sha256", _sha("text"))
+    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
