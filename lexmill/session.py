@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +33,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it on their path."""
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(str(path.relative_to(root.parent))), path.read_bytes())
+    name = f"{root.name}-{hashlib.sha256(held.getvalue()).hexdigest()[:16]}.zip"
+    key = f"{spark.sparkContext.applicationId}/{name}"
+    if key not in _SHIPPED:
+        path = os.path.join(tempfile.mkdtemp(prefix=f"{root.name}-"), name)
+        Path(path).write_bytes(held.getvalue())
+        spark.sparkContext.addPyFile(path)  # the driver serves it to the executors
+        _SHIPPED.add(key)
