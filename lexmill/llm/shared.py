@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  used by the operators
+
 #: Stands for a null id inside a plan; the caller's column is returned as it came.
 NO_ID = -(2**63)
 #: White space between words: space, tab, LF, VT, FF and CR.
@@ -48,22 +45,3 @@ def row_id(column: str = "doc_id") -> Column:
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which need not have it on their path."""
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.writestr(zipfile.ZipInfo(str(path.relative_to(root.parent))), path.read_bytes())
-    name = f"{root.name}-{hashlib.sha256(held.getvalue()).hexdigest()[:16]}.zip"
-    key = f"{spark.sparkContext.applicationId}/{name}"
-    if key not in _SHIPPED:
-        path = os.path.join(tempfile.mkdtemp(prefix=f"{root.name}-"), name)
-        Path(path).write_bytes(held.getvalue())
-        spark.sparkContext.addPyFile(path)  # the driver serves it to the executors
-        _SHIPPED.add(key)
