@@ -13,6 +13,11 @@ RELATE_WORDS = ["depend", "relationship", "require", "connect", "integrate"]
 STEP_WORDS = ["how to", "how do", "configure", "setup", "steps", "create"]
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, "^(?U)\\s+|(?U)\\s+$", "")
+
+
 def ws_tokens(text: Column) -> Column:
     """Lower-cased runs of non-space characters (Unicode white space)."""
     return F.filter(F.split(F.lower(text), "(?U)\\s+"), lambda w: w != "")
@@ -31,7 +36,7 @@ def is_blank(text: Column) -> Column:
 
 
 def slugify(title: Column) -> Column:
-    kept = F.regexp_replace(F.lower(F.trim(title)), "(?U)[^\\w\\s/-]", "")
+    kept = F.regexp_replace(stripped(F.lower(title)), "(?U)[^\\w\\s/-]", "")
     slug = F.regexp_replace(kept, "(?U)\\s+", "-")
     return F.when(slug == "", "section").otherwise(slug)
 
@@ -64,7 +69,7 @@ def greedy_json_array(text: Column) -> Column:
 
 
 def strip_code_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "(?m)^```[A-Za-z]*[ \\t]*$", ""))
+    return stripped(F.regexp_replace(text, "(?m)^```[A-Za-z]*[ \\t]*$", ""))
 
 
 def dedup_key(text: Column, words: int = 50) -> Column:

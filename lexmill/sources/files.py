@@ -34,9 +34,6 @@ def read_documents(spark: SparkSession, path: str, corpus: str, kind: str = "aut
     known = files.withColumn("extension", extension).filter(F.col("extension").isin(*EXTENSIONS))
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string  # noqa: F401
-
         for batch in batches:
             rows = []
             for p, content, ext in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -62,8 +59,7 @@ def write_jsonl(docs: DataFrame, path: str) -> None:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Processed documents; malformed lines are skipped."""
-    rows = spark.read.schema(DOCUMENT + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter("_corrupt is null").drop("_corrupt")
+    return spark.read.schema(DOCUMENT).option("mode", "DROPMALFORMED").json(path)
 
 
 def read_questions(spark: SparkSession, path: str, tier: int = 0, kind: str = "") -> DataFrame:

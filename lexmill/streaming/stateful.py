@@ -26,8 +26,9 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """(client, event_id, allowed): admitted times inside the window are a client's state, dropped when idle."""
+def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """(client, event_id, allowed): admitted times inside the window are a client's state, dropped when
+    event time has passed its last window."""
     ship(events.sparkSession)
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,12 +44,13 @@ def rate_limited(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataF
             if flags[-1]:
                 times.append(int(t))
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        last = int(rows["at"].max()) // 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + seconds * 1000 + 1)
         yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "allowed": flags})
 
-    keyed = events.select(F.col("user_id").alias("client"), "event_id", F.unix_micros("ts").alias("at"))
+    keyed = events.withWatermark("ts", late).select(F.col("user_id").alias("client"), "event_id", "ts", F.unix_micros("ts").alias("at"))
     return keyed.groupBy("client").applyInPandasWithState(
-        run, "client long, event_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, "client long, event_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
