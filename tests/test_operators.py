@@ -106,3 +106,27 @@ def test_query_equals_sql(spark, name):
     assert columns == sorted(other.columns)
     shown = lambda f: sorted(tuple("" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in f[columns].itertuples(index=False))
     assert shown(own) == shown(other)
+
+
+def test_strategies_share_one_contract(spark):
+    from lexmill.operators.strategies import strategy
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma\ndelta", "en", "s"), (2, "zeta eta theta", "en", "s")], "doc_id long, text string, lang string, source string")
+    asked = spark.createDataFrame([("q1", "what is zeta eta theta"), ("q2", "compare alpha beta gamma")], "question_id string, question string")
+    for name in ("bm25", "naive_vector", "contextual_vector", "pageindex", "hybrid", "raptor"):
+        found = strategy(name)
+        found.build(docs)
+        rows = found.retrieve(asked, 2).collect()
+        assert {r.question_id for r in rows} == {"q1", "q2"} and {r["rank"] for r in rows} <= {1, 2}
+    best = [r.chunk_id for r in rows if r.question_id == "q1" and r["rank"] == 1]
+    assert best == ["L0:2::0"]
+
+
+def test_lifecycle(spark, tmp_path):
+    from lexmill.plans import lifecycle
+
+    answers = spark.createDataFrame([("t1", "bm25", "a lambda", ["doc"], 100.0, 0.01, "")], "question_id string, strategy string, answer string, sources array<string>, latency_ms double, cost_usd double, error string")
+    questions = spark.createDataFrame([("t1", ["lambda"], ["never"], ["doc"], ["lambda"])], "question_id string, must_mention array<string>, must_not_claim array<string>, source_refs array<string>, required_entities array<string>")
+    ranked = lifecycle.benchmark(answers, questions, str(tmp_path / "runs"), "r1")
+    assert ranked.first().composite == 0.998 and "bm25" in lifecycle.report(ranked, "Run")
+    assert [r.event for r in lifecycle.chat_events(answers).orderBy("seq").collect()] == ["message_id", "token", "token", "done", "meta"]
