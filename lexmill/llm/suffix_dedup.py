@@ -29,7 +29,7 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Bytes looked at to cut pieces, and one cut in so many places.
 CUT_WIDTH, CUT_EVERY = 16, 64
 #: Bytes of text in a shard, and bytes of text whose names meet in a bucket.
-SHARD_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 PIECES, SAMPLES, WINDOWS = 0, 1, 2
 NAMES = "bucket int, shard int, kind int, names binary"
 FOUND = "shard int, kind int, n long, names binary"
