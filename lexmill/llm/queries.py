@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .chat_format import chat_format
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -89,4 +90,4 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op8_suffix_dedup, op9_toxicity, op10_piece_codec)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
