@@ -38,12 +38,12 @@ class Bands:
         self.percent = percent
         lower = [1]
         while lower[-1] < 2**31:
-            lower.append(max(lower[-1] + 1, lower[-1] * 3 // 2))
+            lower.append(max(lower[-1] + 1, lower[-1] * (10000 // percent + 3) // 100))
         self.lower = np.array(lower, np.int64)
         largest = self.lower[1:] - 1
         # Sets that link and have at most this size differ in at most so many shingles, hence groups.
         self.differ = 2 * largest * (100 - percent) // (100 + percent)
-        self.groups = self.differ + 2 + self.differ // 20
+        self.groups = self.differ + 3 + self.differ // 4
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lower, sizes, "right") - 1
@@ -53,8 +53,10 @@ def bucket_keys(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bands: Ba
     """Keys and text numbers; any two different sets that link share a key.
 
     A set is entered in its own band, and in the next if a set there can link to it. Of the groups of a band,
-    more than ``groups - differ`` are equal for sets that link. A set with so many empty groups that only these
-    might be equal is entered by its least shingles too (a prefix filter among such sets).
+    ``groups - differ`` or more are equal for sets that link. Groups of fewer than two shingles make no key, since
+    one common shingle would be a bucket of much that is unlike; a set with so many of these that no other might
+    be equal is entered by pairs of its least shingles too. Sets that link share the least two shingles of their
+    intersection, and these are among the ``size - least overlap + 2`` least of either.
     """
     keys, owners = [], []
     percent = bands.percent
@@ -75,18 +77,23 @@ def bucket_keys(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bands: Ba
         group = ((h >> np.uint64(32)) * groups[doc].astype(np.uint64)) >> np.uint64(32)
         slot = begin[doc] + group.astype(np.int64)
         slots = int(begin[-1])
-        filled = np.bincount(slot, minlength=slots) > 0
+        filled = np.bincount(slot, minlength=slots) > 1
         owner = np.repeat(np.arange(len(sizes)), groups)
         index = np.arange(slots) - begin[owner]
         salt = mix((band[owner].astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64))
         keys.append(mix(sum_by(slot, v, slots) + salt)[filled])
         owners.append(owner[filled])
-        empty = groups - np.bincount(owner[filled], minlength=len(sizes))
-        sparse = use & (empty >= groups - bands.differ[band])
-        prefix = sizes - (sizes * percent + 99) // 100 + 1
-        extra = sparse[of] & (rank < prefix[of])
-        keys.append(mix(hashes[extra] + mix(band[of[extra]].astype(np.uint64) + np.uint64(1 << 50))))
-        owners.append(of[extra])
+        poor = groups - np.bincount(owner[filled], minlength=len(sizes))
+        sparse = use & (poor >= groups - bands.differ[band])
+        prefix = np.minimum(sizes - (sizes * percent + 99) // 100 + 2, sizes)
+        extra = np.nonzero(sparse[of] & (rank < prefix[of]))[0]
+        # Each least shingle with all earlier ones of its set.
+        before = rank[extra]
+        second = np.repeat(extra, before)
+        nth = np.arange(len(second)) - np.repeat(np.cumsum(before) - before, before)
+        one, two = hashes[first[of[second]] + nth], hashes[second]
+        keys.append(mix(mix(one) + two + mix(band[of[second]].astype(np.uint64) + np.uint64(1 << 50))))
+        owners.append(of[second])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
