@@ -1,0 +1,241 @@
+"""Each operator against brute force on tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lexmill.llm.chat_format import chat_format
+from lexmill.llm.components import components
+from lexmill.llm.exact_dedup import exact_dedup
+from lexmill.llm.hashing import shingle_sets
+from lexmill.llm.line_dedup import line_dedup
+from lexmill.llm.mixing import mix_sources
+from lexmill.llm.ngram_join import Bands, bucket_keys, ngram_join
+from lexmill.llm.quality import quality_rules
+from lexmill.llm.suffix_dedup import suffix_dedup
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash long, rid string, kept string, node int"
+
+
+def made(n=60, seed=3):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 80))) for _ in range(n)]
+    passage = " ".join(word() for _ in range(40))
+    for i in range(0, n, 5):
+        texts[i] = texts[i] + "\n" + passage + "\n" + texts[(i + 7) % n]
+    for i in range(1, n, 6):
+        words = texts[i - 1].split(" ")
+        words[len(words) // 2] = "changed"
+        texts[i] = " ".join(words)
+    texts[10] = texts[20] = texts[30]
+    texts += ["", "   \n ", "x", "Ünï " * 3, "long " * 5000 + "end", "long " * 5000 + "end!"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(None, texts[3]), (None, None), (500, None), (501, ""), (7, texts[7]), (7, texts[7])]
+    return [(i, t, ["en", "de", None][k % 3], ["a", "b", None, "a"][k % 4], None, k, "r", "no", 1) for k, (i, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = made()
+    return spark.createDataFrame(rows, SCHEMA).repartition(3), rows
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup(spark, docs):
+    frame, rows = docs
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    got = Counter((r.doc_id, r.text, r.keep_id, r.group_size, r.kept) for r in exact_dedup(frame, first_digit=8, widen=4).collect())
+    want = Counter()
+    for r in rows:
+        ids = groups[r[1] or ""]
+        top = max((i for i in ids if i is not None), default=None)
+        want[(r[0], r[1], top, len(ids), r[0] == top)] += 1
+    assert got == want
+    assert exact_dedup(empty(spark)).count() == 0
+    assert {"hash", "rid", "node"} <= set(exact_dedup(frame).columns)
+
+
+def base(text):
+    words = WORD.findall(text)
+    found = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    near = set()
+    for i in range(len(words) - 4):
+        if found[tuple(words[i : i + 5])] > 1:
+            near.update(range(i, i + 5))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(near)
+
+
+def test_quality_rules(spark, docs):
+    frame, rows = docs
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(None, 1), (900, 0)], "doc_id long, quality int")
+    got = quality_rules(frame, labels).collect()
+    assert Counter((r.doc_id, r.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter(
+        (r[0], r[1], *base(r[1] or "")) for r in rows
+    )
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
+    assert quality_rules(empty(spark), labels).count() == 0
+
+
+def test_learned_cutoffs_respect_the_risk(spark):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(3000):
+        junk = i % 10 == 0
+        words = ["w" + str(rng.randrange(10**6)) + ("$$$" if junk else "") for _ in range(12)]
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, 0 if junk else 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_rules(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r.kept == (r.doc_id % 10 != 0) for r in got)
+
+
+def test_mixing(spark, docs):
+    frame, rows = docs
+    mixed = mix_sources(frame).collect()
+    counts = Counter((r.doc_id, r.text, r.copy_no) for r in mixed)
+    repeats = Counter((r[0], r[1]) for r in rows)
+    assert all(n <= repeats[k[:2]] for k, n in counts.items())
+    again = Counter((r.doc_id, r.text, r.copy_no) for r in mix_sources(frame).collect())
+    assert again == counts
+    assert mix_sources(empty(spark)).count() == 0
+    many = spark.range(20000).selectExpr("id as doc_id", "'t' as text", "if(id % 4 = 0, 'a', 'b') as source")
+    weights = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, weight double")
+    sizes = {r.source: r["count"] for r in mix_sources(many, weights).groupBy("source").count().collect()}
+    assert abs(sizes["a"] - 10000) < 400 and abs(sizes["b"] - 10000) < 400
+
+
+def test_line_dedup(spark):
+    rows = []
+    for i in range(40):
+        body = f"own line {i}\nCookie notice of all sites\nanother own line {i * 7}"
+        rows.append((i, body, f"s{i % 20}"))
+    copy = "first copied line\nsecond copied line\nthird copied line"
+    rows += [(100 + i, copy, f"s{i % 20}") for i in range(40)]
+    rows += [(200, None, "s1"), (201, "", None), (202, "\n\n", "s2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_dedup(frame).collect()}
+    assert got[3] == ("own line 3\nanother own line 21", 3, 1)
+    assert got[110] == (copy, 3, 0)  # lines that only travel with copies stay
+    assert got[200] == (None, 0, 0) and got[201] == ("", 0, 0) and got[202] == ("\n\n", 0, 0)
+    assert len(got) == len(rows)
+
+
+def test_chat_format(spark):
+    rows = [
+        (1, 0, "user", "Hello there\nSecond line"),
+        (1, 1, "assistant", "Answer one"),
+        (1, 2, "user", "> Answer  ONE\n>> hello there\nI disagree"),
+        (1, 3, "assistant", "> Second line\n> never said\nok"),
+        (2, 0, None, None),
+        (None, 5, "user", "> x"),
+        (1, 1, "assistant", "Answer one"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat_format(frame).collect()}
+    assert chat_format(frame).count() == len(rows)
+    assert got[1, 0].reply_to is None and got[1, 1].reply_to == 0
+    assert (got[1, 2].reply_to, got[1, 2].body, got[1, 2].n_quoted_lines, got[1, 2].max_quote_level) == (1, "I disagree", 2, 2)
+    assert (got[1, 3].reply_to, got[1, 3].n_linked_lines, got[1, 3].formatted) == (0, 1, "<|assistant|>\nok")
+    assert got[2, 0].formatted == "<||>\n" and got[None, 5].reply_to is None
+
+
+def shingles(text, width):
+    words = WORD.findall(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    if len(words) < width:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60)])
+def test_ngram_join(spark, docs, width, percent):
+    frame, rows = docs
+    sets = [shingles(r[1] or "", width) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                root[find(i)] = find(j)
+    members = defaultdict(list)
+    for i, r in enumerate(rows):
+        members[find(i)].append(r[0])
+    want = Counter()
+    for i, r in enumerate(rows):
+        ids = [x for x in members[find(i)] if x is not None]
+        want[(r[0], r[1], len(sets[i]), min(ids) if ids and sets[i] else r[0])] += 1
+    assert Counter((r.doc_id, r.text, r.n_shingles, r.component_id) for r in ngram_join(frame, width, percent).collect()) == want
+    assert ngram_join(empty(spark)).count() == 0
+
+
+def test_sets_that_link_share_a_key():
+    rng = np.random.default_rng(5)
+    for percent in (60, 80, 85):
+        for n in [*range(2, 40, 3), 90, 400]:
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            for change in range(1, n * (100 - percent) // 100 + 2):
+                b = np.unique(np.concatenate([a[change // 2 :], rng.integers(0, 2**63, change - change // 2, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                key, owner = bucket_keys(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), Bands(percent))
+                assert len(np.intersect1d(key[owner == 0], key[owner == 1])), (percent, n, change)
+
+
+def test_shingle_sets_match_words():
+    texts = ["a b c d e", "", " A  b c d e\n", "a b", "b a", "a\x0bb c d e f"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    cuts = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    hashes, _, sizes = shingle_sets(data, cuts, 4)
+    found = [frozenset(x.tolist()) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+    assert [len(f) for f in found] == [2, 0, 2, 1, 1, 3]
+    assert found[0] == found[2] and found[3] != found[4] and found[0] < found[5]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100, 130)] + [(5, 900), (900, 7), (7, 7), (8, 9)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 131)}, 5: 5, 7: 5, 900: 5, 8: 8, 9: 8}
+
+
+def test_suffix_dedup(spark, docs, monkeypatch):
+    import lexmill.llm.suffix_dedup as module
+
+    frame, rows = docs
+    first = defaultdict(lambda: 2**63)
+    order = lambda i: -(2**63) if i is None else i
+    for r in rows:
+        b = (r[1] or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(first[b[p : p + 50]], order(r[0]))
+    want = Counter()
+    for r in rows:
+        b = (r[1] or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < order(r[0]):
+                gone[p : p + 50] = True
+        runs = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        want[(r[0], len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())] += 1
+    monkeypatch.setattr(module, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(module, "BUCKET_BYTES", 20_000)
+    got = suffix_dedup(frame).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.removed_spans), hashlib.sha256(r.kept_bytes).hexdigest()) for r in got) == want
+    assert suffix_dedup(empty(spark)).count() == 0
