@@ -55,7 +55,8 @@ def exact_dedup(
     closed = [open_rows.filter("ended")]
     open_rows = open_rows.filter("not ended")
     # The texts of open groups, once; later rounds take only their next digits from it.
-    texts = written(rows.join(open_rows.select("rid", "hash").distinct(), ["rid", "hash"]))
+    # One strategy at every size; the ids are the build side, so texts are not sorted.
+    texts = written(rows.join(open_rows.select("rid", "hash").distinct().hint("shuffle_hash"), ["rid", "hash"]))
     longest = texts.agg(F.max(F.length("bytes"))).first()[0] or 0
     at, width = first_digit, first_digit * widen
     while at < longest:
