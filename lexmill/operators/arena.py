@@ -51,16 +51,16 @@ def elo(matches: DataFrame) -> DataFrame:
     Every vote depends on all before it, so the fold is one task by nature; votes stream through it in order
     and only the ratings are held.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     ship(matches.sparkSession)
 
     def fold(batches):
         rating: dict[str, float] = {}
-        for frame in batches:
-            for a, b, w in zip(frame["strategy_a"], frame["strategy_b"], frame["winner"]):
+        for batch in batches:
+            for a, b, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rate(rating, a, b, w)
-        yield pd.DataFrame({"strategy": list(rating), "rating": [round(x, 6) for x in rating.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(rating), pa.string()), pa.array([round(x, 6) for x in rating.values()], pa.float64())], ["strategy", "rating"])
 
     ordered = matches.repartition(1).sortWithinPartitions("ts", "match_id").select("strategy_a", "strategy_b", "winner")
-    return ordered.mapInPandas(fold, "strategy string, rating double")
+    return ordered.mapInArrow(fold, "strategy string, rating double")

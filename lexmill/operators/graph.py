@@ -89,7 +89,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
     The graph is broadcast only if it has at most two million edges; larger ones are refused.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     spark = edges.sparkSession
     pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).filter("a <> b").distinct()
@@ -106,8 +106,8 @@ def betweenness(edges: DataFrame) -> DataFrame:
         from collections import deque
 
         graph, total = sent.value, {}
-        for frame in batches:
-            for s in frame["fqn"]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
                 order, before, sigma, dist = [], {s: []}, {s: 1.0}, {s: 0}
                 queue = deque([s])
                 while queue:
@@ -126,9 +126,9 @@ def betweenness(edges: DataFrame) -> DataFrame:
                         delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
                     if w != s:
                         total[w] = total.get(w, 0.0) + delta[w]
-        yield pd.DataFrame({"fqn": list(total), "part": list(total.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], ["fqn", "part"])
 
     n = len(links)
     scale = (n - 1) * (n - 2) if n > 2 else 1
-    sums = nodes.mapInPandas(partial, "fqn string, part double").groupBy("fqn").agg(F.sum("part").alias("total"))
+    sums = nodes.mapInArrow(partial, "fqn string, part double").groupBy("fqn").agg(F.sum("part").alias("total"))
     return sums.select("fqn", F.round(F.col("total") / scale, 6).alias("betweenness"))

@@ -49,6 +49,6 @@ def admitted(events: DataFrame, key: str = "user_id", limit: int = 60, seconds:
                     times.append(t)
             yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("client"), pa.array(flags, pa.bool_())], ["event_id", key, "allowed"])
 
-    rows = events.select("event_id", F.col(key).alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = events.select(F.col("event_id").cast("long").alias("event_id"), F.col(key).cast("long").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     ordered = rows.repartition("client").sortWithinPartitions("client", "at", "event_id")
     return ordered.mapInArrow(fold, f"event_id long, {key} long, allowed boolean")
