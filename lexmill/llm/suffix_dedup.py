@@ -5,8 +5,8 @@ in memory; what must be known of other shards is exchanged as sorted names in bu
 
 1. Content-defined pieces of text, each with the ``length - 1`` bytes after it, are named. Of equal pieces only the
    earliest document's stays open; the suffixes that start in the others are repeats.
-2. Difference cover: in open text the strings at cover positions (6 of each 31) are named. Two equal windows of
-   50 bytes have a cover position at the same place within 31 bytes, so a suffix all of whose cover names in reach
+2. Difference cover: in open text the strings at cover positions (5 of each 21) are named. Two equal windows of
+   50 bytes have a cover position at the same place within 21 bytes, so a suffix all of whose cover names in reach
    are found in one document alone is unique and leaves the sort.
 3. The suffixes that are left, long ties all, are sorted by their names to full depth, bucket by bucket; each
    class of equal ones gets its earliest document.
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, powers, prefix_sums, spans
-from .shared import row_id, ship, whole_text, written
+from .shared import release, row_id, ship, whole_text, written
 
-#: A perfect difference set modulo 31: every non-zero residue is the difference of one pair.
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: A perfect difference set modulo 21: every non-zero residue is the difference of one pair.
+PERIOD, COVER = 21, (3, 6, 7, 12, 14)
+#: Low bytes that sample names leave out: they only choose what is sorted, and a chance equality adds a candidate.
+SHORT = 2
 #: Bytes looked at to cut pieces, and one cut in so many places.
 CUT_WIDTH, CUT_EVERY = 16, 64
 #: Bytes of text in a shard, and bytes of text whose names meet in a bucket.
@@ -82,7 +84,7 @@ class Shard:
         return np.cumsum(depth[:-1]) > 0
 
     def samples(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cover positions in reach of open suffixes, and the names of the strings there (56 bits)."""
+        """Cover positions in reach of open suffixes, and the short names (48 bits) of the strings there."""
         size = self.length - PERIOD + 1
         within = np.arange(len(self.data)) - self.cuts[self.doc] if len(self.data) else np.zeros(0, np.int64)
         wanted = np.zeros(PERIOD, bool)
@@ -90,7 +92,7 @@ class Shard:
         count = np.concatenate([np.zeros(PERIOD, np.int32), np.cumsum(open_, dtype=np.int32)])
         near = count[PERIOD:] > count[:-PERIOD]
         at = np.nonzero(wanted[within % PERIOD] & near)[0]
-        return at, spans(self.sums, at, at + size) & ~np.uint64(0xFF)
+        return at, spans(self.sums, at, at + size) & ~np.uint64((1 << 8 * SHORT) - 1)
 
     def candidates(self, open_: np.ndarray, found: "Found") -> tuple[np.ndarray, np.ndarray]:
         """Open suffixes with a repeated cover name in reach, and their names to full depth."""
@@ -168,7 +170,7 @@ def packed(shard: int, kind: int, names: np.ndarray, rid: np.ndarray, buckets: i
         low, high = int(edges[b]), int(edges[b + 1])
         if high > low:
             step = np.diff(names[low:high], prepend=np.uint64(0))
-            planes = [step.view(np.uint8).reshape(-1, 8).T[1 if kind == SAMPLES else 0 :].tobytes(), np.packbits(several[low:high]).tobytes()]
+            planes = [step.view(np.uint8).reshape(-1, 8).T[SHORT if kind == SAMPLES else 0 :].tobytes(), np.packbits(several[low:high]).tobytes()]
             if kind != SAMPLES:
                 planes.append(np.ascontiguousarray(least[low:high].view(np.uint8).reshape(-1, 8).T).tobytes())
             raw = b"".join(planes)
@@ -181,7 +183,7 @@ def packed(shard: int, kind: int, names: np.ndarray, rid: np.ndarray, buckets: i
 def unpacked(blob: bytes, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, size = np.frombuffer(blob, np.int64, 2).tolist()
     raw = np.frombuffer(pa.decompress(blob[16:], size, "zstd", asbytes=True), np.uint8)
-    planes = 7 if kind == SAMPLES else 8
+    planes = 8 - SHORT if kind == SAMPLES else 8
     step = np.zeros((n, 8), np.uint8)
     step[:, 8 - planes :] = raw[: planes * n].reshape(planes, n).T
     names = np.cumsum(step.reshape(-1).view(np.uint64), dtype=np.uint64)
@@ -300,8 +302,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     known: list[DataFrame] = []
     for kind in (PIECES, SAMPLES, WINDOWS):
-        names = by_shard(found, _namer(kind, length, buckets), NAMES)
-        known.append(written(names.groupBy("bucket").applyInArrow(sort_bucket, FOUND)))
+        known.append(written(by_shard(found, _namer(kind, length, buckets), NAMES).groupBy("bucket").applyInArrow(sort_bucket, FOUND)))
+        release(docs.sparkSession)
         found = known[0] if kind == PIECES else known[0].unionByName(known[kind])
     schema = "rid long, hash long, n_bytes long, n_removed long, removed_spans array<struct<start:long,stop:long>>, kept_bytes binary"
     cleaned = by_shard(found, _remover(length), schema)
