@@ -27,6 +27,8 @@ from .shared import NO_ID, row_id, ship, whole_text, written
 DIMENSIONS, LEAF = 64, 32
 #: Shingles (8 bytes each) of one block of a cluster: what one task holds is at most two blocks or two documents.
 BLOCK_SHINGLES = 2_000_000
+#: Sparse sets of bands below this size are entered by pairs of least shingles, larger ones by single ones.
+PAIRED_BELOW = 200
 #: Keys that a task pre-aggregates at a time.
 CHUNK_KEYS = 2_000_000
 
@@ -45,6 +47,9 @@ class Bands:
         self.differ = 2 * largest * (100 - percent) // (100 + percent)
         self.groups = self.differ + 3 + self.differ // 4
 
+        #: Shingles a group must hold to make a key: two where groups are full enough that few hold less.
+        self.least = 2 if percent >= 84 else 1
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lower, sizes, "right") - 1
 
@@ -77,7 +82,7 @@ def bucket_keys(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bands: Ba
         group = ((h >> np.uint64(32)) * groups[doc].astype(np.uint64)) >> np.uint64(32)
         slot = begin[doc] + group.astype(np.int64)
         slots = int(begin[-1])
-        filled = np.bincount(slot, minlength=slots) > 1
+        filled = np.bincount(slot, minlength=slots) >= bands.least
         owner = np.repeat(np.arange(len(sizes)), groups)
         index = np.arange(slots) - begin[owner]
         salt = mix((band[owner].astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64))
@@ -85,8 +90,12 @@ def bucket_keys(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bands: Ba
         owners.append(owner[filled])
         poor = groups - np.bincount(owner[filled], minlength=len(sizes))
         sparse = use & (poor >= groups - bands.differ[band])
-        prefix = np.minimum(sizes - (sizes * percent + 99) // 100 + 2, sizes)
-        extra = np.nonzero(sparse[of] & (rank < prefix[of]))[0]
+        prefix = np.minimum(sizes - (sizes * percent + 99) // 100 + 2, sizes + 1)
+        paired = bands.lower[band] < PAIRED_BELOW  # by band, so that both sets of a pair are entered alike
+        single = np.nonzero((sparse & ~paired)[of] & (rank < prefix[of] - 1))[0]
+        keys.append(mix(mix(hashes[single]) + mix(band[of[single]].astype(np.uint64) + np.uint64(1 << 51))))
+        owners.append(of[single])
+        extra = np.nonzero((sparse & paired)[of] & (rank < prefix[of]))[0]
         # Each least shingle with all earlier ones of its set.
         before = rank[extra]
         second = np.repeat(extra, before)
