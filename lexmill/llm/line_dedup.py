@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import row_id, whole_text, written
@@ -14,58 +14,87 @@ NEAR = 0.10
 
 
 def line_rows(docs: DataFrame, id_col: str, site_col: str, text_col: str, around: int) -> DataFrame:
-    """A row for each non-blank line: document key, position, hash, site and the text that surrounds it."""
+    """A row for each non-blank line: document key, position, hash, site and the text that surrounds it.
+
+    ``context`` is the text of the lines next to it, blank or not. ``nth`` counts the non-blank lines, ``before``
+    and ``after`` are the text of the next of them (null at an end), ``body`` is a hash of them all.
+    """
     lines = F.split(whole_text(text_col), "\n")
     return (
         docs.select(row_id(id_col).alias("rid"), F.xxhash64(whole_text(text_col)).alias("hash"), F.col(site_col).cast("string").alias("site"), lines.alias("lines"))
-        .select("rid", "hash", "site", "lines", F.posexplode("lines").alias("pos", "line"))
-        .filter(F.trim("line") != "")
+        .withColumn("full", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"))), lambda x: x["line"] != ""))
+        .select("rid", "hash", "site", "lines", "full", F.xxhash64(F.col("full.line")).alias("body"), F.posexplode("full").alias("nth", "at"))
+        .select("*", F.col("at.pos").alias("pos"), F.get("full", F.col("nth") - 1)["line"].alias("last"), F.get("full", F.col("nth") + 1)["line"].alias("next"))
         .select(
             "rid",
             "hash",
             "pos",
-            F.xxhash64(F.trim("line")).alias("line"),
+            "nth",
+            F.xxhash64("at.line").alias("line"),
             F.xxhash64("site").alias("site"),
             F.xxhash64(
                 F.right(F.coalesce(F.get("lines", F.col("pos") - 1), F.lit("")), F.lit(around)),
                 F.left(F.coalesce(F.get("lines", F.col("pos") + 1), F.lit("")), F.lit(around)),
             ).alias("context"),
+            F.when(F.col("last").isNotNull(), F.xxhash64(F.right("last", F.lit(around)))).alias("before"),
+            F.when(F.col("next").isNotNull(), F.xxhash64(F.left("next", F.lit(around)))).alias("after"),
+            "body",
         )
     )
 
 
-def spread_lines(rows: DataFrame, min_sites: int, min_independence: float) -> DataFrame:
-    """Hashes of lines on ``min_sites`` or more sites whose surroundings differ: at least
-    ``min_independence`` distinct surroundings an occurrence.
+def spread_lines(rows: DataFrame, min_sites: int, min_independence: float = 0.0) -> DataFrame:
+    """Hashes of lines on ``min_sites`` or more sites, with at least ``min_independence`` distinct contexts an
+    occurrence if that is above 0.
 
     Sketches merge by aggregation. Only lines whose estimate is near a limit are counted exactly.
     """
     counts = rows.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites)  # a spread is at most n
     often = written(counts)
     held = rows.join(often, "line")
+    wanted = {"site": F.lit(min_sites)} | ({"context": F.col("n") * min_independence} if min_independence > 0 else {})
 
     def estimate(column: str) -> Column:
-        return F.hll_sketch_estimate(F.hll_sketch_agg(column, SKETCH_BITS)).cast("double")
+        return F.hll_sketch_estimate(F.hll_sketch_agg(column, SKETCH_BITS)).cast("double").alias(column)
 
-    guessed = written(held.groupBy("line").agg(F.max("n").alias("n"), estimate("site").alias("sites"), estimate("context").alias("contexts")))
-    wanted = F.col("n") * min_independence
-    near = (F.abs(F.col("sites") - min_sites) <= min_sites * NEAR + 1) | (F.abs(F.col("contexts") - wanted) <= wanted * NEAR + 1)
-    possible = (F.col("sites") >= min_sites * (1 - NEAR) - 1) & (F.col("contexts") >= wanted * (1 - NEAR) - 1)
+    guessed = written(held.groupBy("line").agg(F.max("n").alias("n"), *[estimate(c) for c in wanted]))
+    near, possible = F.lit(False), F.lit(True)
+    for c, limit in wanted.items():
+        near = near | (F.abs(F.col(c) - limit) <= limit * NEAR + 1)
+        possible = possible & (F.col(c) >= limit * (1 - NEAR) - 1)
     sure = guessed.filter(possible & ~near).select("line")
-    exact = (
-        rows.join(guessed.filter(possible & near).select("line", "n"), "line")
-        .groupBy("line")
-        .agg(F.max("n").alias("n"), F.countDistinct("site").alias("sites"), F.countDistinct("context").alias("contexts"))
-        .filter((F.col("sites") >= min_sites) & (F.col("contexts") >= wanted))
-        .select("line")
-    )
-    return sure.unionByName(exact)
+    exact = rows.join(guessed.filter(possible & near).select("line", "n"), "line").groupBy("line").agg(F.max("n").alias("n"), *[F.countDistinct(c).alias(c) for c in wanted])
+    for c, limit in wanted.items():
+        exact = exact.filter(F.col(c) >= limit)
+    return sure.unionByName(exact.select("line"))
+
+
+def block_rows(rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """A row for each occurrence of a spread line, whose ``context`` is what surrounds its block.
+
+    A block is a run of spread lines with nothing but blank lines between; its surroundings are the ends of the
+    lines around it that are not spread. If it is the whole text, all its lines are the context.
+    """
+    held = rows.join(spread, "line").groupBy("rid", "hash", "pos", "nth", "line", "before", "after", "body").agg(F.min("site").alias("site"))
+    held = held.withColumn("block", F.col("nth") - F.row_number().over(Window.partitionBy("rid", "hash").orderBy("nth")))
+    whole = Window.partitionBy("rid", "hash", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    around = held.select("rid", "hash", "pos", "line", "site", "body", F.first("before").over(whole).alias("before"), F.last("after").over(whole).alias("after"))
+    everything = F.when(F.col("before").isNull() & F.col("after").isNull(), F.col("body"))
+    context = F.xxhash64(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0)), everything)
+    return around.select("rid", "hash", "pos", "line", "site", context.alias("context"))
+
+
+def independent_lines(blocks: DataFrame, min_sites: int) -> DataFrame:
+    """Hashes of lines on ``min_sites`` or more sites if each context counts once, at the site of its least id."""
+    first = blocks.groupBy("line", "context").agg(F.min(F.struct("rid", "site")).alias("first"))
+    sites = first.select("line", F.col("first.site").alias("site")).distinct()
+    return sites.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites).select("line")
 
 
 def line_dedup(
     docs: DataFrame,
     min_sites: int = 8,
-    min_independence: float = 0.5,
+    min_independence: float | None = None,
     around: int = 24,
     site_col: str = "source",
     id_col: str = "doc_id",
@@ -73,16 +102,28 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and ``n_lines``, ``n_removed_lines`` added.
 
-    A line (trimmed; blank ones never count) is boilerplate if it occurs on ``min_sites`` distinct sites and
-    its occurrences stand in different surroundings: the ``around`` characters before and after it take at
-    least ``min_independence`` distinct values an occurrence. Lines that only travel with copies of one
-    document are thus left for document dedup. No row is dropped. A null text stays null, a null site counts
-    as one site; repeated rows count as occurrences. Columns named like the added ones are replaced.
+    A line (trimmed; blank ones never count) is boilerplate if it occurs on ``min_sites`` distinct sites in
+    independent places: the block of such lines it stands in is judged by the ``around`` characters before and
+    after the block. Places with the same surroundings are copies and count once, at the site of the least id,
+    however many there are. Lines that only travel with copies of one document are thus left for document dedup.
+
+    With ``min_independence``, the rule of the SQL holds instead: the text next to the line itself, blank lines
+    included, takes at least that many distinct values an occurrence. It keeps lines inside fixed blocks.
+
+    No row is dropped. A null text stays null, a null site counts as one site. Columns named like the added
+    ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
-    rows = written(line_rows(docs, id_col, site_col, text_col, around))
+    rows = line_rows(docs, id_col, site_col, text_col, around)
+    if min_independence is None:
+        rows = written(rows.drop("context"))
+        places = written(block_rows(rows, written(spread_lines(rows, min_sites))))
+        boilerplate = independent_lines(places, min_sites)
+    else:
+        rows = places = written(rows.drop("nth", "before", "after", "body"))
+        boilerplate = spread_lines(rows, min_sites, min_independence)
     removed = (
-        rows.join(written(spread_lines(rows, min_sites, min_independence)), "line")
+        places.join(written(boilerplate), "line")
         .groupBy(F.col("rid").alias("_lm_rid"), F.col("hash").alias("_lm_hash"))
         .agg(F.collect_set("pos").alias("_lm_removed"))  # at most the lines of one document
     )

@@ -54,7 +54,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup(_table(spark, sf_dir, "documents"))
+    cleaned = line_dedup(_table(spark, sf_dir, "documents"), min_independence=0.5)  # the rule of its SQL
     return cleaned.select("doc_id", "n_lines", "n_removed_lines", _sha("text").alias("kept_sha256"))
 
 

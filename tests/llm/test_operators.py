@@ -132,6 +132,20 @@ def test_line_dedup(spark):
     assert len(got) == len(rows)
 
 
+def test_line_dedup_judges_blocks(spark):
+    block = "Site map\nCookie notice\nAll rights reserved"
+    rows = [(i, f"own opening {i}\n\n{block}", f"s{i % 20}") for i in range(40)]  # inside, after blanks, at the end
+    rows += [(1000 + 100 * k + i, f"own opening {i}\n\n{block}", f"s{i % 20}") for i in range(40) for k in range(9)]  # crawled ten times
+    rows += [(5000 + i, f"{i} unlike\nMirrored footer", "s1") for i in range(40)] + [(6000 + i, "0 unlike\nMirrored footer", f"s{i}") for i in range(20)]
+    rows += [(None, "copy one\n \ncopy two", f"s{i % 20}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup(frame).collect()
+    assert len(got) == len(rows)
+    own, rest = [r for r in got if r.doc_id is not None and r.doc_id < 5000], [r for r in got if r.doc_id is None or r.doc_id >= 5000]
+    assert all((r.text, r.n_lines, r.n_removed_lines) == (f"own opening {r.doc_id % 100}\n", 4, 3) for r in own)
+    assert all(r.n_removed_lines == 0 for r in rest)  # one site's footer in copies, and a copied text
+
+
 def test_chat_format(spark):
     rows = [
         (1, 0, "user", "Hello there\nSecond line"),
