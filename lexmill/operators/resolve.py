@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -12,6 +12,8 @@ from ..session import ship
 
 # Thresholds of a merge and of a review.
 MERGE, REVIEW = 0.92, 0.85
+#: Tasks over which the pairs of one type are dealt.
+PARTS = 16
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -46,11 +48,29 @@ def similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def letters(name: Column) -> Column:
+    """The characters of a name, each with its count so far, so that common ones can be counted as a set."""
+    ordered = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
+    return F.transform(ordered, lambda c, i: F.concat(c, (i + 1 - F.array_position(ordered, c)).cast("string")))
+
+
+def reachable(matches: Column) -> Column:
+    """Whether so many matching characters of names a and b can reach ``REVIEW``.
+
+    Jaro is at most (m/|a| + m/|b| + 1) / 3 for m matches, and l equal first characters (4 at most) raise j to
+    j + l/10 (1 - j).
+    """
+    same = sum((F.expr(f"int(left(a.name, {n}) = left(b.name, {n}) and least(length(a.name), length(b.name)) >= {n})") for n in (1, 2, 3, 4)), F.lit(0))
+    jaro = (F.lit(REVIEW) - same * 0.1) / (F.lit(1.0) - same * 0.1)
+    return matches / F.length("a.name") + matches / F.length("b.name") + 1 >= jaro * 3 - 1e-9
+
+
 def candidate_pairs(entities: DataFrame) -> DataFrame:
-    """Distinct normal names of one type whose first two characters agree, with their similarity and action.
+    """Distinct normal names of one type whose similarity is ``REVIEW`` or more, with it and the action.
 
-    Blocking by the first characters keeps the join an equi-join; names are distinct before it, so that
-    repeats cannot multiply.
+    All pairs of a type are compared, as no key is shared by every similar pair; those whose lengths and common
+    characters cannot reach ``REVIEW`` are not scored. A type's pairs are dealt over ``PARTS`` tasks. Names are
+    distinct before the join, so that repeats cannot multiply.
     """
     ship(entities.sparkSession)
     similarity = pandas_udf(similarities, "double")
@@ -58,9 +78,16 @@ def candidate_pairs(entities: DataFrame) -> DataFrame:
         entities.select("type", normal_name(F.col("name")).alias("name"))
         .filter(F.length("name") >= 3)
         .distinct()
-        .withColumn("block", F.substring("name", 1, 2))
+        .withColumn("letters", letters(F.col("name")))
+    )
+    ours = names.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int")).alias("a")
+    theirs = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("b")
+    pairs = (
+        ours.join(theirs, ["type", "part"])
+        .filter("a.name < b.name")
+        .filter(reachable(F.least(F.length("a.name"), F.length("b.name"))))
+        .filter(reachable(F.size(F.array_intersect("a.letters", "b.letters"))))
     )
-    pairs = names.alias("a").join(names.alias("b"), ["type", "block"]).filter("a.name < b.name and abs(length(a.name) - length(b.name)) <= 3")
     scored = pairs.select("type", F.col("a.name").alias("left"), F.col("b.name").alias("right"), similarity("a.name", "b.name").alias("score"))
     return scored.filter(F.col("score") >= REVIEW).select("type", "left", "right", F.round("score", 4).alias("score"), F.when(F.col("score") >= MERGE, "merge").otherwise("review").alias("action"))
 

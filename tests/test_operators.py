@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import bm25, chunking, graph, ir, scoring, sessions, tree, vector
+from lexmill.operators import bm25, chunking, graph, ir, resolve, scoring, sessions, tree, vector
 from lexmill.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +73,19 @@ def test_betweenness_of_a_path(spark):
     assert got["b"] == 1.0
 
 
+def test_candidate_pairs_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    names = ["cold anvil", "old anvil", "red ring", "deep red ring", "ÄRGER 😀", "ärger 😀😀", "abc", "ab"] + ["".join(rng.choice("abc d") for _ in range(rng.randint(3, 14))).strip() for _ in range(150)]
+    names += [n[1:] for n in names[:40]] + [n + "xyzzy" for n in names[40:80]]
+    rows = [(("t", "u")[i % 3 == 0], n) for i, n in enumerate(names)] * 2
+    normal = sorted({(t, n.strip().upper()) for t, n in rows if len(n.strip()) >= 3})
+    scores = {(t, a, b): resolve.jaro_winkler(a, b) for t, a in normal for u, b in normal if t == u and a < b}
+    want = {k: "merge" if s >= 0.92 else "review" for k, s in scores.items() if s >= 0.85}
+    found = resolve.candidate_pairs(spark.createDataFrame(rows, "type string, name string")).collect()
+    assert len(found) == len(want) and {(r.type, r.left, r.right): r.action for r in found} == want
+    assert any(a[:2] != b[:2] for _, a, b in want) and any(abs(len(a) - len(b)) > 3 for _, a, b in want)
+
+
 def test_kmeans_and_search(spark):
     rows = [(i, [1.0, 0.01 * i] if i % 2 else [0.01 * i, 1.0]) for i in range(10)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
