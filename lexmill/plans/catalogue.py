@@ -560,8 +560,7 @@ def graph_degree(spark, sf):
 
 @query()
 def graph_hubs_betweenness(spark, sf):
-    small = graph.tpch_graph({t: table(spark, sf, t) for t in ("region", "nation", "supplier", "customer")})[1]
-    return graph.betweenness(small.filter("source like 'region:%' or target like 'supplier:%'"))
+    return graph.betweenness(_graph(spark, sf)[1])
 
 
 @query()

@@ -73,6 +73,51 @@ def test_betweenness_of_a_path(spark):
     assert got["b"] == 1.0
 
 
+def brute_betweenness(pairs):
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    dist, paths = {}, {}
+    for s in links:
+        d, n, front = {s: 0}, {s: 1}, [s]
+        while front:
+            ahead = []
+            for v in front:
+                for w in links[v]:
+                    if w not in d:
+                        d[w], n[w] = d[v] + 1, 0
+                        ahead.append(w)
+                    if d[w] == d[v] + 1:
+                        n[w] += n[v]
+            front = ahead
+        dist[s], paths[s] = d, n
+    total = dict.fromkeys(links, 0.0)
+    for s in links:
+        for t in dist[s]:
+            for v in dist[s]:
+                if s != t and v not in (s, t) and dist[s][v] + dist[v][t] == dist[s][t]:
+                    total[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    return {v: x / ((len(links) - 1) * (len(links) - 2)) for v, x in total.items()}
+
+
+def test_betweenness_of_trees_on_a_core(spark):
+    rng = random.Random(4)
+    pairs = [(f"c{rng.randrange(12)}", f"c{rng.randrange(12)}") for _ in range(22)] + [(f"t{i}", f"t{rng.randrange(i)}" if rng.random() < 0.5 and i else f"c{i % 12}") for i in range(25)]
+    pairs = [(a, b) for a, b in pairs if a != b] + [("x", "y"), ("y", "z"), ("y", "w"), ("p", "q"), ("q", "r"), ("r", "p"), ("r", "o")]
+    got = {r.fqn: r.betweenness for r in graph.betweenness(spark.createDataFrame(pairs, "source string, target string")).collect()}
+    want = brute_betweenness(pairs)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-6 for v in want)
+
+
+def test_hubs_are_of_the_whole_graph(spark):
+    tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("region", "nation", "supplier", "customer")}
+    want = brute_betweenness([(e.source, e.target) for e in graph.tpch_graph(tables)[1].collect()])
+    got = {r.fqn: r.betweenness for r in QUERIES["graph_hubs_betweenness"](spark, SF).collect()}
+    assert any(v.startswith("customer:") for v in got)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-6 for v in want)
+
+
 def test_candidate_pairs_are_those_of_all_pairs(spark):
     rng = random.Random(6)
     names = ["cold anvil", "old anvil", "red ring", "deep red ring", "ÄRGER 😀", "ärger 😀😀", "abc", "ab"] + ["".join(rng.choice("abc d") for _ in range(rng.randint(3, 14))).strip() for _ in range(150)]
