@@ -207,8 +207,8 @@ class CountTree:
         return below[below < n]
 
 
-def linked_forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect exactly what links between the sets connect.
+def linked_forest(sets: list[np.ndarray], sides: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Edges that connect exactly what links between the sets connect; with ``every``, all links.
 
     ``sides``: 0 everywhere to compare all; else only sets of different sides are compared.
     """
@@ -230,7 +230,7 @@ def linked_forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> li
     edges = []
     for i in range(n):
         for j in tree.candidates(counts[i], int(sizes[i]), percent).tolist():
-            if j >= i or (across and sides[i] == sides[j]) or find(i) == find(j):
+            if j >= i or (across and sides[i] == sides[j]) or (not every and find(i) == find(j)):
                 continue
             small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
             at = np.searchsorted(large, small)
@@ -242,7 +242,7 @@ def linked_forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> li
     return edges
 
 
-def _verify(width: int, percent: int):
+def _verify(width: int, percent: int, every: bool):
     """Links of clusters whose rows come together and in order."""
 
     def links(nodes: list[int], texts: list[bytes], sides: list[int]) -> tuple[list[int], list[int]]:
@@ -250,7 +250,7 @@ def _verify(width: int, percent: int):
         for _, _, data, cuts in text_blocks(pa.array(texts, pa.binary())):
             h, _, n = shingle_sets(data, cuts, width)
             hashes += np.split(h, np.cumsum(n)[:-1])
-        found = linked_forest(hashes, np.array(sides), percent)
+        found = linked_forest(hashes, np.array(sides), percent, every)
         return [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,23 +279,28 @@ def _verify(width: int, percent: int):
     return run
 
 
-def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """``docs`` with ``n_shingles`` (size of the set) and ``component_id`` (least id reachable by links).
 
     Sets link when their Jaccard similarity is ``percent`` / 100 or more. Texts without words (null, empty or
     blank) have an empty set and are linked with nothing: their component is their own id. Repeated rows are
     equal sets, hence linked; a null id is passed over when a component has another, and else stays null. Empty
-    tables give empty results; columns of ``docs`` named like the two results are replaced.
+    tables give empty results; columns of ``docs`` named like the results are replaced.
+
+    With ``links``, every candidate pair of different sets is verified, not only those that connect more, and
+    ``n_links`` is how many other rows a row is linked with; equal sets are counted, not paired.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("n_shingles", "component_id")
+    docs = docs.drop("n_shingles", "component_id", *(["n_links"] if links else []))
     text = whole_text(text_col)
     keyed = docs.select(row_id(id_col).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("text"))
     sets = written(keyed.mapInArrow(_features(width), "rid long, hash long, n long, node long, node2 long"))
     real = F.when(F.col("rid") != NO_ID, F.col("rid"))
     # One class for each different set: combined on the map side, so copies never meet in one task.
     classes = written(
-        sets.filter("n > 0").groupBy("node", "node2").agg(F.min(F.struct("rid", "hash")).alias("first"), F.max("n").alias("n"), F.min(real).alias("least_id"))
+        sets.filter("n > 0")
+        .groupBy("node", "node2")
+        .agg(F.min(F.struct("rid", "hash")).alias("first"), F.max("n").alias("n"), F.min(real).alias("least_id"), F.count(F.lit(1)).alias("copies"))
     )
     rows = keyed.select("text").mapInArrow(_stars(width, percent), "is_edge boolean, a long, b long")
     shared = rows.withColumn("least", F.expr("min(b) over (partition by is_edge, a)"))
@@ -322,13 +327,24 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         F.encode("text", "UTF-8").alias("bytes"),
     )
     ordered = paired.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    links = ordered.mapInArrow(_verify(width, percent), "u long, v long")
-    roots = components(links)
+    verified = ordered.mapInArrow(_verify(width, percent, links), "u long, v long")
+    if links:
+        verified = written(verified)
+    roots = components(verified)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("least_id"))
-    by_class = named.select("node", "node2", "root").join(least, "root").select("node", "node2", "least_id")
+    by_class = named.select("node", "node2", "root", "copies").join(least, "root").select("node", "node2", "least_id", "copies")
+    if links:
+        ends = verified.unionByName(verified.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        others = ends.join(classes.select(F.col("node").alias("v"), "copies"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("others"))
+        by_class = by_class.join(others, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
     of_row = sets.dropDuplicates(["rid", "hash"]).join(by_class, ["node", "node2"], "left").select(
-        F.col("rid").alias("_lm_rid"), F.col("hash").alias("_lm_hash"), F.col("n").alias("_lm_n"), F.col("least_id").alias("_lm_least")
+        F.col("rid").alias("_lm_rid"), F.col("hash").alias("_lm_hash"), F.col("n").alias("_lm_n"), F.col("least_id").alias("_lm_least"), *([F.col("n_links").alias("_lm_links")] if links else [])
     )
     found = docs.withColumns({"_lm_rid": row_id(id_col), "_lm_hash": F.xxhash64(text)}).join(of_row, ["_lm_rid", "_lm_hash"])
-    return found.select(*docs.columns, F.col("_lm_n").alias("n_shingles"), F.coalesce("_lm_least", F.col(id_col).cast("long")).alias("component_id"))
+    return found.select(
+        *docs.columns,
+        F.col("_lm_n").alias("n_shingles"),
+        F.coalesce("_lm_least", F.col(id_col).cast("long")).alias("component_id"),
+        *([F.coalesce("_lm_links", F.lit(0)).cast("long").alias("n_links")] if links else []),
+    )

@@ -198,6 +198,18 @@ def test_ngram_join(spark, docs, width, percent):
     assert ngram_join(empty(spark)).count() == 0
 
 
+def test_ngram_join_counts_every_link(spark, docs):
+    frame, rows = docs
+    words = [f"w{i}" for i in range(60)]
+    dense = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 60, 4)]  # each is linked with all others
+    rows = [(r[0], r[1]) for r in rows] + [(2000 + i, t) for i, t in enumerate(dense)]
+    sets = [shingles(t or "", 2) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 60 * len(a | b)
+    want = Counter((r[0], r[1], sum(linked(a, b) for j, b in enumerate(sets) if i != j)) for i, (r, a) in enumerate(zip(rows, sets)))
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 60, links=True)
+    assert Counter((r.doc_id, r.text, r.n_links) for r in got.collect()) == want
+
+
 def test_sets_that_link_share_a_key():
     rng = np.random.default_rng(5)
     for percent in (60, 80, 85):
