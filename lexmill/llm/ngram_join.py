@@ -279,7 +279,7 @@ def _verify(width: int, percent: int, every: bool):
     return run
 
 
-def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False, firsts: bool = False) -> DataFrame:
     """``docs`` with ``n_shingles`` (size of the set) and ``component_id`` (least id reachable by links).
 
     Sets link when their Jaccard similarity is ``percent`` / 100 or more. Texts without words (null, empty or
@@ -289,9 +289,12 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     With ``links``, every candidate pair of different sets is verified, not only those that connect more, and
     ``n_links`` is how many other rows a row is linked with; equal sets are counted, not paired.
+
+    With ``firsts``, ``is_first`` says whether id and text are those that stand first in their component, by id (null
+    last) and a hash of the text, and ``n_same`` how many rows have that id and text. Sets that are empty are first.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("n_shingles", "component_id", *(["n_links"] if links else []))
+    docs = docs.drop("n_shingles", "component_id", *(["n_links"] if links else []), *(["is_first", "n_same"] if firsts else []))
     text = whole_text(text_col)
     keyed = docs.select(row_id(id_col).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("text"))
     sets = written(keyed.mapInArrow(_features(width), "rid long, hash long, n long, node long, node2 long"))
@@ -300,7 +303,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     classes = written(
         sets.filter("n > 0")
         .groupBy("node", "node2")
-        .agg(F.min(F.struct("rid", "hash")).alias("first"), F.max("n").alias("n"), F.min(real).alias("least_id"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min(F.struct((F.col("rid") == NO_ID).alias("no_id"), "rid", "hash")).alias("first"), F.max("n").alias("n"), F.min(real).alias("least_id"), F.count(F.lit(1)).alias("copies"))
     )
     rows = keyed.select("text").mapInArrow(_stars(width, percent), "is_edge boolean, a long, b long")
     shared = rows.withColumn("least", F.expr("min(b) over (partition by is_edge, a)"))
@@ -332,14 +335,17 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         verified = written(verified)
     roots = components(verified)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("least_id"))
-    by_class = named.select("node", "node2", "root", "copies").join(least, "root").select("node", "node2", "least_id", "copies")
+    least = named.groupBy("root").agg(F.min("least_id").alias("least_id"), *([F.min("first").alias("lead")] if firsts else []))
+    by_class = named.select("node", "node2", "root", "copies").join(least, "root").drop("root")
     if links:
         ends = verified.unionByName(verified.select(F.col("v").alias("u"), F.col("u").alias("v")))
         others = ends.join(classes.select(F.col("node").alias("v"), "copies"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("others"))
         by_class = by_class.join(others, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-    of_row = sets.dropDuplicates(["rid", "hash"]).join(by_class, ["node", "node2"], "left").select(
-        F.col("rid").alias("_lm_rid"), F.col("hash").alias("_lm_hash"), F.col("n").alias("_lm_n"), F.col("least_id").alias("_lm_least"), *([F.col("n_links").alias("_lm_links")] if links else [])
+    same = sets.groupBy("rid", "hash", "n", "node", "node2").agg(F.count(F.lit(1)).alias("n_same")) if firsts else sets.dropDuplicates(["rid", "hash"])
+    is_first = F.coalesce((F.col("lead.rid") == F.col("rid")) & (F.col("lead.hash") == F.col("hash")), F.lit(True))
+    of_row = same.join(by_class, ["node", "node2"], "left").select(
+        F.col("rid").alias("_lm_rid"), F.col("hash").alias("_lm_hash"), F.col("n").alias("_lm_n"), F.col("least_id").alias("_lm_least"), *([F.col("n_links").alias("_lm_links")] if links else []),
+        *([is_first.alias("_lm_first"), F.col("n_same").alias("_lm_same")] if firsts else []),
     )
     found = docs.withColumns({"_lm_rid": row_id(id_col), "_lm_hash": F.xxhash64(text)}).join(of_row, ["_lm_rid", "_lm_hash"])
     return found.select(
@@ -347,4 +353,5 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         F.col("_lm_n").alias("n_shingles"),
         F.coalesce("_lm_least", F.col(id_col).cast("long")).alias("component_id"),
         *([F.coalesce("_lm_links", F.lit(0)).cast("long").alias("n_links")] if links else []),
+        *([F.col("_lm_first").alias("is_first"), F.col("_lm_same").alias("n_same")] if firsts else []),
     )

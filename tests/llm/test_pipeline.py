@@ -24,3 +24,14 @@ def test_stages(spark, tmp_path):
         assert ids == set(range(40)) | ({100, 101} if k < 2 else set())
     final = pipeline.run(spark, str(tmp_path)).collect()
     assert final and all(r.round_trip for r in final) and {r.doc_id for r in final} <= set(range(40))
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(reversed(words))
+    rows = [(None, text), (None, text), (None, near), (None, other), (None, other), (4, near), (4, near), (9, text)]
+    rows += [(5, " ".join(f"v{i}" for i in range(60)))] * 3 + [(7, ""), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.source) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    want = [(4, near, "s5"), (None, other, "s3"), (5, rows[8][1], "s10"), (7, "", "s11"), (7, "", "s12"), (None, None, "s13")]
+    assert got == sorted(want, key=str)
