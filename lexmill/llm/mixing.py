@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import whole_text, written
 
+#: exp(-rate) underflows a little above this.
+LOG_RATE = 700
+
 
 def unit_hash(seed: str, *parts: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5 over the seed and the parts."""
@@ -15,19 +18,21 @@ def unit_hash(seed: str, *parts: Column) -> Column:
 
 
 def poisson_steps(rate: Column) -> Column:
-    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... until the rest is below 2**-53."""
+    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... until the rest is below 2**-53.
+
+    Above a rate of ``LOG_RATE`` each step is taken from its logarithm, as the first would underflow.
+    """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     first = F.exp(-rate)
-    steps = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all")),
-        lambda acc, k: F.struct(
-            (acc["p"] * rate / k).alias("p"),
-            (acc["sum"] + acc["p"] * rate / k).alias("sum"),
-            F.concat(acc["all"], F.array(acc["sum"] + acc["p"] * rate / k)).alias("all"),
-        ),
-    )
-    return steps["all"]
+
+    def step(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.log(rate / k)
+        p = F.when(rate > LOG_RATE, F.exp(log)).otherwise(acc["p"] * rate / k)
+        return F.struct(p.alias("p"), log.alias("log"), (acc["sum"] + p).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + p)).alias("all"))
+
+    # ``log`` is null at a rate of 0 and then not looked at.
+    start = F.struct(first.alias("p"), (-rate).alias("log"), first.alias("sum"), F.array(first).alias("all"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["all"]
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, scale: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -116,6 +116,15 @@ def test_mixing(spark, docs):
     assert abs(sizes["a"] - 10000) < 400 and abs(sizes["b"] - 10000) < 400
 
 
+def test_mixing_at_a_high_rate(spark):
+    rows = [(i, "t", "tiny") for i in range(20)] + [(100 + i, "b" * 1599, "big") for i in range(20)]
+    weights = spark.createDataFrame([("tiny", 0.5), ("big", 0.5)], "source string, weight double")
+    mixed = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights)
+    counts = [r.n_copies for r in mixed.filter("source = 'tiny'").select("doc_id", "n_copies").distinct().collect()]
+    assert len(counts) == 20 and len(set(counts)) > 5  # Poisson at a rate of 800
+    assert all(abs(n - 800) < 6 * 800**0.5 for n in counts) and abs(sum(counts) / 20 - 800) < 6 * (800 / 20) ** 0.5
+
+
 def test_line_dedup(spark):
     rows = []
     for i in range(40):
