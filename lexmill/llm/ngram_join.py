@@ -1,13 +1,19 @@
 """Jaccard self-join of word-shingle sets by count vectors in R-trees.
 
-1. Shingles are hashed into groups. Two sets that link differ in few groups, so they share a whole group; the
-   sum over a group's shingles is a bucket key, and sets that share one are candidates. Buckets become stars on
-   their least member, never pairs, and the stars' connected components are candidate clusters.
-2. In a cluster each set is a point of group counts in an R-tree. The overlap of two sets is at most the sum of
-   the smaller counts; nodes and points whose bound is too low are passed over, survivors are verified on the
-   whole sets, and sets already connected are not compared again.
-
-Equal sets are one class throughout; clusters above a block's size are compared block by block.
+1. Shingles are put in the order of their hashes. Sets that link share the least ``k`` shingles of their
+   intersection, and these lie among the ``size - least overlap + k`` least of either: the prefix. A set enters a
+   bucket for each shingle of its prefix. It needs ``k`` of these in common with a partner, so it leaves its
+   ``k - 1`` fullest buckets, and all of them if it has fewer than ``k`` that others share.
+2. Each member of a bucket is compared with the bucket's most connected set. Buckets whose members are then all
+   connected are settled, so that a group of near copies costs one comparison a member.
+3. In a bucket that is not, each set is a point of counts: its shingles are hashed into groups, a coordinate is
+   the number in a group. The overlap of two sets is at most the sum of the smaller counts; an R-tree finds the
+   pairs whose bound is high enough, and these pairs, over all buckets, connect the candidate clusters.
+4. In a cluster the same index proposes pairs again, now over the whole sets; they are verified unless links have
+   connected them already. A set is sent once for its cluster, not once for each bucket.
+
+Equal sets are one class throughout. Full buckets and large clusters are compared block by block: sets connected with
+the centre, or the cluster's largest part, stay in their block, the others visit every block.
 """
 
 from __future__ import annotations
@@ -16,96 +22,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, shingle_sets, sum_by, text_blocks
 from .shared import NO_ID, row_id, ship, whole_text, written
 
-#: Coordinates of a count vector, and points in a leaf.
-DIMENSIONS, LEAF = 64, 32
-#: Shingles (8 bytes each) of one block of a cluster: what one task holds is at most two blocks or two documents.
-BLOCK_SHINGLES = 2_000_000
-#: Sparse sets of bands below this size are entered by pairs of least shingles, larger ones by single ones.
-PAIRED_BELOW = 200
+#: Points in a leaf; the least and, unless a count needs more, the largest number of coordinates of a count vector.
+LEAF, COARSE, FINE = 32, 64, 4096
+#: Shingles (8 bytes each) and sets of one block of a bucket, which is what a task holds beside one batch.
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 20_000
+#: A set must share one prefix shingle, and one more for so many that it has.
+NEED_EVERY = 16
 #: Keys that a task pre-aggregates at a time.
 CHUNK_KEYS = 2_000_000
 
 
-class Bands:
-    """Size bands and the number of groups with which pairs that meet in a band are sought."""
+def prefixes(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket keys, set numbers, how many of its keys each set shares at least with any different set it links to).
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        lower = [1]
-        while lower[-1] < 2**31:
-            lower.append(max(lower[-1] + 1, lower[-1] * (10000 // percent + 3) // 100))
-        self.lower = np.array(lower, np.int64)
-        largest = self.lower[1:] - 1
-        # Sets that link and have at most this size differ in at most so many shingles, hence groups.
-        self.differ = 2 * largest * (100 - percent) // (100 + percent)
-        self.groups = self.differ + 3 + self.differ // 4
-
-        #: Shingles a group must hold to make a key: two where groups are full enough that few hold less.
-        self.least = 2 if percent >= 84 else 1
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.lower, sizes, "right") - 1
-
-
-def bucket_keys(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and text numbers; any two different sets that link share a key.
-
-    A set is entered in its own band, and in the next if a set there can link to it. Of the groups of a band,
-    ``groups - differ`` or more are equal for sets that link. Groups of fewer than two shingles make no key, since
-    one common shingle would be a bucket of much that is unlike; a set with so many of these that no other might
-    be equal is entered by pairs of its least shingles too. Sets that link share the least two shingles of their
-    intersection, and these are among the ``size - least overlap + 2`` least of either.
+    A set of ``n`` overlaps with what it links to in ``n * percent / 100`` or more, whichever is larger.
     """
-    keys, owners = [], []
-    percent = bands.percent
+    least = (sizes * percent + 99) // 100
+    need = np.minimum(least, 1 + sizes // NEED_EVERY)
     able = sizes * (100 - percent) >= percent  # smaller sets link to equal ones only
-    own = bands.of(np.maximum(sizes, 1))
+    length = np.where(able, sizes - least + need, 0)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    rank = np.arange(len(hashes)) - first[of]
-    value = mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for step in (0, 1):
-        band = own + step
-        use = able if step == 0 else able & (sizes * 100 >= percent * bands.lower[band])
-        groups = np.where(use, bands.groups[band], 0)
-        begin = np.concatenate([[0], np.cumsum(groups)])
-        mine = use[of]
-        doc, h, v = of[mine], hashes[mine], value[mine]
-        if not len(doc):
-            continue
-        group = ((h >> np.uint64(32)) * groups[doc].astype(np.uint64)) >> np.uint64(32)
-        slot = begin[doc] + group.astype(np.int64)
-        slots = int(begin[-1])
-        filled = np.bincount(slot, minlength=slots) >= bands.least
-        owner = np.repeat(np.arange(len(sizes)), groups)
-        index = np.arange(slots) - begin[owner]
-        salt = mix((band[owner].astype(np.uint64) << np.uint64(40)) + index.astype(np.uint64))
-        keys.append(mix(sum_by(slot, v, slots) + salt)[filled])
-        owners.append(owner[filled])
-        poor = groups - np.bincount(owner[filled], minlength=len(sizes))
-        sparse = use & (poor >= groups - bands.differ[band])
-        prefix = np.minimum(sizes - (sizes * percent + 99) // 100 + 2, sizes + 1)
-        paired = bands.lower[band] < PAIRED_BELOW  # by band, so that both sets of a pair are entered alike
-        single = np.nonzero((sparse & ~paired)[of] & (rank < prefix[of] - 1))[0]
-        keys.append(mix(mix(hashes[single]) + mix(band[of[single]].astype(np.uint64) + np.uint64(1 << 51))))
-        owners.append(of[single])
-        extra = np.nonzero((sparse & paired)[of] & (rank < prefix[of]))[0]
-        # Each least shingle with all earlier ones of its set.
-        before = rank[extra]
-        second = np.repeat(extra, before)
-        nth = np.arange(len(second)) - np.repeat(np.cumsum(before) - before, before)
-        one, two = hashes[first[of[second]] + nth], hashes[second]
-        keys.append(mix(mix(one) + two + mix(band[of[second]].astype(np.uint64) + np.uint64(1 << 50))))
-        owners.append(of[second])
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+    use = np.arange(len(hashes)) - first[of] < length[of]
+    return hashes[use], of[use], need
 
 
 def signatures(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,44 +78,87 @@ def _features(width: int):
     return run
 
 
-def _stars(width: int, percent: int):
-    """Bucket rows and edges of one partition: (bucket, node) once for each bucket and chunk, and edges inside a chunk."""
+def _entries(width: int, percent: int):
+    """(key, node, need): the bucket rows of one partition, once for each bucket, set and chunk."""
 
-    def flush(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+    def flush(keys: list[np.ndarray], nodes: list[np.ndarray], needs: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, need = np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs)
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, need = key[order], node[order], need[order]
         new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        least = node[np.nonzero(new)[0][np.cumsum(new) - 1]]
-        inside = ~new & (node != least)
-        edges = np.unique(np.stack([node[inside], least[inside]]), axis=1)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([np.zeros(new.sum(), bool), np.ones(edges.shape[1], bool)])),
-                pa.array(np.concatenate([key[new].view(np.int64), edges[0]])),
-                pa.array(np.concatenate([node[new], edges[1]])),
-            ],
-            ["is_edge", "a", "b"],
-        )
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(node[new]), pa.array(need[new].astype(np.int32))], ["key", "node", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
-        keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
-        held = 0
+        held: tuple[list, list, list] = ([], [], [])
+        size = 0
         for batch in batches:
             for _, _, data, cuts in text_blocks(batch.column(0)):
                 hashes, of, n = shingle_sets(data, cuts, width)
-                key, owner = bucket_keys(hashes, of, n, bands)
-                keys.append(key)
-                nodes.append(signatures(hashes, of, n)[0][owner])
-                held += len(key)
-                if held >= CHUNK_KEYS:
-                    yield flush(keys, nodes)
-                    keys, nodes, held = [], [], 0
-        if held:
-            yield flush(keys, nodes)
+                key, owner, need = prefixes(hashes, of, n, percent)
+                for part, values in zip(held, (key, signatures(hashes, of, n)[0][owner], need[owner])):
+                    part.append(values)
+                size += len(key)
+                if size >= CHUNK_KEYS:
+                    yield flush(*held)
+                    held, size = ([], [], []), 0
+        if size:
+            yield flush(*held)
+
+    return run
+
+
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each group, a power of two of groups: about four a group, and never above 255."""
+    d = COARSE
+    while d < FINE and d * 4 < len(shingles):
+        d *= 2
+    while True:
+        counts = np.bincount((shingles & np.uint64(d - 1)).astype(np.int64), minlength=d)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        d *= 2
+
+
+def folded(counts: np.ndarray, d: int) -> np.ndarray:
+    """Count vectors (last axis) over ``d`` groups, each the union of finer ones."""
+    if counts.shape[-1] == d:
+        return counts
+    return counts.reshape(*counts.shape[:-1], -1, d).sum(axis=-2, dtype=np.int32)
+
+
+def _sets(width: int):
+    """(node, n, set, counts): hashes of the shingles in order, 8 bytes each, and the count vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, cuts in text_blocks(batch.column(1)):
+                hashes, _, n = shingle_sets(data, cuts, width)
+                sets = np.split(hashes, np.cumsum(n)[:-1])
+                columns = [pa.array([x.tobytes() for x in made], pa.binary()) for made in (sets, map(count_vector, sets))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(n), *columns], ["node", "n", "set", "counts"])
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, given as ordered hashes, link."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
+def _verify(percent: int):
+    """Those pairs (u, v, set of u, set of v) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -178,9 +166,11 @@ def _stars(width: int, percent: int):
 class CountTree:
     """A bulk-loaded R-tree of count vectors; each node keeps coordinate maxima and the least set size."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*counts.T[:3], sizes))
-        self.counts, self.sizes = counts[self.order].astype(np.int32), sizes[self.order]
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, percent: int):
+        self.percent = percent
+        band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / min(percent, 99)))
+        self.order = np.lexsort((*counts.T[7::-1], band))  # sizes that may link, then the leading coordinates
+        self.counts, self.sizes = counts[self.order], sizes[self.order]
         self.levels = []
         high, low = self.counts, self.sizes
         while len(low) > LEAF:
@@ -188,18 +178,17 @@ class CountTree:
             high, low = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(low, cut)
             self.levels.append((high, low))
 
-    def candidates(self, count: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points whose overlap bound allows a link."""
-
-        def fits(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-            return np.minimum(high, count).sum(axis=1) * (100 + percent) >= percent * (low + size)
+    def _fits(self, high: np.ndarray, low: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
+        return np.minimum(high, count).sum(axis=1, dtype=np.int64) * (100 + self.percent) >= self.percent * (low + size)
 
+    def candidates(self, count: np.ndarray, size: int) -> np.ndarray:
+        """Points whose overlap bound allows a link with a set of ``size`` and these counts."""
         spots = None
         for high, low in reversed(self.levels):
             spots = np.arange(len(low)) if spots is None else self._children(spots, len(low))
-            spots = spots[fits(high[spots], low[spots])]
+            spots = spots[self._fits(high[spots], low[spots], count, size)]
         spots = np.arange(len(self.sizes)) if spots is None else self._children(spots, len(self.sizes))
-        return self.order[spots[fits(self.counts[spots], self.sizes[spots])]]
+        return self.order[spots[self._fits(self.counts[spots], self.sizes[spots], count, size)]]
 
     @staticmethod
     def _children(spots: np.ndarray, n: int) -> np.ndarray:
@@ -207,78 +196,196 @@ class CountTree:
         return below[below < n]
 
 
-def linked_forest(sets: list[np.ndarray], sides: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int]]:
-    """Edges that connect exactly what links between the sets connect; with ``every``, all links.
+class CountIndex:
+    """Trees of count vectors, one for each number of groups; vectors of unlike numbers meet folded to the smaller."""
 
-    ``sides``: 0 everywhere to compare all; else only sets of different sides are compared.
+    def __init__(self, counts: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.percent = percent
+        of = np.array([len(c) for c in counts])
+        self.parts = []
+        for d in np.unique(of).tolist():
+            at = np.nonzero(of == d)[0]
+            self.parts.append((d, at, np.stack([counts[i] for i in at]), sizes[at], int(sizes[at].min()), int(sizes[at].max())))
+        self.trees: dict[tuple[int, int], CountTree] = {}
+
+    def candidates(self, counts: np.ndarray, size: int) -> np.ndarray:
+        found = [np.zeros(0, np.int64)]
+        for d, at, vectors, sizes, low, high in self.parts:
+            if high * 100 >= self.percent * size and size * 100 >= self.percent * low:
+                m = min(d, len(counts))
+                if (d, m) not in self.trees:
+                    self.trees[d, m] = CountTree(folded(vectors, m), sizes, self.percent)
+                found.append(at[self.trees[d, m].candidates(folded(counts, m), size)])
+        return np.concatenate(found)
+
+
+class Block:
+    """One block of a bucket or cluster, and the pairs found between its sets, and between them and visitors.
+
+    With whole sets (``exact``), pairs are links, and sets that have one root or that links found here connect are
+    not compared, unless ``every`` link is asked for. With count vectors, pairs are what the bound allows between
+    different roots, and only as many as connect the same sets.
     """
-    n = len(sets)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    sizes = np.array([len(s) for s in sets], np.int64)
-    counts = np.zeros((n, DIMENSIONS), np.int64)
-    for i, s in enumerate(sets):
-        counts[i] = np.bincount((s & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
-    tree = CountTree(counts, sizes)
-    across = bool(sides.any())
-    edges = []
-    for i in range(n):
-        for j in tree.candidates(counts[i], int(sizes[i]), percent).tolist():
-            if j >= i or (across and sides[i] == sides[j]) or (not every and find(i) == find(j)):
+
+    def __init__(self, percent: int, exact: bool, every: bool = False):
+        self.percent, self.exact, self.every = percent, exact, every and exact
+        self.nodes: list[int] = []
+        self.roots: list[int] = []
+        self.majors: list[bool] = []
+        self.sizes: list[int] = []
+        self.held: list[np.ndarray] = []
+        self.index: CountIndex | None = None
+        self.found: list[tuple[int, int]] = []
+        #: Pairs of the block, pairs within the bound, pairs verified.
+        self.pairs = self.bounded = self.compared = 0
+
+    def add(self, node: int, root: int, major: bool, size: int, raw: np.ndarray) -> None:
+        self.nodes.append(node), self.roots.append(root), self.majors.append(major), self.sizes.append(size), self.held.append(raw)
+
+    def _counts(self, raw: np.ndarray) -> np.ndarray:
+        return count_vector(raw) if self.exact else raw
+
+    def _merge(self, a: int, b: int) -> None:
+        """Give the sets of label ``a`` the label ``b``."""
+        self.label[self.label == a] = b
+        self.now[a] = b
+
+    def _label_of(self, root: int) -> int | None:
+        label = self.label_of.get(root)
+        while label in self.now:
+            label = self.now[label]
+        return label
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> bool:
+        self.compared += 1
+        return not self.exact or linked(a, b, self.percent)
+
+    def close(self) -> None:
+        """Index the block and compare its sets with each other."""
+        counts = [self._counts(x) for x in self.held]
+        self.root = np.array(self.roots, np.int64)
+        self.major = np.array(self.majors, bool)
+        self.index = CountIndex(counts, np.array(self.sizes, np.int64), self.percent)
+        names = self.root if self.exact else np.array(self.nodes, np.int64)
+        named, self.label = np.unique(names, return_inverse=True)
+        self.label_of = dict(zip(named.tolist(), range(len(named))))
+        self.now: dict[int, int] = {}  # labels that were merged into others
+        settled = False
+        for i in range(len(self.held)):
+            self.pairs += i
+            if settled:
                 continue
-            small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum())
-            if 100 * both >= percent * (len(small) + len(large) - both):
-                root[find(i)] = find(j)
-                edges.append((i, j))
-    return edges
-
-
-def _verify(width: int, percent: int, every: bool):
-    """Links of clusters whose rows come together and in order."""
-
-    def links(nodes: list[int], texts: list[bytes], sides: list[int]) -> tuple[list[int], list[int]]:
-        hashes, of, sizes = [], [], []
-        for _, _, data, cuts in text_blocks(pa.array(texts, pa.binary())):
-            h, _, n = shingle_sets(data, cuts, width)
-            hashes += np.split(h, np.cumsum(n)[:-1])
-        found = linked_forest(hashes, np.array(sides), percent, every)
-        return [nodes[i] for i, _ in found], [nodes[j] for _, j in found]
+            near = self.index.candidates(counts[i], self.sizes[i])
+            near = near[near < i]
+            self.bounded += len(near)
+            if not self.every:
+                near = near[(self.label[near] != self.label[i]) & (self.root[near] != self.root[i])]
+            for j in near.tolist():
+                if not self.every and self.label[i] == self.label[j]:
+                    continue
+                if self._fit(self.held[i], self.held[j]):
+                    self.found.append((self.nodes[i], self.nodes[j]))
+                    if not self.every:
+                        self._merge(int(self.label[i]), int(self.label[j]))
+                        settled = bool((self.label == self.label[0]).all())
+
+    def visit(self, node: int, root: int, later: bool, size: int, raw: np.ndarray) -> None:
+        """Compare a set of another block with those that stay in theirs, and with the others if it is ``later``."""
+        if self.index is None:
+            self.close()
+        near = self.index.candidates(self._counts(raw), size)
+        if not later:
+            near = near[self.major[near]]
+        self.pairs += len(self.held)
+        self.bounded += len(near)
+        name = root if self.exact else node
+        for j in near.tolist():
+            mine = self._label_of(name)
+            if not self.every and (mine == self.label[j] or root == self.root[j]):
+                continue
+            if self._fit(raw, self.held[j]):
+                self.found.append((node, self.nodes[j]))
+                if not self.every:
+                    if mine is None:
+                        self.label_of[name] = int(self.label[j])
+                    else:
+                        self._merge(mine, int(self.label[j]))
+
+
+def _compare_blocks(percent: int, exact: bool, every: bool):
+    """Pairs (u, v) of blocks whose rows come together, the block's own sets first.
+
+    A last row of each task, with u = v, has how many pairs the blocks held, the bound let through and were verified.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, texts, sides = None, [], [], []
-        us: list[int] = []
-        vs: list[int] = []
+        group, block = None, Block(percent, exact, every)
+        found: list[tuple[int, int]] = []
+        done = [0, 0, 0]
+
+        def close() -> None:
+            if block.index is None and len(block.held) > 1:
+                block.close()
+            found.extend(block.found)
+            for k, n in enumerate((block.pairs, block.bounded, block.compared)):
+                done[k] += n
+
+        def batch_of(last: bool) -> pa.RecordBatch:
+            rows = [(u, v, 0, 0, 0) for u, v in found] + ([(0, 0, *done)] if last else [])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["u", "v", "pairs", "bounded", "compared"])
+
         for batch in batches:
-            roots, i_, j_, side, node, text = (batch.column(k) for k in range(6))
-            for key, s, x, t in zip(zip(roots.to_pylist(), i_.to_pylist(), j_.to_pylist()), side.to_pylist(), node.to_pylist(), text):
+            keys, ats, visiting, later, nodes, roots, majors, sizes = (batch.column(k).to_pylist() for k in range(8))
+            for key, visits, is_later, node, root, major, size, raw in zip(zip(keys, ats), visiting, later, nodes, roots, majors, sizes, batch.column(8)):
+                values = np.frombuffer(raw.as_buffer(), np.uint64 if exact else np.uint8)
                 if key != group:
-                    if len(nodes) > 1:
-                        u, v = links(nodes, texts, sides)
-                        us += u
-                        vs += v
-                    group, nodes, texts, sides = key, [], [], []
-                nodes.append(x), sides.append(s), texts.append(t.as_py())
-            if len(us) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-                us, vs = [], []
-        if len(nodes) > 1:
-            u, v = links(nodes, texts, sides)
-            us += u
-            vs += v
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    close()
+                    group, block = key, Block(percent, exact, every)
+                if not visits:
+                    block.add(node, root, major, size, values)
+                elif block.held:
+                    block.visit(node, root, is_later, size, values)
+            if len(found) > 10_000:
+                yield batch_of(False)
+                found.clear()
+        close()
+        yield batch_of(True)
 
     return run
 
 
+def compared_blocks(rows: DataFrame, held: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """(u, v, pairs, bounded, compared) of ``rows(key, node, root, major, blocks)`` with their sets or count vectors."""
+    exact = "set" in held.columns
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    stays = F.when(F.col("major"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = placed.withColumn("at", F.explode(stays)).withColumns({"visiting": F.col("at") != F.col("block"), "later": F.col("at") > F.col("block")})
+    columns = ["key", "at", "visiting", "later", "node", "root", "major", "n", "set" if exact else "counts"]
+    ordered = sent.join(held, "node").select(columns).repartition("key", "at").sortWithinPartitions("key", "at", "visiting", "node")
+    return written(ordered.mapInArrow(_compare_blocks(percent, exact, every), "u long, v long, pairs long, bounded long, compared long"))
+
+
+def bucket_rows(rows: DataFrame) -> DataFrame:
+    """(key, node, shared): members of the buckets that are left of ``rows(key, node, need)``.
+
+    Only buckets of two different sets or more count. The order "fewest entries first" is the same for all sets, so
+    two sets that share ``need`` buckets still share one when each leaves its ``need - 1`` last ones. A bucket holds
+    at most one row a set and chunk, while a set has some tenths of its shingles as rows: the sort by key is even.
+    """
+    whole = Window.partitionBy("key")
+    entered = rows.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole), "held": F.count(F.lit(1)).over(whole)}).filter("low < high")
+    shared = entered.groupBy("key", "node").agg(F.max("need").alias("need"), F.max("held").alias("held"))
+    mine = Window.partitionBy("node")  # at most the shingles of one text
+    ranked = shared.withColumns({"shared": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("held", "key"))})
+    return ranked.filter("place <= shared - need + 1").select("key", "node", "shared")
+
+
+def blocks_of(sets: Column | None = None, shingles: Column | None = None) -> Column:
+    """How many blocks so many sets and shingles make."""
+    sets, shingles = F.count(F.lit(1)) if sets is None else sets, F.sum("n") if shingles is None else shingles
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False, firsts: bool = False) -> DataFrame:
     """``docs`` with ``n_shingles`` (size of the set) and ``component_id`` (least id reachable by links).
 
@@ -293,7 +400,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     With ``firsts``, ``is_first`` says whether id and text are those that stand first in their component, by id (null
     last) and a hash of the text, and ``n_same`` how many rows have that id and text. Sets that are empty are first.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.drop("n_shingles", "component_id", *(["n_links"] if links else []), *(["is_first", "n_same"] if firsts else []))
     text = whole_text(text_col)
     keyed = docs.select(row_id(id_col).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -305,34 +413,36 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         .groupBy("node", "node2")
         .agg(F.min(F.struct((F.col("rid") == NO_ID).alias("no_id"), "rid", "hash")).alias("first"), F.max("n").alias("n"), F.min(real).alias("least_id"), F.count(F.lit(1)).alias("copies"))
     )
-    rows = keyed.select("text").mapInArrow(_stars(width, percent), "is_edge boolean, a long, b long")
-    shared = rows.withColumn("least", F.expr("min(b) over (partition by is_edge, a)"))
-    edges = shared.select(
-        F.when(F.col("is_edge"), F.col("a")).otherwise(F.col("b")).alias("u"),
-        F.when(F.col("is_edge"), F.col("b")).otherwise(F.col("least")).alias("v"),
-    ).filter("u <> v")
-    clusters = written(components(edges).join(classes.select("node", "first", "n"), "node"))
-    blocks = clusters.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    placed = (
-        clusters.join(blocks, "root")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select(F.col("first.rid").alias("rid"), F.col("first.hash").alias("hash"), "node", "root", "blocks", "block")
-    )
+    kept = written(bucket_rows(keyed.select("text").mapInArrow(_entries(width, percent), "key long, node long, need int")))
+    # A bucket's centre is its set with the most shared buckets.
+    buckets = kept.groupBy("key").agg(F.max(F.struct("shared", "node"))["node"].alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = written(kept.join(buckets, "key").select("key", "node", "centre"))
+    wanted = members.select("node").distinct().join(classes, "node").select("node", F.col("first.rid").alias("rid"), F.col("first.hash").alias("hash"))
     # One strategy at every size; the members are the build side, so texts are not sorted.
-    texts = keyed.join(written(placed).hint("shuffle_hash"), ["rid", "hash"]).dropDuplicates(["node", "root"])
-    # Every pair of a cluster's blocks is a task's work of its own; a cluster of one block is the usual case.
-    paired = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-        "node",
-        F.encode("text", "UTF-8").alias("bytes"),
-    )
-    ordered = paired.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
-    verified = ordered.mapInArrow(_verify(width, percent, links), "u long, v long")
+    texts = keyed.join(written(wanted).hint("shuffle_hash"), ["rid", "hash"]).dropDuplicates(["node"])
+    held = written(texts.select("node", "text").mapInArrow(_sets(width), "node long, n long, set binary, counts binary"))
     if links:
-        verified = written(verified)
+        verified = spark.createDataFrame([], "u long, v long")
+        labels = members.select("node", F.col("node").alias("root")).distinct()
+    else:
+        pairs = members.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+        of_u, of_v = held.select(F.col("node").alias("u"), F.col("set").alias("set_u")), held.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
+        verified = written(pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "set_u", "set_v").mapInArrow(_verify(percent), "u long, v long"))
+        labels = components(verified)
+    labels = held.select("node", "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(members.join(labels, "node"))
+    # The root of the centre is the bucket's major one; buckets of one root are settled.
+    buckets = rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("major_root"), blocks_of()
+    )
+    points = rooted.join(buckets.filter("low < high"), "key").withColumn("major", F.col("root") == F.col("major_root")).select("key", "node", "root", "major", "blocks")
+    near = compared_blocks(points, held.select("node", "n", "counts"), percent)
+    clusters = components(near.filter("u <> v").select("u", "v")).withColumnRenamed("root", "key").join(labels, "node")
+    parts = written(clusters.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")))
+    large = parts.groupBy("key").agg(F.max(F.struct("sets", "root"))["root"].alias("major_root"), blocks_of(F.sum("sets"), F.sum("shingles")))
+    members = clusters.join(large, "key").withColumn("major", F.lit(not links) & (F.col("root") == F.col("major_root"))).select("key", "node", "root", "major", "blocks")
+    compared = compared_blocks(members, held.select("node", "n", "set"), percent, links)
+    verified = verified.unionByName(compared.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     roots = components(verified)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("least_id"), *([F.min("first").alias("lead")] if firsts else []))

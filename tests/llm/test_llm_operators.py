@@ -14,7 +14,7 @@ from lexmill.llm.exact_dedup import exact_dedup
 from lexmill.llm.hashing import shingle_sets
 from lexmill.llm.line_dedup import line_dedup
 from lexmill.llm.mixing import mix_sources
-from lexmill.llm.ngram_join import Bands, bucket_keys, ngram_join
+from lexmill.llm.ngram_join import Block, count_vector, folded, linked, ngram_join, prefixes
 from lexmill.llm.quality import quality_rules
 from lexmill.llm.suffix_dedup import suffix_dedup
 
@@ -181,7 +181,7 @@ def shingles(text, width):
     return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
 
 
-@pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60)])
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (2, 60), (1, 40)])
 def test_ngram_join(spark, docs, width, percent):
     frame, rows = docs
     sets = [shingles(r[1] or "", width) for r in rows]
@@ -219,18 +219,59 @@ def test_ngram_join_counts_every_link(spark, docs):
     assert Counter((r.doc_id, r.text, r.n_links) for r in got.collect()) == want
 
 
-def test_sets_that_link_share_a_key():
+def test_sets_that_link_share_the_needed_keys():
     rng = np.random.default_rng(5)
-    for percent in (60, 80, 85):
-        for n in [*range(2, 40, 3), 90, 400]:
+    some_linked = 0
+    for percent in (30, 40, 50, 60, 80, 85, 100):
+        for n in [*range(1, 12), *range(12, 40, 3), 90, 400]:
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-            for change in range(1, n * (100 - percent) // 100 + 2):
-                b = np.unique(np.concatenate([a[change // 2 :], rng.integers(0, 2**63, change - change // 2, dtype=np.uint64)]))
-                both = len(np.intersect1d(a, b))
-                if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
-                    continue
-                key, owner = bucket_keys(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), Bands(percent))
-                assert len(np.intersect1d(key[owner == 0], key[owner == 1])), (percent, n, change)
+            for change in range(1, n * (100 - percent) // 100 + 3):
+                for more in {0, change // 2, change}:  # how many of the changed shingles are new ones
+                    b = np.unique(np.concatenate([a[change - more :], rng.integers(0, 2**63, more, dtype=np.uint64)]))
+                    if not len(b) or not linked(a, b, percent) or np.array_equal(a, b):
+                        continue
+                    some_linked += 1
+                    key, owner, need = prefixes(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), percent)
+                    assert len(np.intersect1d(key[owner == 0], key[owner == 1])) >= need.max(), (percent, n, change, more)
+    assert some_linked > 500
+
+
+def test_blocks_find_every_link_and_prune():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(30):
+        common = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        for _ in range(10):
+            sets.append(np.unique(np.concatenate([common[: rng.integers(30, 41)], rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)])))
+    truth = {(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j], 80)}
+    whole = Block(80, True, True)
+    for i, s in enumerate(sets):
+        whole.add(i, i, False, len(s), s)
+    whole.close()
+    assert set(whole.found) == truth and len(truth) > 100
+    assert whole.bounded < whole.pairs / 10
+    halves = [Block(80, True, True), Block(80, True, True)]
+    for i, s in enumerate(sets):
+        halves[i % 2].add(i, i, False, len(s), s)
+    for i, s in enumerate(sets):
+        halves[1 - i % 2].visit(i, i, 1 - i % 2 > i % 2, len(s), s)
+    assert {(max(p), min(p)) for h in halves for p in h.found} == truth
+    points = Block(80, False)
+    for i, s in enumerate(sets):
+        points.add(i, i, False, len(s), count_vector(s))
+    points.close()
+    assert all(points.label[i] == points.label[j] for i, j in truth) and len(points.found) < len(sets)
+
+
+def test_count_vectors_bound_the_overlap():
+    rng = np.random.default_rng(7)
+    for n in (3, 250, 300, 1000, 70_000, 600_000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        one, two = count_vector(a), count_vector(b)
+        d = min(len(one), len(two))
+        assert np.minimum(folded(one, d), folded(two, d)).sum() >= len(np.intersect1d(a, b))
+        assert one.sum(dtype=np.int64) == n
 
 
 def test_shingle_sets_match_words():
