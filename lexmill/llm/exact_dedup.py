@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, row_id, whole_text, written
+from .shared import NO_ID, own_columns, row_id, whole_text, written
 
 
 def _split(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -28,6 +28,7 @@ def _split(rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.join(groups, key).drop("digit", *group)
 
 
+@own_columns
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, shingle_sets, sum_by, text_blocks
-from .shared import NO_ID, row_id, ship, whole_text, written
+from .shared import NO_ID, own_columns, row_id, ship, whole_text, written
 
 #: Points in a leaf; the least and, unless a count needs more, the largest number of coordinates of a count vector.
 LEAF, COARSE, FINE = 32, 64, 4096
@@ -386,6 +386,7 @@ def blocks_of(sets: Column | None = None, shingles: Column | None = None) -> Col
     return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int").alias("blocks")
 
 
+@own_columns
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False, firsts: bool = False) -> DataFrame:
     """``docs`` with ``n_shingles`` (size of the set) and ``component_id`` (least id reachable by links).
 

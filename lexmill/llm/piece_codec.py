@@ -13,12 +13,11 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import ship, whole_text
+from .shared import own_columns, ship, whole_text
 
 MARK = "▁"
 #: Units held in a Python worker's cache (about 330 bytes each); it is emptied beyond that, no unit is dropped.
@@ -44,6 +43,8 @@ class PieceCodec:
     """Encodes and decodes with the pieces and scores of one serialized model."""
 
     def __init__(self, model: bytes, check: bool = True):
+        import sentencepiece  # only where it is used: the other operators do without it
+
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = self.library.vocab_size()
         pieces = [self.library.id_to_piece(i) for i in range(size)]
@@ -268,6 +269,7 @@ def blocks(texts: pa.Array, chars: int = 1_000_000):
 _CODECS: dict[tuple[int, bool], PieceCodec] = {}
 
 
+@own_columns
 def piece_codec(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with ``token_ids`` (binary: little-endian unsigned 32-bit ids, begin and end included) and ``decoded``.
 
@@ -283,7 +285,10 @@ def piece_codec(docs: DataFrame, model_path: str, text_col: str = "text", check:
     @arrow_udf("struct<ids:binary,decoded:string>")
     def coded(texts: pa.Array) -> pa.Array:
         key = (hash(model.value), check)
-        codec = _CODECS.get(key) or _CODECS.setdefault(key, PieceCodec(model.value, check))
+        codec = _CODECS.get(key)
+        if codec is None:
+            _CODECS.clear()  # a worker keeps one
+            codec = _CODECS[key] = PieceCodec(model.value, check)
         found = [c for block in blocks(texts) for c in codec.code(block)]
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], ["ids", "decoded"]

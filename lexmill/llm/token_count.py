@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import ship, whole_text
+from .shared import own_columns, ship, whole_text
 
 #: A table entry holds the next state above these bits and the number of popped pieces in them.
 POP_BITS = 10
@@ -155,11 +155,13 @@ def word_pieces(model_path: str) -> tuple[list[bytes], list[bytes]]:
 _AUTOMATA: dict[int, LongestMatch] = {}
 
 
+@own_columns
 def token_count(docs: DataFrame, initial: list[bytes], continuing: list[bytes], text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words`` and ``n_tokens``: greedy longest-match word-piece counts of the whole text.
 
     Words are runs of other than space, tab, LF, VT, FF and CR. A word that cannot be spelled counts as one
-    unknown token, as word-piece models have it. Null and empty texts have 0 of both. Rows are independent;
+    unknown token, as word-piece models have it. Null and empty texts have 0 of both. Rows are independent: repeats
+    agree and an empty table gives an empty result;
     other columns pass through, ones named like the two results are replaced. The vocabulary (of fixed size) is
     broadcast; each Python worker builds its table once.
     """
@@ -169,7 +171,10 @@ def token_count(docs: DataFrame, initial: list[bytes], continuing: list[bytes],
     @arrow_udf("struct<words:long,tokens:long>")
     def counted(texts: pa.Array) -> pa.Array:
         key = hash((len(vocabulary.value[0]), *vocabulary.value[0], *vocabulary.value[1]))
-        automaton = _AUTOMATA.get(key) or _AUTOMATA.setdefault(key, LongestMatch(*vocabulary.value))
+        automaton = _AUTOMATA.get(key)
+        if automaton is None:
+            _AUTOMATA.clear()  # a worker keeps one
+            automaton = _AUTOMATA[key] = LongestMatch(*vocabulary.value)
         words, tokens = automaton.count_texts(texts.cast(pa.string()))
         return pa.StructArray.from_arrays([pa.array(words), pa.array(tokens)], ["words", "tokens"])
 
