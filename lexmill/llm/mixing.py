@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text, written
+from .shared import own_columns, whole_text, written
 
-#: exp(-rate) underflows a little above this.
+#: Above this rate, where exp(-rate) comes near to underflow, sums start below the mode; below it, at 0.
 LOG_RATE = 700
 
 
@@ -18,28 +20,32 @@ def unit_hash(seed: str, *parts: Column) -> Column:
 
 
 def poisson_steps(rate: Column) -> Column:
-    """Cumulative Poisson probabilities P(X <= 0), P(X <= 1), ... until the rest is below 2**-53.
+    """(skip, cdf): P(X <= skip), P(X <= skip + 1), ... until the rest is below 2**-53.
 
-    Above a rate of ``LOG_RATE`` each step is taken from its logarithm, as the first would underflow.
+    ``skip`` is 0 up to ``LOG_RATE``; above it starts where all before is below 2**-53 too, at a probability taken
+    from Stirling's series, which is exact there to the last bits. The list grows with the root of the rate.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.exp(-rate)
+    reach = 12 * F.sqrt(rate) + 30
+    skip = F.when(rate > LOG_RATE, F.floor(rate - reach)).otherwise(0).cast("long")
+    last = F.ceil(rate + reach).cast("long")
+    k = F.greatest(skip, F.lit(1)).cast("double")
+    log_factorial = k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * k * k * k)
+    first = F.when(skip > 0, F.exp(k * F.log(rate) - rate - log_factorial)).otherwise(F.exp(-rate))
 
     def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate / k)
-        p = F.when(rate > LOG_RATE, F.exp(log)).otherwise(acc["p"] * rate / k)
-        return F.struct(p.alias("p"), log.alias("log"), (acc["sum"] + p).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + p)).alias("all"))
+        p = acc["p"] * rate / k
+        return F.struct(p.alias("p"), (acc["sum"] + p).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + p)).alias("all"))
 
-    # ``log`` is null at a rate of 0 and then not looked at.
-    start = F.struct(first.alias("p"), (-rate).alias("log"), first.alias("sum"), F.array(first).alias("all"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["all"]
+    start = F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all"))
+    return F.struct(skip.alias("skip"), F.aggregate(F.sequence(skip + 1, last), start, step)["all"].alias("cdf"))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, scale: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per source: characters, target share and mean repetition rate.
 
-    ``weights(source, weight)`` gives the targets; sources it lacks get weight 0. Without it the target is
-    the square root of a source's share, normalised. A null source is a source of its own.
+    ``weights(source, weight)`` gives the targets; sources it lacks get weight 0. Rows that repeat a source add up;
+    null, negative and NaN weights count as 0. Without ``weights`` the target is the square root of a source's share,
+    normalised. A null source is a source of its own.
     """
     sizes = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("_lm_source"), F.col(source_col).isNull().alias("_lm_null")).agg(
         F.sum(F.length(whole_text(text_col))).cast("long").alias("chars")
@@ -47,7 +53,12 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, scale: float
     if weights is None:
         sized = sizes.withColumn("weight", F.sqrt(F.col("chars").cast("double")))
     else:
-        wanted = weights.select(F.coalesce(F.col("source"), F.lit("")).alias("_lm_source"), F.col("source").isNull().alias("_lm_null"), F.col("weight").cast("double"))
+        weight = F.col("weight").cast("double")
+        wanted = (
+            weights.select(F.coalesce(F.col("source"), F.lit("")).alias("_lm_source"), F.col("source").isNull().alias("_lm_null"), F.when((weight > 0) & ~F.isnan(weight), weight).otherwise(0.0).alias("weight"))
+            .groupBy("_lm_source", "_lm_null")
+            .agg(F.sum("weight").alias("weight"))
+        )
         sized = sizes.join(wanted, ["_lm_source", "_lm_null"], "left").fillna({"weight": 0.0})
     sized = written(sized)
     total = sized.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))  # one row
@@ -57,6 +68,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, scale: float
     return written(rated.withColumn("steps", poisson_steps(F.col("rate"))))
 
 
+@own_columns
 def mix_sources(
     docs: DataFrame,
     weights: DataFrame | None = None,
@@ -81,7 +93,7 @@ def mix_sources(
     counted = (
         docs.withColumns({"_lm_source": F.coalesce(F.col(source_col), F.lit("")), "_lm_null": F.col(source_col).isNull(), "_lm_unit": unit_hash(seed, key)})
         .join(rates, ["_lm_source", "_lm_null"])
-        .withColumn("n_copies", F.size(F.filter("_lm_steps", lambda c: c <= F.col("_lm_unit"))).cast("long"))
+        .withColumn("n_copies", F.col("_lm_steps.skip") + F.size(F.filter("_lm_steps.cdf", lambda c: c <= F.col("_lm_unit"))))
         .filter("n_copies > 0")
     )
     copies = counted.select(
