@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import row_id, whole_text, written
+from .shared import own_columns, row_id, whole_text, written
 
 #: HyperLogLog sketches have 2**12 registers: relative standard error about 1.6 %.
 SKETCH_BITS = 12
@@ -16,14 +16,14 @@ NEAR = 0.10
 def line_rows(docs: DataFrame, id_col: str, site_col: str, text_col: str, around: int) -> DataFrame:
     """A row for each non-blank line: document key, position, hash, site and the text that surrounds it.
 
-    ``context`` is the text of the lines next to it, blank or not. ``nth`` counts the non-blank lines, ``before``
-    and ``after`` are the text of the next of them (null at an end), ``body`` is a hash of them all.
+    ``nth`` counts the non-blank lines, ``before`` and ``after`` are the text of the next of them (null at an end),
+    ``body`` is a hash of them all.
     """
     lines = F.split(whole_text(text_col), "\n")
     return (
         docs.select(row_id(id_col).alias("rid"), F.xxhash64(whole_text(text_col)).alias("hash"), F.col(site_col).cast("string").alias("site"), lines.alias("lines"))
         .withColumn("full", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line"))), lambda x: x["line"] != ""))
-        .select("rid", "hash", "site", "lines", "full", F.xxhash64(F.col("full.line")).alias("body"), F.posexplode("full").alias("nth", "at"))
+        .select("rid", "hash", "site", "full", F.xxhash64(F.col("full.line")).alias("body"), F.posexplode("full").alias("nth", "at"))
         .select("*", F.col("at.pos").alias("pos"), F.get("full", F.col("nth") - 1)["line"].alias("last"), F.get("full", F.col("nth") + 1)["line"].alias("next"))
         .select(
             "rid",
@@ -32,10 +32,6 @@ def line_rows(docs: DataFrame, id_col: str, site_col: str, text_col: str, around
             "nth",
             F.xxhash64("at.line").alias("line"),
             F.xxhash64("site").alias("site"),
-            F.xxhash64(
-                F.right(F.coalesce(F.get("lines", F.col("pos") - 1), F.lit("")), F.lit(around)),
-                F.left(F.coalesce(F.get("lines", F.col("pos") + 1), F.lit("")), F.lit(around)),
-            ).alias("context"),
             F.when(F.col("last").isNotNull(), F.xxhash64(F.right("last", F.lit(around)))).alias("before"),
             F.when(F.col("next").isNotNull(), F.xxhash64(F.left("next", F.lit(around)))).alias("after"),
             "body",
@@ -43,30 +39,18 @@ def line_rows(docs: DataFrame, id_col: str, site_col: str, text_col: str, around
     )
 
 
-def spread_lines(rows: DataFrame, min_sites: int, min_independence: float = 0.0) -> DataFrame:
-    """Hashes of lines on ``min_sites`` or more sites, with at least ``min_independence`` distinct contexts an
-    occurrence if that is above 0.
+def spread_lines(rows: DataFrame, min_sites: int) -> DataFrame:
+    """Hashes of lines on ``min_sites`` or more distinct sites.
 
-    Sketches merge by aggregation. Only lines whose estimate is near a limit are counted exactly.
+    Sketches merge by aggregation. Only lines whose estimate is near the limit are counted exactly.
     """
-    counts = rows.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites)  # a spread is at most n
-    often = written(counts)
-    held = rows.join(often, "line")
-    wanted = {"site": F.lit(min_sites)} | ({"context": F.col("n") * min_independence} if min_independence > 0 else {})
-
-    def estimate(column: str) -> Column:
-        return F.hll_sketch_estimate(F.hll_sketch_agg(column, SKETCH_BITS)).cast("double").alias(column)
-
-    guessed = written(held.groupBy("line").agg(F.max("n").alias("n"), *[estimate(c) for c in wanted]))
-    near, possible = F.lit(False), F.lit(True)
-    for c, limit in wanted.items():
-        near = near | (F.abs(F.col(c) - limit) <= limit * NEAR + 1)
-        possible = possible & (F.col(c) >= limit * (1 - NEAR) - 1)
-    sure = guessed.filter(possible & ~near).select("line")
-    exact = rows.join(guessed.filter(possible & near).select("line", "n"), "line").groupBy("line").agg(F.max("n").alias("n"), *[F.countDistinct(c).alias(c) for c in wanted])
-    for c, limit in wanted.items():
-        exact = exact.filter(F.col(c) >= limit)
-    return sure.unionByName(exact.select("line"))
+    often = written(rows.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites))  # a spread is at most n
+    sites = F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).cast("double")
+    guessed = written(rows.join(often, "line").groupBy("line").agg(sites.alias("sites")))
+    near = F.abs(F.col("sites") - min_sites) <= min_sites * NEAR + 1
+    sure = guessed.filter((F.col("sites") > min_sites) & ~near).select("line")
+    exact = rows.join(guessed.filter(near).select("line"), "line").groupBy("line").agg(F.countDistinct("site").alias("sites"))
+    return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("line"))
 
 
 def block_rows(rows: DataFrame, spread: DataFrame) -> DataFrame:
@@ -91,10 +75,10 @@ def independent_lines(blocks: DataFrame, min_sites: int) -> DataFrame:
     return sites.groupBy("line").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites).select("line")
 
 
+@own_columns
 def line_dedup(
     docs: DataFrame,
     min_sites: int = 8,
-    min_independence: float | None = None,
     around: int = 24,
     site_col: str = "source",
     id_col: str = "doc_id",
@@ -107,21 +91,14 @@ def line_dedup(
     after the block. Places with the same surroundings are copies and count once, at the site of the least id,
     however many there are. Lines that only travel with copies of one document are thus left for document dedup.
 
-    With ``min_independence``, the rule of the SQL holds instead: the text next to the line itself, blank lines
-    included, takes at least that many distinct values an occurrence. It keeps lines inside fixed blocks.
-
-    No row is dropped. A null text stays null, a null site counts as one site. Columns named like the added
-    ones are replaced.
+    No row is dropped. A null text stays null, a null site counts as one site; rows repeated with id and text are one
+    place. An empty table gives an empty result. Columns named like the added ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
     rows = line_rows(docs, id_col, site_col, text_col, around)
-    if min_independence is None:
-        rows = written(rows.drop("context"))
-        places = written(block_rows(rows, written(spread_lines(rows, min_sites))))
-        boilerplate = independent_lines(places, min_sites)
-    else:
-        rows = places = written(rows.drop("nth", "before", "after", "body"))
-        boilerplate = spread_lines(rows, min_sites, min_independence)
+    rows = written(rows)
+    places = written(block_rows(rows, written(spread_lines(rows, min_sites))))
+    boilerplate = independent_lines(places, min_sites)
     removed = (
         places.join(written(boilerplate), "line")
         .groupBy(F.col("rid").alias("_lm_rid"), F.col("hash").alias("_lm_hash"))
