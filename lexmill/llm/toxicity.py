@@ -7,6 +7,7 @@ likeliest. A logistic model over restored words, learned from labelled rows, sco
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -114,13 +115,14 @@ class Restorer:
 
     def decode(self, word: str, masked: bool = False) -> str:
         model = self.model
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A state is the last two letters; it keeps its score and a chain of letters back to the start.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for char, run in groupby(word):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             options = self.readings(char, sum(1 for _ in run))
             if masked and char == "*":
                 options = [(vowel, MASK) for vowel in "aeiou"]
-            for (a, b), (score, text) in states.items():
+            for (a, b), (score, chain) in states.items():
                 for letters, cost in options:
                     x, y, s = a, b, score - cost
                     for letter in letters:
@@ -128,9 +130,14 @@ class Restorer:
                         s += model[(x * SIZE + y) * SIZE + code]
                         x, y = y, code
                     if (x, y) not in following or following[x, y][0] < s:
-                        following[x, y] = s, text + letters
+                        following[x, y] = s, (chain, letters)
             states = following
-        return max((s + model[(a * SIZE + b) * SIZE], text) for (a, b), (s, text) in states.items())[1]
+        _, _, chain = max((s + model[(a * SIZE + b) * SIZE], (a, b), chain) for (a, b), (s, chain) in states.items())
+        read = []
+        while chain is not None:
+            chain, letters = chain
+            read.append(letters)
+        return "".join(reversed(read))
 
     def restore(self, token: str) -> tuple[str, ...]:
         """The readings of one lower-case token: its plain core, or what the channel restores."""
@@ -246,10 +253,11 @@ def toxicity(
     first in the order of a hash, and at most ``words`` features, words that toxic documents surely hold more
     often. Labels null or of unknown ids are ignored; of repeated labels the larger counts. Without labels of both
     kinds the score is the smoothed share of toxic labels everywhere. Null texts score as empty ones. Rows are
-    scored independently, so repeats agree; columns named like the results are replaced.
+    scored independently, so repeats agree. An empty table gives an empty result; columns named like the results are
+    replaced.
     """
     spark = docs.sparkSession
-    ship(docs.sparkSession)
+    ship(spark)
     docs = docs.drop("held_out", "score", "predicted")
     model = letter_model(docs, text_col)
     sent_model = spark.sparkContext.broadcast(model.astype(np.float32))
@@ -274,7 +282,9 @@ def toxicity(
     )
     # At most ``sample`` rows of two numbers.
     held = docs.select(row_id(id_col).alias("rid"), whole_text(text_col).alias("text")).join(F.broadcast(chosen), "rid")
-    held = written(held.select("rid", "toxic", restored_words("text").alias("words")))
+    # Ids that repeat may make more rows of them; the same bound holds again.
+    bounded = held.withColumn("hash", F.xxhash64("text")).orderBy(F.xxhash64("rid"), "rid", "hash").limit(sample)
+    held = written(bounded.select("rid", "toxic", restored_words("text").alias("words")))
     classes = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
     n1, n0 = classes.get(1, 0), sum(n for k, n in classes.items() if k != 1)
     least = max(3, n1 // 200)
@@ -296,12 +306,16 @@ def toxicity(
         weights = fit_logistic([[index[w] for w in r["words"]] for r in rows], y, len(vocabulary))
     else:
         weights = np.array([np.log((n1 + 1) / (n0 + 1))])
-    learned = spark.sparkContext.broadcast((vocabulary, weights))
+    digest = hashlib.sha256(model.tobytes() + repr(vocabulary).encode() + weights.tobytes()).hexdigest()
+    learned = spark.sparkContext.broadcast((digest, vocabulary, weights))
 
     @arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        words, w = learned.value
-        scorer = _SCORERS.get(id(learned.value)) or _SCORERS.setdefault(id(learned.value), Scorer(sent_model.value, words))
+        digest, words, w = learned.value
+        scorer = _SCORERS.get(digest)
+        if scorer is None:
+            _SCORERS.clear()  # a worker keeps one model
+            scorer = _SCORERS[digest] = Scorer(sent_model.value, words)
         bias = float(w[-1])
         return pa.array([float(1 / (1 + np.exp(-(bias + sum(w[i] for i in scorer.features(t.as_py())))))) for t in texts], pa.float64())
 
@@ -310,4 +324,4 @@ def toxicity(
     )
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
