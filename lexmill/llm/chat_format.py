@@ -1,33 +1,76 @@
-"""Chat formatting with quotation linking, in DataFrame operations only."""
+"""Chat formatting with quotation linking, in DataFrame operations only.
+
+A message's lines carry quote levels; lines of one level that follow each other are a passage. Passages, their
+sentences and their lines are hashed with case and white space folded, so a quotation that was wrapped anew, or cut
+down to a sentence, still has a hash in common with the message it came from. Quotes are linked by a join on
+conversation and hash, cut from the bodies, and the messages are put together in reply order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import own_columns, written
 
 #: One or more quote marks at the start of a line, as mail and chat clients write nested quotes.
 QUOTE = "^[ \\t]*((?:>[ \\t]?)+)"
+#: Turns of one assembled segment, and messages of one part of it.
+SEGMENT_TURNS, PART_MESSAGES = 256, 1024
+#: What a hash is of, best evidence first.
+PASSAGE, SENTENCE, LINE = 0, 1, 2
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, white space collapsed: quoting clients rewrap and recase nothing else."""
+    """Lower case, white space collapsed."""
     return F.lower(F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")))
 
 
-def message_lines(messages: DataFrame) -> DataFrame:
-    """A row for each non-blank line with its quote level and the hash of its normalised content."""
-    lines = messages.select("conv", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marks = F.regexp_extract("line", QUOTE, 1)
-    content = F.regexp_replace("line", QUOTE, "")
-    return (
-        lines.select("conv", "turn", "pos", (F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))).alias("level"), normalised(content).alias("content"))
-        .filter("content <> ''")
-        .select("conv", "turn", "pos", "level", F.xxhash64("content").alias("passage"))
-    )
+def passages(text: Column) -> Column:
+    """Array of (level, lines): maximal runs of lines of one quote level; blank lines and bare marks end a run."""
+
+    def marked(line: Column) -> Column:
+        marks = F.regexp_extract(line, QUOTE, 1)
+        level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
+        return F.struct(level.alias("level"), normalised(F.regexp_replace(line, QUOTE, "")).alias("content"))
+
+    def runs(lines: Column) -> Column:
+        def begins(line: Column, i: Column) -> Column:
+            last = F.get(lines, i - 1)
+            return (line["content"] != "") & ((i == 0) | (last["content"] == "") | (last["level"] != line["level"]))
+
+        def cut(starts: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                length = F.coalesce(F.get(starts, k + 1), F.size(lines)) - start
+                held = F.filter(F.slice(lines, start + 1, length), lambda x: x["content"] != "")
+                return F.struct(F.get(lines, start)["level"].alias("level"), F.transform(held, lambda x: x["content"]).alias("lines"))
+
+            return F.transform(starts, run)
+
+        at = F.transform(lines, lambda x, i: F.when(begins(x, i), i))
+        return F.get(F.transform(F.array(F.filter(at, lambda i: i.isNotNull())), cut), F.lit(0))
+
+    return F.get(F.transform(F.array(F.transform(F.split(text, "\n"), marked)), runs), F.lit(0))
+
+
+def units(lines: Column) -> Column:
+    """Array of (kind, hash): the passage as a whole, its sentences and its lines."""
+    whole = F.array_join(lines, " ")
+    sentences = F.split(F.regexp_replace(whole, "([.!?]) ", "$1\n"), "\n")
 
+    def of(kind: int, texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("hash")))
 
+    return F.array_distinct(F.concat(of(PASSAGE, F.array(whole)), of(SENTENCE, sentences), of(LINE, lines)))
+
+
+def passage_units(messages: DataFrame, quoted: bool) -> DataFrame:
+    """(conv, turn, nth passage, level, kind, hash) of the quoted or the unquoted passages of each message."""
+    runs = messages.select("conv", "turn", F.posexplode(F.filter(passages(F.col("text")), lambda p: (p["level"] > 0) == F.lit(quoted))).alias("nth", "run"))
+    return runs.select("conv", "turn", "nth", F.col("run.level").alias("level"), F.explode(units(F.col("run.lines"))).alias("unit")).select("conv", "turn", "nth", "level", "unit.*")
+
+
+@own_columns
 def chat_format(
     conversations: DataFrame,
     template: str = "<|%s|>\n%s",
@@ -36,34 +79,36 @@ def chat_format(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each message, in reply order by (``conv_id``, ``turn``), its quotes resolved.
+    """One row for each message, its quotes resolved.
 
-    Adds ``body`` (the text without quoted lines), ``reply_to`` (the turn it answers), ``n_quoted_lines``,
-    ``max_quote_level``, ``n_linked_lines`` and ``formatted``. A line quoted at level 1 or deeper is linked to
-    the first earlier message of its conversation that wrote it unquoted; ``reply_to`` is the latest turn among
-    the links of its shallowest linked level, else the turn before it, null for a first turn. A reply's turn is
-    above its target's, so order by turn puts every message after what it answers.
+    Adds ``body`` (the text without quoted lines), ``reply_to`` (the turn it answers), ``n_quoted`` and ``n_linked``
+    (quoted passages, and those linked), ``max_quote_level`` and ``formatted``. A passage quoted at level 1 or deeper
+    is linked to the first earlier message of its conversation that wrote it, or failing that one of its sentences or
+    lines, unquoted; ``reply_to`` is the latest turn among the links of its shallowest linked level, else the turn
+    before it, null for a first turn. A reply's turn is above its target's.
 
     Nulls: a null text is an empty body, a null role is written as an empty one; rows with a null conversation
-    or turn are returned unlinked. Repeated rows are returned each, with equal links. An empty table gives an
-    empty result. Columns named like the added ones are replaced.
+    or turn are returned unlinked. Repeated rows are returned each, with equal links; messages that share a turn
+    have the links of all of them. An empty table gives an empty result. Columns named like the added ones are replaced.
     """
-    added = ["body", "reply_to", "n_quoted_lines", "max_quote_level", "n_linked_lines", "formatted"]
+    added = ["body", "reply_to", "n_quoted", "max_quote_level", "n_linked", "formatted"]
     conversations = conversations.drop(*added)
     keyed = conversations.withColumns({"_lm_conv": F.col(conv_col).cast("string"), "_lm_turn": F.col(turn_col).cast("long"), "_lm_text": F.coalesce(F.col(text_col), F.lit(""))})
     messages = keyed.select(F.col("_lm_conv").alias("conv"), F.col("_lm_turn").alias("turn"), F.col("_lm_text").alias("text")).filter("conv is not null and turn is not null")
-    quoting = written(message_lines(messages.filter(F.regexp_like("text", F.lit("(?m)" + QUOTE)))).filter("level > 0"))
-    # Of all messages only lines that somebody quotes are looked up; each (conversation, passage) is one row.
-    wanted = quoting.select("conv", "passage").distinct()
-    originals = (
-        message_lines(messages).filter("level = 0").join(wanted, ["conv", "passage"], "left_semi").groupBy("conv", "passage").agg(F.min("turn").alias("origin"))
+    quoting = written(
+        passage_units(messages.filter(F.regexp_like("text", F.lit("(?m)" + QUOTE))).withColumn("message", F.xxhash64("text")).dropDuplicates(["conv", "turn", "message"]), True)
     )
-    linked = quoting.join(originals, ["conv", "passage"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    # Of all messages only what somebody quotes is looked up; each (conversation, hash) is one row.
+    wanted = quoting.select("conv", "hash").distinct()
+    originals = passage_units(messages, False).join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+    found = quoting.join(originals, ["conv", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    best = F.min(F.when(F.col("origin").isNotNull(), F.struct("kind", "origin")))["origin"]
+    linked = found.groupBy("conv", "turn", "nth", "level").agg(best.alias("origin"))
     links = linked.groupBy(F.col("conv").alias("_lm_conv"), F.col("turn").alias("_lm_turn")).agg(
         F.max(F.when(F.col("origin").isNotNull(), F.struct((-F.col("level")).alias("level"), F.col("origin").alias("origin"))))["origin"].alias("_lm_origin"),
-        F.countDistinct("pos").alias("n_quoted_lines"),
+        F.count(F.lit(1)).alias("n_quoted"),
         F.max("level").cast("long").alias("max_quote_level"),
-        F.countDistinct(F.when(F.col("origin").isNotNull(), F.col("pos"))).alias("n_linked_lines"),
+        F.count("origin").alias("n_linked"),
     )
     before = messages.select("conv", "turn").distinct().select(F.col("conv").alias("_lm_conv"), (F.col("turn") + 1).alias("_lm_turn"), F.col("turn").alias("_lm_before"))
     body = F.trim(F.array_join(F.filter(F.split("_lm_text", "\n"), lambda x: ~F.regexp_like(x, F.lit(QUOTE))), "\n"))
@@ -75,9 +120,43 @@ def chat_format(
             *conversations.columns,
             F.col("_lm_body").alias("body"),
             F.coalesce("_lm_origin", "_lm_before").alias("reply_to"),
-            F.coalesce("n_quoted_lines", F.lit(0)).cast("long").alias("n_quoted_lines"),
-            F.coalesce("max_quote_level", F.lit(0)).cast("long").alias("max_quote_level"),
-            F.coalesce("n_linked_lines", F.lit(0)).cast("long").alias("n_linked_lines"),
+            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quoted", "max_quote_level", "n_linked")],
             F.format_string(template, F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.col("_lm_body")).alias("formatted"),
         )
     )
+
+
+def assembled(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """Conversations in reply order out of what ``chat_format`` returns: a row for each segment of a conversation.
+
+    A target's turn is below its replies', so order by turn puts every message after what it answers. A segment is
+    ``SEGMENT_TURNS`` turns; equal messages of a turn count once. Should a segment have more than ``PART_MESSAGES``
+    messages, as ids that were reused give, it is dealt into parts by a hash, so no group is collected without bound.
+    Rows without conversation or turn make segments of their own (null). Columns: the conversation, ``segment``,
+    ``part``, ``n_messages``, ``n_quoted``, ``n_linked``, ``replies`` ("turn>reply_to", in order) and ``text``.
+    """
+    keys = [conv_col, "segment"]
+    segment = F.floor(F.col(turn_col).cast("long") / F.lit(SEGMENT_TURNS)).cast("long")
+    rows = formatted.select(conv_col, segment.alias("segment"), F.col(turn_col).cast("long").alias("turn"), "formatted", "reply_to", "n_quoted", "n_linked").distinct()
+    rows = written(rows)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_MESSAGES)
+    sizes = sizes.select(F.col(conv_col).alias("_lm_conv"), F.col("segment").alias("_lm_segment"), F.ceil(F.col("n") / PART_MESSAGES).alias("parts"))
+    joined = rows.join(sizes, rows[conv_col].eqNullSafe(F.col("_lm_conv")) & rows["segment"].eqNullSafe(F.col("_lm_segment")), "left")
+    place = F.conv(F.substring(F.md5(F.col("formatted").cast("binary")), 1, 8), 16, 10).cast("long")
+    parted = joined.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(place % F.col("parts")).cast("long"))
+    of = parted.groupBy(*keys, "part").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "formatted", "reply_to"))).alias("messages"),
+        F.count(F.lit(1)).alias("n_messages"),
+        F.sum("n_quoted").alias("n_quoted"),
+        F.sum("n_linked").alias("n_linked"),
+    )
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return of.select(
+        *keys,
+        "part",
+        "n_messages",
+        "n_quoted",
+        "n_linked",
+        F.array_join(F.transform("messages", lambda m: F.concat(said(m["turn"]), F.lit(">"), said(m["reply_to"]))), " ").alias("replies"),
+        F.array_join(F.transform("messages", lambda m: m["formatted"]), "\n").alias("text"),
+    )

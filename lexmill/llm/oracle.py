@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from .quality import GRIDS, SYMBOLS
+from .quality import GRIDS, STEPS, SYMBOLS
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 _WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')"
-_CELLS = ", ".join(f"('{rule}', {cut})" for rule, grid in GRIDS.items() for cut in grid)
+_CELLS = ", ".join(f"({step}, '{rule}', {GRIDS[rule][level]})" for step, (level, left_out) in enumerate(STEPS) for i, rule in enumerate(GRIDS) if i != left_out)
 _RISK, _CONFIDENCE = 0.01, 0.95
 
 OP2 = """
 with sizes as (select coalesce(source, '') as s, source is null as sn, sum(length(coalesce(text, ''))) as chars from documents group by all),
 rates as (
   select s, sn, (sqrt(chars::double) / sum(sqrt(chars::double)) over ()) * sum(chars) over () / chars as rate from sizes where chars > 0),
-terms as (select s, sn, unnest(range(0, 120)) as k, rate from rates),
+terms as (select s, sn, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::bigint + 1)) as k, rate from rates),
 steps as (
   select s, sn, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by s, sn order by k) as cdf from terms),
 units as (
@@ -49,57 +49,92 @@ features as (
           'upper_pct': coalesce(upper * 100.0::double / nullif(word_chars, 0), 0), 'dup_line_pct': coalesce(n_dup_lines * 100.0::double / nullif(n_lines, 0), 0),
           'repeat_pct': coalesce(n_repeat_words * 100.0::double / nullif(n_words, 0), 0), 'digit_pct': coalesce(digits * 100.0::double / nullif(word_chars, 0), 0)}} as f
   from base),
-cells(rule, cutoff) as (values {_CELLS}),
+cells(step, rule, cutoff) as (values {_CELLS}),
+rejected as (select distinct doc_id, step from features, cells where f[rule] > cutoff),
+clean as (select doc_id, stratum from features where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+totals as (select stratum, count(*) as n from clean group by all),
+wrongs as (select stratum, step, count(*) as wrong from clean join rejected using (doc_id) group by all),
 counts as (
-  select stratum, rule, cutoff, count(*) as n, count(*) filter (f[rule] > cutoff) as wrong
-  from features, cells where not base_failed and doc_id in (select doc_id from labels where quality = 1) group by all),
+  select stratum, n, s.step, coalesce(wrong, 0) as wrong
+  from totals cross join (select distinct step from cells) s left join wrongs w using (stratum, step)),
 tested as (
   select *, count(*) over () as tests,
     list_sum(list_transform(range(0, wrong + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RISK}) + (n - i) * ln(1 - {_RISK})))) as tail
   from counts),
-cutoffs as (select stratum, rule, min(cutoff) as cutoff from tested where wrong <= n * {_RISK} and tail <= (1 - {_CONFIDENCE}) / tests group by all),
-failed as (select distinct doc_id from features join cutoffs using (stratum) where f[rule] > cutoff)
+chosen as (select stratum, min(step) as step from tested where wrong <= n * {_RISK} and tail <= (1 - {_CONFIDENCE}) / tests group by all),
+failed as (select distinct doc_id from features join chosen using (stratum) join rejected using (doc_id, step))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and doc_id not in (select doc_id from failed) as kept from features
 """
 
 OP5 = """
-with lines as (
-  select conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from conversations),
+with messages as (select distinct conv_id, turn, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
+lines as (
+  select conv_id, turn, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from messages),
 marked as (
   select *, regexp_extract(line, '^[ \\t]*((?:>[ \\t]?)+)', 1) as marks,
          lower(trim(regexp_replace(regexp_replace(line, '^[ \\t]*((?:>[ \\t]?)+)', ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) as content from lines),
 leveled as (select *, length(marks) - length(replace(marks, '>', '')) as level from marked),
-origins as (select conv_id, content, min(turn) as origin from leveled where level = 0 and content <> '' group by all),
+starts as (
+  select *, content <> '' and (lag(content) over w is null or lag(content) over w = '' or lag(level) over w <> level) as begins
+  from leveled window w as (partition by conv_id, turn, text order by pos)),
+numbered as (select *, count(*) filter (begins) over (partition by conv_id, turn, text order by pos) as run from starts),
+runs as (
+  select conv_id, turn, text, run, level, string_agg(content, ' ' order by pos) as whole, list(content) as contents
+  from numbered where content <> '' group by all),
+units as (
+  select conv_id, turn, text, run, level, 0 as kind, whole as unit from runs
+  union all select conv_id, turn, text, run, level, 1, unnest(string_split(regexp_replace(whole, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))) from runs
+  union all select conv_id, turn, text, run, level, 2, unnest(contents) from runs),
+origins as (select conv_id, unit, min(turn) as origin from units where level = 0 group by all),
 quoted as (
-  select l.conv_id, l.turn, l.pos, l.level, case when origin < l.turn then origin end as origin
-  from leveled l left join origins o on o.conv_id = l.conv_id and o.content = l.content where level > 0 and l.content <> ''),
+  select u.conv_id, u.turn, u.text, u.run, u.level, min(case when origin < u.turn then {'k': kind, 'o': origin} end).o as origin
+  from units u left join origins o on o.conv_id = u.conv_id and o.unit = u.unit where u.level > 0 group by all),
 links as (
-  select conv_id, turn, count(distinct pos) as n_quoted_lines, max(level) as max_quote_level,
-         count(distinct case when origin is not null then pos end) as n_linked_lines,
+  select conv_id, turn, count(*) as n_quoted, max(level) as max_quote_level, count(origin) as n_linked,
          max(case when origin is not null then {'l': -level, 'o': origin} end).o as origin from quoted group by all),
-bodies as (select conv_id, turn, trim(coalesce(string_agg(line, chr(10) order by pos) filter (marks = ''), '')) as body from marked group by all)
-select c.conv_id, c.turn, c.role, coalesce(l.origin, p.turn) as reply_to, coalesce(n_quoted_lines, 0) as n_quoted_lines,
-       coalesce(max_quote_level, 0) as max_quote_level, coalesce(n_linked_lines, 0) as n_linked_lines,
-       '<|' || coalesce(c.role, '') || '|>' || chr(10) || body as formatted
-from conversations c join bodies b using (conv_id, turn) left join links l using (conv_id, turn)
-left join (select distinct conv_id, turn from conversations) p on p.conv_id = c.conv_id and p.turn = c.turn - 1
+bodies as (
+  select c.conv_id, c.turn, c.role,
+         trim(array_to_string(list_filter(string_split(coalesce(c.text, ''), chr(10)), lambda x: not regexp_matches(x, '^[ \\t]*((?:>[ \\t]?)+)')), chr(10))) as body from conversations c),
+formatted as (
+  select distinct b.conv_id, b.turn, floor(b.turn / 256)::bigint as segment, '<|' || coalesce(b.role, '') || '|>' || chr(10) || body as formatted,
+         coalesce(l.origin, p.turn) as reply_to, coalesce(n_quoted, 0) as n_quoted, coalesce(n_linked, 0) as n_linked
+  from bodies b left join links l using (conv_id, turn)
+  left join (select distinct conv_id, turn from messages) p on p.conv_id = b.conv_id and p.turn = b.turn - 1),
+parted as (
+  select *, case when count(*) over s > 1024
+    then ('0x' || substr(md5(formatted), 1, 8))::bigint % ceil(count(*) over s / 1024.0)::bigint else 0 end as part
+  from formatted window s as (partition by conv_id, segment))
+select conv_id, segment, part, count(*) as n_messages, sum(n_quoted)::bigint as n_quoted, sum(n_linked)::bigint as n_linked,
+       string_agg(coalesce(turn::varchar, '-') || '>' || coalesce(reply_to::varchar, '-'), ' ' order by turn, formatted, reply_to) as replies,
+       string_agg(formatted, chr(10) order by turn, formatted, reply_to) as text
+from parted group by conv_id, segment, part
 """
 
 OP6 = """
 with lines as (
-  select doc_id, source, string_split(coalesce(text, ''), chr(10)) as ls from documents),
-rows as (select doc_id, source, ls, unnest(range(1, len(ls) + 1)) as pos from lines),
-held as (
-  select doc_id, source, pos, ls[pos] as line, trim(ls[pos]) as t,
-         right(coalesce(case when pos > 1 then ls[pos - 1] end, ''), 24) as before, left(coalesce(ls[pos + 1], ''), 24) as after from rows),
-spread as (
-  select t from held where t <> '' group by t
-  having count(distinct coalesce(source, chr(0))) >= 8 and count(distinct (before, after)) >= count(*) * 0.5),
-marked as (select *, t in (select t from spread) as gone from held)
-select doc_id, count(*) filter (t <> '') as n_lines, count(*) filter (gone) as n_removed_lines,
-       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
-from marked group by doc_id
+  select doc_id, coalesce(source, chr(0)) as site, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+rows as (select doc_id, site, ls, unnest(range(1, len(ls) + 1)) as pos from lines),
+held as (select doc_id, site, pos, ls[pos] as line, trim(ls[pos]) as t from rows),
+full_ as (
+  select *, row_number() over w as nth, right(lag(t) over w, 24) as before, left(lead(t) over w, 24) as after
+  from held where t <> '' window w as (partition by doc_id order by pos)),
+bodies as (select doc_id, list(t order by pos) as body from full_ group by all),
+spread as (select t from full_ group by t having count(distinct site) >= 8),
+marked as (select *, nth - row_number() over (partition by doc_id order by nth) as block from full_ where t in (select t from spread)),
+blocks as (select doc_id, block, min(nth) as low, max(nth) as high from marked group by all),
+sides as (
+  select k.doc_id, k.block, x.before, y.after from blocks k
+  join full_ x on x.doc_id = k.doc_id and x.nth = k.low join full_ y on y.doc_id = k.doc_id and y.nth = k.high),
+places as (
+  select m.doc_id, m.pos, m.t, m.site, s.before, s.after, case when s.before is null and s.after is null then body end as body
+  from marked m join sides s using (doc_id, block) join bodies using (doc_id)),
+firsts as (select t, before, after, body, arg_min(site, doc_id) as site from places group by t, before, after, body),
+boilerplate as (select t from firsts group by t having count(distinct site) >= 8),
+gone as (select doc_id, pos from places where t in (select t from boilerplate))
+select h.doc_id, count(*) filter (t <> '') as n_lines, count(g.pos) as n_removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) order by h.pos) filter (g.pos is null), '')) as kept_sha256
+from held h left join gone g on g.doc_id = h.doc_id and g.pos = h.pos group by h.doc_id
 """
 
 OP7 = """

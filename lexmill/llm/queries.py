@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .chat_format import chat_format
+from .chat_format import assembled, chat_format
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -50,11 +50,11 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format(_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "reply_to", "n_quoted_lines", "max_quote_level", "n_linked_lines", "formatted")
+    return assembled(chat_format(_table(spark, sf_dir, "conversations")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup(_table(spark, sf_dir, "documents"), min_independence=0.5)  # the rule of its SQL
+    cleaned = line_dedup(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed_lines", _sha("text").alias("kept_sha256"))
 
 

@@ -1,21 +1,26 @@
 """Each operator against brute force on tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexmill.llm.chat_format import chat_format
+from lexmill.llm.chat_format import assembled, chat_format
 from lexmill.llm.components import components
 from lexmill.llm.exact_dedup import exact_dedup
 from lexmill.llm.hashing import shingle_sets
 from lexmill.llm.line_dedup import line_dedup
 from lexmill.llm.mixing import mix_sources
 from lexmill.llm.ngram_join import Block, count_vector, folded, linked, ngram_join, prefixes
-from lexmill.llm.quality import quality_rules
+from lexmill.llm.quality import GRIDS, quality_rules
+from lexmill.llm.queries import ORACLE_SQL, QUERIES
+from lexmill.llm.shared import drop_written
 from lexmill.llm.suffix_dedup import suffix_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -101,6 +106,37 @@ def test_learned_cutoffs_respect_the_risk(spark):
     assert all(r.kept == (r.doc_id % 10 != 0) for r in got)
 
 
+def test_the_union_of_the_rules_keeps_to_the_risk(spark):
+    """Six rules that each reject 0.8 percent of clean documents reject 4.8 together: none may be chosen at that level."""
+    rng = random.Random(2)
+    marks = {0: "$$$$", 1: "wow!!", 2: "ABCDE", 3: "12345"}
+    rows = []
+    for i in range(6000):
+        words = ["w" + "".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(12)]
+        if i % 125 < 4:  # four rules, other documents each
+            words[:6] = [w + marks[i % 125] for w in words[:6]]
+        rows.append((i, " ".join(words), "en"))
+    rows += [(9000 + i, " ".join(["w$$$$$$$$" + str(rng.randrange(10**6)) for _ in range(12)]), "en") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_lm_words", F.lit(7))
+    clean = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+    got = quality_rules(frame, clean).collect()
+    assert sum(not r.kept for r in got if r.doc_id < 6000) <= 60  # 1 percent of 6000
+    assert all(not r.kept for r in got if r.doc_id >= 9000)
+    assert got[0]._lm_words == 7
+    none = quality_rules(frame, clean.filter("false")).collect()
+    assert all(r.kept != r.base_failed and not r.failed_rules for r in none)
+    assert len({len(g) for g in GRIDS.values()}) == 1
+
+
+def test_a_null_stratum_is_its_own(spark):
+    rows = [(i, " ".join(f"v{i}x{k}" for k in range(12)) + ("".join(f" {i}0{k}123456" for k in range(12)) if i >= 2000 else ""), [None, "", "null"][i % 3]) for i in range(2010)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 2000) if i % 3], "doc_id long, quality int")
+    got = quality_rules(frame, labels).collect()
+    assert len(got) == 2010 and all(r.kept for r in got if r.lang is None)
+    assert all(r.doc_id >= 2000 for r in got if not r.kept)
+
+
 def test_mixing(spark, docs):
     frame, rows = docs
     mixed = mix_sources(frame).collect()
@@ -116,13 +152,23 @@ def test_mixing(spark, docs):
     assert abs(sizes["a"] - 10000) < 400 and abs(sizes["b"] - 10000) < 400
 
 
-def test_mixing_at_a_high_rate(spark):
-    rows = [(i, "t", "tiny") for i in range(20)] + [(100 + i, "b" * 1599, "big") for i in range(20)]
-    weights = spark.createDataFrame([("tiny", 0.5), ("big", 0.5)], "source string, weight double")
-    mixed = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights)
-    counts = [r.n_copies for r in mixed.filter("source = 'tiny'").select("doc_id", "n_copies").distinct().collect()]
-    assert len(counts) == 20 and len(set(counts)) > 5  # Poisson at a rate of 800
-    assert all(abs(n - 800) < 6 * 800**0.5 for n in counts) and abs(sum(counts) / 20 - 800) < 6 * (800 / 20) ** 0.5
+def test_mixing_counts_invert_the_poisson_distribution(spark):
+    rows = [(i, "t", "tiny") for i in range(20)] + [(100 + i, "b" * 9999, "big") for i in range(20)] + [(200, "x", "mid"), (201, "y" * 60, None), (None, "z", "mid")]
+    # Repeated sources add up; null, negative and NaN weights are 0.
+    weights = [("tiny", 0.25), ("tiny", 0.25), ("big", 0.5), ("mid", None), ("mid", -3.0), (None, float("nan")), ("unknown", 0.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_lm_unit", F.lit("mine"))
+    mixed = mix_sources(frame, spark.createDataFrame(weights, "source string, weight double")).collect()
+    counts = Counter(r.doc_id for r in mixed)
+    assert {r.source for r in mixed} == {"tiny", "big"} and all(r._lm_unit == "mine" for r in mixed)
+    chars = sum(len(t) for _, t, _ in rows)
+    rates = {"tiny": chars / 2 / 20, "big": chars / 2 / 199_980}
+    assert rates["tiny"] > 4000
+    for i, _, source in rows[:40]:
+        u = int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        rate, k, cdf = rates[source], 0, 0.0
+        while (cdf := cdf + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= u:
+            k += 1
+        assert abs(counts[i] - k) <= (source == "tiny")  # at rate 5000 the sums may differ in the last bits
 
 
 def test_line_dedup(spark):
@@ -148,30 +194,83 @@ def test_line_dedup_judges_blocks(spark):
     rows += [(5000 + i, f"{i} unlike\nMirrored footer", "s1") for i in range(40)] + [(6000 + i, "0 unlike\nMirrored footer", f"s{i}") for i in range(20)]
     rows += [(None, "copy one\n \ncopy two", f"s{i % 20}") for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = line_dedup(frame).collect()
-    assert len(got) == len(rows)
+    got = line_dedup(frame.withColumns({"n_lines": F.lit("x"), "_lm_removed": F.lit(1)})).collect()
+    assert len(got) == len(rows) and got[0]._lm_removed == 1
     own, rest = [r for r in got if r.doc_id is not None and r.doc_id < 5000], [r for r in got if r.doc_id is None or r.doc_id >= 5000]
     assert all((r.text, r.n_lines, r.n_removed_lines) == (f"own opening {r.doc_id % 100}\n", 4, 3) for r in own)
     assert all(r.n_removed_lines == 0 for r in rest)  # one site's footer in copies, and a copied text
 
 
+def test_line_dedup_near_the_threshold_equals_its_sql(spark, tmp_path):
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):  # lines on 4 to 13 sites, many near the limit of 8
+        sites = 4 + k % 10
+        rows += [(1000 * k + i, f"{rng.random()}\nshared {k}\n \n{rng.random()}", f"s{i % sites}" if i % sites else None) for i in range(sites * 3)]
+    rows += [(70_000 + i, None, "s1") for i in range(3)] + [(80_000 + i, "shared 5\nshared 6", f"s{i}") for i in range(12)] + [(90_000, "word " * 100_000, "s2")]
+    frame = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_line_dedup"](spark, str(tmp_path))
+    duckdb.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(ORACLE_SQL["op6_line_dedup"])
+    found = Counter(tuple(r[c] for c in want.columns) for r in got.collect())
+    assert found == Counter(want.fetchall())
+    removed = {r.doc_id // 1000 for r in got.collect() if r.n_removed_lines and r.doc_id < 60_000}
+    assert removed == {k for k in range(60) if 4 + k % 10 >= 8}
+    assert line_dedup(empty(spark)).count() == 0
+    twice = frame.filter("doc_id < 10000").unionAll(frame.filter("doc_id < 10000")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert line_dedup(twice).count() == twice.count()
+    assert drop_written(spark) > 0
+
+
+CHAT = [
+    (1, 0, "user", "Hello there. How does one wrap\nlong lines in a mail?\n\nSecond line"),
+    (1, 1, "assistant", "Answer one"),
+    (1, 2, "user", "> Answer  ONE\n>> hello there. how does\n>> one wrap long\n>> lines in a mail?\nI disagree"),
+    (1, 3, "assistant", "> Second line\n>\n> never said\nok"),
+    (1, 4, "user", "> How does one\n> wrap long lines in a mail?\n  > I disagree"),
+    (2, 0, None, None),
+    (2, 1, "user", "> later words"),
+    (2, 2, "assistant", "later words"),
+    (None, 5, "user", "> x"),
+    (3, None, "user", "> y"),
+    (1, 1, "assistant", "Answer one"),
+    *[(4, t, "user", f"> turn {t - 1}\nturn {t}") for t in range(600)],
+    *[(5, 7, "user", f"reused id {i}") for i in range(1500)],
+]
+
+
 def test_chat_format(spark):
-    rows = [
-        (1, 0, "user", "Hello there\nSecond line"),
-        (1, 1, "assistant", "Answer one"),
-        (1, 2, "user", "> Answer  ONE\n>> hello there\nI disagree"),
-        (1, 3, "assistant", "> Second line\n> never said\nok"),
-        (2, 0, None, None),
-        (None, 5, "user", "> x"),
-        (1, 1, "assistant", "Answer one"),
-    ]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): r for r in chat_format(frame).collect()}
-    assert chat_format(frame).count() == len(rows)
+    frame = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string").repartition(3)
+    rows = chat_format(frame).collect()
+    got = {(r.conv_id, r.turn): r for r in rows}
+    assert len(rows) == len(CHAT)
     assert got[1, 0].reply_to is None and got[1, 1].reply_to == 0
-    assert (got[1, 2].reply_to, got[1, 2].body, got[1, 2].n_quoted_lines, got[1, 2].max_quote_level) == (1, "I disagree", 2, 2)
-    assert (got[1, 3].reply_to, got[1, 3].n_linked_lines, got[1, 3].formatted) == (0, 1, "<|assistant|>\nok")
-    assert got[2, 0].formatted == "<||>\n" and got[None, 5].reply_to is None
+    r = got[1, 2]  # a quotation that was wrapped anew, two levels
+    assert (r.reply_to, r.body, r.n_quoted, r.n_linked, r.max_quote_level) == (1, "I disagree", 2, 2, 2)
+    assert (got[1, 3].reply_to, got[1, 3].n_quoted, got[1, 3].n_linked, got[1, 3].formatted) == (0, 2, 1, "<|assistant|>\nok")
+    assert (got[1, 4].n_quoted, got[1, 4].n_linked, got[1, 4].reply_to) == (1, 1, 0)  # a sentence of it, wrapped anew
+    assert got[2, 0].formatted == "<||>\n" and got[None, 5].reply_to is None and got[3, None].n_quoted == 0
+    assert (got[2, 1].n_linked, got[2, 1].reply_to) == (0, 0)  # said later only
+    assert all(got[4, t].reply_to == t - 1 and got[4, t].n_linked == 1 for t in range(1, 600))
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, body int, _lm_text string")
+    assert chat_format(none).count() == 0 and "_lm_text" in chat_format(none).columns
+    assert assembled(chat_format(none)).count() == 0
+
+
+def test_conversations_equal_their_sql(spark, tmp_path):
+    frame = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string").repartition(3)
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op5_chat_format"](spark, str(tmp_path))
+    duckdb.sql(f"create or replace view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duckdb.sql(ORACLE_SQL["op5_chat_format"])
+    assert sorted(want.columns) == sorted(got.columns)
+    rows = Counter(tuple(r[c] for c in want.columns) for r in got.collect())
+    assert rows == Counter(want.fetchall())
+    by_key = {r[:3]: r for r in want.fetchall()}
+    assert by_key[4, 1, 0][3] == 256 and by_key[4, 1, 0][6].startswith("256>255 257>256")
+    assert by_key[1, 0, 0][7].startswith("<|user|>\nHello there.") and ">> hello" not in by_key[1, 0, 0][7]
+    assert sum(r[3] for r in want.fetchall() if r[0] == 5) == 1500 and len([r for r in want.fetchall() if r[0] == 5]) == 2
 
 
 def shingles(text, width):

@@ -1,5 +1,6 @@
 """Tokenizers and the toxicity model: library comparisons, round trips and held-out accuracy."""
 
+import itertools
 import random
 import re
 import struct
@@ -7,10 +8,11 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm.piece_codec import PieceCodec, piece_codec, unpack
 from lexmill.llm.token_count import LongestMatch, token_count, word_pieces
-from lexmill.llm.toxicity import Restorer, letter_model, toxicity
+from lexmill.llm.toxicity import CODE, SIZE, Restorer, letter_model, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 MODEL = P.path("piece_bpe_32k.model")
@@ -103,3 +105,42 @@ def test_restorer(spark):
     restorer = Restorer(letter_model(spark.createDataFrame(rows, "doc_id long, text string"), "text"))
     for written, meant in [("1d10t", "idiot"), ("m0r0n", "moron"), ("idiooot", "idiot"), ("c1own", "clown"), ("id*ot", "idiot")]:
         assert meant in restorer.restore(written)
+
+
+def test_viterbi_equals_enumeration(spark):
+    """The best reading of short words, out of all readings of the lattice scored one by one."""
+    rows, _ = corpus()
+    restorer = Restorer(letter_model(spark.createDataFrame(rows, "doc_id long, text string"), "text"))
+
+    def score(letters, cost):
+        a = b = 0
+        total = -cost
+        for c in [*(CODE[x] for x in letters), 0]:
+            total += restorer.model[(a * SIZE + b) * SIZE + c]
+            a, b = b, c
+        return total
+
+    rng = random.Random(9)
+    words = ["1d10t", "m0r0n", "i.d.i.o.t", "cl0wn", "aabb", "a@@b"] + ["".join(rng.choice("aio10@.$l") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    for word in words:
+        lattice = [restorer.readings(c, len(list(run))) for c, run in itertools.groupby(word)]
+        paths = [("".join(x for x, _ in path), sum(c for _, c in path)) for path in itertools.product(*lattice)]
+        best = max(score(*p) for p in paths)
+        found = restorer.decode(word)
+        assert any(text == found and abs(score(text, cost) - best) < 1e-9 for text, cost in paths), word
+
+
+def test_toxicity_edges(spark):
+    rows, labels = corpus(300)
+    schema = "doc_id long, text string"
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    frame = spark.createDataFrame(rows + rows + [(7, "word " * 50_000)], schema).withColumns({"score": F.lit("mine"), "toxic": F.lit(1)})
+    got = toxicity(frame, marks, sample=100).collect()
+    assert len(got) == 2 * len(rows) + 1 and all(0 <= r.score <= 1 for r in got)
+    assert len({(r.doc_id, r.text, r.score) for r in got}) == len(set(rows)) + 1
+    assert toxicity(spark.createDataFrame([], schema), marks).count() == 0
+
+
+def test_token_count_of_an_empty_table(spark):
+    initial, continuing = word_pieces(MODEL)
+    assert token_count(spark.createDataFrame([], "text string, n_words int"), initial, continuing).count() == 0
