@@ -1,22 +1,35 @@
-"""Okapi BM25 over sections: a postings table joined to all questions at once."""
+"""Okapi BM25 over sections: a stored postings table, and all questions answered at once.
+
+Scoring everything that shares a word with a question would read the postings of its commonest words, which say
+least. A question's rarest words give a lower bound of its ``k``-th best score first; words that together cannot
+reach that bound are then only looked up for chunks that the others leave in the race. Scores are exact.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
+from ..session import stored
 
 # The ranking's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 KEY = ["doc_id", "section_pos"]
+#: Postings of a question's rarest words that give its first bound, for each chunk asked for.
+SEED_POSTINGS = 40
+#: Scores are rounded to nine digits; bounds allow for that.
+SLACK = 1e-6
 
 
 @dataclass
 class Bm25Index:
-    """chunks(doc_id, section_pos, chunk_id, length), postings(term, doc_id, section_pos, tf), terms(term, df, idf), stats."""
+    """chunks(doc_id, section_pos, chunk_id, length), postings(term, doc_id, section_pos, length, tf), terms(term, df, idf, most), stats.
+
+    ``most`` is the largest weight that a posting of the term gives its idf.
+    """
 
     chunks: DataFrame
     postings: DataFrame
@@ -24,22 +37,38 @@ class Bm25Index:
     stats: DataFrame
 
 
+def weight_of(tf: Column, length: Column, mean_length: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+
+
 def term_stats(postings: DataFrame, stats: DataFrame) -> DataFrame:
     """Document frequency and idf; a negative idf becomes EPSILON times the mean idf."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = postings.crossJoin(F.broadcast(stats)).withColumn("part", weight_of(F.col("tf"), F.col("length"), F.col("mean_length")))  # one row
+    df = weighted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
     raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
+        "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "most"
     )
 
 
 def build(sections: DataFrame) -> Bm25Index:
+    """The index of ``sections(doc_id, section_pos, chunk_id, content)``; postings and term statistics are written once."""
     tokens = sections.select(*KEY, "chunk_id", ws_tokens(F.col("content")).alias("tokens"))
-    chunks = tokens.select(*KEY, "chunk_id", F.size("tokens").alias("length"))
+    chunks = stored(tokens.select(*KEY, "chunk_id", F.size("tokens").alias("length")))
     stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))  # one row
-    postings = tokens.select(*KEY, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", *KEY, "length").agg(F.count(F.lit(1)).alias("tf"))
-    return Bm25Index(chunks, postings, term_stats(postings, stats), stats)
+    found = tokens.select(*KEY, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", *KEY, "length").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stored(found)
+    return Bm25Index(chunks, postings, stored(term_stats(postings, stats)), stats)
+
+
+def save(index: Bm25Index, path: str) -> None:
+    for name in ("chunks", "postings", "terms", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "terms", "stats")))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -47,30 +76,66 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(ws_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def asked_terms(index: Bm25Index, questions: DataFrame) -> DataFrame:
+    """question_id, term, df, weight and bound, the most that the term adds to a score."""
+    weight = F.col("qtf") * F.col("idf")
+    return query_terms(questions).join(index.terms, "term").select("question_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound"))
+
+
+def parts(index: Bm25Index, asked: DataFrame) -> DataFrame:
+    """question_id, doc_id, section_pos and the part of the score of each posting of the terms asked for."""
+    part = F.col("weight") * weight_of(F.col("tf"), F.col("length"), F.col("mean_length"))
+    return index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("mean_length"))).withColumn("part", part)
+
+
 def scores(index: Bm25Index, questions: DataFrame) -> DataFrame:
-    """question_id, doc_id, section_pos, score for chunks that share a term."""
-    weighted = query_terms(questions).join(index.terms, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / norm
-    return (
-        index.postings.join(weighted, "term")
-        .crossJoin(F.broadcast(index.stats.select("mean_length")))
-        .groupBy("question_id", *KEY)
-        .agg(F.round(F.sum(part), 9).alias("score"))
-    )
+    """question_id, doc_id, section_pos, score for all chunks that share a term."""
+    return parts(index, asked_terms(index, questions)).groupBy("question_id", *KEY).agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def contenders(index: Bm25Index, questions: DataFrame, k: int) -> DataFrame:
+    """``scores`` of at least all chunks that can be among the ``k`` best of a question that has ``k`` positive scores."""
+    asked = stored(asked_terms(index, questions))
+    rare = Window.partitionBy("question_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # one question's words
+    seeds = asked.filter("weight > 0").withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < SEED_POSTINGS * k)
+    first = parts(index, seeds.drop("before")).groupBy("question_id", *KEY).agg(F.sum("part").alias("low"))
+    nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("low")))
+    kth = first.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("question_id").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    # Words of a negative weight can only lower a score, by their bound at most.
+    lowered = asked.groupBy("question_id").agg(F.sum(F.least("bound", F.lit(0.0))).alias("lowered"))
+    reach = kth.join(lowered, "question_id").select("question_id", (F.col("low") + F.col("lowered") - SLACK).alias("reach")).filter("reach > 0")
+    weak = Window.partitionBy("question_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = asked.join(reach, "question_id", "left").withColumn("sum", F.sum(F.greatest("bound", F.lit(0.0))).over(weak))
+    ranked = stored(ranked.withColumn("idle", F.coalesce(F.col("sum") < F.col("reach"), F.lit(False))))
+    rest = ranked.groupBy("question_id").agg(F.max("reach").alias("reach"), F.sum(F.when(F.col("idle"), F.greatest("bound", F.lit(0.0))).otherwise(0.0)).alias("more"))
+    met = parts(index, ranked.filter("not idle").select("question_id", "term", "weight")).groupBy("question_id", *KEY).agg(F.sum("part").alias("some"))
+    met = stored(met)
+    # What is known now bounds the k-th best score better than the rarest words did.
+    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("some")))).filter(F.col("nth") == k)
+    rest = rest.join(best.select("question_id", "some").withColumnRenamed("some", "known"), "question_id", "left").join(lowered, "question_id")
+    reached = F.when(F.col("reach").isNotNull(), F.greatest("reach", F.col("known") + F.col("lowered") - SLACK))
+    rest = rest.select("question_id", "more", reached.alias("reach"))
+    left = stored(met.join(rest, "question_id").filter("reach is null or some + more >= reach").select("question_id", *KEY, "some"))
+    # Of the idle words only the postings of chunks still in the race.
+    idle = index.postings.join(left.select("question_id", *KEY), KEY).join(ranked.filter("idle").select("question_id", "term", "weight"), ["question_id", "term"])
+    part = F.col("weight") * weight_of(F.col("tf"), F.col("length"), F.col("mean_length"))
+    added = idle.crossJoin(F.broadcast(index.stats.select("mean_length"))).groupBy("question_id", *KEY).agg(F.sum(part).alias("rest"))
+    return left.join(added, ["question_id", *KEY], "left").select("question_id", *KEY, F.round(F.col("some") + F.coalesce("rest", F.lit(0.0)), 9).alias("score"))
 
 
 def top_k(index: Bm25Index, questions: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` chunks of each question, ties by position; chunks without a shared term score 0 and fill up."""
-    scored = scores(index, questions)
+    scored = stored(contenders(index, questions, k))
     positive = questions.select("question_id").join(
         scored.groupBy("question_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count(F.lit(1)).alias("met")), "question_id", "left"
     ).fillna(0)
     short = positive.filter(F.col("above") < k)
     most = short.agg(F.max("met")).first()[0]
     if most is not None:  # some question has fewer than k positive scores: the earliest chunks stand in at 0
-        first = index.chunks.select(*KEY).orderBy(*KEY).limit(k + int(most))
-        fill = short.select("question_id").crossJoin(F.broadcast(first)).join(scored, ["question_id", *KEY], "left_anti").withColumn("score", F.lit(0.0))
+        by_place = Window.orderBy(*KEY)  # over the first rows only
+        first = index.chunks.select(*KEY).orderBy(*KEY).limit(k + int(most)).withColumn("place", F.row_number().over(by_place))
+        wanted = short.select("question_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.col("met")).cast("int"))).alias("place"))
+        fill = wanted.join(first, "place").join(scored, ["question_id", *KEY], "left_anti").select("question_id", *KEY, F.lit(0.0).alias("score"))
         scored = scored.unionByName(fill)
     by = Window.partitionBy("question_id").orderBy(F.desc("score"), *KEY)
     ranked = scored.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= k)

@@ -30,6 +30,28 @@ def matched(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return retrieved.join(first, ["question_id", "rank", "chunk_id"], "left")
 
 
+def containing(docs: DataFrame, questions: DataFrame, width: int = 4) -> DataFrame:
+    """(question_id, doc_id) where a document's text holds a question's.
+
+    A question's second to fifth words stand whole in any text that holds it, so their hash finds candidates by an
+    equi-join with the hashes of all runs of four words; questions of fewer than six words are compared with every text.
+    """
+    words = lambda c: F.filter(F.split(c, "(?U)\\s+"), lambda w: w != "")
+
+    def run(tokens, i):
+        return F.xxhash64(*[F.get(tokens, i + k) for k in range(width)])
+
+    asked = questions.select("question_id", "question", words(F.col("question")).alias("w"))
+    long, short = asked.filter(F.size("w") >= width + 2), asked.filter(F.size("w") < width + 2)
+    keyed = docs.select("doc_id", "text", words(F.col("text")).alias("w")).filter(F.size("w") >= width)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: run(F.col("w"), i)))
+    # Hashes meet before texts do: only the texts of candidates are looked at.
+    met = keyed.select("doc_id", F.explode(runs).alias("h")).join(long.select("question_id", "question", run(F.col("w"), F.lit(1)).alias("h")), "h")
+    found = met.select("question_id", "question", "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("question")))
+    few = docs.join(short, F.contains("text", F.col("question")))
+    return found.select("question_id", "doc_id").unionByName(few.select("question_id", "doc_id")).distinct()
+
+
 def metrics(retrieved: DataFrame, expected: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """Recall, precision, hit, MRR and NDCG at ``k`` for every question; unlabelled ones score 0."""
     hits = matched(retrieved, expected)
