@@ -43,15 +43,17 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.dropDuplicates(["source", "type", "target"])
 
 
-def expand(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True, backwards: bool = False) -> DataFrame:
+def expand(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True, backwards: bool = False, chain: bool = False) -> DataFrame:
     """Trails from ``start(fqn)`` up to ``depth`` edges: (start, fqn, hops, path); no edge repeats in a trail.
 
+    With ``chain``, ``relationship_chain`` has the types of the edges in order.
     One join for each hop against the edge table; the plan is unrolled, so its depth is fixed.
     """
-    forward = edges.select("edge_id", F.col("source").alias("here"), F.col("target").alias("there"))
-    back = edges.select("edge_id", F.col("target").alias("here"), F.col("source").alias("there"))
+    kind = F.col("type") if chain else F.lit("")
+    forward = edges.select("edge_id", F.col("source").alias("here"), F.col("target").alias("there"), kind.alias("kind"))
+    back = edges.select("edge_id", F.col("target").alias("here"), F.col("source").alias("there"), kind.alias("kind"))
     steps = back if backwards else forward if directed else forward.unionByName(back)
-    front = start.select(F.col("fqn").alias("start"), "fqn", F.lit(0).alias("hops"), F.array("fqn").alias("path"), F.array().cast("array<string>").alias("used"))
+    front = start.select(F.col("fqn").alias("start"), "fqn", F.lit(0).alias("hops"), F.array("fqn").alias("path"), F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("relationship_chain"))
     found = None
     for _ in range(depth):
         front = front.join(steps, front.fqn == steps.here).filter(~F.array_contains("used", F.col("edge_id"))).select(
@@ -60,9 +62,10 @@ def expand(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True
             (F.col("hops") + 1).alias("hops"),
             F.concat("path", F.array("there")).alias("path"),
             F.concat("used", F.array("edge_id")).alias("used"),
+            F.concat("relationship_chain", F.array("kind")).alias("relationship_chain"),
         )
         found = front if found is None else found.unionByName(front)
-    return found.drop("used")
+    return found.drop("used") if chain else found.drop("used", "relationship_chain")
 
 
 def shared_neighbours(edges: DataFrame) -> DataFrame:

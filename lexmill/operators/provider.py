@@ -14,7 +14,7 @@ from ..functions.text import ws_tokens
 
 @dataclass
 class Provider:
-    """Column functions; a user's provider wraps its client in a pandas UDF."""
+    """Column functions; a user's provider wraps its client in a pandas UDF. ``judge`` replies with text that holds a JSON object."""
 
     generate: Callable[[Column], Column]
     judge: Callable[[Column, Column], Column]
@@ -36,7 +36,7 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
 
 STUB = Provider(
     generate=lambda prompt: F.lit(""),
-    judge=lambda answer, reference: F.lit(None).cast("double"),
+    judge=lambda answer, reference: F.lit(None).cast("string"),
     rerank=lambda question, passage: F.lit(0.5),
     summarize=lambda text: F.substring(text, 1, 200),
     embed=hashed_embedding,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import substring_intent
-from . import bm25, chunking, fusion, tree, vector
+from . import bm25, chunking, fusion, knowledge, tree, vector
 from .provider import STUB, Provider
 
 
@@ -72,8 +72,18 @@ class QnaPairs(Vector):
     name = "qna_pairs"
 
     def build(self, docs):
+        self.pairs = docs
         self.vectors = docs.select(F.concat(F.lit("qna:"), F.col("pair_id")).alias("vec_id"), self.provider.embed(F.col("question")).alias("embedding"))
 
+    def answers(self, questions):
+        """question_id, answer, mode: the best match's stored answer as it is where the questions agree in any case, else rephrased."""
+        best = self.retrieve(questions, 1).select("question_id", F.regexp_replace("chunk_id", "^qna:", "").alias("key"))
+        stored_pairs = self.pairs.select(F.col("pair_id").cast("string").alias("key"), F.col("question").alias("stored"), F.col("answer").alias("held"))
+        met = questions.select("question_id", "question").join(best, "question_id").join(stored_pairs, "key")
+        same = F.lower(F.trim("question")) == F.lower(F.trim("stored"))
+        prompt = F.concat_ws("\n", F.col("question"), F.col("held"))
+        return met.select("question_id", F.when(same, F.col("held")).otherwise(self.provider.generate(prompt)).alias("answer"), F.when(same, "exact").otherwise("rephrase").alias("mode"))
+
 
 class Raptor(Vector):
     """Windows, and above them summaries of clusters of a fifth of their number."""
@@ -111,8 +121,35 @@ class PageIndex(Strategy):
         return questions.select("question_id").crossJoin(F.broadcast(first.select(F.concat(F.lit("pageindex:"), F.col("node_id")).alias("chunk_id"), F.lit(1.0).alias("score"), "rank")))
 
 
+class KnowledgeGraph(Strategy):
+    """Templates over a graph, full text where they find nothing. Without a graph a question gets no chunks.
+
+    ``load`` takes nodes(fqn, type, name, description) and edges(edge_id, source, target, type); ``build`` reads them
+    out of documents with the provider.
+    """
+
+    name = "knowledge_graph"
+
+    def load(self, nodes, edges):
+        self.nodes, self.edges = nodes, edges
+
+    def build(self, docs):
+        sections = chunking.sections(docs).select("doc_id", F.col("chunk_id").alias("section_id"), F.lit("").alias("title"), "content")
+        entities, relations = knowledge.extract_graph(sections, self.provider)
+        nodes = entities.groupBy("type", "fqn").agg(F.min("name").alias("name"), F.min("description").alias("description"))
+        edges = relations.select("source", "target", "type").distinct().withColumn("edge_id", F.concat_ws("|", "source", "type", "target"))
+        self.load(nodes.select("fqn", "type", "name", "description"), edges)
+
+    def retrieve(self, questions, k=5):
+        found = knowledge.ask(self.edges, self.nodes, questions, provider=self.provider).filter(F.col("rank") <= k)
+        return found.select("question_id", F.concat(F.lit("graph:"), "fqn").alias("chunk_id"), (1.0 / F.col("rank")).alias("score"), "rank")
+
+
 class Hybrid(Strategy):
-    """Factoid questions go to vectors, others to both legs, merged by raw score."""
+    """Factoid questions go to vectors, relational ones to the graph, others to both, merged by raw score.
+
+    Without a graph the lexical leg stands in for it.
+    """
 
     name = "hybrid"
 
@@ -121,14 +158,21 @@ class Hybrid(Strategy):
         for leg in self.legs:
             leg.build(docs)
 
+    def load(self, nodes, edges):
+        """Use a graph instead of the lexical leg."""
+        self.legs[1] = KnowledgeGraph(self.provider)
+        self.legs[1].load(nodes, edges)
+
     def retrieve(self, questions, k=5):
         routed = questions.withColumn("intent", substring_intent(F.col("question")))
-        vectors, words = self.legs
-        parts = [vectors.retrieve(routed, k), words.retrieve(routed.filter("intent <> 'factoid'"), k)]
+        vectors, other = self.legs
+        with_graph = isinstance(other, KnowledgeGraph)
+        dense = routed.filter("intent <> 'relational'") if with_graph else routed
+        parts = [vectors.retrieve(dense, k), other.retrieve(routed.filter("intent <> 'factoid'"), k)]
         return fusion.merge_traces(parts, k).select("question_id", "chunk_id", "score", F.col("place").alias("rank"))
 
 
-STRATEGIES: dict[str, type[Strategy]] = {s.name: s for s in (Bm25, Vector, ContextualVector, QnaPairs, Raptor, PageIndex, Hybrid)}
+STRATEGIES: dict[str, type[Strategy]] = {s.name: s for s in (Bm25, Vector, ContextualVector, QnaPairs, Raptor, PageIndex, KnowledgeGraph, Hybrid)}
 
 
 def strategy(name: str, provider: Provider = STUB) -> Strategy:

@@ -36,6 +36,18 @@ def leaf_counts(tree: DataFrame) -> DataFrame:
     return leaves.groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaves"))
 
 
+def leaves_below(tree: DataFrame, depth: int = 8) -> DataFrame:
+    """(node_id, leaves) for ``tree(node_id, parent_id)``: how many leaves are below each node; a leaf counts itself."""
+    parents = tree.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()
+    up = tree.join(parents, "node_id", "left_anti").select(F.col("node_id").alias("leaf"), "node_id", "parent_id")
+    above = tree.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("next"))
+    found = up.select("leaf", "node_id")
+    for _ in range(depth):
+        up = up.filter("parent_id is not null").join(above, "parent_id").select("leaf", F.col("parent_id").alias("node_id"), F.col("next").alias("parent_id"))
+        found = found.unionByName(up.select("leaf", "node_id"))
+    return found.groupBy("node_id").agg(F.countDistinct("leaf").alias("leaves"))
+
+
 def beam(tree: DataFrame, depth: int = 4, width: int = 3) -> DataFrame:
     """Nodes chosen with the stub scorer, which takes the first ``width`` candidates in order of each document's level."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))

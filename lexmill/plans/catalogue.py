@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import arena, bm25, chunking, fusion, graph, ir, resolve, scoring, sessions, tree, vector
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ stats as (select count(*) as n, avg(len(tokens)) as mean_length from sections),
 tokens as (select doc_id, section_pos, len(tokens) as length, unnest(tokens) as term from sections),
 postings as (select term, doc_id, section_pos, length, count(*) as tf from tokens group by all),
 raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from postings, stats group by term),
-terms as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+terms as (select term, df, case when raw < 0 then 0.25 * avg(raw) over () else raw end as idf from raw),
 qt as (select item_id as question_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as term from benchmark),
 q as (select question_id, term, count(*) as qtf from qt group by all),
 scores as (
@@ -82,15 +82,12 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.sections(table(spark, sf, "documents").select("doc_id", "text"))
+    return chunking.sections(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def _expected(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a whole benchmark passage: a passage's eight first words find candidates, containment decides."""
-    questions = _questions(spark, sf)
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    pairs = docs.join(F.broadcast(questions), F.contains(F.col("text"), F.col("question")))
-    return pairs.select("question_id", F.col("doc_id").cast("string").alias("expected_id"))
+    """Documents that hold a whole benchmark passage: four of a passage's inner words find candidates, containment decides."""
+    return ir.containing(spread(table(spark, sf, "documents").select("doc_id", "text")), _questions(spark, sf)).select("question_id", F.col("doc_id").cast("string").alias("expected_id"))
 
 
 # Sections and chunks -------------------------------------------------------------------------------------
@@ -192,12 +189,18 @@ def bm25_ir_summary(spark, sf):
     return ir.summary(bm25_ir_metrics(spark, sf))
 
 
-@query("with m(id) as (values ('doc::sec::0'), ('L0:doc::sec::1'), ('foo:doc::sec'), ('qna:doc::other'), ('documentation::0'), ('graph:doc')), e(x) as (values ('doc::sec'), ('doc')), c as (select id, regexp_replace(id, '^(L0:|L1:|L2:|qna:|graph:|pageindex:)', '') as bare from m) select c.id as chunk_id, max_by(e.x, length(e.x)) as hit from c left join e on bare = x or starts_with(bare, x || '::') group by c.id")
+@query("with r as (select l_orderkey as question_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rank, (['', 'L0:', 'qna:', 'foo:'])[l_partkey % 4 + 1] || 'd' || (l_partkey % 50) || '::s' || (l_suppkey % 5) || '::' || l_linenumber as chunk_id from lineitem), e as (select distinct l_orderkey as question_id, unnest(['d' || (l_partkey % 50), 'd' || (l_partkey % 50) || '::s' || (l_suppkey % 3)]) as x from lineitem where l_linenumber < 3), c as (select *, regexp_replace(chunk_id, '^(L0:|L1:|L2:|qna:|graph:|pageindex:)', '') as bare from r) select c.question_id, c.rank, c.chunk_id, max_by(e.x, length(e.x)) as hit from c left join e on e.question_id = c.question_id and (bare = x or starts_with(bare, x || '::')) group by all")
 def hierarchical_match(spark, sf):
-    ids = ["doc::sec::0", "L0:doc::sec::1", "foo:doc::sec", "qna:doc::other", "documentation::0", "graph:doc"]
-    retrieved = spark.createDataFrame([("q", i + 1, c) for i, c in enumerate(ids)], "question_id string, rank int, chunk_id string")
-    expected = spark.createDataFrame([("q", "doc::sec"), ("q", "doc")], "question_id string, expected_id string")
-    return ir.matched(retrieved, expected).select("chunk_id", "hit")
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "lineitem")
+    head = F.get(F.array(*map(F.lit, ("", "L0:", "qna:", "foo:"))), (F.col("l_partkey") % 4).cast("int"))
+    doc = F.concat(F.lit("d"), F.col("l_partkey") % 50)
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    chunk = F.concat_ws("::", F.concat(head, doc), F.concat(F.lit("s"), F.col("l_suppkey") % 5), F.col("l_linenumber"))
+    retrieved = rows.select(F.col("l_orderkey").alias("question_id"), F.row_number().over(by).cast("long").alias("rank"), chunk.alias("chunk_id"))
+    wanted = rows.filter("l_linenumber < 3").select(F.col("l_orderkey").alias("question_id"), F.explode(F.array(doc, F.concat(doc, F.lit("::s"), F.col("l_suppkey") % 3))).alias("expected_id"))
+    return ir.matched(retrieved, wanted).select("question_id", "rank", "chunk_id", "hit")
 
 
 # Vectors -------------------------------------------------------------------------------------------------
@@ -286,20 +289,31 @@ def _asks(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.concat(head, F.col("p_name")).alias("question"))
 
 
-@query(f"with q as (select p_partkey, {_ASK} as question from part) select p_partkey, case when regexp_matches(question, '\\b(compare|difference|versus|vs)\\b', 'i') then 'comparison' when regexp_matches(question, '\\b(depend|relationship|require|connect|integrate)\\b', 'i') then 'relational' when regexp_matches(question, '\\b(how to|how do|configure|setup|steps|create)\\b', 'i') then 'procedural' end as intent from q")
+def _scan_sql(column: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({column}, '{'|'.join(p)}', 'i') then '{i}'" for i, p in tx.SCAN_PATTERNS.items()) + " end"
+
+
+def _words_sql(column: str, groups: list, default: str) -> str:
+    return "case " + " ".join("when " + " or ".join(f"contains({column}, '{w}')" for w in words) + f" then '{i}'" for i, words in groups) + f" else '{default}' end"
+
+
+@query(f"with q as (select p_partkey, {_ASK} as question from part) select p_partkey, {_scan_sql('question')} as intent from q")
 def intent_keyword_scan(spark, sf):
     return _asks(spark, sf).select("p_partkey", tx.keyword_intent(F.col("question")).alias("intent"))
 
 
-@query(f"with q as (select p_partkey, lower({_ASK}) as q from part) select p_partkey, case when contains(q, 'compare') or contains(q, 'difference') or contains(q, 'versus') or contains(q, 'vs') then 'comparison' when contains(q, 'depend') or contains(q, 'relationship') or contains(q, 'require') or contains(q, 'connect') or contains(q, 'integrate') then 'relational' when contains(q, 'how to') or contains(q, 'how do') or contains(q, 'configure') or contains(q, 'setup') or contains(q, 'steps') or contains(q, 'create') then 'procedural' else 'factoid' end as intent from q")
+@query(f"with q as (select p_partkey, lower({_ASK}) as q from part) select p_partkey, {_words_sql('q', tx.HYBRID_WORDS, 'factoid')} as intent from q")
 def intent_fallback(spark, sf):
     return _asks(spark, sf).select("p_partkey", tx.substring_intent(F.col("question")).alias("intent"))
 
 
-@query("with e as (select c_custkey, list_distinct(regexp_extract_all(c_name || ' in ' || c_mktsegment || '.v' || c_nationkey, '\\b(\\w+(?:\\.\\w+)+)\\b', 1)) as m from customer) select c_custkey, m[1] as first_mention from e")
+_MENTION = "c_name || ' of \"' || c_mktsegment || '\" asks about api-gateway, s3.put_object, Lambda and ' || 'DynamoDB' || c_nationkey"
+
+
+@query(f"with e as (select c_custkey, {_MENTION} as t from customer), m as (select c_custkey, list_concat(list_concat(regexp_extract_all(t, '[\"'']([^\"'']+)[\"'']', 1), regexp_extract_all(t, '\\b([a-z][a-z0-9_]*(?:\\.[a-z][a-z0-9_]*)+)\\b', 1)), list_concat(regexp_extract_all(t, '\\b([a-z][a-z0-9]*(?:-[a-z][a-z0-9]*)+)\\b', 1), regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9]+)\\b', 1))) as m from e) select c_custkey, array_to_string(m[1:3], ',') as mentions from m")
 def entity_mentions(spark, sf):
-    text = F.concat_ws("", F.col("c_name"), F.lit(" in "), F.col("c_mktsegment"), F.lit(".v"), F.col("c_nationkey"))
-    return table(spark, sf, "customer").select("c_custkey", F.get(tx.entity_mentions(text), F.lit(0)).alias("first_mention"))
+    text = F.concat(F.col("c_name"), F.lit(' of "'), F.col("c_mktsegment"), F.lit('" asks about api-gateway, s3.put_object, Lambda and DynamoDB'), F.col("c_nationkey"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(tx.entity_mentions(text), ",").alias("mentions"))
 
 
 # Answer checks -------------------------------------------------------------------------------------------
@@ -508,11 +522,11 @@ def graph_upsert_nodes(spark, sf):
     return graph.upsert_nodes(rows, "p_partkey").select("fqn", "type", "name")
 
 
-@query("select distinct s.s_suppkey as source, 'SUPPLIES' as type, p.p_partkey as target from lineitem l join supplier s on s.s_suppkey = l.l_suppkey join part p on p.p_partkey = l.l_partkey")
+@query("with n as (select s_suppkey as fqn from supplier union select p_partkey from part) select distinct l_suppkey as source, 'SUPPLIES' as type, l_partkey as target from lineitem where l_suppkey in (select fqn from n) and l_partkey in (select fqn from n)")
 def graph_upsert_edges(spark, sf):
-    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source"), F.lit("SUPPLIES").alias("type"), F.col("l_partkey").alias("target")).distinct()
-    suppliers, parts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source")), table(spark, sf, "part").select(F.col("p_partkey").alias("target"))
-    return edges.join(suppliers, "source", "left_semi").join(parts, "target", "left_semi").select("source", "type", "target")
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("source"), F.lit("SUPPLIES").alias("type"), F.col("l_partkey").alias("target"))
+    nodes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("fqn")).unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("fqn")))
+    return graph.upsert_edges(edges, nodes).select("source", "type", "target")
 
 
 @query(f"with {GRAPH}, s as (select fqn as start from nodes where type = 'region'), h1 as (select start, target as fqn, 1 as hops from s join e on source = start), h2 as (select start, target as fqn, 2 as hops from h1 join e on source = fqn) select * from h1 union all select * from h2")

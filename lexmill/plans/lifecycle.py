@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import scoring
+from ..operators import bm25, chunking, generation, scoring
 from ..operators.provider import STUB, Provider
-from ..operators.strategies import retriever_lab, strategy
+from ..operators.strategies import retriever_lab
 from ..sources import files, reports
 
 
@@ -26,19 +26,24 @@ def section_rows(docs: DataFrame) -> DataFrame:
 
 
 def label_expected(questions: DataFrame, docs: DataFrame, known: DataFrame | None = None, k: int = 20, provider: Provider = STUB) -> DataFrame:
-    """Candidate labels by BM25, judged by the provider; questions that have labels are skipped."""
+    """(question_id, expected_id): of BM25's first ``k`` chunks those that the provider's judge picks; questions that have labels are skipped.
+
+    The stub judge picks none.
+    """
     asked = questions if known is None else questions.join(known.select("question_id").distinct(), "question_id", "left_anti")
-    found = strategy("bm25", provider)
-    found.build(docs)
-    return found.retrieve(asked, k).select("question_id", F.col("chunk_id").alias("expected_id"), "rank")
+    sections = chunking.sections(docs)
+    found = bm25.top_k(bm25.build(sections), asked, k).select("question_id", "chunk_id", "rank")
+    shown = found.join(asked.select("question_id", "question"), "question_id").join(sections.select("chunk_id", F.col("content").alias("text")), "chunk_id")
+    return generation.judged_labels(shown, provider)
 
 
 def generate_questions(docs: DataFrame, count: int, provider: Provider = STUB) -> DataFrame:
-    """Prompts for each tier; the count is split over five tiers, the remainder to the low ones."""
+    """Prompts for each tier over excerpts of ``docs(doc_id, text)``; the count is split over five tiers, the remainder to the low ones."""
     spark = docs.sparkSession
     split = spark.createDataFrame([(t, count // 5 + (t <= count % 5), 300 if t <= 2 else 500) for t in range(1, 6)], "tier int, wanted int, max_tokens int")
-    excerpt = docs.filter(F.length("text") >= 50).orderBy("doc_id").limit(25).agg(F.array_join(F.sort_array(F.collect_list(tx.clip(F.col("text"), 2000))), "\n").alias("excerpt"))
-    return split.crossJoin(F.broadcast(excerpt)).withColumn("questions", provider.generate(F.col("excerpt")))
+    sections = docs.select(F.col("doc_id").alias("doc_pos"), F.lit(0).alias("pos"), F.col("doc_id").cast("string").alias("doc_title"), F.lit("").alias("title"), F.col("text").alias("content"))
+    excerpt = "\n\n---\n\n".join(generation.excerpts(sections))  # 50,000 characters at most
+    return split.withColumn("excerpt", F.lit(excerpt)).withColumn("questions", provider.generate(F.col("excerpt")))
 
 
 def benchmark(answers: DataFrame, questions: DataFrame, path: str, run_id: str) -> DataFrame:
@@ -89,7 +94,8 @@ def chat_events(answers: DataFrame) -> DataFrame:
 def explain_routing(questions: DataFrame) -> DataFrame:
     """What the routers make of each question."""
     q = F.col("question")
-    return questions.select("question_id", tx.keyword_intent(q).alias("scan"), tx.substring_intent(q).alias("fallback"), F.coalesce(tx.keyword_intent(q), tx.substring_intent(q)).alias("intent"), tx.entity_mentions(q).alias("mentions"))
+    stages = {"scan": tx.keyword_intent(q), "fallback": tx.fallback_intent(q), "intent": tx.routed_intent(q), "hybrid": tx.substring_intent(q), "graph": tx.graph_intent(q), "template": tx.graph_template(q)}
+    return questions.select("question_id", *[c.alias(n) for n, c in stages.items()], tx.entity_mentions(q).alias("mentions"))
 
 
 def corpora(docs: DataFrame) -> DataFrame:
