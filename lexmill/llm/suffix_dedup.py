@@ -290,7 +290,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards, buckets = -(-total // SHARD_BYTES) + 1, -(-total // BUCKET_BYTES) + 1
     rows = docs.select(
-        F.pmod(F.xxhash64(row_id(id_col)), F.lit(shards)).cast("int").alias("shard"),
+        # By id and text, so that rows without id, or that repeat one, do not meet in one shard.
+        F.pmod(F.xxhash64(row_id(id_col), text), F.lit(shards)).cast("int").alias("shard"),
         row_id(id_col).alias("rid"),
         F.xxhash64(text).alias("hash"),
         text.cast("binary").alias("bytes"),
