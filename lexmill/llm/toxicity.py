@@ -282,9 +282,9 @@ def toxicity(
     )
     # At most ``sample`` rows of two numbers.
     held = docs.select(row_id(id_col).alias("rid"), whole_text(text_col).alias("text")).join(F.broadcast(chosen), "rid")
-    # Ids that repeat may make more rows of them; the same bound holds again.
-    bounded = held.withColumn("hash", F.xxhash64("text")).orderBy(F.xxhash64("rid"), "rid", "hash").limit(sample)
-    held = written(bounded.select("rid", "toxic", restored_words("text").alias("words")))
+    read = written(held.select("rid", F.xxhash64("text").alias("hash"), "toxic", restored_words("text").alias("words")))
+    # Of rows that repeat an id one is learned from, so the bound holds; combined before the shuffle.
+    held = written(read.groupBy("rid").agg(F.max("toxic").alias("toxic"), F.min_by("words", "hash").alias("words")))
     classes = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
     n1, n0 = classes.get(1, 0), sum(n for k, n in classes.items() if k != 1)
     least = max(3, n1 // 200)
