@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,28 +69,56 @@ def records(events: DataFrame) -> DataFrame:
     )
 
 
+def summed_before(frame: DataFrame, keys: list[str], order: str, amount: str) -> DataFrame:
+    """``frame`` with ``before``: the sum of ``amount`` over the rows of the same keys that come earlier by ``order``.
+
+    A key's rows are cut into 256 ranges at approximate quantiles. Windows run over a range, and only the ranges'
+    totals are summed over a key, so a key that holds a third of all rows is no single task. Nulls in ``order`` come
+    first; rows that tie in it are in any order.
+    """
+    edges = frame.groupBy(*keys).agg(F.percentile_approx(order, [k / 256 for k in range(1, 256)]).alias("_edges"))
+    here = F.col(order)
+    # Every 16th edge first, then the 15 that follow the last one passed.
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(16), F.lit(240), F.lit(16)), lambda k: F.element_at("_edges", k)), lambda e: e < here))
+    fine = F.size(F.filter(F.slice("_edges", 16 * F.col("_coarse") + 1, F.lit(15)), lambda e: e < here))
+    cut = _same(frame, edges, keys).withColumn("_coarse", coarse)
+    cut = cut.withColumn("_range", F.when(here.isNull(), -1).otherwise(16 * F.col("_coarse") + fine)).drop("_edges", "_coarse")
+    totals = cut.groupBy(*keys, "_range").agg(F.sum(amount).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _same(cut.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0))), totals, [*keys, "_range"])
+    return placed.withColumn("before", F.col("_offset") + F.col("_within")).drop("_offset", "_within", "_range")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The join on equal keys, null equal to null, with the left's keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, on).drop(*[f"_right_{k}" for k in keys])
+
+
 def index_percentiles(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
     """avg, p50 = s[n//2], p95 = s[int(.95 n)] from n = 20 on, p99 = s[int(.99 n)] from n = 100 on, else the maximum.
 
-    Ranked by a window, so a group's values are never collected into one row.
+    Equal values are counted before they are ranked, and ranked in ranges, so no group is one task.
     """
-    over = Window.partitionBy(*keys)
-    ranked = frame.select(*keys, value).withColumns(
-        {"at": F.row_number().over(over.orderBy(value)) - 1, "n": F.count(F.lit(1)).over(over)}
-    )
+    counts = frame.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    ranked = _same(summed_before(counts, keys, value, "copies"), sizes, keys)
 
     def pick(share: float, least: int) -> Column:
         spot = F.when(F.col("n") >= least, F.floor(F.col("n") * F.lit(share)).cast("int")).otherwise(F.col("n") - 1)
-        return F.max(F.when(F.col("at") == spot, F.col(value)))
+        return F.max(F.when((F.col("before") <= spot) & (spot < F.col("before") + F.col("copies")), F.col(value)))
 
     return ranked.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        F.round(F.avg(value), 4).alias("avg_ms"),
+        F.round(F.max("mean"), 4).alias("avg_ms"),
         pick(0.5, 1).alias("p50_ms"),
         pick(0.95, 20).alias("p95_ms"),
         pick(0.99, 100).alias("p99_ms"),
-        F.min(value).alias("min_ms"),
-        F.max(value).alias("max_ms"),
+        F.max("least").alias("min_ms"),
+        F.max("most").alias("max_ms"),
     )
 
 
@@ -103,5 +134,5 @@ def composite(rows: DataFrame) -> DataFrame:
 
 def spend_until(rows: DataFrame, keys: list[str], cap: float) -> DataFrame:
     """Records that still ran under a cost cap: those whose earlier records of the same keys cost less than it."""
-    before = F.sum("cost_usd").over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("spent_before", F.round(F.coalesce(before, F.lit(0.0)), 6)).filter(F.col("spent_before") < cap)
+    spent = summed_before(rows, keys, "seq", "cost_usd")
+    return spent.withColumn("spent_before", F.round("before", 6)).drop("before").filter(F.col("spent_before") < cap)

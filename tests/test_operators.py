@@ -54,6 +54,30 @@ def test_percentiles(spark):
     assert rows["b"].p95_ms == 50
 
 
+def test_ranges_sum_as_one_window(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(900)]), rng.randint(0, 5)) for _ in range(3000)]
+    rows = [(k, None if o is None else o * 3000 + i, a) for i, (k, o, a) in enumerate(rows)]
+    want, total = set(), {}
+    for k, o, a in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        if o is not None:
+            want.add((k, o, a, total.get(k, 0)))
+        total[k] = total.get(k, 0) + a
+    frame = spark.createDataFrame(rows, "k string, o long, a long")
+    got = scoring.summed_before(frame, ["k"], "o", "a")
+    assert got.columns == ["k", "o", "a", "before"] and got.count() == len(rows)
+    assert {tuple(r) for r in got.filter("o is not null").collect()} == want
+    assert scoring.summed_before(frame.limit(0), ["k"], "o", "a").count() == 0
+
+
+def test_percentiles_with_ties_and_nulls(spark):
+    values = [1.0] * 70 + [2.0] * 40 + [3.0] * 10
+    frame = spark.createDataFrame([(None, v) for v in values] + [("n", None)], "k string, v double").repartition(3)
+    rows = {r.k: r for r in scoring.index_percentiles(frame, ["k"], "v").collect()}
+    assert (rows[None].n, rows[None].p50_ms, rows[None].p95_ms, rows[None].p99_ms) == (120, 1.0, 3.0, 3.0)
+    assert (rows["n"].n, rows["n"].p50_ms) == (1, None)
+
+
 def test_attribution_and_checks(spark):
     frame = spark.createDataFrame([("Lambda runs on a server", ["lambda", "bucket"], ["provisions"]), ("it provisions", [], ["provisions"])], "a string, m array<string>, f array<string>")
     rows = scoring.structural_check(frame, "a", "m", "f").collect()
