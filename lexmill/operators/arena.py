@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -64,3 +65,30 @@ def elo(matches: DataFrame) -> DataFrame:
 
     ordered = matches.repartition(1).sortWithinPartitions("ts", "match_id").select("strategy_a", "strategy_b", "winner")
     return ordered.mapInArrow(fold, "strategy string, rating double")
+
+
+# Characters of a stored answer and of a logged question, matches that a state keeps.
+STATE_ANSWER, LOG_QUESTION, STATE_MATCHES = 500, 200, 200
+
+
+def save_state(matches: DataFrame, ratings: DataFrame, path: str) -> None:
+    """Ratings and the latest 200 matches (match_id, question, strategies, answers, winner, ts), answers cut."""
+    cut = matches.withColumns({c: F.left(c, F.lit(STATE_ANSWER)) for c in ("answer_a", "answer_b")})
+    cut.orderBy(F.desc("ts"), F.desc("match_id")).limit(STATE_MATCHES).write.mode("overwrite").parquet(f"{path}/matches")
+    ratings.write.mode("overwrite").parquet(f"{path}/ratings")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Matches and ratings as stored; None, which means to start anew, where there is no whole state."""
+    try:
+        return spark.read.parquet(f"{path}/matches"), spark.read.parquet(f"{path}/ratings")
+    except AnalysisException:
+        return None
+
+
+def append_votes(matches: DataFrame, ratings: DataFrame, path: str) -> None:
+    """Log voted matches as JSON lines with the ratings of the time; the log outlives the state."""
+    shown = ratings.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", F.round("rating", 1).alias("rating"))))).alias("elo_snapshot"))  # a row for each strategy
+    voted = matches.filter(F.col("winner").isin("a", "b", "tie"))
+    logged = voted.select("match_id", F.left("question", F.lit(LOG_QUESTION)).alias("question"), "strategy_a", "strategy_b", "winner", "ts")
+    logged.crossJoin(F.broadcast(shown)).write.mode("append").json(path)

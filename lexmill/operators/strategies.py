@@ -186,6 +186,17 @@ def strategy(name: str, provider: Provider = STUB) -> Strategy:
     return STRATEGIES[name](provider)
 
 
+def strategies(wanted: str = "all", provider: Provider = STUB) -> tuple[dict[str, Strategy], dict[str, str]]:
+    """Strategies by name, all or one, and the errors of those that could not be made."""
+    made, failed = {}, {}
+    for name in STRATEGIES if wanted == "all" else [wanted]:
+        try:
+            made[name] = strategy(name, provider)
+        except Exception as e:  # one that fails must not keep the others from running
+            failed[name] = f"{type(e).__name__}: {e}"
+    return made, failed
+
+
 def retriever_lab(docs: DataFrame, questions: DataFrame, expected: DataFrame, names: list[str], k: int = 5) -> DataFrame:
     """Metric means of each strategy over all questions."""
     from . import ir

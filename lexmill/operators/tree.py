@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,18 @@ def build(sections: DataFrame) -> DataFrame:
     )
 
 
+def save(tree: DataFrame, path: str) -> None:
+    """Store a tree, a folder for each corpus where it has that column."""
+    writer = tree.write.mode("overwrite")
+    (writer.partitionBy("corpus") if "corpus" in tree.columns else writer).parquet(path)
+
+
+def load(spark: SparkSession, path: str, corpus: str = "") -> DataFrame:
+    """A stored tree; of one corpus only its folder is read."""
+    found = spark.read.parquet(path)
+    return found.filter(F.col("corpus") == corpus) if corpus else found
+
+
 def leaf_counts(tree: DataFrame) -> DataFrame:
     """Leaves below each node's document root level: leaves have no children."""
     parents = tree.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -91,6 +91,62 @@ def chat_events(answers: DataFrame) -> DataFrame:
     return answers.select("question_id", F.posexplode(events).alias("seq", "e")).select("question_id", "seq", "e.event", "e.data")
 
 
+def _event(name: str, *fields: Column) -> list[Column]:
+    return [F.lit(name).alias("event"), F.to_json(F.struct(*fields)).alias("data")]
+
+
+def graph_events(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """What a graph build tells its listeners, in order of (part, key): entities, relations, the end."""
+    found = entities.select(F.lit(0).alias("part"), F.col("fqn").alias("key"), *_event("entity", F.col("fqn").alias("id"), F.col("name"), F.col("type")))
+    links = relations.select(F.lit(1).alias("part"), F.concat_ws(">", "source", "type", "target").alias("key"), *_event("relationship", F.col("source"), F.col("target"), F.col("type")))
+    end = entities.sparkSession.range(1).select(F.lit(2).alias("part"), F.lit("").alias("key"), F.lit("done").alias("event"), F.lit("{}").alias("data"))
+    return found.unionByName(links).unionByName(end).orderBy("part", "key")
+
+
+def generation_events(sections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Progress of pair generation in order of (part, key, nth): started, each section and its pairs, complete.
+
+    ``sections(doc_id, pos, section_id, title, content)`` without content are left out; without any there is one error.
+    """
+    told = sections.filter(~tx.is_blank(F.col("content")))
+    key = F.concat_ws("::", "doc_id", F.lpad(F.col("pos").cast("string"), 9, "0"))
+    n = told.agg(F.count(F.lit(1)).alias("total_sections"))
+    place = lambda part, k, nth: [F.lit(part).alias("part"), k.alias("key"), nth.alias("nth")]
+    blank, first = F.lit(""), F.lit("")
+    started = n.filter("total_sections > 0").select(*place(0, blank, first), *_event("started", F.col("total_sections")))
+    error = n.filter("total_sections = 0").select(*place(0, blank, first), *_event("error", F.lit("No documents found").alias("message")))
+    progress = told.select(*place(1, key, first), *_event("progress", F.col("doc_id"), F.col("title").alias("section_title")))
+    made = pairs.join(told.select("doc_id", "section_id", key.alias("key")), ["doc_id", "section_id"])
+    shown = made.select(*place(1, F.col("key"), F.col("pair_id")), *_event("pair", F.col("pair_id"), F.col("question"), F.col("answer")))
+    complete = made.agg(F.count(F.lit(1)).alias("total_pairs")).join(n.filter("total_sections > 0"))  # one row each
+    complete = complete.select(*place(2, blank, first), *_event("complete", F.col("total_pairs")))
+    return started.unionByName(error).unionByName(progress).unionByName(shown).unionByName(complete).orderBy("part", "key", "nth")
+
+
+def audit_events(audited: DataFrame) -> DataFrame:
+    """Progress of an audit in order of (part, key): started, a result for each section, complete with the buckets' counts."""
+    place = lambda part, k: [F.lit(part).alias("part"), k.alias("key")]
+    counts = {name: F.count_if(F.col("bucket") == b).alias(name) for name, b in (("strong", "strong"), ("weak", "weak"), ("gaps", "gap"))}
+    n = audited.agg(F.count(F.lit(1)).alias("total_sections"), F.coalesce(F.sum("tested"), F.lit(0)).alias("total_questions"), *counts.values())
+    started = n.select(*place(0, F.lit("")), *_event("started", F.col("total_sections")))
+    each = audited.select(
+        *place(1, F.col("section_id").cast("string")),
+        *_event("section_result", F.col("section_id"), F.col("tested").alias("questions_tested"), F.round("accuracy", 4).alias("avg_accuracy"), F.col("worst").alias("worst_question"), F.col("bucket").alias("classification")),
+    )
+    complete = n.select(*place(2, F.lit("")), *_event("complete", *[F.col(c) for c in ("strong", "weak", "gaps", "total_questions")]))
+    return started.unionByName(each).unionByName(complete).orderBy("part", "key")
+
+
+def fix_events(audited: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Both phases of a repair: the audit's events, then a result for each section of ``fixes`` by priority, then complete."""
+    phase = lambda part, name: audited.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), *_event("phase", F.lit(name).alias("phase")))
+    told = F.when(F.col("event") == "section_result", "audit_progress").when(F.col("event") == "complete", "audit_complete")
+    first = audit_events(audited).filter("event <> 'started'").withColumn("event", told)
+    results = fixed.select(F.lit(4).alias("part"), F.lpad(F.col("priority").cast("string"), 9, "0").alias("key"), *_event("fix_result", F.col("priority"), F.col("section_id"), F.col("bucket").alias("classification")))
+    end = audited.sparkSession.range(1).select(F.lit(5).alias("part"), F.lit("").alias("key"), *_event("complete", F.lit("done").alias("status")))
+    return phase(0, "audit").unionByName(first).unionByName(phase(3, "fix")).unionByName(results).unionByName(end).orderBy("part", "key")
+
+
 def explain_routing(questions: DataFrame) -> DataFrame:
     """What the routers make of each question."""
     q = F.col("question")
@@ -113,4 +169,4 @@ def report(table: DataFrame, title: str, kind: str = "markdown") -> str:
     return {"markdown": lambda: reports.markdown(title, table), "csv": lambda: reports.as_csv(table), "html": lambda: reports.as_html(title, table), "json": lambda: reports.as_json(table)}[kind]()
 
 
-__all__ = ["arena_match", "audit", "benchmark", "chat_events", "corpora", "dry_run", "explain_routing", "fixes", "generate_questions", "ingest", "label_expected", "report", "retriever_lab", "section_rows"]
+__all__ = ["arena_match", "audit", "audit_events", "benchmark", "chat_events", "corpora", "dry_run", "explain_routing", "fix_events", "fixes", "generate_questions", "generation_events", "graph_events", "ingest", "label_expected", "report", "retriever_lab", "section_rows"]

@@ -82,6 +82,36 @@ def elo_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
+# Messages of a history, and characters of an assistant's message in it.
+HISTORY, ASSISTANT_CHARS = 12, 500
+
+
+def session_history(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, history): each conversation's latest 12 messages after each batch of ``messages(conv_id, turn, role, text)``.
+
+    Assistants' messages are cut to 500 characters and marked; rows without a text count as empty ones.
+    """
+    ship(messages.sparkSession)
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turns, lines = map(list, state.get) if state.exists else ([], [])
+        for frame in frames:
+            turns += frame["turn"].tolist()
+            lines += (frame["role"] + ": " + frame["text"]).tolist()
+            latest = sorted(zip(turns, lines))[-HISTORY:]
+            turns, lines = [int(t) for t, _ in latest], [x for _, x in latest]
+        state.update((turns, lines))
+        yield pd.DataFrame({"conv_id": [key[0]], "turn": [turns[-1]], "history": [lines]})
+
+    text = F.coalesce("text", F.lit(""))
+    long = (F.col("role") == "assistant") & (F.length(text) > ASSISTANT_CHARS)
+    cut = F.when(long, F.concat(F.left(text, F.lit(ASSISTANT_CHARS)), F.lit("..."))).otherwise(text)
+    shown = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), cut.alias("text"))
+    return shown.groupBy("conv_id").applyInPandasWithState(
+        run, "conv_id long, turn long, history array<string>", "turns array<long>, lines array<string>", "update", GroupStateTimeout.NoTimeout
+    )
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
     spark = stream.sparkSession
