@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .byte_codec import byte_codec
 from .chat_format import assembled, chat_format
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -88,6 +89,25 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op8_suffix_dedup, op9_toxicity, op10_piece_codec)}
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_codec(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op8_suffix_dedup, op9_toxicity,
+        op10_piece_codec, op11_byte_codec,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
