@@ -114,16 +114,17 @@ class ByteCodec:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges of both tokens' joined bytes end in these two: no merge crosses the border before
-        both stories have ended. Until one does, the stories go on as if each stood alone, the lower rank first."""
+        both stories have ended. Until one does, the stories go on as if each stood alone, the lower rank first.
+        ``left`` is -1 at the start of a unit; a token with an empty story is compatible with nothing."""
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            (here, _, ends), (there, starts, _) = self.story(left), self.story(right)
-            found, i, j, x, y, across = bool(ends) and bool(starts), 0, 0, -1, -1, NEVER
+            (here, _, ends), (there, starts, _) = self.story(left) if left >= 0 else ([NEVER], [], [-1]), self.story(right)
+            found, i, j, x, y, across = bool(ends) and bool(starts), 0, 0, None, None, NEVER
             while found:
                 if ends[i] != x or starts[j] != y:
                     x, y = ends[i], starts[j]
-                    across = self.ranks.get(self.tokens[x] + self.tokens[y], NEVER)
+                    across = self.ranks.get(self.tokens[x] + self.tokens[y], NEVER) if x >= 0 else NEVER
                 if across < here[i] and across <= there[j] and across != NEVER:
                     found = False
                 elif here[i] <= there[j]:
@@ -164,7 +165,7 @@ class ByteCodec:
         while True:
             while token >= 0:
                 end = at + size[token]
-                if not dead[end] and (last < 0 or (known[k] if (k := last << 32 | token) in known else self.compatible(last, token))):
+                if not dead[end] and (known[k] if (k := last << 32 | token) in known else self.compatible(last, token)):
                     break
                 token = self.next_shorter(token)
             if token >= 0:
