@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .byte_codec import byte_codec
 from .chat_format import assembled, chat_format
+from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -15,6 +16,7 @@ from .ngram_join import ngram_join
 from .piece_codec import piece_codec
 from .quality import quality_rules
 from .shared import whole_text
+from .spelling import spelling_groups
 from .suffix_dedup import suffix_dedup
 from .token_count import token_count, word_pieces
 from .toxicity import toxicity
@@ -102,11 +104,19 @@ def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_mixing, op3_quality, op4_token_count, op5_chat_format, op6_line_dedup, op7_exact_dedup, op8_suffix_dedup, op9_toxicity,
-        op10_piece_codec, op11_byte_codec,
+        op10_piece_codec, op11_byte_codec, op12_spelling, op13_collocations,
     )
 }
 
