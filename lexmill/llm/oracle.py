@@ -143,4 +143,71 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id, co
 from documents
 """
 
-ORACLE_SQL = {"op2_mixing": OP2, "op3_quality": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_exact_dedup": OP7}
+#: crc32 of a string's bytes, a byte at a time: the polynomial is divided by in the list of 256 remainders.
+_CRC = """
+remainders as (
+    select list(r order by b) as held from (
+        select b, list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, b) as r from range(0, 256) t(b)))
+"""
+OP12 = f"""
+with recursive {_CRC},
+runs as (
+    select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from documents),
+counted as (select doc_id, run, count(*) as times from runs group by all),
+coded as (
+    select run, times, xor(4294967295::bigint, list_reduce(
+        list_transform(range(0, octet_length(encode(doc_id || ':' || run))), lambda i: ('0x' || hex(encode(doc_id || ':' || run))[2 * i + 1 : 2 * i + 2])::bigint),
+        lambda c, b: xor(c >> 8, held[xor(c & 255, b) + 1]), 4294967295::bigint)) as h
+    from counted, remainders),
+words as (
+    select word, sum(times)::bigint as n from (
+        select case when h % 97 = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word, times from coded)
+    where length(word) >= 5 group by word having sum(times) >= 3),
+cuts as (select word, n, i, word[1 : i] || word[i + 2 :] as rest from (select word, n, unnest(range(0, length(word))) as i from words)),
+near as (
+    select a.word, b.word as other, b.n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select a.word, b.word, b.n from cuts a join words b on a.rest = b.word
+    union select b.word, a.word, a.n from cuts a join words b on a.rest = b.word),
+top as (select word, count(*) as n_near, arg_min(other, (-n, other)) as form, max(n) as form_n from near group by word),
+forms as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when t.form_n >= 2 * w.n then t.form end as form, case when t.form_n >= 2 * w.n then t.form_n end as form_n
+    from words w left join top t using (word)),
+steps as (
+    select word, form as latest, 1 as step from forms where form is not null
+    union all select s.word, f.form, step + 1 from steps s join forms f on f.word = s.latest where f.form is not null),
+last as (select word, arg_max(latest, step) as root from steps group by word)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from forms f left join last l on l.word = f.word
+"""
+
+OP13 = """
+with texts as (
+    select row_number() over () as t, coalesce(lang, 'und') as lang,
+           regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as held
+    from documents),
+pieces as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as words from (select lang, unnest(held) as piece from texts)),
+totals as (select lang, sum(len(words))::bigint as n from pieces group by lang),
+grams as (
+    select lang, size, array_to_string(words[i : i + size - 1], ' ') as phrase from (
+        select lang, words, size, unnest(range(1, len(words) - size + 2)) as i from pieces, (select unnest([1, 2, 3, 4]) as size))),
+frequent as (select lang, size, phrase, count(*)::bigint as a from grams group by all having count(*) >= 30),
+cuts as (
+    select lang, phrase, size, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') as part, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') as rest
+    from (select *, unnest(range(1, size)) as k from frequent where size > 1)),
+scored as (
+    select c.lang, c.phrase, c.a, l.a as l, r.a as r, ((2000000::hugeint * c.a) // (l.a::hugeint + r.a))::bigint as score
+    from cuts c join frequent l on l.lang = c.lang and l.phrase = c.part join frequent r on r.lang = c.lang and r.phrase = c.rest
+    qualify row_number() over (partition by c.lang, c.phrase order by (2000000::hugeint * c.a) // (l.a::hugeint + r.a), c.k) = 1),
+inner_phrases as (
+    select lang, array_to_string(string_split(phrase, ' ')[s : s + m - 1], ' ') as phrase, max(a) as longer from (
+        select *, unnest(range(1, size - m + 2)) as s from (select *, unnest(range(2, size)) as m from frequent where size > 2))
+    group by all),
+kept as (
+    select s.* from scored s left join inner_phrases i on i.lang = s.lang and i.phrase = s.phrase
+    where i.longer is null or 100::hugeint * i.longer < 80::hugeint * s.a)
+select k.lang, row_number() over (partition by k.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept k join totals t on t.lang = k.lang
+qualify rank <= 2000
+"""
+
+ORACLE_SQL = {"op2_mixing": OP2, "op3_quality": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_exact_dedup": OP7, "op12_spelling": OP12, "op13_collocations": OP13}
