@@ -1,7 +1,13 @@
-"""Vectorised 64-bit hashes of words and byte strings by prefix sums, all modulo 2**64."""
+"""Vectorised 64-bit hashes of words and byte strings by prefix sums, all modulo 2**64.
+
+Such sums are only sound for short strings: differences in the order of the Thue-Morse sequence lose a factor 2**k more
+with each doubling to 2**k bytes, and vanish at 1024. Strings that can be longer than PLAIN bytes are named by ``digests``.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,6 +15,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: A random odd number for each byte value.
 BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longer strings are not named by sums.
+PLAIN = 32
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -49,6 +57,13 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of ``data[start:end]`` by a cryptographic hash, equal for equal strings at any place."""
+    held = memoryview(np.ascontiguousarray(data))
+    found = b"".join([hashlib.blake2b(held[a:b], digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, np.uint64)
+
+
 def text_blocks(texts: pa.Array, size: int = 1 << 20):
     """(first row, last row, bytes, cuts) of successive texts of about ``size`` bytes; cuts are offsets into the bytes."""
     texts = texts.cast(pa.binary())
@@ -84,6 +99,8 @@ def shingle_sets(data: np.ndarray, cuts: np.ndarray, width: int) -> tuple[np.nda
     data = LOWER[data]
     starts, ends, doc = words_in(data, cuts)
     word = spans(prefix_sums(data), starts, ends)
+    long = np.nonzero(ends - starts > PLAIN)[0]
+    word[long] = digests(data, starts[long], ends[long])
     n_words = np.bincount(doc, minlength=n)
     factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     whole = len(word) - width + 1

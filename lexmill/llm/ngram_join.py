@@ -369,12 +369,12 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
     """(key, node, shared): members of the buckets that are left of ``rows(key, node, need)``.
 
     Only buckets of two different sets or more count. The order "fewest entries first" is the same for all sets, so
-    two sets that share ``need`` buckets still share one when each leaves its ``need - 1`` last ones. A bucket holds
-    at most one row a set and chunk, while a set has some tenths of its shingles as rows: the sort by key is even.
+    two sets that share ``need`` buckets still share one when each leaves its ``need - 1`` last ones. A bucket's counts
+    are combined before the shuffle and joined back, so that the entries of a full bucket need not meet in one task.
     """
-    whole = Window.partitionBy("key")
-    entered = rows.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole), "held": F.count(F.lit(1)).over(whole)}).filter("low < high")
-    shared = entered.groupBy("key", "node").agg(F.max("need").alias("need"), F.max("held").alias("held"))
+    entered = written(rows.groupBy("key", "node").agg(F.max("need").alias("need"), F.count(F.lit(1)).alias("entries")))
+    counts = entered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.sum("entries").alias("held")).filter("low < high")
+    shared = entered.join(counts, "key").select("key", "node", "need", "held")
     mine = Window.partitionBy("node")  # at most the shingles of one text
     ranked = shared.withColumns({"shared": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("held", "key"))})
     return ranked.filter("place <= shared - need + 1").select("key", "node", "shared")

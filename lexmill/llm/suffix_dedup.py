@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, powers, prefix_sums, spans
+from .hashing import digests, powers, prefix_sums, spans
 from .shared import release, row_id, ship, whole_text, written
 
 #: A perfect difference set modulo 21: every non-zero residue is the difference of one pair.
@@ -71,7 +71,7 @@ class Shard:
         stop = stop[np.searchsorted(stop, begin, "right")]
         text_end = self.cuts[1:][self.doc[begin]]
         stop = np.minimum(stop, text_end)
-        return begin, np.minimum(stop, text_end - self.length + 1), spans(self.sums, begin, np.minimum(stop + self.length - 1, text_end))
+        return begin, np.minimum(stop, text_end - self.length + 1), digests(self.data, begin, np.minimum(stop + self.length - 1, text_end))
 
     def open_suffixes(self, found: "Found") -> np.ndarray:
         """Suffixes that start in pieces of which no earlier document has a copy."""
@@ -164,18 +164,15 @@ def packed(shard: int, kind: int, names: np.ndarray, rid: np.ndarray, buckets: i
     else:
         least, several = rid, np.zeros(0, bool)
     bucket = ((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    blobs, of = [], []
-    for b in range(buckets):
-        low, high = int(edges[b]), int(edges[b + 1])
-        if high > low:
-            step = np.diff(names[low:high], prepend=np.uint64(0))
-            planes = [step.view(np.uint8).reshape(-1, 8).T[SHORT if kind == SAMPLES else 0 :].tobytes(), np.packbits(several[low:high]).tobytes()]
-            if kind != SAMPLES:
-                planes.append(np.ascontiguousarray(least[low:high].view(np.uint8).reshape(-1, 8).T).tobytes())
-            raw = b"".join(planes)
-            blobs.append(np.int64([high - low, len(raw)]).tobytes() + pa.compress(raw, "zstd", asbytes=True))
-            of.append(b)
+    held, edges = np.unique(bucket, return_index=True)  # only buckets that this shard has names for
+    blobs, of = [], held.tolist()
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(names)]):
+        step = np.diff(names[low:high], prepend=np.uint64(0))
+        planes = [step.view(np.uint8).reshape(-1, 8).T[SHORT if kind == SAMPLES else 0 :].tobytes(), np.packbits(several[low:high]).tobytes()]
+        if kind != SAMPLES:
+            planes.append(np.ascontiguousarray(least[low:high].view(np.uint8).reshape(-1, 8).T).tobytes())
+        raw = b"".join(planes)
+        blobs.append(np.int64([high - low, len(raw)]).tobytes() + pa.compress(raw, "zstd", asbytes=True))
     n = len(of)
     return pa.table({"bucket": pa.array(of, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "names": pa.array(blobs, pa.binary())})
 

@@ -414,3 +414,26 @@ def test_suffix_dedup(spark, docs, monkeypatch):
     got = suffix_dedup(frame).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.removed_spans), hashlib.sha256(r.kept_bytes).hexdigest()) for r in got) == want
     assert suffix_dedup(empty(spark)).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_structured_texts_are_told_apart(spark):
+    """Texts that differ in the order of the Thue-Morse sequence, which sums of powers modulo 2**64 take for equal."""
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    docs = spark.createDataFrame([(1, f"x y {one} z w"), (2, f"x y {two} z w")], "doc_id long, text string")
+    got = ngram_join(docs, width=4, percent=20).select("doc_id", "n_shingles", "component_id").collect()
+    assert {tuple(r) for r in got} == {(1, 2, 1), (2, 2, 2)}
+    letters = ["abcdefgh"[i : i + 2] for i in (0, 2, 4)]
+    first = "".join(thue_morse(1024, *pair) for pair in letters)
+    second = "".join(thue_morse(1024, *pair[::-1]) for pair in letters)
+    shared = {first[i : i + 50] for i in range(len(first) - 49)}
+    want = set()
+    for i in range(len(second) - 49):
+        if second[i : i + 50] in shared:
+            want.update(range(i, i + 50))
+    docs = spark.createDataFrame([(1, first), (2, second), (3, "ab" * 400), (4, "ba" * 100)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup(docs).collect()}
+    assert got == {1: 0, 2: len(want), 3: 0, 4: 200}
