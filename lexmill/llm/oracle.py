@@ -116,22 +116,8 @@ with lines as (
   select doc_id, coalesce(source, chr(0)) as site, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 rows as (select doc_id, site, ls, unnest(range(1, len(ls) + 1)) as pos from lines),
 held as (select doc_id, site, pos, ls[pos] as line, trim(ls[pos]) as t from rows),
-full_ as (
-  select *, row_number() over w as nth, right(lag(t) over w, 24) as before, left(lead(t) over w, 24) as after
-  from held where t <> '' window w as (partition by doc_id order by pos)),
-bodies as (select doc_id, list(t order by pos) as body from full_ group by all),
-spread as (select t from full_ group by t having count(distinct site) >= 8),
-marked as (select *, nth - row_number() over (partition by doc_id order by nth) as block from full_ where t in (select t from spread)),
-blocks as (select doc_id, block, min(nth) as low, max(nth) as high from marked group by all),
-sides as (
-  select k.doc_id, k.block, x.before, y.after from blocks k
-  join full_ x on x.doc_id = k.doc_id and x.nth = k.low join full_ y on y.doc_id = k.doc_id and y.nth = k.high),
-places as (
-  select m.doc_id, m.pos, m.t, m.site, s.before, s.after, case when s.before is null and s.after is null then body end as body
-  from marked m join sides s using (doc_id, block) join bodies using (doc_id)),
-firsts as (select t, before, after, body, arg_min(site, doc_id) as site from places group by t, before, after, body),
-boilerplate as (select t from firsts group by t having count(distinct site) >= 8),
-gone as (select doc_id, pos from places where t in (select t from boilerplate))
+spread as (select t from held where t <> '' group by t having count(distinct site) >= 8),
+gone as (select doc_id, pos from held where t in (select t from spread))
 select h.doc_id, count(*) filter (t <> '') as n_lines, count(g.pos) as n_removed_lines,
        sha256(coalesce(string_agg(line, chr(10) order by h.pos) filter (g.pos is null), '')) as kept_sha256
 from held h left join gone g on g.doc_id = h.doc_id and g.pos = h.pos group by h.doc_id

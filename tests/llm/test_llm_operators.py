@@ -180,7 +180,9 @@ def test_line_dedup(spark):
     rows += [(100 + i, copy, f"s{i % 20}") for i in range(40)]
     rows += [(200, None, "s1"), (201, "", None), (202, "\n\n", "s2")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_dedup(frame).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_dedup(frame, around=24).collect()}
+    plain = {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in line_dedup(frame).collect()}
+    assert plain[110] == ("", 3, 3) and {i: x for i, x in plain.items() if i not in range(100, 140)} == {i: x for i, x in got.items() if i not in range(100, 140)}
     assert got[3] == ("own line 3\nanother own line 21", 3, 1)
     assert got[110] == (copy, 3, 0)  # lines that only travel with copies stay
     assert got[200] == (None, 0, 0) and got[201] == ("", 0, 0) and got[202] == ("\n\n", 0, 0)
@@ -194,7 +196,7 @@ def test_line_dedup_judges_blocks(spark):
     rows += [(5000 + i, f"{i} unlike\nMirrored footer", "s1") for i in range(40)] + [(6000 + i, "0 unlike\nMirrored footer", f"s{i}") for i in range(20)]
     rows += [(None, "copy one\n \ncopy two", f"s{i % 20}") for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = line_dedup(frame.withColumns({"n_lines": F.lit("x"), "_lm_removed": F.lit(1)})).collect()
+    got = line_dedup(frame.withColumns({"n_lines": F.lit("x"), "_lm_removed": F.lit(1)}), around=24).collect()
     assert len(got) == len(rows) and got[0]._lm_removed == 1
     own, rest = [r for r in got if r.doc_id is not None and r.doc_id < 5000], [r for r in got if r.doc_id is None or r.doc_id >= 5000]
     assert all((r.text, r.n_lines, r.n_removed_lines) == (f"own opening {r.doc_id % 100}\n", 4, 3) for r in own)
