@@ -10,9 +10,11 @@ counts, and a hash that meets another only lets one phrase more be counted. Coun
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ LONGEST = 4
 #: Buckets of a pass and bits of each broadcast bitmap (2**24 bits are 2 MB, whatever the input).
 BUCKET_BITS = 24
 #: Words that are counted at a time, and distinct words a task holds; they are forgotten beyond that, none is dropped.
-BLOCK_WORDS, TASK_WORDS = 1 << 20, 600_000
+BLOCK_WORDS, TASK_WORDS = 1 << 19, 400_000
 #: Parts of a language that are ranked apart before its first phrases are.
 RANK_PARTS = 64
 #: Ends a piece; no byte of UTF-8.
@@ -36,32 +38,45 @@ ALL_WORDS = -1
 COUNTED = "lang string, phrase string, bucket int, n long"
 
 
+def word_hash(lang: bytes, word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(lang + BREAK + word, digest_size=8).digest(), "little")
+
+
 class Words(dict):
-    """Numbers of one language's words as they are met; 0 ends a piece."""
+    """Numbers of one language's words as they are met; 0 ends a piece, as words do that are known to be rare."""
 
     def __init__(self, lang: str, held: Vocabulary):
         super().__init__({BREAK: 0})
-        self.lang, self.held = lang, held
+        self.lang, self.code, self.held = lang, lang.encode(), held
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.held.words)
-        self.held.words.append(word)
-        self.held.langs.append(self.lang)
-        self.held.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.held.key(self.lang)).digest(), "little"))
-        return number
+        return self.held.add(self, word, word_hash(self.code, word))
 
 
 class Vocabulary:
-    """Words of a task by number, each of one language, with 64-bit hashes that are the same in every task."""
+    """Words of a task by number, each of one language, with 64-bit hashes that are the same in every task.
+
+    ``known`` says of a word's hash whether the word may be frequent; without it every word is.
+    """
 
-    def __init__(self):
+    def __init__(self, known: Callable[[int], int] | None = None):
+        self.known = known
         self.by_lang: dict[str, Words] = {}
         self.words, self.langs, self.hashes = [BREAK], [""], [0]
         self.array = np.zeros(0, np.uint64)
 
-    @staticmethod
-    def key(lang: str) -> bytes:
-        return hashlib.blake2b(lang.encode(), digest_size=16).digest()
+    def add(self, words: Words, word: bytes, code: int) -> int:
+        if self.known is not None and not self.known(code):
+            words[word] = 0
+            return 0
+        number = words[word] = len(self.words)
+        self.words.append(word)
+        self.langs.append(words.lang)
+        self.hashes.append(code)
+        return number
+
+    def size(self) -> int:
+        return sum(map(len, self.by_lang.values()))
 
     def hash_array(self) -> np.ndarray:
         if len(self.hashes) > len(self.array):
@@ -82,51 +97,67 @@ def bit_at(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
+def hashed(word: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases of ``size`` words that start at the places ``at`` of the words' hashes."""
+    if size == 1:
+        return word[at]
+    total = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        total += word[at + k] * FACTORS[k]
+    return mix(total)
+
+
 class Pass:
-    """Counts phrases of ``size`` words, and buckets of those with one more, of successive blocks of numbered words."""
+    """Counts phrases of ``size`` words, and buckets of those with one more, of successive blocks of numbered words.
+
+    ``frequent`` has a bitmap of the frequent words and, from the third pass, one of the frequent phrases of one word less;
+    ``buckets`` is the bitmap of the buckets of this size.
+    """
 
-    def __init__(self, size: int, least: int, bits: int, frequent: np.ndarray | None, buckets: np.ndarray | None):
+    def __init__(self, size: int, least: int, bits: int, frequent: list[np.ndarray], buckets: np.ndarray | None):
         self.size, self.least, self.bits, self.frequent, self.buckets = size, least, bits, frequent, buckets
-        self.vocabulary = Vocabulary()
+        self.vocabulary = self.fresh()
         self.tally = np.zeros(1 << bits, np.min_scalar_type(least)) if size < LONGEST else None
 
+    def fresh(self) -> Vocabulary:
+        if self.size == 1:
+            return Vocabulary()
+        words, shift = self.frequent[0].tobytes(), 64 - self.bits
+        return Vocabulary(lambda code: words[code >> shift + 3] >> (code >> shift & 7) & 1)
+
     def place(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def hashed(self, word: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
-        """Hashes of the phrases of ``size`` words at the places ``at``."""
-        total = np.zeros(len(at), np.uint64)
-        for k in range(size):
-            total += word[at + k] * FACTORS[k]
-        return mix(total + np.uint64(size))
-
-    def count(self, numbers: np.ndarray) -> tuple[list[str], list[str], np.ndarray]:
+    def count(self, numbers: np.ndarray) -> tuple[list[str], pa.Array, np.ndarray]:
         """(languages, phrases, counts) of one block; its buckets are added to the tally."""
         word = self.vocabulary.hash_array()[numbers]
-        size, n = self.size, len(numbers)
-        inside = numbers > 0
-        whole = np.nonzero(inside)[0]
+        size = self.size
+        whole = np.nonzero(numbers)[0]  # where words start that may be counted
+        for k in range(1, size):
+            if k == size - 1 and size > 2:  # of the phrases with one word less only the frequent ones
+                whole = whole[bit_at(self.frequent[1], self.place(hashed(word, k, whole)))]
+            # Two phrases of k words that follow each other make one of k + 1.
+            whole = whole[:-1][np.diff(whole) == 1]
         if size > 1:
-            for k in range(1, size):
-                whole = whole[inside[np.minimum(whole + k, n - 1)]]
-            part = self.hashed(word, size - 1, whole), self.hashed(word, size - 1, whole + 1)
-            whole = whole[bit_at(self.frequent, self.place(part[0])) & bit_at(self.frequent, self.place(part[1]))]
-            whole = whole[bit_at(self.buckets, self.place(self.hashed(word, size, whole)))]
+            whole = whole[bit_at(self.buckets, self.place(hashed(word, size, whole)))]
         if self.tally is not None and len(whole):
-            # Places where two phrases of this size follow each other: none of the longer ones has a rare part.
             longer = whole[:-1][np.diff(whole) == 1]
             if len(longer):
-                at, times = np.unique(self.place(self.hashed(word, size + 1, longer)), return_counts=True)
+                at, times = np.unique(self.place(hashed(word, size + 1, longer)), return_counts=True)
                 self.tally[at] = np.minimum(self.tally[at] + times, self.least)  # more than enough is enough
         # Phrases are told apart by their words' numbers: a pair of (number of the first words, next word) at a time.
         code = numbers[whole]
         for k in range(1, size):
             code = np.unique(code << 32 | numbers[whole + k], return_inverse=True)[1].reshape(-1)
         _, first, times = np.unique(code, return_index=True, return_counts=True)
-        words, langs, start = self.vocabulary.words, self.vocabulary.langs, whole[first]
-        rows = numbers[start[:, None] + np.arange(size)].tolist()
-        found = [langs[r[0]] for r in rows], [b" ".join([words[i] for i in r]).decode() for r in rows]
-        return *found, times
+        start = whole[first]
+        words, langs = self.vocabulary.words, self.vocabulary.langs
+        found = [langs[i] for i in numbers[start].tolist()]
+        if size == 1:
+            return found, pa.array([words[i] for i in numbers[start].tolist()], pa.binary()).cast(pa.string()), times
+        held = pa.array(words, pa.binary())
+        parts = [held.take(pa.array(numbers[start + k])) for k in range(size)]
+        return found, pc.binary_join_element_wise(*parts, pa.scalar(b" ")).cast(pa.string()), times
 
     def rows(self, batches):
         """Rows of COUNTED: phrases and counts, words of a language (no phrase, no bucket), buckets and counts."""
@@ -137,8 +168,8 @@ class Pass:
                 if len(held) > BLOCK_WORDS:
                     yield self.batch(held)
                     held = []
-                    if len(self.vocabulary.words) > TASK_WORDS:
-                        self.vocabulary = Vocabulary()
+                    if self.vocabulary.size() > TASK_WORDS:
+                        self.vocabulary = self.fresh()
         if held:
             yield self.batch(held)
         if self.tally is not None:
@@ -156,10 +187,10 @@ class Pass:
             total: dict[str, int] = {}
             for lang, n in zip(langs, counts):
                 total[lang] = total.get(lang, 0) + n
-            langs, phrases, counts = langs + list(total), phrases + [None] * len(total), counts + list(total.values())
+            langs, phrases, counts = langs + list(total), pa.concat_arrays([phrases, pa.nulls(len(total), pa.string())]), counts + list(total.values())
             buckets += [ALL_WORDS] * len(total)
         return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(buckets, pa.int32()), pa.array(counts, pa.int64())],
+            [pa.array(langs, pa.string()), phrases, pa.array(buckets, pa.int32()), pa.array(counts, pa.int64())],
             ["lang", "phrase", "bucket", "n"],
         )
 
@@ -173,21 +204,17 @@ def bitmap(places: DataFrame, bits: int) -> np.ndarray:
     return packed.view(np.uint8)
 
 
-def phrase_places(phrases: DataFrame, bits: int) -> DataFrame:
-    """Column ``at``: the bit of each phrase's hash."""
+def phrase_places(phrases: DataFrame, size: int, bits: int) -> DataFrame:
+    """Column ``at``: the bit of each hash of the phrases, all of ``size`` words."""
 
     def placed(batches):
         for batch in batches:
-            passes, found = Pass(LONGEST, 0, bits, None, None), []
+            found = []
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, key = phrase.encode().split(b" "), Vocabulary.key(lang)
-                hashes = [int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little") for w in words]
-                found.append((len(hashes), hashes))
-            at = np.empty(len(found), np.int64)
-            for size in {f[0] for f in found}:
-                rows = [i for i, f in enumerate(found) if f[0] == size]
-                word = np.array([found[i][1] for i in rows], np.uint64).reshape(-1)
-                at[rows] = passes.place(passes.hashed(word, size, np.arange(len(rows)) * size))
+                code = lang.encode()
+                found.extend(word_hash(code, w) for w in phrase.encode().split(b" "))
+            word = np.array(found, np.uint64)
+            at = (hashed(word, size, np.arange(0, len(word), size)) >> np.uint64(64 - bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())], ["at"])
 
     return phrases.select("lang", "phrase").mapInArrow(placed, "at int")
@@ -200,7 +227,8 @@ def counted(texts: DataFrame, least: int, bits: int) -> list[DataFrame]:
     ``texts`` has columns (lang, text) without nulls.
     """
     context, found = texts.sparkSession.sparkContext, []
-    frequent = buckets = None
+    frequent: list[np.ndarray] = []
+    buckets = None
     for size in range(1, LONGEST + 1):
         held = context.broadcast((frequent, buckets))
 
@@ -213,7 +241,7 @@ def counted(texts: DataFrame, least: int, bits: int) -> list[DataFrame]:
             found.append(table.filter(F.col("bucket") == ALL_WORDS).select("lang", "n"))
         found.append(table.filter("phrase is not null").select("lang", "phrase", "n"))
         if size < LONGEST:
-            frequent = bitmap(phrase_places(found[-1], bits), bits)
+            frequent = [*frequent[:1], bitmap(phrase_places(found[-1], size, bits), bits)]
             buckets = bitmap(table.filter("bucket >= 0").select(F.col("bucket").alias("at")), bits)
     return found
 

@@ -69,7 +69,7 @@ def test_small_blocks_and_forgotten_words(spark, monkeypatch):
     from lexmill.llm import collocations as module
 
     rows = made(9)
-    whole = module.Pass(1, 5, 12, None, None)
+    whole = module.Pass(1, 5, 12, [], None)
     monkeypatch.setattr(module, "BLOCK_WORDS", 40)
     monkeypatch.setattr(module, "TASK_WORDS", 3)
     import pyarrow as pa
