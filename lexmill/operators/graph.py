@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .centrality import betweenness, hubs  # noqa: F401  named with the other graph measures
+
 
 def tpch_graph(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Nodes (fqn, type, name) and edges (edge_id, source, target, type) of regions, nations, customers and suppliers."""
@@ -85,91 +87,3 @@ def cross_references(edges: DataFrame, names: DataFrame) -> DataFrame:
     out = edges.select(F.col("source").alias("fqn"), F.col("target").alias("other"), "type", F.lit("out").alias("direction"))
     back = edges.select(F.col("target").alias("fqn"), F.col("source").alias("other"), "type", F.lit("in").alias("direction"))
     return out.unionByName(back).join(names.select(F.col("fqn").alias("other"), F.col("name").alias("other_name")), "other")
-
-
-def folded(links: dict[str, set[str]]) -> tuple[dict[str, list[str]], dict[str, int], dict[str, float]]:
-    """Nodes with one link fold into their neighbour until none is left.
-
-    Gives the links of the rest, how many nodes each of them stands for, and for every node the ordered pairs whose
-    paths meet in it because its folded branches are cut off from each other and from the rest of its component.
-    """
-    links = {n: set(v) for n, v in links.items()}
-    component: dict[str, int] = {}
-    for root in links:
-        if root not in component:
-            members, seen = [root], {root}
-            for v in members:
-                new = links[v] - seen
-                seen |= new
-                members.extend(new)
-            component |= dict.fromkeys(members, len(members))
-    stands, squares = dict.fromkeys(links, 1), dict.fromkeys(links, 0)
-    leaves = [n for n, v in links.items() if len(v) == 1]
-    for v in leaves:
-        if len(links.get(v, ())) != 1:
-            continue
-        (to,) = links.pop(v)
-        links[to].discard(v)
-        stands[to] += stands[v]
-        squares[to] += stands[v] ** 2
-        if len(links[to]) == 1:
-            leaves.append(to)
-    pairs = {}
-    for n, size in component.items():
-        below, rest = stands[n] - 1, size - stands[n]
-        pairs[n] = float(below**2 - squares[n] + 2 * below * rest)
-    return {n: sorted(v) for n, v in links.items()}, {n: stands[n] for n in links}, pairs
-
-
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Normalised undirected betweenness of every node with an edge, for graphs that fit a task.
-
-    Trees hanging on the graph are counted in closed form; Brandes' algorithm runs on the rest, whose nodes are
-    weighted by the trees on them, one source a task row. The graph is broadcast only if it has at most two million
-    edges; larger ones are refused.
-    """
-    import pyarrow as pa
-
-    spark = edges.sparkSession
-    pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).filter("a <> b").distinct()
-    if pairs.count() > 2_000_000:
-        raise ValueError("betweenness is for graphs of at most two million edges")
-    links: dict[str, set[str]] = {}
-    for a, b in pairs.collect():
-        links.setdefault(a, set()).add(b)
-        links.setdefault(b, set()).add(a)
-    core, stands, hanging = folded(links)
-    sent = spark.sparkContext.broadcast((core, stands))
-    nodes = spark.createDataFrame([(n,) for n in sorted(core)], "fqn string").repartition(spark.sparkContext.defaultParallelism)
-
-    def partial(batches):
-        from collections import deque
-
-        (graph, weight), total = sent.value, {}
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                order, before, sigma, dist = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in graph[v]:
-                        if w not in dist:
-                            dist[w], sigma[w], before[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            before[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        delta[v] += sigma[v] / sigma[w] * (weight[w] + delta[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + weight[s] * delta[w]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], ["fqn", "part"])
-
-    n = len(links)
-    scale = (n - 1) * (n - 2) if n > 2 else 1
-    parts = nodes.mapInArrow(partial, "fqn string, part double").unionByName(spark.createDataFrame(list(hanging.items()), "fqn string, part double"))
-    sums = parts.groupBy("fqn").agg(F.sum("part").alias("total"))
-    return sums.select("fqn", F.round(F.col("total") / scale, 6).alias("betweenness"))

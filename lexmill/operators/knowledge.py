@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import stored
 from . import bm25
+from .communities import communities  # noqa: F401  asked for with the other graph questions
 from .graph import expand
 from .provider import STUB, Provider
 
@@ -128,47 +128,6 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 4, limit: int
     return first_rows(found, "start", ["hops", F.array_join("path", ">")], limit).select("start", "fqn", "hops", "path")
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(fqn, community) by modularity: nodes move to the neighbouring community of the largest gain, by turns.
-
-    Local moving as tables: each round computes every node's gain towards each neighbouring community from that
-    community's total degree; nodes move if their gain is positive, in rounds that alternate between halves of the
-    nodes (by hash), so two nodes do not swap for ever. Ties go to the least name. Runs until nothing moves.
-    """
-    links = edges.filter("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("a", "fqn")
-    two_m = float(degree.agg(F.sum("k")).first()[0] or 0)
-    state = stored(degree.select("fqn", "k", F.col("fqn").alias("community"), F.pmod(F.xxhash64("fqn"), F.lit(2)).alias("half")))
-    still = 0
-    for turn in range(rounds):
-        totals = state.groupBy("community").agg(F.sum("k").alias("total"))
-        weights = ends.join(state.select(F.col("fqn").alias("b"), "community"), "b").groupBy(F.col("a").alias("fqn"), "community").agg(F.count(F.lit(1)).alias("w"))
-        own = state.select("fqn", "k", F.col("community").alias("mine"), "half")
-        gains = (
-            own.join(weights, "fqn")
-            .join(totals, "community")
-            # Moving a node out of its own community first: its own total does not count itself.
-            .withColumn("gain", F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("community") == F.col("mine"), F.col("k")).otherwise(0)) / two_m)
-        )
-        best = gains.groupBy("fqn").agg(
-            F.min(F.struct((-F.round("gain", 9)).alias("cost"), "community")).alias("best"),
-            F.max(F.when(F.col("community") == F.col("mine"), F.round("gain", 9))).alias("stay"),
-        )
-        # Without a link into its own community a node gains nothing by staying there but what its degree costs.
-        alone = own.join(totals.withColumnRenamed("community", "mine"), "mine").select("fqn", F.round(-F.col("k") * (F.col("total") - F.col("k")) / two_m, 9).alias("alone"))
-        chosen = state.join(best, "fqn").join(alone, "fqn")
-        moves = (F.col("half") == turn % 2) & (-F.col("best.cost") > F.coalesce("stay", "alone"))
-        to = F.when(moves, F.col("best.community")).otherwise(F.col("community"))
-        moved = stored(chosen.select("fqn", "k", to.alias("community"), "half", (to != F.col("community")).alias("changed")))
-        still = 0 if moved.filter("changed").limit(1).count() else still + 1
-        state = moved.drop("changed")
-        if still == 2:
-            break
-    least = state.groupBy("community").agg(F.min("fqn").alias("name"))
-    return state.join(least, "community").select("fqn", F.col("name").alias("community"))
-
-
 def sample(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """What a viewer shows: the first ``limit`` nodes (500 at most), and of the first twice as many edges those among them."""
     limit = min(limit, SAMPLE_LIMIT)

@@ -577,6 +577,17 @@ def graph_hubs_betweenness(spark, sf):
     return graph.betweenness(_graph(spark, sf)[1])
 
 
+@query()
+def graph_top_hubs(spark, sf):
+    return graph.hubs(_graph(spark, sf)[1])
+
+
+@query()
+def entity_merges(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("name"))
+    return resolve.resolved(names)
+
+
 @query()
 def entity_resolution_pairs(spark, sf):
     return resolve.candidate_pairs(table(spark, sf, "part").select(F.col("p_brand").alias("type"), F.col("p_name").alias("name")))

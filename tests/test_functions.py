@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators.arena import START, rate
-from lexmill.operators.resolve import jaro_winkler, merge_entities
+from lexmill.operators.resolve import jaro_winkler
 
 
 def one(spark, value, column):
@@ -54,8 +54,6 @@ def test_jaro_winkler():
 
 
 def test_merges():
-    assert merge_entities([("Function", "json.load"), ("Function", "json.loads"), ("Module", "json.load")]) == [("json.load", "json.loads")]
-    assert merge_entities([("Module", "io"), ("Module", "io")]) == []
 
 
 def test_elo():
