@@ -37,6 +37,12 @@ BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 20_000
 NEED_EVERY = 16
 #: Keys that a task pre-aggregates at a time.
 CHUNK_KEYS = 2_000_000
+#: A key is busy if so many of the sets that a task counts together have it, and this share of them.
+BUSY_LEAST, BUSY_SHARE = 32, 0.01
+#: Parts over which the entries of a busy key are dealt.
+HOT_PARTS = 256
+#: Busy keys that are broadcast (8 bytes each), the busiest; without a key there the result is the same.
+BUSY_KEYS = 500_000
 
 
 def prefixes(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,19 +67,38 @@ def signatures(hashes: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[n
     return one.view(np.int64), two.view(np.int64)
 
 
-def _features(width: int):
+def busy(keys: list[np.ndarray], least: float) -> pa.RecordBatch:
+    """Rows (count, 0, -1, key, 0) for the bucket keys that ``least`` of a task's sets have."""
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    many = count >= least
+    key, count = key[many].view(np.int64), count[many].astype(np.int64)
+    none = np.zeros(len(key), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (count, none, none - 1, key, none)], ["rid", "hash", "n", "node", "node2"])
+
+
+def _features(width: int, percent: int, least: int, share: float):
+    """(rid, hash, n, node, node2): size and names of each row's set; rows with n = -1 name busy keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, seen = [], 0, 0
         for batch in batches:
             sizes, one, two = [], [], []
             for _, _, data, cuts in text_blocks(batch.column(2)):
                 hashes, of, n = shingle_sets(data, cuts, width)
                 a, b = signatures(hashes, of, n)
                 sizes.append(n), one.append(a), two.append(b)
+                keys.append(prefixes(hashes, of, n, percent)[0])
+                held, seen = held + len(keys[-1]), seen + len(n)
+                if held >= CHUNK_KEYS:
+                    yield busy(keys, max(least, share * seen))
+                    keys, held, seen = [], 0, 0
             if sizes:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), *(pa.array(np.concatenate(x)) for x in (sizes, one, two))],
                     ["rid", "hash", "n", "node", "node2"],
                 )
+        if held:
+            yield busy(keys, max(least, share * seen))
 
     return run
 
@@ -365,16 +390,20 @@ def compared_blocks(rows: DataFrame, held: DataFrame, percent: int, every: bool
     return written(ordered.mapInArrow(_compare_blocks(percent, exact, every), "u long, v long, pairs long, bounded long, compared long"))
 
 
-def bucket_rows(rows: DataFrame) -> DataFrame:
+def bucket_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """(key, node, shared): members of the buckets that are left of ``rows(key, node, need)``.
 
     Only buckets of two different sets or more count. The order "fewest entries first" is the same for all sets, so
-    two sets that share ``need`` buckets still share one when each leaves its ``need - 1`` last ones. A bucket's counts
-    are combined before the shuffle and joined back, so that the entries of a full bucket need not meet in one task.
+    two sets that share ``need`` buckets still share one when each leaves its ``need - 1`` last ones. Busy keys
+    (``hot(key)``, a bounded number) are dealt over parts and stand last in that order without being counted: any
+    order that is the same for all sets will do, and a bucket of one set does no harm.
     """
-    entered = written(rows.groupBy("key", "node").agg(F.max("need").alias("need"), F.count(F.lit(1)).alias("entries")))
-    counts = entered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.sum("entries").alias("held")).filter("low < high")
-    shared = entered.join(counts, "key").select("key", "node", "need", "held")
+    flagged = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    parts = flagged.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(HOT_PARTS))).otherwise(0))
+    whole = Window.partitionBy("key", "part")
+    counted = parts.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole), "held": F.count(F.lit(1)).over(whole)})
+    entered = counted.filter("hot or low < high").withColumn("held", F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.col("held")))
+    shared = entered.groupBy("key", "part", "node").agg(F.max("need").alias("need"), F.max("held").alias("held"))
     mine = Window.partitionBy("node")  # at most the shingles of one text
     ranked = shared.withColumns({"shared": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("held", "key"))})
     return ranked.filter("place <= shared - need + 1").select("key", "node", "shared")
@@ -406,7 +435,9 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     docs = docs.drop("n_shingles", "component_id", *(["n_links"] if links else []), *(["is_first", "n_same"] if firsts else []))
     text = whole_text(text_col)
     keyed = docs.select(row_id(id_col).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    sets = written(keyed.mapInArrow(_features(width), "rid long, hash long, n long, node long, node2 long"))
+    made = written(keyed.mapInArrow(_features(width, percent, BUSY_LEAST, BUSY_SHARE), "rid long, hash long, n long, node long, node2 long"))
+    sets = made.filter("n >= 0")
+    hot = made.filter("n = -1").groupBy(F.col("node").alias("key")).agg(F.sum("rid").alias("count")).orderBy(F.desc("count"), "key").limit(BUSY_KEYS).select("key")
     real = F.when(F.col("rid") != NO_ID, F.col("rid"))
     # One class for each different set: combined on the map side, so copies never meet in one task.
     classes = written(
@@ -414,7 +445,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         .groupBy("node", "node2")
         .agg(F.min(F.struct((F.col("rid") == NO_ID).alias("no_id"), "rid", "hash")).alias("first"), F.max("n").alias("n"), F.min(real).alias("least_id"), F.count(F.lit(1)).alias("copies"))
     )
-    kept = written(bucket_rows(keyed.select("text").mapInArrow(_entries(width, percent), "key long, node long, need int")))
+    kept = written(bucket_rows(keyed.select("text").mapInArrow(_entries(width, percent), "key long, node long, need int"), hot))
     # A bucket's centre is its set with the most shared buckets.
     buckets = kept.groupBy("key").agg(F.max(F.struct("shared", "node"))["node"].alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = written(kept.join(buckets, "key").select("key", "node", "centre"))

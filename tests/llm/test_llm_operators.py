@@ -418,6 +418,18 @@ def test_suffix_dedup(spark, docs, monkeypatch):
     assert suffix_dedup(empty(spark)).count() == 0
 
 
+def test_busy_keys_do_not_change_links(spark, docs, monkeypatch):
+    from lexmill.llm import ngram_join as module
+
+    frame, rows = docs
+    plain = Counter(map(tuple, ngram_join(frame).select("doc_id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(module, "BUSY_LEAST", 1)
+    monkeypatch.setattr(module, "BUSY_SHARE", 0.0)
+    assert Counter(map(tuple, ngram_join(frame).select("doc_id", "n_shingles", "component_id").collect())) == plain
+    monkeypatch.setattr(module, "BUSY_KEYS", 40)
+    assert Counter(map(tuple, ngram_join(frame).select("doc_id", "n_shingles", "component_id").collect())) == plain
+
+
 def thue_morse(n, a, b):
     return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
 
