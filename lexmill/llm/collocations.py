@@ -9,12 +9,12 @@ counts, and a hash that meets another only lets one phrase more be counted. Coun
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ COUNTED = "lang string, phrase string, bucket int, n long"
 
 
 def word_hash(lang: bytes, word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(lang + BREAK + word, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(lang + BREAK + word)
 
 
 class Words(dict):
@@ -47,10 +47,19 @@ class Words(dict):
 
     def __init__(self, lang: str, held: Vocabulary):
         super().__init__({BREAK: 0})
-        self.lang, self.code, self.held = lang, lang.encode(), held
+        self.lang, self.code, self.held, self.known = lang, lang.encode(), held, held.known
 
     def __missing__(self, word: bytes) -> int:
-        return self.held.add(self, word, word_hash(self.code, word))
+        code = word_hash(self.code, word)
+        if self.known is not None and not self.known(code):
+            self[word] = 0
+            return 0
+        held = self.held
+        number = self[word] = len(held.words)
+        held.words.append(word)
+        held.langs.append(self.lang)
+        held.hashes.append(code)
+        return number
 
 
 class Vocabulary:
@@ -65,16 +74,6 @@ class Vocabulary:
         self.words, self.langs, self.hashes = [BREAK], [""], [0]
         self.array = np.zeros(0, np.uint64)
 
-    def add(self, words: Words, word: bytes, code: int) -> int:
-        if self.known is not None and not self.known(code):
-            words[word] = 0
-            return 0
-        number = words[word] = len(self.words)
-        self.words.append(word)
-        self.langs.append(words.lang)
-        self.hashes.append(code)
-        return number
-
     def size(self) -> int:
         return sum(map(len, self.by_lang.values()))
 
