@@ -10,45 +10,47 @@ from ..session import stored
 from .provider import STUB, Provider
 
 # What is cut, and where.
-SUMMARY_FROM, CLUSTER_TEXTS, RERANKED, DEFAULT_SCORE = 100, 20, 10, 0.5
+SUMMARY_FROM, SUMMARY_CHARS, CLUSTER_TEXTS, RERANKED, DEFAULT_SCORE = 100, 4000, 20, 10, 0.5
 PAIR_CODE, PAIR_CHARS, EXCERPT_FROM, EXCERPT_CHARS = 500, 2000, 50, 2000
 
 
-def summaries(tree: DataFrame, provider: Provider = STUB, depth: int = 6) -> DataFrame:
-    """``tree(node_id, parent_id, title, content)`` with ``summary``, from the leaves up.
+def summaries(tree: DataFrame, provider: Provider = STUB) -> DataFrame:
+    """``tree(node_id, parent_id, title, content[, pos])`` with ``summary``, from the leaves up.
 
-    A leaf of more than 100 characters is summarised, a shorter one stands for itself; an inner node is summarised
-    from its children's titles and summaries, one level at each step up to ``depth``.
+    A leaf of more than 100 characters is summarised (its first 4000), a shorter one stands for itself, an empty one is
+    named by its title. An inner node is summarised from the titles and summaries of its children that have a title, in
+    order of ``pos`` (else of their ids), or named as a container. Each step does all nodes whose children are done, for
+    as many levels as there are. Nodes in a cycle, which no step can reach, have no summary.
     """
-    parents = tree.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()
-    leaf = F.when(F.length("content") > SUMMARY_FROM, provider.summarize(F.col("content"))).otherwise(F.col("content"))
-    done = stored(tree.join(parents, "node_id", "left_anti").withColumn("summary", leaf))
-    open_ = tree.join(parents, "node_id", "left_semi")
+    order = "pos" if "pos" in tree.columns else "node_id"
+    content = F.coalesce("content", F.lit(""))
+    leaf = F.when(F.length(content) > SUMMARY_FROM, provider.summarize(F.left(content, F.lit(SUMMARY_CHARS)))).when(content != "", content).otherwise(F.concat(F.lit("Section: "), F.col("title")))
     columns = [*tree.columns, "summary"]
-    for _ in range(depth):
-        ready = (
-            tree.select("node_id", F.col("parent_id").alias("parent"))
-            .join(done.select("node_id", "title", "summary"), "node_id", "left")
-            .groupBy("parent")
-            .agg(
-                F.count_if(F.col("summary").isNull()).alias("missing"),
-                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.concat_ws(": ", "title", "summary").alias("line")))), lambda x: x["line"]), "\n").alias("below"),
-            )
-            .filter("missing = 0")
-            .select(F.col("parent").alias("node_id"), "below")
-        )
-        step = open_.join(ready, "node_id").withColumn("summary", provider.summarize(F.col("below"))).select(columns)
-        step = stored(step)  # a level's summaries are asked for once
-        done = done.unionByName(step)
-        open_ = open_.join(step.select("node_id"), "node_id", "left_anti")
-    return done
-
-
-def cluster_texts(rows: DataFrame) -> DataFrame:
+    rest = stored(tree)
+    done, children = None, None
+    while True:
+        parents = rest.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()
+        ready = rest.join(parents, "node_id", "left_anti")
+        if done is None:
+            step = stored(ready.withColumn("summary", leaf).select(columns))
+        else:
+            lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("node_id"), F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("summary")).alias("line")))), lambda x: x["line"])
+            below = children.filter("title <> ''").groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(lines, "\n").alias("below"))
+            text = F.when(F.col("below").isNotNull(), provider.summarize(F.col("below"))).otherwise(F.concat(F.lit("Container section: "), F.col("title")))
+            step = stored(ready.join(below, "node_id", "left").withColumn("summary", text).select(columns))  # a level's summaries are asked for once
+        if step.isEmpty():
+            unreached = rest.withColumn("summary", F.lit(None).cast("string"))
+            return unreached if done is None else done.unionByName(unreached)
+        done = step if done is None else done.unionByName(step)
+        children = step if children is None else stored(children.unionByName(step).join(rest.join(step.select("node_id"), "node_id", "left_anti").select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi"))
+        rest = stored(rest.join(step.select("node_id"), "node_id", "left_anti"))
+
+
+def cluster_texts(rows: DataFrame, between: str = "\n\n") -> DataFrame:
     """(cluster, text) of ``rows(cluster, pos, text)``: the first 20 texts of each cluster in order, joined."""
     by = Window.partitionBy("cluster").orderBy("pos")
     first = rows.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= CLUSTER_TEXTS)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n\n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), between)
     return first.groupBy("cluster").agg(joined.alias("text"), F.count(F.lit(1)).alias("n_texts"))
 
 

@@ -14,13 +14,15 @@ from ..functions.text import ws_tokens
 
 @dataclass
 class Provider:
-    """Column functions; a user's provider wraps its client in a pandas UDF. ``judge`` replies with text that holds a JSON object."""
+    """Column functions; a user's provider wraps its client in a pandas UDF. ``judge`` replies with text that holds a JSON
+    object; ``choose`` scores how promising a section is for a question by its title and summary."""
 
     generate: Callable[[Column], Column]
     judge: Callable[[Column, Column], Column]
     rerank: Callable[[Column, Column], Column]
     summarize: Callable[[Column], Column]
     embed: Callable[[Column], Column]
+    choose: Callable[[Column, Column, Column], Column] = lambda question, title, summary: F.lit(0.0)
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
@@ -34,6 +36,11 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     )
 
 
+def shared_words(question: Column, title: Column, summary: Column) -> Column:
+    """How many of a question's words are in a section's title or summary: a choice without a model."""
+    return F.size(F.array_intersect(ws_tokens(question), ws_tokens(F.concat_ws(" ", title, summary)))).cast("double")
+
+
 STUB = Provider(
     generate=lambda prompt: F.lit(""),
     judge=lambda answer, reference: F.lit(None).cast("string"),

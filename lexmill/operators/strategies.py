@@ -5,11 +5,12 @@ from __future__ import annotations
 import importlib
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import substring_intent
-from . import bm25, chunking, fusion, knowledge, tree, vector
+from ..session import stored
+from . import bm25, chunking, fusion, generation, hierarchy, knowledge, tree, vector
 from .provider import STUB, Provider
 
 
@@ -86,39 +87,43 @@ class QnaPairs(Vector):
 
 
 class Raptor(Vector):
-    """Windows, and above them summaries of clusters of a fifth of their number."""
+    """Windows, and above them one or two levels of summaries of clusters; every level is searched."""
 
     name = "raptor"
 
     def build(self, docs):
-        base = self.chunks(docs).withColumn("vec_id", F.concat(F.lit("L0:"), F.col("vec_id")))
-        numbered = base.withColumn("key", F.xxhash64("vec_id"))
-        count = numbered.count()
-        clusters = vector.spherical_kmeans(numbered.select(F.col("key").alias("vec_id"), "embedding"), max(1, count // 5))
-        means = (
-            numbered.join(clusters.withColumnRenamed("vec_id", "key"), "key")
-            .select("cluster", F.posexplode("embedding").alias("d", "x"))
-            .groupBy("cluster", "d")
-            .agg(F.avg("x").alias("x"))
-            .groupBy("cluster")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"].cast("float")).alias("embedding"))
-        )
-        self.vectors = base.unionByName(means.select(F.concat(F.lit("L1:l1_cluster_"), F.col("cluster")).alias("vec_id"), "embedding"))
+        windows = chunking.token_windows(docs)
+        text = F.array_join("chunk", " ")
+        chunks = windows.select(F.concat_ws("::", "doc_id", "chunk_no").alias("vec_id"), F.struct("doc_id", "chunk_no").alias("pos"), text.alias("text"), self.provider.embed(text).alias("embedding"))
+        self.levels = hierarchy.levels(stored(chunks), self.provider)
+
+    def retrieve(self, questions, k=5):
+        traces = []
+        for n, rows in enumerate(self.levels):
+            self.vectors = rows.select(F.concat(F.lit(f"L{n}:"), "vec_id").alias("vec_id"), "embedding")
+            traces.append(super().retrieve(questions, k))
+        return generation.ranks_by_level(traces, k).select("question_id", "chunk_id", "score", "rank")
 
 
 class PageIndex(Strategy):
-    """Beam through the section tree; the stub picks the first candidates, the same for every question."""
+    """A beam through the documents' section trees for each question, by the provider's choice at each level."""
 
     name = "pageindex"
+    width, depth = 3, 4
 
     def build(self, docs):
-        levels = chunking.sections(docs).select("doc_id", F.col("section_pos").alias("pos"), F.lit(1).alias("level"))
-        self.tree = tree.build(levels)
+        marks = F.regexp_extract("content", "^(#{1,6}) ", 1)
+        lines = chunking.sections(docs).withColumn("level", F.when(marks != "", F.length(marks)).otherwise(1))
+        sections = lines.select("doc_id", F.col("section_pos").alias("pos"), "level", F.left("content", F.lit(80)).alias("title"), "content", F.col("chunk_id").alias("node_id"))
+        self.load(sections)
+
+    def load(self, sections, docs=None):
+        """Use parsed sections (doc_id, pos, level, title, content, node_id)."""
+        self.tree = generation.summaries(tree.nested(sections, docs), self.provider)
 
     def retrieve(self, questions, k=5):
-        chosen = tree.beam(self.tree)
-        first = chosen.orderBy("doc_id", "pos").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("doc_id", "pos")))  # k rows
-        return questions.select("question_id").crossJoin(F.broadcast(first.select(F.concat(F.lit("pageindex:"), F.col("node_id")).alias("chunk_id"), F.lit(1.0).alias("score"), "rank")))
+        found = tree.asked(self.tree, questions, self.provider, self.depth, self.width).filter(F.col("rank") <= k)
+        return found.select("question_id", F.concat(F.lit("pageindex:"), "node_id").alias("chunk_id"), F.lit(0.0).alias("score"), "rank")
 
 
 class KnowledgeGraph(Strategy):

@@ -5,28 +5,94 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .provider import STUB, Provider
+
+#: Different heading levels that a table may have; each is a running maximum of the pass.
+LEVELS = 64
+#: Questions are broadcast only up to this many rows.
+QUESTION_BLOCK = 20_000
+
+
+def _before(sections: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``sections`` with ``above``: (pos, level) of the last earlier section of a smaller level, and the levels there are.
+
+    One sorted pass over each document: a running maximum for each level, which are few (headings have six).
+    """
+    levels = sorted(r["level"] for r in sections.select("level").distinct().limit(LEVELS + 1).collect())
+    if len(levels) > LEVELS:
+        raise ValueError(f"sections have more than {LEVELS} levels")
+    earlier = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.lit(None)
+    for level in levels:
+        last = F.max(F.when(F.col("level") < level, F.struct("pos", "level"))).over(earlier)
+        above = F.when(F.col("level") == level, last).otherwise(above)
+    return sections.withColumn("above", above if levels else F.lit(None).cast("struct<pos:long,level:int>")), levels
+
 
 def build(sections: DataFrame) -> DataFrame:
-    """(doc_id, node_id, parent_id, level): the parent is the last earlier section of a smaller level.
+    """(doc_id, node_id, parent_id, level, pos): the parent is the last earlier section of a smaller level.
+
+    ``sections`` holds doc_id, pos and level. A document is one sorted pass, whatever its length.
+    """
+    found, _ = _before(sections.select("doc_id", "pos", "level"))
+    return found.select(
+        "doc_id",
+        F.concat_ws("::", "doc_id", "pos").alias("node_id"),
+        F.when(F.col("above").isNotNull(), F.concat_ws("::", F.col("doc_id"), F.col("above.pos"))).alias("parent_id"),
+        "level",
+        "pos",
+    )
+
 
-    ``sections`` holds doc_id, pos and level. The fold runs over each document's own array.
+def nested(sections: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, node_id, parent_id, level, pos, title, content, synthetic): documents as trees whose depth is the level.
+
+    ``sections(doc_id, pos, level, title, content[, node_id])`` have levels from 1 on. A document is its tree's root, of
+    level 0. Where levels are jumped over, synthetic nodes without a title stand between; sections that follow under the
+    same one share it. Inner nodes have no content. ``docs(doc_id, title)`` adds roots of documents without sections,
+    which are leaves with empty content, and titles of roots.
     """
-    ordered = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level"))).alias("s"))
-    node = F.transform(
-        "s",
-        lambda x, i: F.struct(
-            x["pos"].alias("pos"),
-            x["level"].alias("level"),
-            F.try_element_at(F.filter(F.slice("s", 1, i), lambda y: y["level"] < x["level"]), F.lit(-1))["pos"].alias("parent"),
-        ),
+    named = sections if "node_id" in sections.columns else sections.withColumn("node_id", F.concat_ws("::", "doc_id", "pos"))
+    columns = ["doc_id", "pos", "level", "title", "content", "node_id"]
+    found, _ = _before(named.select(columns))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    found = found.withColumns(
+        {
+            "last": F.lag(F.struct("pos", "level")).over(order),
+            "next": F.lead("level").over(order),
+        }
     )
-    return ordered.select("doc_id", F.explode(F.when(F.size("s") > 0, node)).alias("n")).select(
+    ids = named.select("doc_id", F.col("pos").alias("above_pos"), F.col("node_id").alias("above_node"))
+    found = found.withColumn("above_pos", F.col("above.pos")).join(ids, ["doc_id", "above_pos"], "left")
+    root, top = F.col("doc_id").cast("string"), F.coalesce(F.col("above.level"), F.lit(0))
+
+    def between(pos, depth):
+        return F.concat(root, F.lit("::synthetic_l"), depth.cast("string"), F.lit("::"), F.coalesce(pos.cast("string"), F.lit("root")))
+
+    parent = F.when(top == F.col("level") - 1, F.coalesce("above_node", root)).otherwise(between(F.col("above_pos"), F.col("level") - 1))
+    content = F.when(F.col("next").isNull() | (F.col("next") <= F.col("level")), F.coalesce("content", F.lit("")))
+    rows = found.select("doc_id", "node_id", parent.alias("parent_id"), F.col("level").cast("int").alias("level"), "pos", "title", content.alias("content"), F.lit(False).alias("synthetic"))
+    # The section right after its parent makes the nodes between.
+    jumps = found.filter((F.col("level") - 1 > top) & F.col("last").eqNullSafe(F.col("above")))
+    depths = jumps.select("doc_id", "pos", "above_pos", "above_node", top.alias("top"), F.explode(F.sequence(top + 1, F.col("level") - 1)).alias("level"))
+    made = depths.select(
         "doc_id",
-        F.concat_ws("::", F.col("doc_id"), F.col("n.pos")).alias("node_id"),
-        F.when(F.col("n.parent").isNotNull(), F.concat_ws("::", F.col("doc_id"), F.col("n.parent"))).alias("parent_id"),
-        F.col("n.level").alias("level"),
-        F.col("n.pos").alias("pos"),
+        between(F.col("above_pos"), F.col("level")).alias("node_id"),
+        F.when(F.col("level") == F.col("top") + 1, F.coalesce("above_node", root)).otherwise(between(F.col("above_pos"), F.col("level") - 1)).alias("parent_id"),
+        F.col("level").cast("int").alias("level"),
+        "pos",
+        F.lit("").alias("title"),
+        F.lit(None).cast("string").alias("content"),
+        F.lit(True).alias("synthetic"),
     )
+    held = sections.select("doc_id").distinct().withColumn("inner", F.lit(True))
+    tops = held.withColumn("title", F.lit("")) if docs is None else docs.select("doc_id", "title").join(held, "doc_id", "full")
+    roots = tops.select(
+        "doc_id", root.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("level"), F.lit(-1).cast(dict(rows.dtypes)["pos"]).alias("pos"),
+        F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("inner").isNull(), F.lit("")).alias("content"), F.lit(False).alias("synthetic"),
+    )
+    return rows.unionByName(made).unionByName(roots)
 
 
 def save(tree: DataFrame, path: str) -> None:
@@ -48,20 +114,24 @@ def leaf_counts(tree: DataFrame) -> DataFrame:
     return leaves.groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaves"))
 
 
-def leaves_below(tree: DataFrame, depth: int = 8) -> DataFrame:
-    """(node_id, leaves) for ``tree(node_id, parent_id)``: how many leaves are below each node; a leaf counts itself."""
+def leaves_below(tree: DataFrame) -> DataFrame:
+    """(node_id, leaves) for ``tree(node_id, parent_id)``: how many leaves are below each node; a leaf counts itself.
+
+    Counts move up a level at a time, added up on the way, for as many levels as there are.
+    """
     parents = tree.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()
-    up = tree.join(parents, "node_id", "left_anti").select(F.col("node_id").alias("leaf"), "node_id", "parent_id")
-    above = tree.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("next"))
-    found = up.select("leaf", "node_id")
-    for _ in range(depth):
-        up = up.filter("parent_id is not null").join(above, "parent_id").select("leaf", F.col("parent_id").alias("node_id"), F.col("next").alias("parent_id"))
-        found = found.unionByName(up.select("leaf", "node_id"))
-    return found.groupBy("node_id").agg(F.countDistinct("leaf").alias("leaves"))
+    above = tree.select("node_id", "parent_id")
+    front = stored(tree.join(parents, "node_id", "left_anti").select("node_id", F.lit(1).cast("long").alias("leaves")))
+    found = front
+    while True:
+        front = stored(front.join(above, "node_id").filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.sum("leaves").alias("leaves")))
+        if front.isEmpty():
+            return found.groupBy("node_id").agg(F.sum("leaves").alias("leaves"))
+        found = found.unionByName(front)
 
 
 def beam(tree: DataFrame, depth: int = 4, width: int = 3) -> DataFrame:
-    """Nodes chosen with the stub scorer, which takes the first ``width`` candidates in order of each document's level."""
+    """Nodes chosen with a scorer that takes the first ``width`` candidates in order of each document's level."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     front = tree.filter("parent_id is null").withColumn("place", place).filter(F.col("place") <= width).drop("place")
     chosen = None
@@ -72,3 +142,50 @@ def beam(tree: DataFrame, depth: int = 4, width: int = 3) -> DataFrame:
         below = tree.join(front.select(F.col("node_id").alias("parent_id")), "parent_id").select(tree.columns)
         front = below.withColumn("place", place).filter(F.col("place") <= width).drop("place")
     return chosen.unionByName(front)
+
+
+def asked(tree: DataFrame, questions: DataFrame, provider: Provider = STUB, depth: int = 4, width: int = 3) -> DataFrame:
+    """(question_id, node_id, doc_id, title, content, rank): the sections that a beam through the trees reaches for each question.
+
+    ``tree(node_id, parent_id, doc_id, pos, title, summary, content)``. A question's candidates are all roots at first. The
+    provider's ``choose`` scores them by question, title and summary, and the ``width`` best (ties in order) are taken:
+    leaves of them are results, the children of the others are the next candidates. Candidates that are all leaves,
+    or that are left after ``depth`` choices, are results without a choice. Results of a level stand before deeper ones.
+
+    The frontier is a table of (question, node): ``width`` nodes a question and their children. Questions meet the
+    roots in blocks of a bounded size.
+    """
+    parents = tree.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct().withColumn("inner", F.lit(True))
+    nodes = stored(tree.join(parents, "node_id", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"))
+    text = ["node_id", "doc_id", "pos", "title", "summary", "content", "leaf"]
+    roots = nodes.filter("parent_id is null").select(*text, F.struct(F.lit(0).alias("of"), F.col("doc_id").alias("doc"), "pos", "node_id").alias("order"))
+    below = nodes.filter("parent_id is not null").select("parent_id", *text)
+    asked_ = questions.select("question_id", "question")
+    blocks = max(1, -(-asked_.count() // QUESTION_BLOCK))
+    front = None
+    for i in range(blocks):
+        block = asked_ if blocks == 1 else asked_.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i)
+        part = roots.crossJoin(F.broadcast(block))
+        front = part if front is None else front.unionByName(part)
+    score = F.coalesce(provider.choose(F.col("question"), F.col("title"), F.col("summary")).cast("double"), F.lit(0.0))
+    by = Window.partitionBy("question_id").orderBy(F.desc("score"), "order")
+    found = None
+    for level in range(depth + 1):
+        if level == depth:
+            final = front.withColumn("place", F.lit(0))
+        else:
+            # A question whose candidates are all leaves has no row here.
+            open_ = front.filter("not leaf").select("question_id").distinct()
+            final = front.join(open_, "question_id", "left_anti").withColumn("place", F.lit(0))
+            chosen = front.join(open_, "question_id").withColumn("score", score).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= width)
+            chosen = stored(chosen.drop("score"))
+            final = final.unionByName(chosen.filter("leaf"))
+        final = stored(final.select("question_id", "node_id", "doc_id", "title", "content", F.struct(F.lit(level).alias("level"), "place", "order").alias("at")))
+        found = final if found is None else found.unionByName(final)
+        if level < depth:
+            ahead = chosen.filter("not leaf").select("question_id", "question", F.col("node_id").alias("parent_id"), "place", F.col("order.doc").alias("doc"))
+            front = stored(ahead.join(below, "parent_id").select(*text, F.struct(F.col("place").alias("of"), "doc", "pos", "node_id").alias("order"), "question_id", "question"))
+            if front.isEmpty():
+                break
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("at")).cast("long")
+    return found.withColumn("rank", rank).drop("at")

@@ -7,10 +7,10 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import evaluation, generation, knowledge, tree
-from ..operators.provider import STUB
+from ..operators import evaluation, generation, knowledge, strategies, tree
+from ..operators.provider import STUB, shared_words
 from ..session import table
-from .catalogue import _ASK, BM25, GRAPH, REC, _asks, _expected, _graph, _questions, _records, _top, query
+from .catalogue import _ASK, BM25, GRAPH, QUERIES, REC, SECTIONS, _asks, _expected, _graph, _questions, _records, _top, query
 
 # Routing -------------------------------------------------------------------------------------------------
 
@@ -370,7 +370,62 @@ def tree_leaf_counts(spark, sf):
 def tree_summaries(spark, sf):
     nodes, edges = _graph(spark, sf)
     rows = nodes.select(F.col("fqn").alias("node_id"), F.col("name").alias("title"), F.col("name").alias("content")).join(edges.select(F.col("target").alias("node_id"), F.col("source").alias("parent_id")), "node_id", "left")
-    return generation.summaries(rows.filter("node_id not like 'customer:%'"), depth=3).select("node_id", "summary")
+    return generation.summaries(rows).select("node_id", "summary")
+
+
+def _nested(spark, sf):
+    from .catalogue import _sections
+
+    level = (F.length("content") % 4 + 1).cast("int")
+    lines = _sections(spark, sf).select("doc_id", F.col("section_pos").alias("pos"), level.alias("level"), F.left("content", F.lit(40)).alias("title"), "content", F.col("chunk_id").alias("node_id"))
+    return tree.nested(lines, table(spark, sf, "documents").select("doc_id", F.col("source").alias("title")))
+
+
+_NESTED = f"""with {SECTIONS},
+s as (select doc_id, section_pos as pos, (length(content) % 4 + 1)::int as level, chunk_id as node_id, content from sections),
+p as (select *, lag(pos) over w as last, lead(level) over w as next,
+      (select max(struct_pack(pos := t.pos, level := t.level, id := t.node_id)) from s t where t.doc_id = s.doc_id and t.pos < s.pos and t.level < s.level) as above
+      from s window w as (partition by doc_id order by pos)),
+q as (select *, coalesce(above.level, 0) as top, coalesce(above.pos::varchar, 'root') as mark, coalesce(above.id, doc_id::varchar) as under from p),
+made as (select doc_id, pos, top, mark, under, unnest(range(top + 1, level)) as depth from q where level - 1 > top and last is not distinct from above.pos)
+select node_id, case when top = level - 1 then under else doc_id || '::synthetic_l' || (level - 1) || '::' || mark end as parent_id, level,
+       pos, case when next is null or next <= level then length(content) end as chars, false as synthetic from q
+union all select doc_id || '::synthetic_l' || depth || '::' || mark, case when depth = top + 1 then under else doc_id || '::synthetic_l' || (depth - 1) || '::' || mark end,
+       depth::int, pos, null, true from made
+union all select doc_id::varchar, null, 0, -1, case when doc_id not in (select doc_id from s) then 0 end, false from documents"""
+
+
+@query(_NESTED)
+def tree_nested(spark, sf):
+    return _nested(spark, sf).select("node_id", "parent_id", "level", "pos", F.length("content").cast("long").alias("chars"), "synthetic")
+
+
+@query()
+def tree_beam_by_question(spark, sf):
+    model = dataclasses.replace(STUB, choose=shared_words)
+    summed = generation.summaries(_nested(spark, sf), model)
+    return tree.asked(summed, _questions(spark, sf), model).select("question_id", "node_id", "rank")
+
+
+def _hierarchy(spark, sf):
+    found = strategies.strategy("raptor")
+    found.build(table(spark, sf, "documents").select("doc_id", "text"))
+    return found
+
+
+@query()
+def summary_hierarchy(spark, sf):
+    rows = None
+    for n, level in enumerate(_hierarchy(spark, sf).levels):
+        size = F.col("n_texts") if n else F.lit(1).cast("long")
+        one = level.select(F.lit(n).alias("level"), "vec_id", size.alias("n_texts"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query()
+def hierarchy_topk(spark, sf):
+    return _hierarchy(spark, sf).retrieve(_questions(spark, sf)).withColumn("score", F.round("score", 5))
 
 
 @query()

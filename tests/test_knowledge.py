@@ -120,8 +120,8 @@ def test_judges(spark):
 
 def test_generation(spark):
     rows = spark.createDataFrame([("r", None, "R", ""), ("a", "r", "A", "x" * 300), ("b", "r", "B", "short"), ("c", "b2", "C", "y"), ("b2", "r", "B2", "")], "node_id string, parent_id string, title string, content string")
-    got = {r.node_id: r.summary for r in generation.summaries(rows, depth=3).collect()}
-    assert got["a"] == "x" * 200 and got["b"] == "short" and got["b2"] == "C: y" and got["r"].startswith("A: xxx") and set(got) == {"r", "a", "b", "c", "b2"}
+    got = {r.node_id: r.summary for r in generation.summaries(rows).collect()}
+    assert got["a"] == "x" * 200 and got["b"] == "short" and got["b2"] == "- C: y" and got["r"].startswith("- A: xxx") and set(got) == {"r", "a", "b", "c", "b2"}
     slugs = spark.createDataFrame([(1, i, s) for i, s in enumerate(["x", "x-1", "x", "x", "y"])], "doc_id long, pos int, slug string")
     assert [r.section_id for r in generation.probed_slugs(slugs).orderBy("pos").collect()] == ["x", "x-1", "x-2", "x-3", "y"]
     sections = spark.createDataFrame([(0, 0, "D", "s", "a" * 60), (0, 1, "D", "s", "b" * 3000), (0, 2, "D", "s", "c" * 60), (1, 0, "E", "t", "d" * 60), (1, 1, "E", "t", "short")], "doc_pos int, pos int, doc_title string, title string, content string")
