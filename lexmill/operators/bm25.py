@@ -1,74 +1,103 @@
-"""Okapi BM25 over sections: a stored postings table, and all questions answered at once.
+"""Okapi BM25 over sections: an index in shards of sections, and all questions answered by each shard for itself.
 
-Scoring everything that shares a word with a question would read the postings of its commonest words, which say
-least. A question's rarest words give a lower bound of its ``k``-th best score first; words that together cannot
-reach that bound are then only looked up for chunks that the others leave in the race. Scores are exact.
+A shard holds the postings of a bounded number of words' worth of sections, as arrays in one row. It is made where the
+sections are read, without a shuffle; only document frequencies are summed over shards. A batch of questions is sent
+to the shards, each scores its sections by array operations and hands back its ``k`` best of a question, and only
+those meet. Scores are exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_tokens
-from ..session import stored
+from ..session import ship, stored
 
 # The ranking's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 KEY = ["doc_id", "section_pos"]
-#: Postings of a question's rarest words that give its first bound, for each chunk asked for.
-SEED_POSTINGS = 40
-#: Scores are rounded to nine digits; bounds allow for that.
-SLACK = 1e-6
+#: Words of a shard (about two megabytes); a task makes shards of its own rows, the last may be smaller.
+SHARD_WORDS = 250_000
+#: (question, word) rows that are broadcast at a time; more go through in blocks of questions.
+ASKED_ROWS = 200_000
+DIGITS = 9
 
 
 @dataclass
 class Bm25Index:
-    """chunks(doc_id, section_pos, chunk_id, length), postings(term, doc_id, section_pos, length, tf), terms(term, df, idf, most), stats.
+    """shards, terms(term, df, idf) and stats(n, mean_length).
 
-    ``most`` is the largest weight that a posting of the term gives its idf.
+    A shard's row: keys and lengths of its sections in order, its terms, how many of its sections have each (``df``), and
+    for each term in turn those sections (``rows``) and how often they have it (``tf``).
     """
 
-    chunks: DataFrame
-    postings: DataFrame
+    shards: DataFrame
     terms: DataFrame
     stats: DataFrame
 
 
-def weight_of(tf: Column, length: Column, mean_length: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+def _shard(rows: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+    rows = rows.sort_by([(c, "ascending") for c in KEY]).combine_chunks()
+    tokens = rows.column("tokens").combine_chunks()
+    n, lengths = rows.num_rows, pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(pc.list_flatten(tokens))
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pair, tf = np.unique(code * n + np.repeat(np.arange(n), lengths), return_counts=True)
+    df = np.bincount(pair // max(n, 1), minlength=len(coded.dictionary))
+    values = [rows.column(c).to_pylist() for c in KEY] + [lengths, coded.dictionary.to_pylist(), df, pair % max(n, 1), tf]
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
 
-def term_stats(postings: DataFrame, stats: DataFrame) -> DataFrame:
+def build(sections: DataFrame) -> Bm25Index:
+    """The index of ``sections(doc_id, section_pos, content)``, read once."""
+    ship(sections.sparkSession)
+    tokens = sections.select(*KEY, ws_tokens(F.col("content")).alias("tokens"))
+    kinds = [kind for _, kind in tokens.dtypes[:2]]
+    names = [*KEY, "length", "terms", "df", "rows", "tf"]
+    form = ", ".join(f"{c} array<{k}>" for c, k in zip(names, [*kinds, "int", "string", "int", "int", "int"]))
+
+    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+        schema = pa.schema([(c, pa.list_(types[k])) for c, k in zip(names, [*kinds, "int", "string", "int", "int", "int"])])
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column(2).flatten())
+            if size >= SHARD_WORDS:
+                yield _shard(pa.Table.from_batches(held), schema)
+                held, size = [], 0
+        if held and sum(b.num_rows for b in held):
+            yield _shard(pa.Table.from_batches(held), schema)
+
+    if any(k not in ("int", "bigint", "string") for k in kinds):
+        raise TypeError(f"keys must be int, bigint or string, not {kinds}")
+    shards = stored(tokens.mapInArrow(sharded, form))
+    stats = stored(shards.agg(F.sum(F.size("length")).alias("n"), (F.sum(F.aggregate("length", F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("length"))).alias("mean_length")))
+    return Bm25Index(shards, stored(term_stats(shards, stats)), stats)
+
+
+def term_stats(shards: DataFrame, stats: DataFrame) -> DataFrame:
     """Document frequency and idf; a negative idf becomes EPSILON times the mean idf."""
-    weighted = postings.crossJoin(F.broadcast(stats)).withColumn("part", weight_of(F.col("tf"), F.col("length"), F.col("mean_length")))  # one row
-    df = weighted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = shards.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.df").alias("df"))
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "most"
-    )
-
-
-def build(sections: DataFrame) -> Bm25Index:
-    """The index of ``sections(doc_id, section_pos, chunk_id, content)``; postings and term statistics are written once."""
-    tokens = sections.select(*KEY, "chunk_id", ws_tokens(F.col("content")).alias("tokens"))
-    chunks = stored(tokens.select(*KEY, "chunk_id", F.size("tokens").alias("length")))
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))  # one row
-    found = tokens.select(*KEY, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", *KEY, "length").agg(F.count(F.lit(1)).alias("tf"))
-    postings = stored(found)
-    return Bm25Index(chunks, postings, stored(term_stats(postings, stats)), stats)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
 def save(index: Bm25Index, path: str) -> None:
-    for name in ("chunks", "postings", "terms", "stats"):
+    for name in ("shards", "terms", "stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "terms", "stats")))
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("shards", "terms", "stats")))
 
 
 def query_terms(questions: DataFrame) -> DataFrame:
@@ -76,67 +105,92 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(ws_tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def asked_terms(index: Bm25Index, questions: DataFrame) -> DataFrame:
-    """question_id, term, df, weight and bound, the most that the term adds to a score."""
-    weight = F.col("qtf") * F.col("idf")
-    return query_terms(questions).join(index.terms, "term").select("question_id", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("bound"))
-
-
-def parts(index: Bm25Index, asked: DataFrame) -> DataFrame:
-    """question_id, doc_id, section_pos and the part of the score of each posting of the terms asked for."""
-    part = F.col("weight") * weight_of(F.col("tf"), F.col("length"), F.col("mean_length"))
-    return index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("mean_length"))).withColumn("part", part)
+class Asked:
+    """A block of questions: numbered, with the numbers and weights of their terms."""
+
+    def __init__(self, questions: list[int], terms: list[str], weights: list[float]):
+        self.terms = sorted(set(terms))
+        number = {t: i for i, t in enumerate(self.terms)}
+        self.of: dict[int, list[tuple[int, float]]] = {}
+        for q, t, w in zip(questions, terms, weights):
+            self.of.setdefault(q, []).append((number[t], w))
+
+    def scored(self, shard: dict, mean_length: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(question, scores of all sections, whether they share a term) for one shard."""
+        n = len(shard["length"])
+        lengths = np.asarray(shard["length"], np.float64)
+        base = K1 * (1 - B + B * lengths / mean_length) if n else lengths
+        ends = np.cumsum(shard["df"])
+        rows, tf = np.asarray(shard["rows"], np.int64), np.asarray(shard["tf"], np.float64)
+        place = pc.index_in(pa.array(self.terms, pa.string()), pa.array(shard["terms"], pa.string())).to_pylist()
+        impacts = {}
+        for term, at in enumerate(place):
+            if at is not None:
+                of = slice(int(ends[at - 1]) if at else 0, int(ends[at]))
+                impacts[term] = rows[of], tf[of] * (K1 + 1) / (tf[of] + base[rows[of]])
+        for question, weighted in self.of.items():
+            score, met = np.zeros(n), np.zeros(n, bool)
+            for term, weight in weighted:
+                if term in impacts:
+                    at, impact = impacts[term]
+                    score[at] += weight * impact
+                    met[at] = True
+            yield question, np.round(score, DIGITS), met
+
+
+def best(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest, the first of equals."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    least = np.partition(score, len(score) - k)[len(score) - k]
+    above = np.nonzero(score > least)[0]
+    return np.concatenate([above, np.nonzero(score == least)[0][: k - len(above)]])
+
+
+def _answered(index: Bm25Index, questions: DataFrame, k: int | None) -> DataFrame:
+    """question_id, doc_id, section_pos, score: each shard's ``k`` best of a question, or all that share a term."""
+    spark = questions.sparkSession
+    ship(spark)
+    # Questions are numbered by a hash of their ids, so that ids of any type can be sent; every question has a row.
+    ids = questions.select("question_id").distinct().withColumn("number", F.xxhash64("question_id"))
+    weighted = query_terms(questions).join(index.terms, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    asked = stored(ids.join(weighted, "question_id", "left").select("number", F.coalesce("term", F.lit("")).alias("term"), F.coalesce("weight", F.lit(0.0)).alias("weight")))
+    blocks = max(1, -(-asked.count() // ASKED_ROWS))
+    row = index.stats.first()
+    mean_length = float(row["mean_length"] or 0.0) if row else 0.0
+    kinds = [index.shards.schema[c].dataType.elementType.simpleString() for c in KEY]
+    found = None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod("number", F.lit(blocks)) == i)
+        table = block.toArrow()
+        sent = spark.sparkContext.broadcast(Asked(*(c.to_pylist() for c in table.columns)))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for j in range(batch.num_rows):
+                    one = batch.slice(j, 1)
+                    shard = {name: one.column(name).flatten() for name in one.schema.names}
+                    parts: tuple[list, list, list] = ([], [], [])
+                    for question, score, met in sent.value.scored({**shard, **{c: shard[c].to_numpy(zero_copy_only=False) for c in ("length", "df", "rows", "tf")}}, mean_length):
+                        at = np.nonzero(met)[0] if k is None else best(score, k)
+                        parts[0].append(np.full(len(at), question)), parts[1].append(at), parts[2].append(score[at])
+                    if parts[0]:
+                        numbers, at, score = (np.concatenate(p) for p in parts)
+                        keys = [shard[c].take(pa.array(at)) for c in KEY]
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *keys, pa.array(score, pa.float64())], ["number", *KEY, "score"])
+
+        one = index.shards.mapInArrow(scan, f"number long, doc_id {kinds[0]}, section_pos {kinds[1]}, score double")
+        found = one if found is None else found.unionByName(one)
+    return found.join(ids, "number").select("question_id", *KEY, "score")
 
 
 def scores(index: Bm25Index, questions: DataFrame) -> DataFrame:
     """question_id, doc_id, section_pos, score for all chunks that share a term."""
-    return parts(index, asked_terms(index, questions)).groupBy("question_id", *KEY).agg(F.round(F.sum("part"), 9).alias("score"))
-
-
-def contenders(index: Bm25Index, questions: DataFrame, k: int) -> DataFrame:
-    """``scores`` of at least all chunks that can be among the ``k`` best of a question that has ``k`` positive scores."""
-    asked = stored(asked_terms(index, questions))
-    rare = Window.partitionBy("question_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)  # one question's words
-    seeds = asked.filter("weight > 0").withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).filter(F.col("before") < SEED_POSTINGS * k)
-    first = parts(index, seeds.drop("before")).groupBy("question_id", *KEY).agg(F.sum("part").alias("low"))
-    nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("low")))
-    kth = first.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("question_id").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
-    # Words of a negative weight can only lower a score, by their bound at most.
-    lowered = asked.groupBy("question_id").agg(F.sum(F.least("bound", F.lit(0.0))).alias("lowered"))
-    reach = kth.join(lowered, "question_id").select("question_id", (F.col("low") + F.col("lowered") - SLACK).alias("reach")).filter("reach > 0")
-    weak = Window.partitionBy("question_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = asked.join(reach, "question_id", "left").withColumn("sum", F.sum(F.greatest("bound", F.lit(0.0))).over(weak))
-    ranked = stored(ranked.withColumn("idle", F.coalesce(F.col("sum") < F.col("reach"), F.lit(False))))
-    rest = ranked.groupBy("question_id").agg(F.max("reach").alias("reach"), F.sum(F.when(F.col("idle"), F.greatest("bound", F.lit(0.0))).otherwise(0.0)).alias("more"))
-    met = parts(index, ranked.filter("not idle").select("question_id", "term", "weight")).groupBy("question_id", *KEY).agg(F.sum("part").alias("some"))
-    met = stored(met)
-    # What is known now bounds the k-th best score better than the rarest words did.
-    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("some")))).filter(F.col("nth") == k)
-    rest = rest.join(best.select("question_id", "some").withColumnRenamed("some", "known"), "question_id", "left").join(lowered, "question_id")
-    reached = F.when(F.col("reach").isNotNull(), F.greatest("reach", F.col("known") + F.col("lowered") - SLACK))
-    rest = rest.select("question_id", "more", reached.alias("reach"))
-    left = stored(met.join(rest, "question_id").filter("reach is null or some + more >= reach").select("question_id", *KEY, "some"))
-    # Of the idle words only the postings of chunks still in the race.
-    idle = index.postings.join(left.select("question_id", *KEY), KEY).join(ranked.filter("idle").select("question_id", "term", "weight"), ["question_id", "term"])
-    part = F.col("weight") * weight_of(F.col("tf"), F.col("length"), F.col("mean_length"))
-    added = idle.crossJoin(F.broadcast(index.stats.select("mean_length"))).groupBy("question_id", *KEY).agg(F.sum(part).alias("rest"))
-    return left.join(added, ["question_id", *KEY], "left").select("question_id", *KEY, F.round(F.col("some") + F.coalesce("rest", F.lit(0.0)), 9).alias("score"))
+    return _answered(index, questions, None)
 
 
 def top_k(index: Bm25Index, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Best ``k`` chunks of each question, ties by position; chunks without a shared term score 0 and fill up."""
-    scored = stored(contenders(index, questions, k))
-    positive = questions.select("question_id").join(
-        scored.groupBy("question_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count(F.lit(1)).alias("met")), "question_id", "left"
-    ).fillna(0)
-    short = positive.filter(F.col("above") < k)
-    most = short.agg(F.max("met")).first()[0]
-    if most is not None:  # some question has fewer than k positive scores: the earliest chunks stand in at 0
-        by_place = Window.orderBy(*KEY)  # over the first rows only
-        first = index.chunks.select(*KEY).orderBy(*KEY).limit(k + int(most)).withColumn("place", F.row_number().over(by_place))
-        wanted = short.select("question_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.col("met")).cast("int"))).alias("place"))
-        fill = wanted.join(first, "place").join(scored, ["question_id", *KEY], "left_anti").select("question_id", *KEY, F.lit(0.0).alias("score"))
-        scored = scored.unionByName(fill)
+    """Best ``k`` chunks of each question, ties by position; chunks without a shared term score 0."""
     by = Window.partitionBy("question_id").orderBy(F.desc("score"), *KEY)
-    ranked = scored.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= k)
+    ranked = _answered(index, questions, k).withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= k)
     return ranked.withColumn("chunk_id", F.concat_ws("::", *KEY))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship, stored
+
 #: Queries are broadcast only up to this many rows (of one vector each); more go through in blocks.
 QUERY_BLOCK = 20_000
+#: Scores that are held at a time.
+CELLS = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,26 +25,113 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
-def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, exclude_self: bool = True) -> DataFrame:
-    """query_id, vec_id, score, rank: a stated query set against all vectors.
-
-    Both sides hold (id, embedding). The corpus is scanned once for each block of queries, without a shuffle
-    of vectors; each task keeps its own best ``k`` of a query before the exchange (the planner's group limit).
-    """
-    left = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    right = corpus.select("vec_id", unit(F.col("embedding")).alias("v"))
-    count = left.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    found = None
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Unit rows of a column of lists; null and empty lists are zeros."""
+    found = np.zeros((len(column), size))
+    full = pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False)
+    if full.any():
+        found[full] = column.filter(pa.array(full)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    found = np.nan_to_num(found, nan=0.0)
+    norm = np.linalg.norm(found, axis=1, keepdims=True)
+    return np.divide(found, norm, out=np.zeros_like(found), where=norm > 0)
+
+
+class Queries:
+    """A block of queries: numbers, ids and unit vectors."""
+
+    def __init__(self, table: pa.Table, size: int):
+        self.number = table.column("number").to_numpy()
+        self.at = {v: i for i, v in enumerate(table.column("query_id").to_pylist())}
+        self.units = _matrix(table.column("embedding").combine_chunks(), size)
+        self.size = size
+
+    def best(self, ids: pa.Array, vectors: pa.Array, k: int, exclude_self: bool) -> pa.RecordBatch:
+        """(number, vec_id, score) of the ``k`` best of each query; of equals the least ids."""
+        order = pc.sort_indices(ids)
+        ids = ids.take(order)
+        score = np.round(self.units @ _matrix(vectors.take(order), self.size).T, 6)
+        if exclude_self:
+            for j, i in enumerate(ids.to_pylist()):
+                if i in self.at:
+                    score[self.at[i], j] = -np.inf
+        k = min(k, score.shape[1])
+        if k < score.shape[1]:
+            least = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+            above, level = score > least, score == least
+            chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        else:
+            chosen = np.ones(score.shape, bool)
+        q, j = np.nonzero(chosen & np.isfinite(score))
+        return pa.RecordBatch.from_arrays([pa.array(self.number[q]), ids.take(pa.array(j)), pa.array(score[q, j])], ["number", "vec_id", "score"])
+
+
+def query_blocks(queries: DataFrame, size: int):
+    """Blocks of at most about QUERY_BLOCK of ``queries(query_id, embedding)`` as broadcast variables, and their numbered ids."""
+    spark = queries.sparkSession
+    numbered = stored(queries.select("query_id", "embedding", F.xxhash64("query_id").alias("number")))
+    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
     for i in range(blocks):
-        block = left if blocks == 1 else left.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = right.join(F.broadcast(block), F.col("vec_id") != F.col("query_id") if exclude_self else F.lit(True))
-        scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
+        block = numbered if blocks == 1 else numbered.filter(F.pmod("number", F.lit(blocks)) == i)
+        yield block.select("query_id", "number"), spark.sparkContext.broadcast(Queries(block.toArrow(), size))
+
+
+def _size(vectors: DataFrame) -> int:
+    row = vectors.select(F.size("embedding").alias("n")).filter("n > 0").first()
+    return row["n"] if row else 0
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= k)
 
 
+def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, exclude_self: bool = True) -> DataFrame:
+    """query_id, vec_id, score, rank: a stated query set against all vectors, exactly.
+
+    Both sides hold (vec_id, embedding). The corpus is scanned once for each block of queries, without a shuffle of
+    vectors: each Arrow batch is multiplied with the block, and its own best ``k`` of a query are all that is sent on.
+    """
+    ship(corpus.sparkSession)
+    size, found = _size(corpus), None
+    kind = dict(corpus.dtypes)["vec_id"]
+    for ids, sent in query_blocks(queries.select(F.col("vec_id").alias("query_id"), "embedding"), size):
+
+        def scan(batches, sent=sent):
+            block = sent.value
+            step = max(1, CELLS // max(1, len(block.number)))
+            for batch in batches:
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    yield block.best(part.column(0), part.column(1), k, exclude_self)
+
+        scored = corpus.select("vec_id", "embedding").mapInArrow(scan, f"number long, vec_id {kind}, score double")
+        one = scored.join(ids, "number").select("query_id", "vec_id", "score")
+        found = one if found is None else found.unionByName(one)
+    return ranked(found, k)
+
+
+def spaced(vectors: DataFrame, k: int) -> list[np.ndarray]:
+    """``k`` unit vectors at evenly spaced places in order of ``vec_id``: the driver sees those, and counts of ranges."""
+    part = vectors.repartitionByRange("vec_id").withColumn("part", F.spark_partition_id())
+    held = stored(part.select("part", "vec_id", "embedding"))
+    sizes = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}
+    n = sum(sizes.values())
+    if not n:
+        return []
+    starts, before = [], 0
+    for p in sorted(sizes):
+        starts.append((p, before))
+        before += sizes[p]
+    wanted = [int(x) for x in np.linspace(0, n - 1, min(k, n))]
+    spark = vectors.sparkSession
+    offsets = spark.createDataFrame(starts, "part int, before long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("vec_id")) - 1
+    rows = held.withColumn("nth", place).join(F.broadcast(offsets), "part").withColumn("at", F.col("before") + F.col("nth"))
+    rows = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(wanted))], "at long")), "at")
+    found = {r["at"]: np.asarray(r["embedding"], np.float64) for r in rows.select("at", "embedding").collect()}
+    return [found[i] / (np.linalg.norm(found[i]) or 1.0) for i in wanted]
+
+
 def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 15) -> DataFrame:
     """(vec_id, cluster): cosine k-means from evenly spaced vectors; the first of equal centroids wins.
 
@@ -48,11 +140,8 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 15) -> DataFrame:
     """
     data = vectors.select("vec_id", "embedding")
     n = data.count()
-    ordered = data.select("vec_id", unit(F.col("embedding")).alias("v")).rdd.map(lambda r: (r[0], r[1])).sortByKey().zipWithIndex()
-    spots = [int(x) for x in np.linspace(0, n - 1, min(k, n))] if n else []
-    wanted = set(spots)
-    chosen = {i: v for (_, v), i in ordered.filter(lambda r: r[1] in wanted).collect()}
-    centroids = np.array([chosen[i] for i in spots]).reshape(len(spots), -1)
+    chosen = spaced(data, k)
+    centroids = np.array(chosen).reshape(len(chosen), -1)
 
     def placing(current: np.ndarray):
         def nearest(column) -> tuple[np.ndarray, np.ndarray]:
