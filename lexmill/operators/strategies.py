@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import substring_intent
 from ..session import stored
-from . import bm25, chunking, fusion, generation, hierarchy, knowledge, tree, vector
+from . import bm25, chunking, fusion, generation, hierarchy, ivf, knowledge, tree, vector
 from .provider import STUB, Provider
 
 
@@ -40,24 +40,33 @@ class Bm25(Strategy):
 
 
 class Vector(Strategy):
-    """Embedded token windows; ``enrich`` puts the heading path before each."""
+    """Embedded token windows; ``enrich`` puts the heading path before each.
+
+    With ``lists`` set, windows are searched by inverted lists (0: as many as fit their number); else exactly.
+    """
 
     name = "naive_vector"
     enrich = False
+    lists: int | None = None
 
     def chunks(self, docs):
         windows = chunking.token_windows(docs)
         text = F.array_join("chunk", " ")
         if self.enrich:
             text = F.concat_ws("\n\n", F.concat(F.lit("## "), F.concat_ws(" > ", "lang", "source")), text)
-        return windows.select(F.concat_ws("::", "doc_id", "chunk_no").alias("vec_id"), self.provider.embed(text).alias("embedding"))
+        return windows.select(F.concat_ws("::", "doc_id", "chunk_no").alias("vec_id"), self.provider.embed(text).alias("embedding"), "doc_id")
 
     def build(self, docs):
         self.vectors = self.chunks(docs)
+        self.index = None if self.lists is None else ivf.build(self.vectors, self.lists)
 
-    def retrieve(self, questions, k=5):
+    def retrieve(self, questions, k=5, where=None):
+        """``where`` is a condition on a window's ``vec_id`` or ``doc_id`` that holds before the search."""
         asked = questions.select(F.col("question_id").cast("string").alias("vec_id"), self.provider.embed(F.col("question")).alias("embedding"))
-        found = vector.cosine_top_k(self.vectors, asked, k, exclude_self=False)
+        if getattr(self, "index", None) is not None:
+            found = ivf.search(self.index, asked, k, where=where, exclude_self=False)
+        else:
+            found = vector.cosine_top_k(self.vectors if where is None else self.vectors.filter(where), asked, k, exclude_self=False)
         names = questions.select("question_id", F.col("question_id").cast("string").alias("query_id"))
         return found.join(names, "query_id").select("question_id", F.col("vec_id").alias("chunk_id"), "score", "rank")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import arena, bm25, chunking, fusion, graph, ir, resolve, scoring, sessions, tree, vector
+from ..operators import arena, bm25, chunking, fusion, graph, ir, ivf, resolve, scoring, sessions, tree, vector
 from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +239,18 @@ def vector_ir_by_label(spark, sf):
     )
 
 
+@query()
+def vector_topk_indexed(spark, sf):
+    v = _vectors(spark, sf)
+    return ivf.search(ivf.build(v), v.filter("vec_id % 20 = 0"))
+
+
+@query()
+def vector_topk_indexed_filtered(spark, sf):
+    v = _vectors(spark, sf)
+    return ivf.search(ivf.build(v), v.filter("vec_id % 20 = 0"), where=F.col("label") < 5)
+
+
 @query()
 def spherical_kmeans(spark, sf):
     return vector.spherical_kmeans(_vectors(spark, sf), 10)
