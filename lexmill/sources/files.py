@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import ship
-from .parsers import EXTENSIONS, SECTION, parse
+from .parsers import EXTENSIONS, PARSERS, SECTION, parse
 
 DOCUMENT = f"id string, source string, corpus string, title string, sections array<{SECTION}>, metadata map<string,string>, raw_token_count bigint"
 QUESTION = (
@@ -78,6 +78,32 @@ def parsed(files: DataFrame, corpus: str) -> DataFrame:
     return files.select("path", "content", "kind").mapInArrow(run, DOCUMENT)
 
 
+def sections_of(frame: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
+    """A row for each section that the parser of ``kind`` finds in a column of texts.
+
+    Keeps the other columns; ``pos`` counts a text's sections and ``section`` is one of them. Texts are parsed where they
+    lie; null texts, and those that cannot be parsed, have no sections.
+    """
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(frame.sparkSession)
+    form = to_arrow_schema(frame.sparkSession.createDataFrame([], f"s array<{SECTION}>").schema).field("s").type
+
+    @arrow_udf(f"array<{SECTION}>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts.to_pylist():
+            try:
+                found.append([asdict(s) for s in PARSERS[kind](text)] if text is not None else [])
+            except Exception:  # a bad text must not end the scan
+                found.append([])
+        return pa.array(found, form)
+
+    others = [c for c in frame.columns if c != text_col]
+    return frame.withColumn(text_col, run(text_col)).select(*others, F.posexplode(text_col).alias("pos", "section"))
+
+
 # Folders that a repository scan leaves out, and the formats that it reads.
 SKIPPED_FOLDERS = [".git", "node_modules", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "venv", ".venv", "dist", "build", ".eggs"]
 REPOSITORY_FORMATS = {".md": "markdown", ".markdown": "markdown", ".rst": "markdown", ".txt": "text", ".html": "html", ".htm": "html"}

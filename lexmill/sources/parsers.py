@@ -66,46 +66,51 @@ def _cells(line: str) -> list[str]:
     return [c.strip() for c in line.strip().strip("|").split("|")]
 
 
+#: A fence's line (with a language where it opens), a table's row, and the rule below its head.
+FENCE, FENCE_END, ROW, RULE = re.compile(r"```(\w*)$"), re.compile(r"```\s*$"), re.compile(r"\|.+\|$"), re.compile(r"\|[-| :]+\|$")
+
+
 def _body(lines: list[str], section: Section) -> None:
-    """Fill content, code blocks, pipe tables and links from a section's lines."""
+    """Fill content, code blocks, pipe tables and links from a section's lines.
+
+    Content is without fenced lines and table rows; a fence that nothing closes runs to the end of the section.
+    """
     kept: list[str] = []
-    code: list[str] | None = None
-    language = ""
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        if line.lstrip().startswith("```"):
-            if code is None:
-                code, language = [], line.strip()[3:].strip()
-            else:
-                section.code_blocks.append({"language": language, "code": "\n".join(code)})
-                code = None
-        elif code is not None:
-            code.append(line)
-        elif line.lstrip().startswith("|"):
-            block = []
-            while i < len(lines) and lines[i].lstrip().startswith("|"):
-                block.append(lines[i])
-                i += 1
-            if len(block) >= 2 and re.fullmatch(r"[\s|:\-]+", block[1]):
-                section.tables.append({"headers": _cells(block[0]), "rows": [_cells(b) for b in block[2:]], "caption": ""})
-            continue
-        else:
+    inside = False
+    for line in lines:
+        if FENCE.match(line) or FENCE_END.match(line):
+            inside = not inside
+        elif not inside and not ROW.match(line):
             kept.append(line)
             for label, target in re.findall(r"\[([^\]]+)\]\(([^)\s]+)\)", line):
                 section.links.append({"target": target, "label": label, "ref_type": "link"})
-        i += 1
     section.content = "\n".join(kept).strip()
+    at = 0
+    while at < len(lines):
+        opened = FENCE.match(lines[at])
+        if opened:
+            end = next((j for j in range(at + 1, len(lines)) if FENCE_END.match(lines[j])), len(lines))
+            section.code_blocks.append({"language": opened[1], "code": "\n".join(lines[at + 1 : end])})
+            at = end
+        at += 1
+    at = 0
+    while at + 1 < len(lines):
+        if ROW.match(lines[at]) and RULE.match(lines[at + 1]):
+            end = next((j for j in range(at + 2, len(lines)) if not ROW.match(lines[j])), len(lines))
+            section.tables.append({"headers": _cells(lines[at]), "rows": [_cells(x) for x in lines[at + 2 : end]], "caption": ""})
+            at = end
+        else:
+            at += 1
 
 
 def parse_markdown(text: str) -> list[Section]:
     """ATX headings open sections; text before the first one is dropped."""
     found: list[Section] = []
     held: list[list[str]] = []
-    for line in text.split("\n"):
-        heading = re.match(r"^(#{1,6})\s+(.+?)\s*#*\s*$", line)
+    for line in text.splitlines():
+        heading = re.match(r"(#{1,6})\s+(.+)$", line)
         if heading:
-            found.append(Section(heading[2], len(heading[1])))
+            found.append(Section(heading[2].strip(), len(heading[1])))
             held.append([])
         elif held:
             held[-1].append(line)
@@ -303,16 +308,17 @@ def parse_plaintext(text: str) -> list[Section]:
 
 
 def parse_csv(text: str, rows_a_section: int = 20) -> list[Section]:
-    """Sections of 20 rows, each row as ``h: v; h: v``; a tab in the first line makes it TSV; blank rows go."""
+    """Sections of 20 rows, each row as ``h: v; h: v`` of the cells that are not blank; a tab in the first line makes it
+    TSV; blank rows go."""
     first = text.split("\n", 1)[0]
-    rows = [r for r in csv.reader(io.StringIO(text), delimiter="\t" if "\t" in first else ",") if any(c.strip() for c in r)]
+    rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), delimiter="\t" if "\t" in first else ",")]
     if not rows:
         return []
-    head, body = rows[0], rows[1:]
+    head, body = rows[0], [r for r in rows[1:] if any(r)]
     found = []
     for at in range(0, len(body), rows_a_section):
         part = body[at : at + rows_a_section]
-        content = "\n".join("; ".join(f"{h}: {v}" for h, v in zip(head, r)) for r in part)
+        content = "\n".join("; ".join(f"{h}: {v}" for h, v in zip(head, r) if v) for r in part)
         found.append(Section(f"Rows {at + 1}-{at + len(part)}", content=content, tables=[{"headers": head, "rows": part, "caption": ""}]))
     return number_sections(found)
 
