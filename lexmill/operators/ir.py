@@ -85,8 +85,8 @@ def metrics(retrieved: DataFrame, expected: DataFrame, questions: DataFrame, k:
     )
 
 
-def summary(per_question: DataFrame) -> DataFrame:
+def summary(per_question: DataFrame, digits: int = 4) -> DataFrame:
     """Means over all questions."""
     return per_question.agg(
-        F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in ("recall", "precision", "hit", "mrr", "ndcg")]
+        F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(F.col(c).cast("double")), digits).alias(c) for c in ("recall", "precision", "hit", "mrr", "ndcg")]
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 import importlib
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import substring_intent
+from ..functions.text import is_blank, substring_intent
 from ..session import stored
 from . import bm25, chunking, fusion, generation, hierarchy, ivf, knowledge, tree, vector
 from .provider import STUB, Provider
@@ -33,10 +33,17 @@ class Bm25(Strategy):
     name = "bm25"
 
     def build(self, docs):
-        self.index = bm25.build(chunking.sections(docs))
+        self.load(chunking.sections(docs))
+
+    def load(self, sections):
+        """Use sections (doc_id, section_pos, chunk_id, content); blank ones are no passages."""
+        held = sections.select("doc_id", "section_pos", "chunk_id", "content").filter(~is_blank(F.coalesce("content", F.lit(""))))
+        self.names = held.select("doc_id", "section_pos", F.col("chunk_id").alias("name"))
+        self.index = bm25.build(held)
 
     def retrieve(self, questions, k=5):
-        return bm25.top_k(self.index, questions, k).select("question_id", "chunk_id", "score", "rank")
+        found = bm25.top_k(self.index, questions, k).join(self.names, bm25.KEY)
+        return found.select("question_id", F.col("name").alias("chunk_id"), "score", "rank")
 
 
 class Vector(Strategy):
@@ -211,14 +218,47 @@ def strategies(wanted: str = "all", provider: Provider = STUB) -> tuple[dict[str
     return made, failed
 
 
-def retriever_lab(docs: DataFrame, questions: DataFrame, expected: DataFrame, names: list[str], k: int = 5) -> DataFrame:
-    """Metric means of each strategy over all questions."""
+def parsed_sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, section_pos, pos, chunk_id, node_id, level, title, content) of parsed documents (id, sections)."""
+    rows = docs.select(F.col("id").alias("doc_id"), F.posexplode("sections").alias("section_pos", "s"))
+    name = F.concat_ws("::", "doc_id", "s.id")
+    return rows.select("doc_id", "section_pos", F.col("section_pos").alias("pos"), name.alias("chunk_id"), name.alias("node_id"), "s.level", "s.title", "s.content")
+
+
+def lab_rows(built: dict[str, Strategy], questions: DataFrame, expected: DataFrame, k: int = 5, min_recall: float = 0.0) -> DataFrame:
+    """Metric means of each built strategy over all questions, and whether its recall is ``below_floor``."""
     from . import ir
 
     rows = None
-    for name in names:
-        found = strategy(name)
-        found.build(docs)
-        one = ir.summary(ir.metrics(found.retrieve(questions, k), expected, questions, k)).withColumn("strategy", F.lit(name))
+    for name, found in built.items():
+        one = ir.summary(ir.metrics(found.retrieve(questions, k), expected, questions, k), digits=6).withColumn("strategy", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return rows.withColumn("below_floor", F.coalesce(F.col("recall"), F.lit(0.0)) < min_recall)
+
+
+def retriever_lab(docs: DataFrame, questions: DataFrame, expected: DataFrame, names: list[str], k: int = 5, min_recall: float = 0.0) -> DataFrame:
+    """``lab_rows`` of strategies by name, each built over the documents."""
+    built = {name: strategy(name) for name in names}
+    for found in built.values():
+        found.build(docs)
+    return lab_rows(built, questions, expected, k, min_recall)
+
+
+def lab_report(rows: DataFrame, run_id: str, corpus: str, k: int = 5) -> DataFrame:
+    """(pos, line): the Markdown report of a run, a row of three decimals for each strategy in order of name."""
+    number = lambda c: F.format_string("%.3f", F.coalesce(c, F.lit(0.0)).cast("double"))
+    cells = [F.col("strategy"), *(number(F.col(c)) for c in ("recall", "precision", "hit", "mrr", "ndcg")), F.col("questions").cast("string")]
+    body = rows.select(F.lit(1).alias("part"), F.col("strategy").alias("key"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    top = [f"# Retriever Lab — run {run_id}", "", f"Top-k: {k}", "", f"## {corpus}", "", f"| Strategy | Recall@{k} | P@{k} | Hit@{k} | MRR | NDCG@{k} | n |", "|---|---|---|---|---|---|---|"]
+    head = rows.sparkSession.createDataFrame([(0, f"{i:02}", line) for i, line in enumerate(top)], "part int, key string, line string")
+    ordered = head.unionByName(body)
+    return ordered.select((F.row_number().over(Window.orderBy("part", "key")) - 1).alias("pos"), "line")  # a line a strategy
+
+
+def write_lab(rows: DataFrame, path: str, run_id: str, corpus: str, k: int = 5) -> bool:
+    """Store a run as JSON lines and as a report in ``path/run_<id>``; whether no strategy is below the floor."""
+    held = stored(rows)
+    folder = f"{path.rstrip('/')}/run_{run_id}"
+    held.withColumns({"corpus": F.lit(corpus), "top_k": F.lit(k)}).coalesce(1).write.mode("overwrite").json(f"{folder}/retriever_lab")
+    lab_report(held, run_id, corpus, k).orderBy("pos").select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/retriever_lab_report")
+    return held.filter("below_floor").isEmpty()
