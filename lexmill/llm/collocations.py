@@ -5,6 +5,9 @@ bitmaps of fixed size are broadcast to the next pass: the buckets that reached t
 the phrases of k words that did. A phrase of k + 1 words is only counted if its bucket is set (PCY/DHP) and both its
 parts of k words are (Apriori). Neither loses a frequent phrase: a bucket counts at least what each of its phrases
 counts, and a hash that meets another only lets one phrase more be counted. Counts themselves are by the phrases' words.
+
+From the second pass on, a pass also hands on the texts trimmed to the runs of words that can still hold a longer
+candidate, and the next pass reads only these.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +37,11 @@ BREAK = b"\xff"
 #: A-Z to lower case, ends of pieces to BREAK; what is left to split at are space and tab.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 0xFF if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 FACTORS = mix(np.arange(1, LONGEST + 1, dtype=np.uint64)) | np.uint64(1)
-#: Instead of a bucket, in rows that count all words of a language.
-ALL_WORDS = -1
-COUNTED = "lang string, phrase string, bucket int, n long"
+#: Buckets that are sent as one row: places (2 bytes) and counts of those that are not empty.
+ROW_BITS = 12
+#: Tasks whose rows of a block of buckets are added up together.
+MERGED = 512
+COUNTED = "lang string, phrase string, n long, part int, block int, buckets binary, text string"
 
 
 def word_hash(lang: bytes, word: bytes) -> int:
@@ -127,8 +133,8 @@ class Pass:
     def place(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def count(self, numbers: np.ndarray) -> tuple[list[str], pa.Array, np.ndarray]:
-        """(languages, phrases, counts) of one block; its buckets are added to the tally."""
+    def count(self, numbers: np.ndarray) -> tuple[list[str], pa.Array, np.ndarray, dict[str, str]]:
+        """(languages, phrases, counts, trimmed text by language) of one block; its buckets are added to the tally."""
         word = self.vocabulary.hash_array()[numbers]
         size = self.size
         whole = np.nonzero(numbers)[0]  # where words start that may be counted
@@ -139,8 +145,11 @@ class Pass:
             whole = whole[:-1][np.diff(whole) == 1]
         if size > 1:
             whole = whole[bit_at(self.buckets, self.place(hashed(word, size, whole)))]
+        trimmed: dict[str, str] = {}
         if self.tally is not None and len(whole):
             longer = whole[:-1][np.diff(whole) == 1]
+            if size > 1:
+                trimmed = self.trimmed(numbers, longer)
             if len(longer):
                 at, times = np.unique(self.place(hashed(word, size + 1, longer)), return_counts=True)
                 self.tally[at] = np.minimum(self.tally[at] + times, self.least)  # more than enough is enough
@@ -153,45 +162,108 @@ class Pass:
         words, langs = self.vocabulary.words, self.vocabulary.langs
         found = [langs[i] for i in numbers[start].tolist()]
         if size == 1:
-            return found, pa.array([words[i] for i in numbers[start].tolist()], pa.binary()).cast(pa.string()), times
+            return found, pa.array([words[i] for i in numbers[start].tolist()], pa.binary()).cast(pa.string()), times, trimmed
         held = pa.array(words, pa.binary())
         parts = [held.take(pa.array(numbers[start + k])) for k in range(size)]
-        return found, pc.binary_join_element_wise(*parts, pa.scalar(b" ")).cast(pa.string()), times
-
-    def rows(self, batches):
-        """Rows of COUNTED: phrases and counts, words of a language (no phrase, no bucket), buckets and counts."""
+        return found, pc.binary_join_element_wise(*parts, pa.scalar(b" ")).cast(pa.string()), times, trimmed
+
+    def trimmed(self, numbers: np.ndarray, longer: np.ndarray) -> dict[str, str]:
+        """For each language the runs of words that phrases of one word more cover, a line each."""
+        edge = np.zeros(len(numbers) + self.size + 2, np.int32)
+        np.add.at(edge, longer, 1)
+        np.add.at(edge, longer + self.size + 1, -1)
+        inside = np.cumsum(edge[: len(numbers)]) > 0
+        first = np.nonzero(inside & ~np.concatenate([[False], inside[:-1]]))[0]
+        if not len(first):
+            return {}
+        last = np.nonzero(inside & ~np.concatenate([inside[1:], [False]]))[0]
+        langs, words = self.vocabulary.langs, self.vocabulary.words
+        runs: dict[str, list[bytes]] = {}
+        for low, high in zip(first.tolist(), (last + 1).tolist()):
+            run = numbers[low:high].tolist()
+            runs.setdefault(langs[run[0]], []).append(b" ".join([words[i] for i in run]))
+        return {lang: b"\n".join(lines).decode() for lang, lines in runs.items()}
+
+    def rows(self, batches, part: int = 0):
+        """Rows of COUNTED: phrases and counts, words of a language (no phrase), blocks of buckets, trimmed texts."""
         held: list[int] = []
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.extend(self.vocabulary.numbers(lang, text))
                 if len(held) > BLOCK_WORDS:
-                    yield self.batch(held)
+                    yield from self.counted(held)
                     held = []
                     if self.vocabulary.size() > TASK_WORDS:
                         self.vocabulary = self.fresh()
         if held:
-            yield self.batch(held)
+            yield from self.counted(held)
         if self.tally is not None:
             at = np.nonzero(self.tally)[0]
-            for low in range(0, len(at), 1 << 18):
-                some = at[low : low + (1 << 18)]
-                none = pa.nulls(len(some), pa.string())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(some, pa.int32()), pa.array(self.tally[some], pa.int64())], ["lang", "phrase", "bucket", "n"])
-
-    def batch(self, held: list[int]) -> pa.RecordBatch:
-        langs, phrases, times = self.count(np.array(held, np.int64))
-        buckets: list[int | None] = [None] * len(langs)
-        counts = times.tolist()
+            block, edges = np.unique(at >> ROW_BITS, return_index=True)
+            packed = [pack_counts(at[i:j] & (1 << ROW_BITS) - 1, self.tally[at[i:j]]) for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(at)])]
+            yield made(part=[part] * len(block), block=block.tolist(), buckets=packed)
+
+    def counted(self, held: list[int]):
+        langs, phrases, times, trimmed = self.count(np.array(held, np.int64))
+        yield made(lang=langs, phrase=phrases, n=times)
         if self.size == 1:
             total: dict[str, int] = {}
-            for lang, n in zip(langs, counts):
+            for lang, n in zip(langs, times.tolist()):
                 total[lang] = total.get(lang, 0) + n
-            langs, phrases, counts = langs + list(total), pa.concat_arrays([phrases, pa.nulls(len(total), pa.string())]), counts + list(total.values())
-            buckets += [ALL_WORDS] * len(total)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), phrases, pa.array(buckets, pa.int32()), pa.array(counts, pa.int64())],
-            ["lang", "phrase", "bucket", "n"],
-        )
+            yield made(lang=list(total), n=list(total.values()))
+        if trimmed:
+            yield made(lang=list(trimmed), text=list(trimmed.values()))
+
+
+def pack_counts(at: np.ndarray, counts: np.ndarray) -> bytes:
+    return at.astype("<u2").tobytes() + counts.astype("<u4").tobytes()
+
+
+def unpack_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 6
+    return np.frombuffer(packed, "<u2", n), np.frombuffer(packed, "<u4", n, 2 * n)
+
+
+_TYPES = {"lang": pa.string(), "phrase": pa.string(), "n": pa.int64(), "part": pa.int32(), "block": pa.int32(), "buckets": pa.binary(), "text": pa.string()}
+
+
+def made(**columns) -> pa.RecordBatch:
+    """Rows of COUNTED with these columns; the others are null."""
+    size = len(next(iter(columns.values())))
+    arrays = [(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], kind)) if c in columns else pa.nulls(size, kind) for c, kind in _TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(_TYPES))
+
+
+def _summed(packed: pa.ChunkedArray) -> np.ndarray:
+    total = np.zeros(1 << ROW_BITS, np.int64)
+    for one in packed:
+        at, counts = unpack_counts(one.as_py())
+        total[at] += counts
+    return total
+
+
+def full_buckets(rows: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bitmap of the buckets that reach ``least`` in ``rows(part, block, buckets)``: 2**bits / 8 bytes come to the driver.
+
+    The rows of a block are added up ``MERGED`` tasks at a time, then those sums.
+    """
+
+    def partly(key: tuple, rows_: pa.Table) -> pa.Table:
+        total = np.minimum(_summed(rows_.column("buckets")), least)
+        at = np.nonzero(total)[0]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "buckets": pa.array([pack_counts(at, total[at])], pa.binary())})
+
+    def finally_(key: tuple, rows_: pa.Table) -> pa.Table:
+        full = np.packbits(_summed(rows_.column("buckets")) >= least, bitorder="little").tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "set": pa.array([full], pa.binary())})
+
+    merged = rows.groupBy("block", F.expr(f"part div {MERGED}").alias("group")).applyInArrow(partly, "block int, buckets binary")
+    found = np.zeros(max(1, (1 << bits) >> 3), np.uint8)
+    width = (1 << ROW_BITS) >> 3
+    for r in merged.groupBy("block").applyInArrow(finally_, "block int, set binary").toArrow().to_pylist():
+        part = np.frombuffer(r["set"], np.uint8)[: len(found) - r["block"] * width]
+        found[r["block"] * width : r["block"] * width + len(part)] = part
+    return found
 
 
 def bitmap(places: DataFrame, bits: int) -> np.ndarray:
@@ -223,7 +295,8 @@ def counted(texts: DataFrame, least: int, bits: int) -> list[DataFrame]:
     """Words of each language (lang, n), and tables (lang, phrase, n) of the phrases of 1, 2, 3 and 4 words that occur
     ``least`` times or more in their language.
 
-    ``texts`` has columns (lang, text) without nulls.
+    ``texts`` has columns (lang, text) without nulls. What a pass makes is written once; its phrases, buckets and trimmed
+    texts are read from there.
     """
     context, found = texts.sparkSession.sparkContext, []
     frequent: list[np.ndarray] = []
@@ -232,16 +305,18 @@ def counted(texts: DataFrame, least: int, bits: int) -> list[DataFrame]:
         held = context.broadcast((frequent, buckets))
 
         def run(batches, size=size, held=held):
-            yield from Pass(size, least, bits, *held.value).rows(batches)
+            yield from Pass(size, least, bits, *held.value).rows(batches, TaskContext.get().partitionId())
 
-        sums = texts.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
-        table = written(sums.filter(F.col("n") >= least))
+        raw = written(texts.mapInArrow(run, COUNTED))
         if size == 1:
-            found.append(table.filter(F.col("bucket") == ALL_WORDS).select("lang", "n"))
-        found.append(table.filter("phrase is not null").select("lang", "phrase", "n"))
+            found.append(written(raw.filter("phrase is null and n is not null").groupBy("lang").agg(F.sum("n").alias("n"))))
+        sums = raw.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        found.append(written(sums.filter(F.col("n") >= least)))
         if size < LONGEST:
             frequent = [*frequent[:1], bitmap(phrase_places(found[-1], size, bits), bits)]
-            buckets = bitmap(table.filter("bucket >= 0").select(F.col("bucket").alias("at")), bits)
+            buckets = full_buckets(raw.filter("block is not null").select("part", "block", "buckets"), least, bits)
+        if size > 1:
+            texts = raw.filter("text is not null").select("lang", "text")
     return found
 
 

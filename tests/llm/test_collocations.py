@@ -77,9 +77,9 @@ def test_small_blocks_and_forgotten_words(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] or "und" for r in rows], "text": [r[1] or "" for r in rows]})
     counts = Counter()
     for out in whole.rows([batch]):
-        for lang, phrase, bucket, n in zip(*(c.to_pylist() for c in out.columns)):
-            if phrase is not None:
-                counts[lang, phrase] += n
+        for row in out.to_pylist():
+            if row["phrase"] is not None:
+                counts[row["lang"], row["phrase"]] += row["n"]
     plain = Counter()
     for r in rows:
         for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")):
