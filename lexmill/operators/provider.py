@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -50,26 +51,53 @@ STUB = Provider(
 )
 
 
-def with_retries(call: Callable[[str], str], attempts: int = 3, wait: float = 1.0) -> Callable[[DataFrame, str, str], DataFrame]:
-    """A row-wise client call as columns ``out``, ``error`` and ``attempts``; waits double between attempts."""
-    import time
-
-    import pandas as pd
+def with_retries(
+    call: Callable[[str], object], attempts: int = 3, wait: float = 1.0, timeout: float = 120.0, concurrency: int = 5, kind: str = "string"
+) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A row-wise client call as a column of ``out`` (of type ``kind``), ``error`` and ``attempts``.
 
-    @pandas_udf("out string, error string, attempts int")
+    A failed attempt is made again, up to ``attempts`` in all, with waits that double between. An attempt that has not answered after
+    ``timeout`` seconds counts as failed and is left behind. A task makes ``concurrency`` calls at a time. What fails at last
+    is an error record; the job goes on. A null text is not sent: it has no answer, no error and no attempts.
+    """
+    import queue
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    def attempt(text: str) -> tuple[object, str]:
+        box: queue.Queue = queue.Queue(1)
+
+        def work() -> None:
+            try:
+                box.put((call(text), ""))
+            except Exception as e:
+                box.put((None, f"[ERROR] {e}"))
+
+        threading.Thread(target=work, daemon=True).start()  # one that hangs must not keep the worker from ending
+        try:
+            return box.get(timeout=timeout)
+        except queue.Empty:
+            return None, f"[ERROR] no answer within {timeout:g} s"
+
+    def answered(text: str | None) -> tuple[object, str, int]:
+        if text is None:
+            return None, "", 0
+        for n in range(1, attempts + 1):
+            out, error = attempt(text)
+            if not error or n == attempts:
+                return out, error, n
+            time.sleep(wait * 2 ** (n - 1))
+        return None, "", 0
+
+    @pandas_udf(f"out {kind}, error string, attempts int")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            error, out, n = "", None, 0
-            for n in range(1, attempts + 1):
-                try:
-                    out, error = call(t), ""
-                    break
-                except Exception as e:
-                    error = f"[ERROR] {e}"
-                    if n < attempts:
-                        time.sleep(wait * 2 ** (n - 1))
-            rows.append((out, error, n))
-        return pd.DataFrame(rows, columns=["out", "error", "attempts"])
+        with ThreadPoolExecutor(concurrency) as pool:
+            return pd.DataFrame(list(pool.map(answered, texts)), columns=["out", "error", "attempts"])
 
     return lambda frame, column, name: frame.withColumn(name, run(F.col(column)))
+
+
+def retried_embedding(call: Callable[[str], list[float]], **settings) -> Callable[[DataFrame, str, str], DataFrame]:
+    """``with_retries`` for a client that embeds one text."""
+    return with_retries(call, kind="array<float>", **settings)

@@ -197,10 +197,14 @@ STRATEGIES: dict[str, type[Strategy]] = {s.name: s for s in (Bm25, Vector, Conte
 
 
 def strategy(name: str, provider: Provider = STUB) -> Strategy:
-    """A strategy by name, or ``module:Class`` for a plugin."""
+    """A strategy by name; of a plugin, ``module:Class``, or ``module:`` for the only strategy that the module defines."""
     if ":" in name:
-        module, _, kind = name.partition(":")
-        found = getattr(importlib.import_module(module), kind)
+        place, _, kind = name.partition(":")
+        module = importlib.import_module(place)
+        own = [c for c in vars(module).values() if isinstance(c, type) and issubclass(c, Strategy) and c.__module__ == module.__name__]
+        if not kind and len(own) != 1:
+            raise TypeError(f"{place} defines {len(own)} strategies; name one")
+        found = getattr(module, kind) if kind else own[0]
         if not issubclass(found, Strategy):
             raise TypeError(f"{name} is not a Strategy")
         return found(provider)

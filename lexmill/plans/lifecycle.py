@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +150,22 @@ def fix_events(audited: DataFrame, fixed: DataFrame) -> DataFrame:
     return phase(0, "audit").unionByName(first).unionByName(phase(3, "fix")).unionByName(results).unionByName(end).orderBy("part", "key")
 
 
+@contextmanager
+def cancellable(spark: SparkSession, request_id: str) -> Iterator[None]:
+    """Jobs that the block starts carry the request's tag, so that ``cancel`` can end them when the client has gone."""
+    tag = f"lexmill-{request_id}"
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, request_id: str) -> None:
+    """End the running jobs of a request; those of others go on."""
+    spark.sparkContext.cancelJobsWithTag(f"lexmill-{request_id}")
+
+
 def explain_routing(questions: DataFrame) -> DataFrame:
     """What the routers make of each question."""
     q = F.col("question")
@@ -169,4 +188,4 @@ def report(table: DataFrame, title: str, kind: str = "markdown") -> str:
     return {"markdown": lambda: reports.markdown(title, table), "csv": lambda: reports.as_csv(table), "html": lambda: reports.as_html(title, table), "json": lambda: reports.as_json(table)}[kind]()
 
 
-__all__ = ["arena_match", "audit", "audit_events", "benchmark", "chat_events", "corpora", "dry_run", "explain_routing", "fix_events", "fixes", "generate_questions", "generation_events", "graph_events", "ingest", "label_expected", "report", "retriever_lab", "section_rows"]
+__all__ = ["arena_match", "audit", "audit_events", "benchmark", "cancel", "cancellable", "chat_events", "corpora", "dry_run", "explain_routing", "fix_events", "fixes", "generate_questions", "generation_events", "graph_events", "ingest", "label_expected", "report", "retriever_lab", "section_rows"]
