@@ -8,15 +8,15 @@ conversation and hash, cut from the bodies, and the messages are put together in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import own_columns, written
 
 #: One or more quote marks at the start of a line, as mail and chat clients write nested quotes.
 QUOTE = "^[ \\t]*((?:>[ \\t]?)+)"
-#: Turns of one assembled segment, and messages of one part of it.
-SEGMENT_TURNS, PART_MESSAGES = 256, 1024
+#: Messages of one assembled segment, and turns whose chains are followed together.
+SEGMENT, BLOCK_TURNS = 256, 65_536
 #: What a hash is of, best evidence first.
 PASSAGE, SENTENCE, LINE = 0, 1, 2
 
@@ -126,34 +126,71 @@ def chat_format(
     )
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``place``, from 0: where each stands in its group by ``order``.
+
+    Rows are sorted by ranges over groups and order, so a large group is many tasks' work; each range numbers its own,
+    and starts behind what earlier ranges hold of the group.
+    """
+    held = written(rows.repartitionByRange(*group, *order).withColumn("_lm_range", F.spark_partition_id()))
+    counts = held.groupBy(*group, "_lm_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("_lm_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = counts.select(*group, "_lm_range", F.coalesce(before, F.lit(0)).alias("_lm_before"))
+    nth = F.row_number().over(Window.partitionBy(*group, "_lm_range").orderBy(*order)) - 1
+    return held.withColumn("_lm_nth", nth).join(starts, [*group, "_lm_range"]).withColumn("place", F.col("_lm_before") + F.col("_lm_nth")).drop("_lm_range", "_lm_before", "_lm_nth")
+
+
+def threads(turns: DataFrame) -> DataFrame:
+    """(conv, turn, path) of ``turns(conv, turn, reply_to)``: paths in whose order a reply follows what it answers.
+
+    A run of turns that each answer the one before is a chain. Order is that of a walk through the replies, answers of a
+    message in order of turn and each with all that follows from it: a chain first, then what branches off it, from its
+    latest message back to its earliest. A path has an element for each branch that leads to a chain.
+    """
+    head = F.when(F.col("reply_to").isNull() | (F.col("reply_to") != F.col("turn") - 1), F.col("turn"))
+    blocks = turns.withColumns({"own": head, "block": F.floor(F.col("turn") / BLOCK_TURNS)})
+    inside = Window.partitionBy("conv", "block").orderBy("turn")
+    found = blocks.withColumn("first", F.max("own").over(inside))
+    last = blocks.groupBy("conv", "block").agg(F.max("own").alias("last"))
+    earlier = F.max("last").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    chained = found.join(last.select("conv", "block", earlier.alias("carried")), ["conv", "block"]).select("conv", "turn", "reply_to", F.coalesce("first", "carried").alias("chain"))
+    chained = written(chained)
+    of_target = chained.select("conv", F.col("turn").alias("reply_to"), F.col("chain").alias("up"))
+    heads = chained.filter("turn = chain").select("conv", "turn", "reply_to").join(of_target, ["conv", "reply_to"], "left")
+    element = F.struct(F.coalesce(-F.col("reply_to"), F.lit(0)).cast("long").alias("off"), F.col("turn").alias("turn"))
+    state = written(heads.select("conv", F.col("turn").alias("chain"), "up", F.array(element).alias("path")))
+    while not state.filter("up is not null").isEmpty():  # twice as many branches in each round
+        above = state.select("conv", F.col("chain").alias("up"), F.col("up").alias("upper"), F.col("path").alias("leading"))
+        stepped = state.join(above, ["conv", "up"], "left")
+        state = written(stepped.select("conv", "chain", F.col("upper").alias("up"), F.when(F.col("leading").isNull(), F.col("path")).otherwise(F.concat("leading", "path")).alias("path")))
+    return chained.join(state.select("conv", "chain", "path"), ["conv", "chain"]).select("conv", "turn", "path")
+
+
 def assembled(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """Conversations in reply order out of what ``chat_format`` returns: a row for each segment of a conversation.
 
-    A target's turn is below its replies', so order by turn puts every message after what it answers. A segment is
-    ``SEGMENT_TURNS`` turns; equal messages of a turn count once. Should a segment have more than ``PART_MESSAGES``
-    messages, as ids that were reused give, it is dealt into parts by a hash, so no group is collected without bound.
-    Rows without conversation or turn make segments of their own (null). Columns: the conversation, ``segment``,
-    ``part``, ``n_messages``, ``n_quoted``, ``n_linked``, ``replies`` ("turn>reply_to", in order) and ``text``.
+    Messages stand in order of their threads (see ``threads``), those that share a turn in order of their text; equal
+    ones count once. A segment is the next ``SEGMENT`` messages of that order, so no group is collected without bound and
+    no message is ever put out of it. Rows without a conversation are a conversation of their own (null), and those
+    without a turn stand first. Columns: the conversation, ``segment``, ``n_messages``, ``n_quoted``, ``n_linked``,
+    ``replies`` ("turn>reply_to", in order) and ``text``.
     """
-    keys = [conv_col, "segment"]
-    segment = F.floor(F.col(turn_col).cast("long") / F.lit(SEGMENT_TURNS)).cast("long")
-    rows = formatted.select(conv_col, segment.alias("segment"), F.col(turn_col).cast("long").alias("turn"), "formatted", "reply_to", "n_quoted", "n_linked").distinct()
-    rows = written(rows)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_MESSAGES)
-    sizes = sizes.select(F.col(conv_col).alias("_lm_conv"), F.col("segment").alias("_lm_segment"), F.ceil(F.col("n") / PART_MESSAGES).alias("parts"))
-    joined = rows.join(sizes, rows[conv_col].eqNullSafe(F.col("_lm_conv")) & rows["segment"].eqNullSafe(F.col("_lm_segment")), "left")
-    place = F.conv(F.substring(F.md5(F.col("formatted").cast("binary")), 1, 8), 16, 10).cast("long")
-    parted = joined.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(place % F.col("parts")).cast("long"))
-    of = parted.groupBy(*keys, "part").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "formatted", "reply_to"))).alias("messages"),
+    turn = F.col(turn_col).cast("long")
+    rows = written(formatted.select(conv_col, F.col(conv_col).cast("string").alias("conv"), turn.alias("turn"), "formatted", "reply_to", "n_quoted", "n_linked").distinct())
+    known = rows.filter("conv is not null and turn is not null").select("conv", "turn", "reply_to").distinct()
+    placed = rows.join(threads(known), ["conv", "turn"], "left")
+    ordered = placed.withColumns({"conv": F.coalesce("conv", F.lit("")), "unknown": F.col("conv").isNull()})
+    found = numbered(ordered, ["unknown", "conv"], ["path", "turn", "formatted", "reply_to"])
+    of = found.groupBy(conv_col, F.floor(F.col("place") / SEGMENT).cast("long").alias("segment")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "turn", "formatted", "reply_to"))).alias("messages"),
         F.count(F.lit(1)).alias("n_messages"),
         F.sum("n_quoted").alias("n_quoted"),
         F.sum("n_linked").alias("n_linked"),
     )
     said = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     return of.select(
-        *keys,
-        "part",
+        conv_col,
+        "segment",
         "n_messages",
         "n_quoted",
         "n_linked",

@@ -68,7 +68,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 OP5 = """
-with messages as (select distinct conv_id, turn, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
+with recursive messages as (select distinct conv_id, turn, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
 lines as (
   select conv_id, turn, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from messages),
 marked as (
@@ -97,18 +97,25 @@ bodies as (
   select c.conv_id, c.turn, c.role,
          trim(array_to_string(list_filter(string_split(coalesce(c.text, ''), chr(10)), lambda x: not regexp_matches(x, '^[ \\t]*((?:>[ \\t]?)+)')), chr(10))) as body from conversations c),
 formatted as (
-  select distinct b.conv_id, b.turn, floor(b.turn / 256)::bigint as segment, '<|' || coalesce(b.role, '') || '|>' || chr(10) || body as formatted,
+  select distinct b.conv_id, b.turn, '<|' || coalesce(b.role, '') || '|>' || chr(10) || body as formatted,
          coalesce(l.origin, p.turn) as reply_to, coalesce(n_quoted, 0) as n_quoted, coalesce(n_linked, 0) as n_linked
   from bodies b left join links l using (conv_id, turn)
   left join (select distinct conv_id, turn from messages) p on p.conv_id = b.conv_id and p.turn = b.turn - 1),
-parted as (
-  select *, case when count(*) over s > 1024
-    then ('0x' || substr(md5(formatted), 1, 8))::bigint % ceil(count(*) over s / 1024.0)::bigint else 0 end as part
-  from formatted window s as (partition by conv_id, segment))
-select conv_id, segment, part, count(*) as n_messages, sum(n_quoted)::bigint as n_quoted, sum(n_linked)::bigint as n_linked,
-       string_agg(coalesce(turn::varchar, '-') || '>' || coalesce(reply_to::varchar, '-'), ' ' order by turn, formatted, reply_to) as replies,
-       string_agg(formatted, chr(10) order by turn, formatted, reply_to) as text
-from parted group by conv_id, segment, part
+turns as (select distinct conv_id, turn, reply_to from formatted where conv_id is not null and turn is not null),
+chained as (
+  select *, max(case when reply_to is null or reply_to <> turn - 1 then turn end) over (partition by conv_id order by turn) as chain from turns),
+paths as (
+  select conv_id, turn as chain, [{'off': 0::bigint, 'turn': turn}] as path from chained where turn = chain and reply_to is null
+  union all select h.conv_id, h.turn, p.path || [{'off': -h.reply_to, 'turn': h.turn}]
+  from paths p join chained t on t.conv_id = p.conv_id and t.chain = p.chain
+  join chained h on h.conv_id = t.conv_id and h.reply_to = t.turn and h.turn = h.chain),
+placed as (
+  select f.*, row_number() over (partition by f.conv_id order by p.path nulls first, f.turn nulls first, formatted, f.reply_to nulls first) - 1 as place
+  from formatted f left join chained c on c.conv_id = f.conv_id and c.turn = f.turn left join paths p on p.conv_id = c.conv_id and p.chain = c.chain)
+select conv_id, place // 256 as segment, count(*) as n_messages, sum(n_quoted)::bigint as n_quoted, sum(n_linked)::bigint as n_linked,
+       string_agg(coalesce(turn::varchar, '-') || '>' || coalesce(reply_to::varchar, '-'), ' ' order by place) as replies,
+       string_agg(formatted, chr(10) order by place) as text
+from placed group by conv_id, place // 256
 """
 
 OP6 = """

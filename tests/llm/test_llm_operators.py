@@ -239,6 +239,15 @@ CHAT = [
     (1, 1, "assistant", "Answer one"),
     *[(4, t, "user", f"> turn {t - 1}\nturn {t}") for t in range(600)],
     *[(5, 7, "user", f"reused id {i}") for i in range(1500)],
+    (6, 0, "user", "A first question."),
+    (6, 1, "assistant", "Its answer."),
+    (6, 2, "user", "Some more of it."),
+    (6, 3, "user", "> A first question.\nand another answer"),
+    (6, 4, "assistant", "> Some more of it.\nto the third"),
+    (6, 5, "user", "goes on"),
+    (6, 6, "user", "> and another answer\nto the fourth"),
+    (6, 9, "user", "after a gap"),
+    *[(7, t, "user", f"> said {t * 7 // 10}\nsaid {t}") for t in range(1600)],
 ]
 
 
@@ -269,10 +278,31 @@ def test_conversations_equal_their_sql(spark, tmp_path):
     assert sorted(want.columns) == sorted(got.columns)
     rows = Counter(tuple(r[c] for c in want.columns) for r in got.collect())
     assert rows == Counter(want.fetchall())
-    by_key = {r[:3]: r for r in want.fetchall()}
-    assert by_key[4, 1, 0][3] == 256 and by_key[4, 1, 0][6].startswith("256>255 257>256")
-    assert by_key[1, 0, 0][7].startswith("<|user|>\nHello there.") and ">> hello" not in by_key[1, 0, 0][7]
-    assert sum(r[3] for r in want.fetchall() if r[0] == 5) == 1500 and len([r for r in want.fetchall() if r[0] == 5]) == 2
+    by_key = {r[:2]: r for r in want.fetchall()}
+    assert by_key[4, 1][2] == 256 and by_key[4, 1][5].startswith("256>255 257>256")
+    assert by_key[1, 0][6].startswith("<|user|>\nHello there.") and ">> hello" not in by_key[1, 0][6]
+    assert sum(r[2] for r in want.fetchall() if r[0] == 5) == 1500 and len([r for r in want.fetchall() if r[0] == 5]) == 6
+    # Chains first, then what branches off them, from the latest message back; a gap begins a thread of its own.
+    assert by_key[6, 0][5] == "0>- 1>0 2>1 4>2 5>4 3>0 6>3 9>-"
+
+
+def test_threads_put_replies_behind_what_they_answer(spark):
+    """A walk through the replies against recursion, and every message behind its target however long the conversation."""
+    frame = spark.createDataFrame([m for m in CHAT if m[0] in (6, 7)], "conv_id long, turn long, role string, text string")
+    done = chat_format(frame)
+    target = {(r.conv_id, r.turn): r.reply_to for r in done.collect()}
+    children = {}
+    for (conv, turn), to in sorted(target.items(), key=lambda x: x[0]):
+        children.setdefault((conv, to), []).append(turn)
+    for conv in (6, 7):
+        walk, open_ = [], list(reversed(children[conv, None]))
+        while open_:
+            turn = open_.pop()
+            walk.append(turn)
+            open_.extend(reversed(children.get((conv, turn), [])))
+        got = [r for r in assembled(done).orderBy("segment").collect() if r.conv_id == conv]
+        assert [int(x.split(">")[0]) for r in got for x in r.replies.split()] == walk
+    assert len(walk) == 1600 and walk != sorted(walk)
 
 
 def shingles(text, width):
