@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .centrality import betweenness, hubs  # noqa: F401  named with the other graph measures
 
 
@@ -45,11 +46,12 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.dropDuplicates(["source", "type", "target"])
 
 
-def expand(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True, backwards: bool = False, chain: bool = False) -> DataFrame:
+def expand(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True, backwards: bool = False, chain: bool = False, enough: int | None = None, among: DataFrame | None = None) -> DataFrame:
     """Trails from ``start(fqn)`` up to ``depth`` edges: (start, fqn, hops, path); no edge repeats in a trail.
 
     With ``chain``, ``relationship_chain`` has the types of the edges in order.
-    One join for each hop against the edge table; the plan is unrolled, so its depth is fixed.
+    One join for each hop against the edge table. With ``enough``, a start that has so many different (fqn, hops) among the
+    nodes ``among`` goes no further: rows with more hops stand behind those it has. A hub's trails are then not followed.
     """
     kind = F.col("type") if chain else F.lit("")
     forward = edges.select("edge_id", F.col("source").alias("here"), F.col("target").alias("there"), kind.alias("kind"))
@@ -66,10 +68,24 @@ def expand(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True
             F.concat("used", F.array("edge_id")).alias("used"),
             F.concat("relationship_chain", F.array("kind")).alias("relationship_chain"),
         )
+        if enough is not None:
+            front = stored(front)
         found = front if found is None else found.unionByName(front)
+        if enough is not None:
+            front = unfinished(front, found, enough, among)
+            if front.isEmpty():
+                break
     return found.drop("used") if chain else found.drop("used", "relationship_chain")
 
 
+def unfinished(front: DataFrame, found: DataFrame, enough: int, among: DataFrame | None = None) -> DataFrame:
+    """The rows of ``front`` whose start has fewer than ``enough`` different (fqn, hops) in ``found``."""
+    known = found.select("start", "fqn", "hops").distinct()
+    known = known if among is None else known.join(among.select("fqn").distinct(), "fqn", "left_semi")
+    full = known.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select("start")
+    return stored(front.join(full, "start", "left_anti").select(front.columns))
+
+
 def shared_neighbours(edges: DataFrame) -> DataFrame:
     """For each node reached from two or more sources: how many sources it is shared by."""
     return edges.groupBy("target").agg(F.countDistinct("source").alias("sources")).filter("sources > 1")

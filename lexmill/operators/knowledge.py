@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stored
 from . import bm25
 from .communities import communities  # noqa: F401  asked for with the other graph questions
-from .graph import expand
+from .graph import expand, unfinished
 from .provider import STUB, Provider
 
 # The universal schema.
@@ -39,13 +40,13 @@ def named(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
 def multi_hop(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3, types: list[str] | None = None, limit: int = HOP_LIMIT) -> DataFrame:
     """Undirected trails over edges of ``types``: (start, fqn, name, type, hops, relationship_chain), nearest first."""
     allowed = edges.filter(F.col("type").isin(types or REL_TYPES))
-    found = named(expand(allowed, starts, depth, directed=False, chain=True), nodes)
+    found = named(expand(allowed, starts, depth, directed=False, chain=True, enough=limit, among=nodes), nodes)
     return first_rows(found, "start", ["hops", "name", "fqn", F.array_join("path", ">")], limit).select("start", "fqn", "name", "type", "hops", "relationship_chain")
 
 
 def dependency_chains(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 4, limit: int = CHAIN_LIMIT) -> DataFrame:
     """Directed chains of dependencies: (start, fqn, name, type, depth, chain)."""
-    found = named(expand(edges.filter(F.col("type").isin(CHAIN_TYPES)), starts, depth), nodes)
+    found = named(expand(edges.filter(F.col("type").isin(CHAIN_TYPES)), starts, depth, enough=limit, among=nodes), nodes)
     kept = first_rows(found, "start", ["hops", "fqn", F.array_join("path", ">")], limit)
     return kept.select("start", "fqn", "name", "type", F.col("hops").alias("depth"), F.col("path").alias("chain"))
 
@@ -95,8 +96,8 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int
     """Ancestors (the node itself at depth 0) and descendants over hierarchy edges, nearest first, distinct."""
     allowed = edges.filter(F.col("type").isin(HIERARCHY_TYPES))
     itself = starts.select(F.col("fqn").alias("start"), "fqn", F.lit(0).alias("depth"))
-    up = expand(allowed, starts, depth, backwards=True).select("start", "fqn", F.col("hops").alias("depth"))
-    down = expand(allowed, starts, depth).select("start", "fqn", F.col("hops").alias("depth"))
+    up = expand(allowed, starts, depth, backwards=True, enough=limit, among=nodes).select("start", "fqn", F.col("hops").alias("depth"))
+    down = expand(allowed, starts, depth, enough=limit, among=nodes).select("start", "fqn", F.col("hops").alias("depth"))
     found = named(itself.unionByName(up).unionByName(down).distinct(), nodes, "name")
     return first_rows(found, "start", ["depth", "fqn"], limit).select("start", "fqn", "name", "depth")
 
@@ -116,15 +117,21 @@ def fulltext(index: bm25.Bm25Index, questions: DataFrame, limit: int = SEARCH_LI
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 4, limit: int = PATH_LIMIT) -> DataFrame:
-    """Directed paths without a repeated node, shortest first, at most ``limit`` a start: (start, fqn, hops, path)."""
+    """Directed paths without a repeated node, shortest first, at most ``limit`` a start: (start, fqn, hops, path).
+
+    A start that has ``limit`` different ends already goes no further, as longer paths stand behind.
+    """
     steps = edges.select(F.col("source").alias("here"), F.col("target").alias("there")).distinct()
     front = starts.select(F.col("fqn").alias("start"), "fqn", F.array("fqn").alias("path"))
     found = None
     for hops in range(1, depth + 1):
         front = front.join(steps, F.col("fqn") == F.col("here")).filter(~F.array_contains("path", F.col("there")))
         front = front.select("start", F.col("there").alias("fqn"), F.concat("path", F.array("there")).alias("path"))
-        one = front.withColumn("hops", F.lit(hops))
+        one = stored(front.withColumn("hops", F.lit(hops)))
         found = one if found is None else found.unionByName(one)
+        front = unfinished(one, found, limit).drop("hops")
+        if front.isEmpty():
+            break
     return first_rows(found, "start", ["hops", F.array_join("path", ">")], limit).select("start", "fqn", "hops", "path")
 
 

@@ -132,3 +132,17 @@ def test_entity_merges_on_whole_table(spark):
     want = sequential([(r.p_partkey, str(r.p_partkey), r.p_brand, r.p_name) for r in part])
     got = sorted(((r.left_id, r.right_id, r.canonical_id, r.action) for r in QUERIES["entity_merges"](spark, SF).collect()), key=str)
     assert got == want
+
+
+def test_hubs_are_not_followed_further_than_needed(spark):
+    """A hub of 3000 neighbours, each with 40 more: the limits hold at its own neighbours, and no trail beyond is made."""
+    edges = spark.range(3000).selectExpr("concat('h|', id) edge_id", "'hub' source", "concat('n', id) target", "'DEPENDS_ON' type")
+    more = spark.range(3000 * 40).selectExpr("concat('m|', id) edge_id", "concat('n', id % 3000) source", "concat('x', id) target", "'DEPENDS_ON' type")
+    every = edges.unionByName(more)
+    nodes = every.selectExpr("target fqn").distinct().selectExpr("fqn", "'Component' type", "fqn name").unionByName(spark.createDataFrame([("hub", "Component", "hub")], "fqn string, type string, name string"))
+    start = spark.createDataFrame([("hub",), ("n7",)], "fqn string")
+    followed = graph.expand(every, start, 3, enough=50, among=nodes)
+    assert followed.filter("start = 'hub'").agg({"hops": "max"}).first()[0] == 1 and followed.filter("start = 'n7'").count() == 40
+    for rows in (knowledge.multi_hop(every, nodes, start), knowledge.dependency_chains(every, nodes, start).withColumnRenamed("depth", "hops"), knowledge.simple_paths(every, start)):
+        got = rows.filter("start = 'hub'").collect()
+        assert len(got) in (50, 100) and {r.hops for r in got} == {1}
