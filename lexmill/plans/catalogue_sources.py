@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from ..sources import files
+from ..sources import files, layout
 from .catalogue import query
 
 # A document's lines, numbered from 1. Every fifth becomes a heading of level 1 to 3 whose title comes again.
@@ -124,3 +124,23 @@ def _window(by: str, order: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(by).orderBy(order)
+
+
+def _layout(spark, sf) -> DataFrame:
+    """Spans of a page for each nation: a line of prose, then its suppliers as a table whose balances may be missing."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "supplier").withColumn("nth", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    span = lambda x, y, text: F.struct(F.lit(x).alias("x0"), (y * 20.0).alias("y0"), (F.lit(x) + F.length(text) * 4.0).alias("x1"), (y * 20.0 + 12.0).alias("y1"), text.alias("text"))
+    y = F.col("nth").cast("double")
+    cells = F.array(span(50.0, y, F.col("s_suppkey").cast("string")), span(150.0, y, F.col("s_name")), F.when(F.col("s_acctbal") > 0, span(300.0, y, F.col("s_acctbal").cast("string"))))
+    body = rows.select(F.col("s_nationkey").alias("doc_id"), F.lit(1).alias("page"), F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("s"))
+    prose = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(1).alias("page"), span(40.0, F.lit(0.0), F.concat(F.lit("Suppliers of "), "n_name")).alias("s"))
+    return body.unionByName(prose).select("doc_id", "page", "s.*")
+
+
+@query("with r as (select *, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as row, count(*) over (partition by s_nationkey) as n from supplier), "
+       "c as (select s_nationkey as doc_id, row, 0 as col, s_suppkey::varchar as text from r where n > 1 union all select s_nationkey, row, 1, s_name from r where n > 1 union all select s_nationkey, row, 2, s_acctbal::varchar from r where n > 1 and s_acctbal > 0) "
+       "select doc_id, row, col::int as \"column\", 1 as width, text from c")
+def layout_cells(spark, sf):
+    return layout.table_cells(_layout(spark, sf)).select("doc_id", "row", "column", "width", "text")
