@@ -23,8 +23,8 @@ from ..session import ship, stored
 # The ranking's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 KEY = ["doc_id", "section_pos"]
-#: Words of a shard (about two megabytes); a task makes shards of its own rows, the last may be smaller.
-SHARD_WORDS = 250_000
+#: Words of a shard (below a megabyte); a task makes shards of its own rows, the last may be smaller.
+SHARD_WORDS = 100_000
 #: (question, word) rows that are broadcast at a time; more go through in blocks of questions.
 ASKED_ROWS = 200_000
 DIGITS = 9
@@ -34,8 +34,9 @@ DIGITS = 9
 class Bm25Index:
     """shards, terms(term, df, idf) and stats(n, mean_length).
 
-    A shard's row: keys and lengths of its sections in order, its terms, how many of its sections have each (``df``), and
-    for each term in turn those sections (``rows``) and how often they have it (``tf``).
+    A shard's row: keys of its sections in order, their number ``n`` and ``words``, its terms, how many of its sections
+    have each (``df``), and packed (32-bit numbers, compressed): the sections' lengths, and for each term in turn those
+    sections and how often they have it.
     """
 
     shards: DataFrame
@@ -51,8 +52,18 @@ def _shard(rows: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     pair, tf = np.unique(code * n + np.repeat(np.arange(n), lengths), return_counts=True)
     df = np.bincount(pair // max(n, 1), minlength=len(coded.dictionary))
-    values = [rows.column(c).to_pylist() for c in KEY] + [lengths, coded.dictionary.to_pylist(), df, pair % max(n, 1), tf]
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+    packed = _packed(np.concatenate([lengths, pair % max(n, 1), tf]))
+    values = [*(rows.column(c).to_pylist() for c in KEY), n, int(lengths.sum()), coded.dictionary, df, packed]
+    return pa.RecordBatch.from_arrays([pa.array([v.to_pylist() if isinstance(v, pa.Array) else v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    raw = numbers.astype("<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True), "<i4")
 
 
 def build(sections: DataFrame) -> Bm25Index:
@@ -60,12 +71,13 @@ def build(sections: DataFrame) -> Bm25Index:
     ship(sections.sparkSession)
     tokens = sections.select(*KEY, ws_tokens(F.col("content")).alias("tokens"))
     kinds = [kind for _, kind in tokens.dtypes[:2]]
-    names = [*KEY, "length", "terms", "df", "rows", "tf"]
-    form = ", ".join(f"{c} array<{k}>" for c, k in zip(names, [*kinds, "int", "string", "int", "int", "int"]))
+    form = f"{KEY[0]} array<{kinds[0]}>, {KEY[1]} array<{kinds[1]}>, n int, words bigint, terms array<string>, df array<int>, postings binary"
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-        schema = pa.schema([(c, pa.list_(types[k])) for c, k in zip(names, [*kinds, "int", "string", "int", "int", "int"])])
+        lists = {KEY[0]: types[kinds[0]], KEY[1]: types[kinds[1]], "terms": pa.string(), "df": pa.int32()}
+        plain = {"n": pa.int32(), "words": pa.int64(), "postings": pa.binary()}
+        schema = pa.schema([(c, plain[c] if c in plain else pa.list_(lists[c])) for c in (*KEY, "n", "words", "terms", "df", "postings")])
         held, size = [], 0
         for batch in batches:
             held.append(batch)
@@ -79,7 +91,7 @@ def build(sections: DataFrame) -> Bm25Index:
     if any(k not in ("int", "bigint", "string") for k in kinds):
         raise TypeError(f"keys must be int, bigint or string, not {kinds}")
     shards = stored(tokens.mapInArrow(sharded, form))
-    stats = stored(shards.agg(F.sum(F.size("length")).alias("n"), (F.sum(F.aggregate("length", F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("length"))).alias("mean_length")))
+    stats = stored(shards.agg(F.sum("n").cast("long").alias("n"), (F.sum("words").cast("double") / F.sum("n")).alias("mean_length")))
     return Bm25Index(shards, stored(term_stats(shards, stats)), stats)
 
 
@@ -117,12 +129,12 @@ class Asked:
 
     def scored(self, shard: dict, mean_length: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(question, scores of all sections, whether they share a term) for one shard."""
-        n = len(shard["length"])
-        lengths = np.asarray(shard["length"], np.float64)
-        base = K1 * (1 - B + B * lengths / mean_length) if n else lengths
-        ends = np.cumsum(shard["df"])
-        rows, tf = np.asarray(shard["rows"], np.int64), np.asarray(shard["tf"], np.float64)
-        place = pc.index_in(pa.array(self.terms, pa.string()), pa.array(shard["terms"], pa.string())).to_pylist()
+        n, df = shard["n"], shard["df"]
+        numbers = _unpacked(shard["postings"])
+        base = K1 * (1 - B + B * numbers[:n] / mean_length) if n else np.zeros(0)
+        ends = np.cumsum(df)
+        rows, tf = numbers[n : n + ends[-1]] if len(df) else numbers[:0], numbers[n + ends[-1] :] if len(df) else numbers[:0]
+        place = pc.index_in(pa.array(self.terms, pa.string()), shard["terms"]).to_pylist()
         impacts = {}
         for term, at in enumerate(place):
             if at is not None:
@@ -169,17 +181,18 @@ def _answered(index: Bm25Index, questions: DataFrame, k: int | None) -> DataFram
             for batch in batches:
                 for j in range(batch.num_rows):
                     one = batch.slice(j, 1)
-                    shard = {name: one.column(name).flatten() for name in one.schema.names}
+                    keys = [one.column(c).flatten() for c in KEY]
+                    shard = {c: one.column(c)[0].as_py() for c in ("n", "postings")} | {"terms": one.column("terms").flatten(), "df": one.column("df").flatten().to_numpy()}
                     parts: tuple[list, list, list] = ([], [], [])
-                    for question, score, met in sent.value.scored({**shard, **{c: shard[c].to_numpy(zero_copy_only=False) for c in ("length", "df", "rows", "tf")}}, mean_length):
+                    for question, score, met in sent.value.scored(shard, mean_length):
                         at = np.nonzero(met)[0] if k is None else best(score, k)
                         parts[0].append(np.full(len(at), question)), parts[1].append(at), parts[2].append(score[at])
                     if parts[0]:
                         numbers, at, score = (np.concatenate(p) for p in parts)
-                        keys = [shard[c].take(pa.array(at)) for c in KEY]
-                        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *keys, pa.array(score, pa.float64())], ["number", *KEY, "score"])
+                        taken = [values.take(pa.array(at)) for values in keys]
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *taken, pa.array(score, pa.float64())], ["number", *KEY, "score"])
 
-        one = index.shards.mapInArrow(scan, f"number long, doc_id {kinds[0]}, section_pos {kinds[1]}, score double")
+        one = index.shards.select(*KEY, "n", "terms", "df", "postings").mapInArrow(scan, f"number long, doc_id {kinds[0]}, section_pos {kinds[1]}, score double")
         found = one if found is None else found.unionByName(one)
     return found.join(ids, "number").select("question_id", *KEY, "score")
 
