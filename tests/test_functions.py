@@ -53,9 +53,6 @@ def test_jaro_winkler():
     assert jaro_winkler("", "x") == 0
 
 
-def test_merges():
-
-
 def test_elo():
     rating = {}
     rate(rating, "a", "b", "a")
