@@ -200,7 +200,8 @@ def test_strategies_share_one_contract(spark):
         found = strategy(name)
         found.build(docs)
         rows = found.retrieve(asked, 2).collect()
-        assert {r.question_id for r in rows} == {"q1", "q2"} and {r["rank"] for r in rows} <= {1, 2}
+        most = 3 if name == "raptor" else 2  # two of each level: two chunks and their one summary
+        assert {r.question_id for r in rows} == {"q1", "q2"} and {r["rank"] for r in rows} <= set(range(1, most + 1))
     best = [r.chunk_id for r in rows if r.question_id == "q1" and r["rank"] == 1]
     assert best == ["L0:2::0"]
 
