@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..functions.text import ws_tokens
 
@@ -27,14 +30,18 @@ class Provider:
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """Signed feature hashing of the text's tokens to ``size`` dimensions."""
-    hashed = F.transform(ws_tokens(text), lambda w: F.xxhash64(w))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda d: F.aggregate(
-            hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(size)) == d, F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0)
-        ).cast("float"),
-    )
+    """Signed feature hashing of the text's tokens to ``size`` dimensions; a null text has none of them."""
+
+    @arrow_udf("array<float>")
+    def summed(hashes: pa.Array) -> pa.Array:
+        n = len(hashes)
+        length = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        values = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.repeat(np.arange(n), length) * size + values % size
+        found = np.bincount(place, np.where(values > 0, 1.0, -1.0), n * size).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(found))
+
+    return summed(F.transform(ws_tokens(text), lambda w: F.xxhash64(w)))
 
 
 def shared_words(question: Column, title: Column, summary: Column) -> Column:
