@@ -25,25 +25,28 @@ def summaries(tree: DataFrame, provider: Provider = STUB) -> DataFrame:
     order = "pos" if "pos" in tree.columns else "node_id"
     content = F.coalesce("content", F.lit(""))
     leaf = F.when(F.length(content) > SUMMARY_FROM, provider.summarize(F.left(content, F.lit(SUMMARY_CHARS)))).when(content != "", content).otherwise(F.concat(F.lit("Section: "), F.col("title")))
-    columns = [*tree.columns, "summary"]
-    rest = stored(tree)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "node_id", F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("summary")).alias("line")))), lambda x: x["line"])
+    text = F.when(F.col("below").isNotNull(), provider.summarize(F.col("below"))).otherwise(F.concat(F.lit("Container section: "), F.col("title")))
+    # What is carried from level to level is without contents.
+    rest = tree.select("node_id", "parent_id", "title", F.col(order).alias("at"))
+    made = rest.columns + ["summary"]
     done, children = None, None
     while True:
         parents = rest.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()
-        ready = rest.join(parents, "node_id", "left_anti")
         if done is None:
-            step = stored(ready.withColumn("summary", leaf).select(columns))
+            step = stored(tree.join(parents, "node_id", "left_anti").withColumn("at", F.col(order)).withColumn("summary", leaf).select(made))
         else:
-            lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("node_id"), F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("summary")).alias("line")))), lambda x: x["line"])
             below = children.filter("title <> ''").groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(lines, "\n").alias("below"))
-            text = F.when(F.col("below").isNotNull(), provider.summarize(F.col("below"))).otherwise(F.concat(F.lit("Container section: "), F.col("title")))
-            step = stored(ready.join(below, "node_id", "left").withColumn("summary", text).select(columns))  # a level's summaries are asked for once
+            step = stored(rest.join(parents, "node_id", "left_anti").join(below, "node_id", "left").withColumn("summary", text).select(made))  # a level's summaries are asked for once
         if step.isEmpty():
-            unreached = rest.withColumn("summary", F.lit(None).cast("string"))
-            return unreached if done is None else done.unionByName(unreached)
+            break
         done = step if done is None else done.unionByName(step)
-        children = step if children is None else stored(children.unionByName(step).join(rest.join(step.select("node_id"), "node_id", "left_anti").select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi"))
         rest = stored(rest.join(step.select("node_id"), "node_id", "left_anti"))
+        open_ = rest.select(F.col("node_id").alias("parent_id"))
+        children = (step if children is None else children.unionByName(step)).join(open_, "parent_id", "left_semi")
+    if done is None:
+        return tree.withColumn("summary", F.lit(None).cast("string"))
+    return tree.join(done.select("node_id", "summary"), "node_id", "left")
 
 
 def cluster_texts(rows: DataFrame, between: str = "\n\n") -> DataFrame:

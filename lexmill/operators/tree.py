@@ -156,8 +156,8 @@ def asked(tree: DataFrame, questions: DataFrame, provider: Provider = STUB, dept
     roots in blocks of a bounded size.
     """
     parents = tree.select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct().withColumn("inner", F.lit(True))
-    nodes = stored(tree.join(parents, "node_id", "left").withColumn("leaf", F.col("inner").isNull()).drop("inner"))
-    text = ["node_id", "doc_id", "pos", "title", "summary", "content", "leaf"]
+    nodes = stored(tree.join(parents, "node_id", "left").select("node_id", "parent_id", "doc_id", "pos", "title", "summary", F.col("inner").isNull().alias("leaf")))
+    text = ["node_id", "doc_id", "pos", "title", "summary", "leaf"]
     roots = nodes.filter("parent_id is null").select(*text, F.struct(F.lit(0).alias("of"), F.col("doc_id").alias("doc"), "pos", "node_id").alias("order"))
     below = nodes.filter("parent_id is not null").select("parent_id", *text)
     asked_ = questions.select("question_id", "question")
@@ -180,7 +180,7 @@ def asked(tree: DataFrame, questions: DataFrame, provider: Provider = STUB, dept
             chosen = front.join(open_, "question_id").withColumn("score", score).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= width)
             chosen = stored(chosen.drop("score"))
             final = final.unionByName(chosen.filter("leaf"))
-        final = stored(final.select("question_id", "node_id", "doc_id", "title", "content", F.struct(F.lit(level).alias("level"), "place", "order").alias("at")))
+        final = stored(final.select("question_id", "node_id", F.struct(F.lit(level).alias("level"), "place", "order").alias("at")))
         found = final if found is None else found.unionByName(final)
         if level < depth:
             ahead = chosen.filter("not leaf").select("question_id", "question", F.col("node_id").alias("parent_id"), "place", F.col("order.doc").alias("doc"))
@@ -188,4 +188,5 @@ def asked(tree: DataFrame, questions: DataFrame, provider: Provider = STUB, dept
             if front.isEmpty():
                 break
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy("at")).cast("long")
-    return found.withColumn("rank", rank).drop("at")
+    ranked = found.withColumn("rank", rank).drop("at")
+    return ranked.join(tree.select("node_id", "doc_id", "title", "content"), "node_id").select("question_id", "node_id", "doc_id", "title", "content", "rank")
