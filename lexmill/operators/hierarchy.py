@@ -69,10 +69,10 @@ def cells(vectors: DataFrame, limit: int = CELL, fan: int = FAN) -> DataFrame:
         large = stored(sizes.filter(F.col("size") > limit).withColumn("parts", F.ceil(F.col("size") / PART).cast("int")))
         if large.isEmpty():
             return held
-        rows = stored(held.join(large, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))))
+        rows = held.join(large, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))  # both are tables; vectors are not written again
         by = Window.partitionBy("cell").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
         seeds = rows.withColumn("seed", F.row_number().over(by)).filter(F.col("seed") <= fan)
-        seeds = seeds.select("cell", "seed", F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+        seeds = seeds.select(F.col("cell").alias("cell"), "seed", F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
         dealt = rows.select("vec_id", "cell", "part", "embedding").groupBy("cell", "part").cogroup(seeds.groupBy("cell", "part"))
         kind = dict(vectors.dtypes)["vec_id"]
         nearest = stored(dealt.applyInArrow(_dealt, f"vec_id {kind}, nearest int"))
