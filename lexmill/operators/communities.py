@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -45,32 +45,37 @@ def moved(state: DataFrame, chosen: DataFrame) -> DataFrame:
     return stored(state.join(chosen.select("fqn", "best"), "fqn", "left").select("fqn", F.coalesce("best", "community").alias("community")))
 
 
-def local_optimum(links: DataFrame, nodes: DataFrame, two_m: float) -> tuple[DataFrame, bool]:
-    """(state, whether anything moved): no node gains by moving alone.
+def together(found: DataFrame, nodes: DataFrame, two_m: float) -> DataFrame:
+    """Those of the moves ``found`` that raise modularity when they are made at once, among them the best of all.
 
-    Halves of the nodes move together while that raises modularity. After that a move is only made if it is the best
-    of all that touch either of its communities: such moves do not concern each other, so each raises modularity.
+    A community is left or entered in a round, whichever its best move does, so nothing that a move counts on goes away; the
+    others then only take away from its gain by their degrees. Moves are made in order of a hash's classes, each half as
+    large as the one before: a move stays if it gains with all of its class and of the smaller ones made before it.
     """
-    state = stored(nodes.select("fqn", F.col("fqn").alias("community")))
-    best, any_moved, turn, idle = modularity(links, nodes, state, two_m), False, 0, 0
-    while idle < 2:
-        half = F.pmod(F.xxhash64("fqn"), F.lit(2)) == turn % 2
-        turn += 1
-        after = moved(state, moves(links, nodes, state, two_m).filter(half))
-        q = modularity(links, nodes, after, two_m)
-        if q > best + 1e-12:
-            state, best, any_moved, idle = after, q, True, 0
-        else:
-            idle += 1
+    order = F.struct((-F.col("gain")).alias("cost"), "fqn")
+    touched = found.select(F.col("mine").alias("c"), order.alias("m"), F.lit(False).alias("enters")).unionByName(found.select(F.col("best").alias("c"), order.alias("m"), F.lit(True).alias("enters")))
+    first = stored(touched.groupBy("c").agg(F.min(F.struct("m", "enters")).alias("t")).select("c", F.col("t.m.fqn").alias("first"), F.col("t.enters").alias("enters")))
+    source, target = first.filter("not enters").select(F.col("c").alias("mine"), F.col("first").alias("out")), first.filter("enters").select(F.col("c").alias("best"), F.col("first").alias("into"))
+    half = F.length(F.regexp_extract(F.conv(F.hex(F.xxhash64("fqn", "best")), 16, 2), "(0*)$", 1))
+    kept = found.join(source, "mine").join(target, "best").join(nodes.select("fqn", "k"), "fqn").withColumn("class", half)
+    kept = stored(kept.withColumn("leads", (F.col("fqn") == F.col("out")) & (F.col("fqn") == F.col("into"))))
+    for end, name in (("mine", "left"), ("best", "entered")):
+        before = F.sum("k").over(Window.partitionBy(end).orderBy(F.desc("class")))
+        sizes = kept.groupBy(end, "class").agg(F.sum("k").alias("k")).select(end, "class", before.alias(name))
+        led = kept.filter("leads").select(end, F.col("k").alias(f"{name}_by"))
+        kept = kept.join(sizes, [end, "class"]).join(led, end, "left")
+    degrees = F.col("left") + F.col("entered") + F.coalesce("left_by", F.lit(0.0)) + F.coalesce("entered_by", F.lit(0.0))
+    return kept.filter(F.col("leads") | (F.col("gain") > F.col("k") * degrees / two_m)).select("fqn", "best")
+
+
+def local_optimum(links: DataFrame, nodes: DataFrame, two_m: float) -> tuple[DataFrame, bool]:
+    """(state, whether anything moved): no node gains by moving alone. Each round's moves raise modularity together."""
+    state, any_moved = stored(nodes.select("fqn", F.col("fqn").alias("community"))), False
     while True:
         found = stored(moves(links, nodes, state, two_m))
         if found.isEmpty():
             return state, any_moved
-        order = F.struct((-F.col("gain")).alias("cost"), "fqn")
-        touched = found.select(F.col("mine").alias("c"), order.alias("m")).unionByName(found.select(F.col("best").alias("c"), order.alias("m")))
-        first = touched.groupBy("c").agg(F.min("m").alias("m")).select("c", F.col("m.fqn").alias("winner"))
-        free = found.join(first.select(F.col("c").alias("mine"), F.col("winner").alias("fqn")), ["mine", "fqn"]).join(first.select(F.col("c").alias("best"), F.col("winner").alias("fqn")), ["best", "fqn"])
-        state, any_moved = moved(state, free), True
+        state, any_moved = moved(state, together(found, nodes, two_m)), True
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -73,6 +73,39 @@ def test_communities_are_a_local_optimum(spark, seed):
             assert quality(pairs, {v: b if c == a else c for v, c in got.items()}) <= quality(pairs, got) + 1e-9
 
 
+def test_leaves_of_hubs_move_together(spark, monkeypatch):
+    """Hubs on a root, 200 leaves each: rounds don't grow with the leaves, and every leaf ends with its hub."""
+    pairs = [(f"h{h}", f"l{h}.{i}") for h in range(4) for i in range(200)] + [("root", f"h{h}") for h in range(4)]
+    rounds, moves = [], communities.moves
+
+    def counted(*args):
+        rounds.append(1)
+        assert len(rounds) <= 12
+        return moves(*args)
+
+    monkeypatch.setattr(communities, "moves", counted)
+    got = {r.fqn: r.community for r in communities.communities(spark.createDataFrame(pairs, EDGES)).collect()}
+    assert all(got[a] == got[b] for a, b in pairs[:800]) and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_moves_together_raise_modularity(spark, seed):
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)}
+    links = centrality.both_ways(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], EDGES)).selectExpr("a", "b", "1.0D w")
+    nodes = links.groupBy("a").count().selectExpr("a fqn", "0.0D loop", "double(count) k").cache()
+    two_m, state = float(links.count()), nodes.selectExpr("fqn", "fqn community")
+    before = communities.modularity(links, nodes, state, two_m)
+    for _ in range(4):
+        chosen = communities.together(communities.moves(links, nodes, state, two_m), nodes, two_m)
+        if chosen.isEmpty():
+            break
+        state = communities.moved(state, chosen)
+        after = communities.modularity(links, nodes, state, two_m)
+        assert after > before
+        before = after
+
+
 def test_communities_contract(spark):
     """A ring of small cliques: neighbouring cliques merge as whole nodes only in a second level."""
     pairs = []
