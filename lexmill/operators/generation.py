@@ -22,6 +22,7 @@ def summaries(tree: DataFrame, provider: Provider = STUB) -> DataFrame:
     order of ``pos`` (else of their ids), or named as a container. Each step does all nodes whose children are done, for
     as many levels as there are. Nodes in a cycle, which no step can reach, have no summary.
     """
+    tree = stored(tree)  # read at each level
     order = "pos" if "pos" in tree.columns else "node_id"
     content = F.coalesce("content", F.lit(""))
     leaf = F.when(F.length(content) > SUMMARY_FROM, provider.summarize(F.left(content, F.lit(SUMMARY_CHARS)))).when(content != "", content).otherwise(F.concat(F.lit("Section: "), F.col("title")))

@@ -200,3 +200,16 @@ def test_registered_queries_run(spark, name):
         assert sizes[0] == sizes[1] and sizes[2] == sum(r.level == 1 for r in rows)
     if name == "tree_beam_by_question":
         assert len({r.node_id for r in rows}) > 5
+
+
+def test_beam_sorts_no_texts(spark, monkeypatch):
+    """Questions are paired with all roots, so what is ranked and written there is without titles and summaries."""
+    written = []
+    monkeypatch.setattr(tree, "stored", lambda df: written.append(df.columns) or df.localCheckpoint())
+    nodes = [(f"r{i}", None, f"d{i}", 0, "t", f"word{i}") for i in range(6)] + [(f"c{i}", f"r{i}", f"d{i}", 1, "t", f"word{i} more") for i in range(6)]
+    rows = spark.createDataFrame([(*n, "text") for n in nodes], "node_id string, parent_id string, doc_id string, pos int, title string, summary string, content string")
+    asked = spark.createDataFrame([("q1", "word4 word2"), ("q2", "word5")], "question_id string, question string")
+    found = tree.asked(rows, asked, dataclasses.replace(STUB, choose=shared_words), width=1).collect()
+    assert sorted((r.question_id, r.node_id, r["rank"]) for r in found) == [("q1", "c2", 1), ("q2", "c5", 1)]
+    ranked = [c for c in written if "place" in c]
+    assert ranked and not any("summary" in c or "question" in c for c in ranked)
