@@ -78,6 +78,10 @@ def parsed(files: DataFrame, corpus: str) -> DataFrame:
     return files.select("path", "content", "kind").mapInArrow(run, DOCUMENT)
 
 
+#: Characters of texts whose sections are held as objects at a time.
+HELD_CHARS = 1_000_000
+
+
 def sections_of(frame: DataFrame, kind: str, text_col: str = "text") -> DataFrame:
     """A row for each section that the parser of ``kind`` finds in a column of texts.
 
@@ -92,13 +96,18 @@ def sections_of(frame: DataFrame, kind: str, text_col: str = "text") -> DataFram
 
     @arrow_udf(f"array<{SECTION}>")
     def run(texts: pa.Array) -> pa.Array:
-        found = []
-        for text in texts.to_pylist():
+        parts, found, size = [], [], 0
+        for value in texts:
+            text = value.as_py()
             try:
                 found.append([asdict(s) for s in PARSERS[kind](text)] if text is not None else [])
             except Exception:  # a bad text must not end the scan
                 found.append([])
-        return pa.array(found, form)
+            size += len(text or "") + 1
+            if size >= HELD_CHARS:  # sections take many times their text until they are packed
+                parts.append(pa.array(found, form))
+                found, size = [], 0
+        return pa.concat_arrays([*parts, pa.array(found, form)])
 
     others = [c for c in frame.columns if c != text_col]
     return frame.withColumn(text_col, run(text_col)).select(*others, F.posexplode(text_col).alias("pos", "section"))

@@ -44,3 +44,11 @@ def test_fences_tables_and_blank_cells():
     assert found[0].code_blocks == [{"language": "py", "code": "a"}, {"language": "", "code": "open to the end"}]
     assert found[0].tables == [{"headers": ["h", "k"], "rows": [["1"], ["lone"]], "caption": ""}] and found[1].content == ""
     assert parse_csv("a , b\n1, \n , \n2,x\n")[0].content == "a: 1\na: 2; b: x" and parse_csv("a,b\n") == []
+
+
+def test_sections_are_packed_part_by_part(spark, monkeypatch):
+    """A batch of more text than is held as objects at a time gives the sections of all its texts."""
+    assert files.HELD_CHARS <= 1_000_000
+    rows = spark.range(30).selectExpr("id doc_id", "if(id % 7 = 3, null, concat('# A', id, repeat('\nx y', 25000))) text").coalesce(1)
+    found = files.sections_of(rows, "markdown").selectExpr("doc_id", "section.title", "length(section.content) n").collect()
+    assert sorted((r.doc_id, r.title, r.n) for r in found) == [(i, f"A{i}", 99_999) for i in range(30) if i % 7 != 3]
