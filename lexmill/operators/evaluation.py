@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stored
 from . import ir
 from .provider import STUB, Provider
 
@@ -58,7 +59,7 @@ def metrics_or_documents(retrieved: DataFrame, expected: DataFrame, expected_doc
     falls = by_doc.select("question_id").distinct().withColumn("fallback_doc_level", F.lit(True))
     wanted = expected.select("question_id", "expected_id").distinct().unionByName(by_doc)
     flagged = retrieved.join(falls, "question_id", "left").withColumn("chunk_id", F.when(F.col("fallback_doc_level"), F.col("doc_id").cast("string")).otherwise(F.col("chunk_id")))
-    flagged = flagged.drop("fallback_doc_level", "doc_id")
+    flagged = stored(flagged.drop("fallback_doc_level", "doc_id"))
     hits = ir.matched(flagged, wanted).filter((F.col("rank") <= k) & F.col("hit").isNotNull()).groupBy("question_id").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     counts = wanted.groupBy("question_id").agg(F.count(F.lit(1)).alias("expected_count"))
     found = ir.metrics(flagged, wanted, questions, k).join(falls, "question_id", "left").join(hits, "question_id", "left").join(counts, "question_id", "left")

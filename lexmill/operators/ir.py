@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_namespace
+from ..session import stored
+
+#: Expected ids (repeats included) of a question that are held in an array.
+HELD_IDS = 1000
 
 
 def matched(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     """``retrieved`` with ``hit``: the first expected id that is the chunk id or a ``::``-prefix of it.
 
-    The prefix test becomes an equi-join on candidate prefixes: the raw id's longest first, then those of the
-    id without its namespace.
+    Prefixes are tried in turn: the raw id's longest first, then those of the id without its namespace. A question's
+    expected ids come to its rows as an array; those of more than HELD_IDS are met by an equi-join on the prefixes.
     """
 
-    def prefixes(column):
-        parts = F.split(column, "::")
-        return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "::"))
-
-    candidates = retrieved.select(
-        "question_id", "rank", "chunk_id", F.posexplode(F.concat(prefixes(F.col("chunk_id")), prefixes(strip_namespace(F.col("chunk_id"))))).alias("at", "candidate")
-    )
+    many = stored(expected.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HELD_IDS).select("question_id"))
+    if many.isEmpty():
+        return held(retrieved, expected)
+    few = held(retrieved.join(many, "question_id", "left_anti"), expected.join(many, "question_id", "left_anti")).select(*retrieved.columns, "hit")
+    rest = retrieved.join(many, "question_id", "left_semi")
+    tried = F.concat(prefixes(F.col("chunk_id")), prefixes(strip_namespace(F.col("chunk_id"))))
+    candidates = rest.select("question_id", "rank", "chunk_id", F.posexplode(tried).alias("at", "candidate"))
     first = (
         candidates.join(expected.select("question_id", F.col("expected_id").alias("candidate")).distinct(), ["question_id", "candidate"])
         .groupBy("question_id", "rank", "chunk_id")
         .agg(F.min_by("candidate", "at").alias("hit"))
     )
-    return retrieved.join(first, ["question_id", "rank", "chunk_id"], "left")
+    return few.unionByName(rest.join(first, ["question_id", "rank", "chunk_id"], "left").select(*retrieved.columns, "hit"))
+
+
+def prefixes(column: Column) -> Column:
+    """The id and what stands before each ``::`` in it, longest first; of three colons in a row two pairs are tried."""
+    parts = F.split(column, "::")
+
+    def ends(n):
+        whole = F.array_join(F.slice(parts, 1, n), "::")
+        return F.when(F.startswith(column, F.concat(whole, F.lit(":::"))), F.array(F.concat(whole, F.lit(":")), whole)).otherwise(F.array(whole))
+
+    return F.flatten(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), ends))
+
+
+def held(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
+    """``retrieved`` with ``hit``: the longest of the question's expected ids, which are few, that stands before its id."""
+    by_length = F.sort_array(F.collect_set(F.struct(F.length("expected_id").alias("n"), "expected_id")), asc=False)
+    ids = expected.filter("expected_id is not null").groupBy("question_id").agg(by_length["expected_id"].alias("_ids"))
+    rows = retrieved.join(ids, "question_id", "left").withColumn("_bare", strip_namespace(F.col("chunk_id")))
+
+    def longest(column):
+        return F.get(F.filter("_ids", lambda x: (column == x) | F.startswith(column, F.concat(x, F.lit("::")))), F.lit(0))
+
+    return rows.select(*retrieved.columns, F.coalesce(longest(F.col("chunk_id")), longest(F.col("_bare"))).alias("hit"))
 
 
 def containing(docs: DataFrame, questions: DataFrame, width: int = 4) -> DataFrame:
@@ -49,7 +76,7 @@ def containing(docs: DataFrame, questions: DataFrame, width: int = 4) -> DataFra
     met = keyed.select("doc_id", F.explode(runs).alias("h")).join(long.select("question_id", "question", run(F.col("w"), F.lit(1)).alias("h")), "h")
     found = met.select("question_id", "question", "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("question")))
     few = docs.join(short, F.contains("text", F.col("question")))
-    return found.select("question_id", "doc_id").unionByName(few.select("question_id", "doc_id")).distinct()
+    return stored(found.select("question_id", "doc_id").unionByName(few.select("question_id", "doc_id")).distinct())  # texts are searched once
 
 
 def metrics(retrieved: DataFrame, expected: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
