@@ -21,7 +21,7 @@ BETWEEN = "\n\n---\n\n"
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
 
 
