@@ -13,6 +13,11 @@ SEARCH_ROWS = 50_000_000
 FOLDS = 16
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffles: both sides grow with the graph, and broadcast tables go through the driver, however well they pack."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(a, b) for each two linked nodes, in both directions, without loops."""
     pairs = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).filter("a <> b").distinct()
@@ -23,36 +28,52 @@ def connected(links: DataFrame) -> DataFrame:
     """(fqn, root): the least node of each node's component, by least neighbours and pointer jumping."""
     state = stored(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "fqn"))
     while True:
-        near = links.join(state.select(F.col("fqn").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = stored(state.join(near.withColumnRenamed("a", "fqn"), "fqn").select("fqn", "root", F.least("root", "near").alias("to")))
+        near = met(links, state.select(F.col("fqn").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        step = stored(met(state, near.withColumnRenamed("a", "fqn"), "fqn").select("fqn", "root", F.least("root", "near").alias("to")))
         ahead = step.select(F.col("fqn").alias("to"), F.col("to").alias("further"))
-        moved = stored(step.join(ahead, "to").select("fqn", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("changed")))
+        moved = stored(met(step, ahead, "to").select("fqn", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("changed")))
         state = moved.select("fqn", "root")
         if moved.filter("changed").isEmpty():
             return state
 
 
-def folded(links: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
-    """Nodes with one link fold into their neighbour, round by round: (links of the rest, nodes).
+def folded(links: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nodes with one link fold into their neighbour, round by round: (links of the rest, nodes, each round's (a, b): a into b).
 
     ``nodes(fqn, stands, squares)``: how many nodes each stands for, itself included, and the sum of the squares of
     those numbers over what was folded into it.
     """
     nodes = stored(links.select(F.col("a").alias("fqn")).distinct().select("fqn", F.lit(1).cast("long").alias("stands"), F.lit(0).cast("double").alias("squares")))
+    rounds = []
     for _ in range(folds):
         leaves = links.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("a", "b")
         # Of two nodes that only have each other one folds.
         other = leaves.select(F.col("a").alias("b"), F.lit(True).alias("leaf"))
-        fold = stored(leaves.join(other, "b", "left").filter("leaf is null or a > b").select("a", "b"))
+        fold = stored(met(leaves, other, "b", "left").filter("leaf is null or a > b").select("a", "b"))
         if fold.isEmpty():
             break
-        held = fold.join(nodes.withColumnRenamed("fqn", "a"), "a")
+        rounds.append(fold)
+        held = met(fold, nodes.withColumnRenamed("fqn", "a"), "a")
         adds = held.groupBy(F.col("b").alias("fqn")).agg(F.sum("stands").alias("more"), F.sum(F.col("stands").cast("double") ** 2).alias("square"))
         nodes = stored(
-            nodes.join(adds, "fqn", "left").select("fqn", (F.col("stands") + F.coalesce("more", F.lit(0))).alias("stands"), (F.col("squares") + F.coalesce("square", F.lit(0.0))).alias("squares"))
+            met(nodes, adds, "fqn", "left").select("fqn", (F.col("stands") + F.coalesce("more", F.lit(0))).alias("stands"), (F.col("squares") + F.coalesce("square", F.lit(0.0))).alias("squares"))
         )
-        links = stored(links.join(fold.select("a"), "a", "left_anti").join(fold.select(F.col("a").alias("b")), "b", "left_anti"))
-    return links, nodes
+        links = stored(met(met(links, fold.select("a"), "a", "left_anti"), fold.select(F.col("a").alias("b")), "b", "left_anti"))
+    return links, nodes, rounds
+
+
+def component_sizes(rest: DataFrame, nodes: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(fqn, size) of every node's component: searched among the rest only, and handed back to what was folded, the last first."""
+    roots = connected(rest)
+    totals = met(roots, nodes, "fqn").groupBy("root").agg(F.sum("stands").alias("size"))
+    left = nodes
+    for fold in rounds:
+        left = met(left, fold.select(F.col("a").alias("fqn")), "fqn", "left_anti")
+    # A tree that folded whole is its last node, which stands for all of it.
+    sizes = stored(met(left, met(roots, totals, "root").select("fqn", "size"), "fqn", "left").select("fqn", F.coalesce("size", "stands").alias("size")))
+    for fold in reversed(rounds):
+        sizes = sizes.unionByName(stored(met(fold, sizes.withColumnRenamed("fqn", "b"), "b").select(F.col("a").alias("fqn"), "size")))
+    return sizes
 
 
 def searched(links: DataFrame, weights: DataFrame, sources: DataFrame) -> DataFrame:
@@ -64,9 +85,9 @@ def searched(links: DataFrame, weights: DataFrame, sources: DataFrame) -> DataFr
     level = stored(sources.select("s", F.col("s").alias("fqn"), F.lit(1.0).alias("paths")))
     levels = [level]
     while True:
-        ahead = level.join(links, F.col("fqn") == F.col("a")).groupBy("s", "b").agg(F.sum("paths").alias("paths")).withColumnRenamed("b", "fqn")
+        ahead = met(level, links, F.col("fqn") == F.col("a")).groupBy("s", "b").agg(F.sum("paths").alias("paths")).withColumnRenamed("b", "fqn")
         for seen in levels[-2:]:  # a neighbour is one step nearer, as far, or one step further
-            ahead = ahead.join(seen.select("s", "fqn"), ["s", "fqn"], "left_anti")
+            ahead = met(ahead, seen.select("s", "fqn"), ["s", "fqn"], "left_anti")
         level = stored(ahead)
         if level.isEmpty():
             break
@@ -74,16 +95,16 @@ def searched(links: DataFrame, weights: DataFrame, sources: DataFrame) -> DataFr
     share = None
     found = sources.sparkSession.createDataFrame([], "s string, fqn string, share double")
     for level in reversed(levels[1:]):
-        own = level.join(weights, "fqn")
+        own = met(level, weights, "fqn")
         if share is None:
             share = own.select("s", "fqn", "paths", "weight", F.lit(0.0).alias("share"))
         else:
-            share = own.join(share, ["s", "fqn"], "left").select("s", "fqn", "paths", "weight", (F.col("paths") * F.coalesce("back", F.lit(0.0))).alias("share"))
+            share = met(own, share, ["s", "fqn"], "left").select("s", "fqn", "paths", "weight", (F.col("paths") * F.coalesce("back", F.lit(0.0))).alias("share"))
         share = stored(share)
         found = found.unionByName(share.select("s", "fqn", "share"))
         back = share.select("s", "fqn", ((F.col("weight") + F.col("share")) / F.col("paths")).alias("each"))
-        share = back.join(links, F.col("fqn") == F.col("a")).groupBy("s", "b").agg(F.sum("each").alias("back")).withColumnRenamed("b", "fqn")
-    return stored(found.join(sources, "s").groupBy("fqn").agg(F.sum(F.col("share") * F.col("from_weight")).alias("part")))
+        share = met(back, links, F.col("fqn") == F.col("a")).groupBy("s", "b").agg(F.sum("each").alias("back")).withColumnRenamed("b", "fqn")
+    return stored(met(found, sources, "s").groupBy("fqn").agg(F.sum(F.col("share") * F.col("from_weight")).alias("part")))
 
 
 def betweenness(edges: DataFrame, search_rows: int = SEARCH_ROWS, folds: int = FOLDS) -> DataFrame:
@@ -95,13 +116,12 @@ def betweenness(edges: DataFrame, search_rows: int = SEARCH_ROWS, folds: int = F
     Loops and repeated edges count once; an empty table gives no rows.
     """
     links = both_ways(edges)
-    roots = connected(links)
-    sizes = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("fqn", "size")
-    rest, nodes = folded(links, folds)
+    rest, nodes, rounds = folded(links, folds)
+    sizes = component_sizes(rest, nodes, rounds)
     below, others = (F.col("stands") - 1).cast("double"), F.col("size") - F.col("stands")
-    parts = nodes.join(sizes, "fqn").select("fqn", (below * below - F.col("squares") + 2 * below * others).alias("part"))
+    parts = met(nodes, sizes, "fqn").select("fqn", (below * below - F.col("squares") + 2 * below * others).alias("part"))
     n = nodes.count()
-    core = rest.select(F.col("a").alias("fqn")).distinct().join(nodes, "fqn").select("fqn", F.col("stands").alias("weight"))
+    core = met(rest.select(F.col("a").alias("fqn")).distinct(), nodes, "fqn").select("fqn", F.col("stands").alias("weight"))
     core = stored(core)
     count = core.count()
     batches = -(-count * count // search_rows)

@@ -37,6 +37,30 @@ def test_hubs_and_empty_graph(spark):
     assert len(top) == 10 and [r.betweenness for r in top] == sorted((r.betweenness for r in top), reverse=True)
 
 
+@pytest.mark.parametrize("folds", [0, 16])
+def test_node_tables_stay_off_the_driver(spark, monkeypatch, folds):
+    """Broadcast tables are collected by the driver first: no join of betweenness has one, however small its files."""
+    plans, stored = [], centrality.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(centrality, "stored", noted)
+    result = centrality.betweenness(spark.createDataFrame(random_pairs(7), EDGES), folds=folds)
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert any("Join" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("folds", [0, 1, 16])
+def test_component_sizes(spark, folds):
+    """A path longer than the rounds of folding, a ring with a tail, a pair: sizes come back to all folded nodes."""
+    pairs = [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("r2", "t1"), ("t1", "t2"), ("x", "y")]
+    rest, nodes, rounds = centrality.folded(centrality.both_ways(spark.createDataFrame(pairs, EDGES)), folds)
+    got = sorted(map(tuple, centrality.component_sizes(rest, nodes, rounds).collect()))
+    assert got == sorted((v, 41 if v[0] == "p" else 2 if v in "xy" else 5) for v in {v for p in pairs for v in p})
+
+
 def quality(pairs, of):
     pairs = {tuple(sorted(p)) for p in pairs if p[0] != p[1]}
     degree = {}
