@@ -8,6 +8,7 @@ those meet. Scores are exact.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ SHARD_WORDS = 100_000
 #: (question, word) rows that are broadcast at a time; more go through in blocks of questions.
 ASKED_ROWS = 200_000
 DIGITS = 9
+#: Java's Unicode white space.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 @dataclass
@@ -44,17 +47,36 @@ class Bm25Index:
     stats: DataFrame
 
 
-def _shard(rows: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
-    rows = rows.sort_by([(c, "ascending") for c in KEY]).combine_chunks()
-    tokens = rows.column("tokens").combine_chunks()
-    n, lengths = rows.num_rows, pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.dictionary_encode(pc.list_flatten(tokens))
+def _tokens(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all rows in order, as ``ws_tokens`` has them, and the row of each.
+
+    Arrow splits at Unicode white space too, but also at four separators (U+001C to U+001F): texts that have one go by
+    a regular expression.
+    """
+    if pc.any(pc.match_substring_regex(lowered, "[\x1c-\x1f]")).as_py():
+        lists = pa.array([SPACE.split(text) for text in lowered.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(lowered)
+    words, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    filled = pc.not_equal(pc.binary_length(words), 0)
+    return words.filter(filled), np.repeat(np.arange(len(lists)), lengths)[filled.to_numpy(zero_copy_only=False)]
+
+
+def _shard(held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+    keys = pa.Table.from_batches([k for k, _, _ in held])
+    n, before = keys.num_rows, np.cumsum([0] + [k.num_rows for k, _, _ in held])
+    order = pc.sort_indices(keys, [(c, "ascending") for c in KEY])
+    place = np.empty(n, np.int64)
+    place[order.to_numpy()] = np.arange(n)
+    section = place[np.concatenate([rows + first for (_, _, rows), first in zip(held, before)])]
+    coded = pc.dictionary_encode(pa.concat_arrays([w for _, w, _ in held]))
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    pair, tf = np.unique(code * n + np.repeat(np.arange(n), lengths), return_counts=True)
-    df = np.bincount(pair // max(n, 1), minlength=len(coded.dictionary))
-    packed = _packed(np.concatenate([lengths, pair % max(n, 1), tf]))
-    values = [*(rows.column(c).to_pylist() for c in KEY), n, int(lengths.sum()), coded.dictionary, df, packed]
-    return pa.RecordBatch.from_arrays([pa.array([v.to_pylist() if isinstance(v, pa.Array) else v], f.type) for v, f in zip(values, schema)], schema=schema)
+    pair, tf = np.unique(code * n + section, return_counts=True)
+    df = np.bincount(pair // max(n, 1), minlength=len(coded.dictionary)).astype(np.int32)
+    packed = _packed(np.concatenate([np.bincount(section, minlength=n), pair % max(n, 1), tf]))
+    lists = [*(keys.column(c).take(order).combine_chunks() for c in KEY), coded.dictionary, pa.array(df)]
+    ids, positions, terms, dfs = (pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists)
+    return pa.RecordBatch.from_arrays([ids, positions, pa.array([n], pa.int32()), pa.array([len(section)], pa.int64()), terms, dfs, pa.array([packed], pa.binary())], schema=schema)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -69,8 +91,8 @@ def _unpacked(packed: bytes) -> np.ndarray:
 def build(sections: DataFrame) -> Bm25Index:
     """The index of ``sections(doc_id, section_pos, content)``, read once."""
     ship(sections.sparkSession)
-    tokens = sections.select(*KEY, ws_tokens(F.col("content")).alias("tokens"))
-    kinds = [kind for _, kind in tokens.dtypes[:2]]
+    lowered = sections.select(*KEY, F.coalesce(F.lower("content"), F.lit("")).alias("lowered"))
+    kinds = [kind for _, kind in lowered.dtypes[:2]]
     form = f"{KEY[0]} array<{kinds[0]}>, {KEY[1]} array<{kinds[1]}>, n int, words bigint, terms array<string>, df array<int>, postings binary"
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,17 +102,17 @@ def build(sections: DataFrame) -> Bm25Index:
         schema = pa.schema([(c, plain[c] if c in plain else pa.list_(lists[c])) for c in (*KEY, "n", "words", "terms", "df", "postings")])
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += len(batch.column(2).flatten())
+            held.append((batch.select(KEY), *_tokens(batch.column(2))))
+            size += len(held[-1][1])
             if size >= SHARD_WORDS:
-                yield _shard(pa.Table.from_batches(held), schema)
+                yield _shard(held, schema)
                 held, size = [], 0
-        if held and sum(b.num_rows for b in held):
-            yield _shard(pa.Table.from_batches(held), schema)
+        if sum(k.num_rows for k, _, _ in held):
+            yield _shard(held, schema)
 
     if any(k not in ("int", "bigint", "string") for k in kinds):
         raise TypeError(f"keys must be int, bigint or string, not {kinds}")
-    shards = stored(tokens.mapInArrow(sharded, form))
+    shards = stored(lowered.mapInArrow(sharded, form))
     stats = stored(shards.agg(F.sum("n").cast("long").alias("n"), (F.sum("words").cast("double") / F.sum("n")).alias("mean_length")))
     return Bm25Index(shards, stored(term_stats(shards, stats)), stats)
 

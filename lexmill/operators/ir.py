@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import strip_namespace
-from ..session import stored
+from ..session import ship, stored
 
 #: Expected ids (repeats included) of a question that are held in an array.
 HELD_IDS = 1000
+#: Bytes of texts whose runs of words are hashed together.
+RUN_BYTES = 4_000_000
+#: Odd factor of the hashes of runs.
+RUN_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def matched(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
@@ -57,26 +68,62 @@ def held(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select(*retrieved.columns, F.coalesce(longest(F.col("chunk_id")), longest(F.col("_bare"))).alias("hit"))
 
 
+def runs(frame: DataFrame, text: str, width: int, at: int | None = None, least: int = 0) -> DataFrame:
+    """A row for each run of ``width`` words in ``text``: the other columns and ``h``, a hash. Only the run ``at``, of texts of ``least`` words, where given.
+
+    Words are what ASCII white space parts, so bytes decide.
+    """
+    ship(frame.sparkSession)
+    others = [c for c in frame.columns if c != text]
+    form = StructType([*(frame.schema[c] for c in others), StructField("h", LongType())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(len(others)), "")
+            part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // RUN_BYTES
+            cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                row, place, h, words = text_runs(texts.slice(start, end - start), width)
+                wanted = (words >= least) & (True if at is None else place == at)
+                taken = pa.array(row[wanted] + start)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in others), pa.array(h[wanted])], [*others, "h"])
+
+    return frame.select(*others, text).mapInArrow(hashed, form)
+
+
+def text_runs(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of ``width`` words: its text's number, its place there, its hash, and how many words the text has."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    filled = pc.not_equal(pc.binary_length(words), 0)
+    row, coded = row[filled.to_numpy(zero_copy_only=False)], pc.dictionary_encode(words.filter(filled).cast(pa.binary()))
+    of = np.fromiter(map(zlib.crc32, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+    n = max(len(row) - width + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h = h * RUN_FACTOR + of[k : k + n]
+    lengths = np.bincount(row, minlength=len(lists))
+    whole = row[:n] == row[width - 1 : width - 1 + n]
+    first, row = (np.cumsum(lengths) - lengths)[row[:n][whole]], row[:n][whole]
+    return row, np.arange(n)[whole] - first, h[whole].view(np.int64), lengths[row]
+
+
 def containing(docs: DataFrame, questions: DataFrame, width: int = 4) -> DataFrame:
     """(question_id, doc_id) where a document's text holds a question's.
 
     A question's second to fifth words stand whole in any text that holds it, so their hash finds candidates by an
     equi-join with the hashes of all runs of four words; questions of fewer than six words are compared with every text.
     """
-    words = lambda c: F.filter(F.split(c, "(?U)\\s+"), lambda w: w != "")
-
-    def run(tokens, i):
-        return F.xxhash64(*[F.get(tokens, i + k) for k in range(width)])
-
-    asked = questions.select("question_id", "question", words(F.col("question")).alias("w"))
-    long, short = asked.filter(F.size("w") >= width + 2), asked.filter(F.size("w") < width + 2)
-    keyed = docs.select("doc_id", "text", words(F.col("text")).alias("w")).filter(F.size("w") >= width)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: run(F.col("w"), i)))
+    texts = questions.select("question_id", "question").distinct()
+    asked = stored(runs(texts.withColumn("text", F.col("question")), "text", width, at=1, least=width + 2))
     # Hashes meet before texts do: only the texts of candidates are looked at.
-    met = keyed.select("doc_id", F.explode(runs).alias("h")).join(long.select("question_id", "question", run(F.col("w"), F.lit(1)).alias("h")), "h")
-    found = met.select("question_id", "question", "doc_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("question")))
-    few = docs.join(short, F.contains("text", F.col("question")))
-    return stored(found.select("question_id", "doc_id").unionByName(few.select("question_id", "doc_id")).distinct())  # texts are searched once
+    met = stored(runs(docs.select("doc_id", "text"), "text", width).join(asked.select("question_id", "h"), "h").select("question_id", "doc_id").distinct())
+    held = docs.select("doc_id", "text").join(met, "doc_id").join(asked.select("question_id", "question"), "question_id")
+    found = held.filter(F.contains("text", F.col("question"))).select("question_id", "doc_id")
+    short = stored(texts.join(asked, ["question_id", "question"], "left_anti"))
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(short, F.contains("text", F.col("question"))).select("question_id", "doc_id"))
+    return stored(found.distinct())  # texts are searched once
 
 
 def metrics(retrieved: DataFrame, expected: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lexmill.operators import ir
+from lexmill.functions.text import ws_tokens
+from lexmill.operators import bm25, ir
 
 
 @pytest.mark.parametrize("limit", [1000, 3])
@@ -25,3 +28,33 @@ def test_matched_equals_a_loop(spark, monkeypatch, limit):
     frames = spark.createDataFrame(retrieved, "question_id int, rank int, chunk_id string"), spark.createDataFrame(list(expected), "question_id int, expected_id string")
     got = sorted(map(tuple, ir.matched(*frames).select("question_id", "rank", "chunk_id", "hit").collect()))
     assert got == sorted((q, r, c, hit(q, c)) for q, r, c in retrieved)
+
+
+def test_words_are_those_of_the_sections(spark):
+    """Arrow's splitting, with the separators that it takes for white space, is that of ``ws_tokens``."""
+    texts = [f"A{chr(c)}b {chr(c)}" for c in range(1, 0x3100) if c not in range(0x1C, 0x20)]
+    for some in (texts, [f"A{chr(c)}b {chr(c)}" for c in range(0x1C, 0x20)] + texts[::50], ["", " ", "x"]):
+        rows = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", F.lower("t").alias("t"), ws_tokens(F.col("t")).alias("w")).orderBy("i").collect()
+        words, row = bm25._tokens(pa.array([r.t for r in rows], pa.string()))
+        assert list(zip(row.tolist(), words.to_pylist())) == [(r.i, w) for r in rows for w in r.w]
+
+
+def test_texts_are_searched_in_batches(spark, monkeypatch):
+    """All texts that hold a question are found, in parts of a batch too, without a call a word and without shuffling texts."""
+    rng = random.Random(2)
+    docs = [(i, "".join(rng.choice(["a", "b", "ab", "é"]) + rng.choice([" ", "  ", "\n", "\t", " "]) for _ in range(rng.randrange(60)))) for i in range(120)] + [(900, None)]
+    asked = [(i, docs[i][1][2 * (i % 3) : 30 + i % 9]) for i in range(0, 60)] + [(70, "a a a a a a a"), (71, "b"), (72, None)]
+    plans, stored = [], ir.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(ir, "stored", noted)
+    monkeypatch.setattr(bm25, "stored", noted)
+    monkeypatch.setattr(ir, "RUN_BYTES", 50)
+    frame = spark.createDataFrame(docs, "doc_id int, text string").coalesce(1)
+    found = ir.containing(frame, spark.createDataFrame(asked, "question_id int, question string")).collect()
+    assert sorted(map(tuple, found)) == sorted((q, d) for q, x in asked if x is not None for d, t in docs if t is not None and x in t)
+    bm25.build(frame.selectExpr("doc_id", "0L section_pos", "text content"))
+    assert len(plans) > 4 and not [p for p in plans if "lambda" in p or "hashpartitioning(doc_id#" in p]
