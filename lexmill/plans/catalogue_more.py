@@ -235,7 +235,7 @@ def ragas_scores(spark, sf):
 )
 def ir_document_fallback(spark, sf):
     found = _top(spark, sf).select("question_id", "chunk_id", "doc_id", "rank")
-    none = spark.createDataFrame([], f"question_id {found.schema['question_id'].dataType.simpleString()}, expected_id string")
+    none = _questions(spark, sf).select("question_id", F.lit("").alias("expected_id")).filter("false")
     wanted = _expected(spark, sf).withColumnRenamed("expected_id", "doc_id")
     measured = evaluation.metrics_or_documents(found, none, wanted, _questions(spark, sf))
     return measured.select("question_id", "fallback_doc_level", "expected_count", F.array_join("hits", ",").alias("hits"), "recall")
