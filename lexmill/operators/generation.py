@@ -20,14 +20,17 @@ def summaries(tree: DataFrame, provider: Provider = STUB) -> DataFrame:
     A leaf of more than 100 characters is summarised (its first 4000), a shorter one stands for itself, an empty one is
     named by its title. An inner node is summarised from the titles and summaries of its children that have a title, in
     order of ``pos`` (else of their ids), or named as a container. Each step does all nodes whose children are done, for
-    as many levels as there are. Nodes in a cycle, which no step can reach, have no summary.
+    as many levels as there are. Nodes in a cycle, which no step can reach, have no summary. Of a tree with the columns
+    ``level`` (of a parent one less) and ``leaf``, as ``tree.nested`` makes it, each step does a level, and nothing else is read.
     """
-    tree = stored(tree)  # read at each level
     order = "pos" if "pos" in tree.columns else "node_id"
     content = F.coalesce("content", F.lit(""))
     leaf = F.when(F.length(content) > SUMMARY_FROM, provider.summarize(F.left(content, F.lit(SUMMARY_CHARS)))).when(content != "", content).otherwise(F.concat(F.lit("Section: "), F.col("title")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "node_id", F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.col("summary")).alias("line")))), lambda x: x["line"])
     text = F.when(F.col("below").isNotNull(), provider.summarize(F.col("below"))).otherwise(F.concat(F.lit("Container section: "), F.col("title")))
+    if {"level", "leaf"} <= set(tree.columns):
+        return _levelled(tree, order, leaf, lines, text)
+    tree = stored(tree)  # read at each level
     # What is carried from level to level is without contents.
     rest = tree.select("node_id", "parent_id", "title", F.col(order).alias("at"))
     made = rest.columns + ["summary"]
@@ -50,6 +53,26 @@ def summaries(tree: DataFrame, provider: Provider = STUB) -> DataFrame:
     return tree.join(done.select("node_id", "summary"), "node_id", "left")
 
 
+def _levelled(tree: DataFrame, order: str, leaf, lines, text) -> DataFrame:
+    """``summaries`` of a tree whose levels and leaves are known; its inner nodes have no content."""
+    columns = tree.columns + ["summary"]
+    nodes = stored(tree.withColumn("summary", F.when(F.col("leaf"), leaf)))
+    deepest = nodes.agg(F.max("level").alias("level")).first()["level"]
+    if deepest is None:
+        return nodes
+    light = [c for c in tree.columns if c != "content"]
+    found, step = nodes.filter("leaf"), None
+    for level in range(deepest - 1, -1, -1):
+        named = ["parent_id", "node_id", "title", "summary", F.col(order).alias("at")]
+        children = nodes.filter(F.col("leaf") & (F.col("level") == level + 1)).select(named)
+        children = children if step is None else children.unionByName(step.select(named))
+        below = children.filter("title <> ''").groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(lines, "\n").alias("below"))
+        inner = nodes.filter(~F.col("leaf") & (F.col("level") == level)).select(light)
+        step = stored(inner.join(below, "node_id", "left").withColumn("summary", text).select(*light, "summary"))  # a level's summaries are asked for once
+        found = found.unionByName(step.withColumn("content", F.lit(None).cast("string")).select(columns))
+    return found.select(columns)
+
+
 def cluster_texts(rows: DataFrame, between: str = "\n\n") -> DataFrame:
     """(cluster, text) of ``rows(cluster, pos, text)``: the first 20 texts of each cluster in order, joined."""
     by = Window.partitionBy("cluster").orderBy("pos")

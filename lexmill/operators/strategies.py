@@ -131,11 +131,11 @@ class PageIndex(Strategy):
         marks = F.regexp_extract("content", "^(#{1,6}) ", 1)
         lines = chunking.sections(docs).withColumn("level", F.when(marks != "", F.length(marks)).otherwise(1))
         sections = lines.select("doc_id", F.col("section_pos").alias("pos"), "level", F.left("content", F.lit(80)).alias("title"), "content", F.col("chunk_id").alias("node_id"))
-        self.load(sections)
+        self.load(sections, levels=[1, 2, 3, 4, 5, 6])
 
-    def load(self, sections, docs=None):
+    def load(self, sections, docs=None, levels=None):
         """Use parsed sections (doc_id, pos, level, title, content, node_id)."""
-        self.tree = generation.summaries(tree.nested(sections, docs), self.provider)
+        self.tree = generation.summaries(tree.nested(sections, docs, levels), self.provider)
 
     def retrieve(self, questions, k=5):
         found = tree.asked(self.tree, questions, self.provider, self.depth, self.width).filter(F.col("rank") <= k)

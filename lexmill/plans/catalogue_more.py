@@ -378,7 +378,7 @@ def _nested(spark, sf):
 
     level = (F.length("content") % 4 + 1).cast("int")
     lines = _sections(spark, sf).select("doc_id", F.col("section_pos").alias("pos"), level.alias("level"), F.left("content", F.lit(40)).alias("title"), "content", F.col("chunk_id").alias("node_id"))
-    return tree.nested(lines, table(spark, sf, "documents").select("doc_id", F.col("source").alias("title")))
+    return tree.nested(lines, table(spark, sf, "documents").select("doc_id", F.col("source").alias("title")), [1, 2, 3, 4])
 
 
 _NESTED = f"""with {SECTIONS},

@@ -213,3 +213,42 @@ def test_beam_sorts_no_texts(spark, monkeypatch):
     assert sorted((r.question_id, r.node_id, r["rank"]) for r in found) == [("q1", "c2", 1), ("q2", "c5", 1)]
     ranked = [c for c in written if "place" in c]
     assert ranked and not any("summary" in c or "question" in c for c in ranked)
+
+
+def test_beam_pairs_no_roots_with_questions(spark, monkeypatch):
+    """Choice by shared words: counted for batches of roots, in any order of rows, with the same places as pair by pair."""
+    rng = random.Random(11)
+    words = "Queue role node, İx job   key a\x1cb table\tqueue Role ñ".split(" ")
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    roots = [(f"r{i}", None, f"d{i % 90}", i % 3, rng.choice([None, text(3)]), rng.choice([None, "", text(7)])) for i in range(200)]
+    below = [(f"c{i}", f"r{i}", f"d{i % 90}", 1, "t", "x") for i in range(0, 200, 2)]
+    rng.shuffle(roots)
+    rows = spark.createDataFrame([(*n, "text") for n in roots + below], "node_id string, parent_id string, doc_id string, pos int, title string, summary string, content string").repartition(3)
+    asked = spark.createDataFrame([(i, rng.choice([None, text(9), text(9)])) for i in range(30)], "question_id int, question string")
+    pairs = dataclasses.replace(STUB, choose=lambda *a: shared_words(*a))
+    want = sorted(map(tuple, tree.asked(rows, asked, pairs, width=4).collect()), key=str)
+    monkeypatch.setattr(tree, "COUNTS", 700)
+    monkeypatch.setattr(type(rows), "crossJoin", lambda *_: pytest.fail("roots were paired with questions"))
+    assert sorted(map(tuple, tree.asked(rows, asked, MODEL, width=4).collect()), key=str) == want and len(want) > 60
+
+
+def test_known_levels_and_leaves_are_read_once(spark):
+    """Sections are read once and no node is looked up to see whether it is a leaf."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows, docs = made(5), spark.createDataFrame([("d0", "T"), ("none", "N")], "doc_id string, title string")
+    sections = spark.createDataFrame(rows, SECTIONS).mapInArrow(counted, SECTIONS)
+    kept = ["node_id", "parent_id", "pos", "content", "summary"]
+    want = sorted(map(tuple, generation.summaries(tree.nested(sections, docs).drop("leaf"), MODEL).select(kept).collect()), key=str)
+    before = read.value
+    nodes = generation.summaries(tree.nested(sections, docs, [1, 2, 3, 5]), MODEL)
+    assert sorted(map(tuple, nodes.select(kept).collect()), key=str) == want
+    tree.asked(nodes, spark.createDataFrame([("q", "queue role")], "question_id string, question string"), MODEL).collect()
+    assert before > 0 and read.value - before == len(rows)
+    with pytest.raises(Exception, match="another level"):
+        tree.nested(sections, docs, [1, 2]).collect()
